@@ -22,6 +22,58 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    from .quality_rules import quality
+
+    q = F.col("quality")
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", *(q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+    )
+
+
+def _op7_sql() -> str:
+    from .quality_rules import CAPITALS, RATIOS, RULES, STOP_WORDS
+
+    checks = []
+    for rule in RULES:
+        value = rule.feature
+        if value in RATIOS:
+            of, by = RATIOS[value]
+            value = f"coalesce({of}::DOUBLE / nullif({by}, 0)::DOUBLE, 0.0)"
+        checks += [f"{value} >= {rule.least}"] if rule.least is not None else []
+        checks += [f"{value} <= {rule.most}"] if rule.most is not None else []
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS.split())
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
+win AS (SELECT doc_id, i, w[i:i + 7] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (
+    SELECT doc_id, count(DISTINCT p) AS n
+    FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1)
+    GROUP BY doc_id
+),
+c AS (
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+        len(list_filter(w, x -> lower(x) IN ({stops}))) AS n_stop_words, len(list_filter(w, x -> regexp_matches(x, '{CAPITALS}'))) AS n_capital_words,
+        len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) AS n_echo_words, len(list_filter(w, x -> x = '|')) AS n_pipe_words
+    FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)
+),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(checks)} AS kept FROM f"""
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels no model of op9 sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -44,9 +96,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op6_token_files": op6_token_files,
+    "op7_quality_rules": op7_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": _op7_sql(),
+}

@@ -138,10 +138,14 @@ def learn_lexicon(sample: DataFrame, least_log_odds: float = 2.5) -> Lexicon:
 
     other = {r.term: r.n for r in sample.where("toxic = 0").select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_other = other.get("", 0)
-    terms = {}
+    terms: dict[str, tuple[float, int]] = {}
+    commonest: Counter[str] = Counter()
+    for term, k in with_term.items():
+        for size in _STEMS if not term.endswith("*") else ():
+            commonest[term[:size]] = max(commonest[term[:size]], k)
     for term, k in with_term.items():
         odds = math.log((k + 0.5) / (n_toxic + 1)) - math.log((other.get(term, 0) + 0.5) / (n_other + 1))
-        if odds >= least_log_odds:
+        if odds >= least_log_odds and (not term.endswith("*") or k >= 1.3 * commonest.get(term[:-1], 0)):  # else one word makes up the beginning
             terms[term] = (odds, k)
     return Lexicon(terms, least + 1)
 
