@@ -47,7 +47,7 @@ def _op7_sql() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+') AS w FROM documents),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ 	-
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS ls FROM d),
 win AS (SELECT doc_id, i, w[i:i + 7] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 rep AS (
@@ -59,8 +59,8 @@ c AS (
     SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(w, x -> lower(x) IN ({stops}))) AS n_stop_words, len(list_filter(w, x -> regexp_matches(x, '{CAPITALS}'))) AS n_capital_words,
-        len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) AS n_echo_words, len(list_filter(w, x -> x = '|')) AS n_pipe_words
+        len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words, len(list_filter(w, lambda x: regexp_matches(x, '{CAPITALS}'))) AS n_capital_words,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echo_words, len(list_filter(w, lambda x: x = '|')) AS n_pipe_words
     FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)
 ),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
