@@ -14,6 +14,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document by unigram Viterbi, and whether they decode to its text."""
+    from .unigram import encode_documents
+
+    rows = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion records of every page, written as WARC files and read back."""
+    from .warc import read_derivatives, write_derivatives
+
+    return read_derivatives(spark, write_derivatives(table(spark, sf_dir, "pages")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, encoded, written as token-id files and read back."""
     from .token_files import read_token_files, write_token_files
@@ -123,6 +138,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
     "op3_sharding": op3_sharding,
+    "op4_unigram": op4_unigram,
+    "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_va_topk": op8_va_topk,

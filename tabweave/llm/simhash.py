@@ -112,21 +112,51 @@ def links(distinct: DataFrame, radius: int = RADIUS, light: int = LIGHT) -> Data
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, fp, component_id), one row for each row of docs.
+    """docs (doc_id, text) to (doc_id, fp, root, component_id), one row for each row of docs.
 
-    Documents are linked if their fingerprints differ in at most `radius` bits; component_id
-    is the smallest doc_id reachable (null only where every id of the component is null).
-    Null and blank texts have fingerprint zero. Repeated rows give repeated rows. Other
-    columns are not read; an empty table gives no rows.
+    Documents are linked if their fingerprints differ in at most `radius` bits; root is the component's
+    smallest fingerprint, component_id the smallest doc_id reachable (null only where every id of the
+    component is null). Null and blank texts have fingerprint zero. Repeated rows give repeated rows.
+    Other columns are not read; an empty table gives no rows.
     """
     found = written(fingerprints(docs, words, seed), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = written(components(links(distinct.select("fp"), radius, light)), "roots").select(F.col("node").alias("fp"), "root")
     linked = distinct.join(roots, "fp")
     first = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(first, "root").select("fp", "component_id")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return found.join(written(named, "components"), "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(first, "root").select("fp", "root", "component_id")
+    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return found.join(written(named, "components"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs (doc_id, text and any others) for each component, with all its columns: that of the smallest doc_id.
+
+    Of several rows with that id one stays. A component without any id keeps one of its rows.
+    """
+    found = written(near_duplicates(docs), "classes")
+    chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), "n")
+    own = F.col("doc_id").cast("long") == F.col("kept_id")
+    out = docs.join(chosen.where("n = 1").select("kept_id"), own, "left_semi")
+    if chosen.where("n > 1").limit(1).count():
+        out = out.union(docs.join(chosen.where("n > 1").select("kept_id"), own, "left_semi").dropDuplicates(["doc_id"]))
+    if found.where("component_id IS NULL").limit(1).count():
+        nameless = found.where("component_id IS NULL").select("fp", "root").distinct()
+        rows = docs.where("doc_id IS NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        keyed = rows.select("row", "text").join(_by_text(rows).join(nameless, "fp"), "text").dropDuplicates(["root"])
+        out = out.union(keyed.select("row.*"))
+    return out
+
+
+def _by_text(rows: DataFrame) -> DataFrame:
+    """Each distinct text of rows with its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["text", "fp"])
+
+    return rows.select("text").distinct().mapInArrow(run, "text string, fp long")
 
 
 def hex_fingerprint(fp: Column) -> Column:

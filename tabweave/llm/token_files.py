@@ -35,7 +35,7 @@ def _opened(uri: str, mode: str):
     where, path = fs.FileSystem.from_uri(uri)
     if mode == "w":
         where.create_dir(path.rpartition("/")[0], recursive=True)
-        return where.open_output_stream(path)
+        return where.open_output_stream(path, compression=None)
     return where.open_input_file(path)
 
 
