@@ -218,4 +218,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name may hold a dot
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
