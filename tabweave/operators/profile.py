@@ -154,7 +154,11 @@ def collect_profiles(df: DataFrame, columns: Sequence[str] | None = None) -> dic
 
 def score(cell: Column, p: Profile) -> Column:
     """How well a text cell fits a profile, from 0 to 1, as one expression of literals."""
-    v = trimmed(cell)
+    return score_trimmed(trimmed(cell), p)
+
+
+def score_trimmed(v: Column, p: Profile) -> Column:
+    """The same for a cell without outer blanks."""
     kind = type_of(v)
     related = {"number": ("number", "integer"), "integer": ("integer", "number"), "date": ("date", "datetime"), "datetime": ("datetime", "date")}
     fits = F.lit(True) if p.primary_type == "mixed" else kind.isin(*related.get(p.primary_type, (p.primary_type,)))
@@ -172,8 +176,7 @@ def score(cell: Column, p: Profile) -> Column:
         span = (high - low) or abs(high) or 1.0
         number = F.when(kind.isin("integer", "number"), v.try_cast("double"))
         out = F.least(out, F.when((number < low - span * 100) | (number > high + span * 100), 0.4).otherwise(1.0))
-    blank = cell.isNull() | (v == "")
-    return F.when(blank, 0.7 if p.null_rate >= 0.05 else 0.3).otherwise(out)
+    return F.when(v.isNull() | (v == ""), 0.7 if p.null_rate >= 0.05 else 0.3).otherwise(out)
 
 
 def fit(df: DataFrame, name: str, p: Profile) -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.classify import classify_value, strip
-from tabweave.operators.filters import column, schema_of
-from tabweave.operators.profile import Profile, score
+from tabweave.functions.scalars import trimmed
+from tabweave.operators.filters import column
+from tabweave.operators.profile import Profile, score_trimmed
 
 ALIGNED, IMPROVEMENT, APPLY, SOFT_IMPROVEMENT = 0.65, 0.20, 0.70, 0.05
 PROBLEM, CRITICAL = 0.3, 0.2
@@ -158,13 +159,24 @@ VERDICT = T.StructType(
 )
 
 
-def row_score(columns: Sequence[str], profiles: Mapping[str, Profile]) -> tuple[Column, Column]:
-    """The mean score over columns with a profile (0.5 if there are none), and the least score."""
-    scores = [score(column(c), profiles[c]) for c in columns if c in profiles]
-    if not scores:
-        return F.lit(0.5 if columns else 1.0), F.lit(1.0)
-    held = F.array(*scores)
-    return F.aggregate(held, F.lit(0.0), lambda a, b: a + b) / len(scores), F.array_min(held)
+def _with_trimmed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with an array __cells of the columns' texts without outer blanks: generated, so that it is computed once."""
+    return df.withColumn("__cells", F.explode(F.array(F.array(*(trimmed(column(c)) for c in columns)))))
+
+
+def row_score(columns: Sequence[str], profiles: Mapping[str, Profile], shift: int = 0) -> Column:
+    """The scores, over __cells, of columns with a profile, each for the cell `shift` places on."""
+    none = F.lit(None).cast("string")
+    cell = lambda i: F.get("__cells", F.lit(i)) if 0 <= i < len(columns) else none
+    return F.array(*(score_trimmed(cell(i + shift), profiles[c]) for i, c in enumerate(columns) if c in profiles))
+
+
+def _mean(scores: Column, n: int) -> Column:
+    """From left to right, as _Search adds."""
+    total = F.lit(0.0)
+    for i in range(n):
+        total = total + F.get(scores, F.lit(i))
+    return total / n
 
 
 def realign(df: DataFrame, columns: Sequence[str], profiles: Mapping[str, Profile], options: RealignOptions = RealignOptions(), quarantine: str = "keep") -> DataFrame:  # noqa: B008
@@ -176,9 +188,13 @@ def realign(df: DataFrame, columns: Sequence[str], profiles: Mapping[str, Profil
     if quarantine not in ("keep", "drop", "mark"):
         raise ValueError(f"unknown quarantine mode: {quarantine}")
     profiles = {c: p for c, p in profiles.items() if c in columns}
-    mean, least = row_score(columns, profiles)
-    # generated, so that the filters below use the score instead of computing it again
-    marked = df.withColumn("__score", F.explode(F.array(F.struct(mean.alias("mean"), least.alias("least")))))
+    if profiles:
+        # generated too, so that the filters below use the scores instead of computing them again
+        held = _with_trimmed(df, columns).withColumn("__scores", F.explode(F.array(row_score(columns, profiles)))).drop("__cells")
+        score = F.struct(_mean(F.col("__scores"), len(profiles)).alias("mean"), F.array_min("__scores").alias("least"))
+        marked = held.withColumn("__score", score).drop("__scores")
+    else:
+        marked = df.withColumn("__score", F.struct(F.lit(0.5).alias("mean"), F.lit(1.0).alias("least")))
     fine = (F.col("__score.mean") >= options.aligned) & (F.col("__score.least") >= CRITICAL) if profiles else F.lit(True)
     kinds = {f.name: f.dataType for f in VERDICT.fields}
     s = F.col("__score.mean")
@@ -242,15 +258,10 @@ def examples(realigned: DataFrame, key: str, kind: str = "realigned", most: int
 
 def fit_shares(df: DataFrame, columns: Sequence[str], profiles: Mapping[str, Profile], threshold: float = 0.65) -> DataFrame:
     """One row: the share of rows whose cells fit their own profiles, and for each shift by one the share that fits better so."""
-    schema_of(df)
-    own, _ = row_score(columns, profiles)
-    shares = [F.avg((own >= threshold).cast("double")).alias("own_fit")]
-    for s, name in ((-1, "shift_left"), (1, "shift_right")):
-        cells = [F.lit(0.0)]
-        for i, c in enumerate(columns):
-            if c in profiles:
-                j = i + s
-                cells.append(score(column(columns[j]) if 0 <= j < len(columns) else F.lit(None).cast("string"), profiles[c]))
-        total = F.aggregate(F.array(*cells), F.lit(0.0), lambda a, b: a + b)
-        shares.append(F.avg((total / max(1, len(cells) - 1) > own).cast("double")).alias(name))
-    return df.agg(*shares)
+    profiles = {c: p for c, p in profiles.items() if c in columns}
+    if not profiles:
+        return df.agg(F.lit(1.0).alias("own_fit"), F.lit(0.0).alias("shift_left"), F.lit(0.0).alias("shift_right"))
+    scores = F.struct(*(row_score(columns, profiles, s).alias(n) for n, s in (("own", 0), ("left", -1), ("right", 1))))
+    held = _with_trimmed(df, columns).select(F.explode(F.array(scores)).alias("s"))
+    own, left, right = (_mean(F.col(f"s.{n}"), len(profiles)) for n in ("own", "left", "right"))
+    return held.agg(F.avg((own >= threshold).cast("double")).alias("own_fit"), F.avg((left > own).cast("double")).alias("shift_left"), F.avg((right > own).cast("double")).alias("shift_right"))
