@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +66,11 @@ def best_cuts(places: Sequence[int] | np.ndarray, penalties: Sequence[int] | np.
     exact: dict[int, list[int]] = {}
     for size in costs.unpadded:
         if size < width:
-            for j in np.flatnonzero(at >= size).tolist():
-                if (i := index[place[j] - size]) >= 0:
-                    exact.setdefault(j, []).append(int(i))
+            first = int(np.searchsorted(at, size))
+            before = index[at[first:] - size]
+            hits = np.flatnonzero(before >= 0)
+            for j, i in zip((hits + first).tolist(), before[hits].tolist(), strict=True):
+                exact.setdefault(j, []).append(i)
     best, source = [0] * n, [0] * n
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # best[i] + place[i], place[i], i: ascending in all three
     push, pop, shift = queue.append, queue.pop, queue.popleft
@@ -100,7 +102,7 @@ class _Run:
     """Documents that wait to be cut; the first may have lost its beginning to sequences already out."""
 
     def __init__(self, width: int, costs: PackingCosts) -> None:
-        self.width, self.costs = width, costs
+        self.width, self.costs = width, replace(costs, every=min(costs.every, width))  # a place to cut within each width
         self.docs: list[tuple[int | None, np.ndarray, np.ndarray, int]] = []  # id, ids, sentence ends, ids gone before
         self.n = 0
 

@@ -104,7 +104,12 @@ class WordIds:
         text = self._folded(text).replace("\t", " ").replace("\r", " ")
         for mark in ".!?":
             text = text.replace(f"{mark} ", f"{mark}\n")
-        found = list(map(self._joined, text.split("\n")))
+        parts = text.split("\n")
+        try:
+            found = [b"".join(map(self.young.__getitem__, part.split(" "))) for part in parts]
+        except KeyError:  # all words of the text at a time, since each call of the tokenizer costs
+            self._learn(text.replace("\n", " ").split(" "))
+            found = [b"".join(map(self.young.__getitem__, part.split(" "))) for part in parts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes[sizes > 0]) // self.kind.itemsize
 
