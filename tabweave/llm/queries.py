@@ -97,6 +97,32 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def _op2_sql() -> str:
+    import math
+
+    from .license_scan import PHRASES, TEMPLATES, THRESHOLD
+
+    lists = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    phrases = ", ".join(f"({lists(p.split())}, '{label}')" for p, label in PHRASES.items())
+    sets = [(label, sorted(set(t.split()))) for label, ts in TEMPLATES.items() for t in ts]
+    templates = ", ".join(f"('{label}', {lists(ws)}, {math.ceil(THRESHOLD * len(ws) - 1e-9)})" for label, ws in sets)
+    step = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p(phrase, label) AS (VALUES {phrases}),
+t(label, ws, need) AS (VALUES {templates}),
+hits AS (SELECT doc_id, label, i - 1 AS word FROM (SELECT doc_id, w, label, phrase, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p) WHERE w[i:i + len(phrase) - 1] = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY 1),
+b AS (SELECT doc_id, list_distinct(w[i:i + {2 * step - 1}]) AS held FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, {step})) AS i FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(held, ws)) AS n, need, len(ws) AS total FROM b, t),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / total) AS share FROM m WHERE n >= need GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes; equal texts share a shard."""
     from .sharding import shard_documents
@@ -148,6 +174,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": _op2_sql(),
     "op7_quality_rules": _op7_sql(),
     "op8_va_topk": """
 WITH v AS (

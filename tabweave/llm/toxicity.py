@@ -31,7 +31,7 @@ INSULTS = frozenset("clown crétin disgusting dumb dumm estúpido fool idiot idi
 SECOND_PERSON = frozenset("dein deine dich dir du euch eure ihr te ti toi ton tu tú usted ustedes vos vosotros votre vous you your yours yourself".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+")
+_MASKED = re.compile(r"[0-9@$!|]?[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+")
 _PLAIN = str.maketrans("0134578@$!|", "oieastbasil", "*")
 _NEAR, _STEMS, _LONGEST = 5, (6, 5, 4), 24
 FEATURES = ("log_words", "lexicon_per_word", "log_lexicon", "distinct_lexicon", "weight_per_word", "largest_weight", "fixed_per_word", "near_second_person", "second_person_per_word", "capitals", "exclaims", "punctuation", "masked_per_word", "masked_lexicon", "digits")
