@@ -8,11 +8,10 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabweave.functions.scalars import BLANK, trimmed
+from tabweave.functions.scalars import BLANK, BLANKS, trimmed
 
 # The shapes by which values are told apart; \s stands for any blank.
-_S = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-_NOT_S = "[^" + _S[1:]
+_S = BLANK
 DATE = r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}/\d{1,2}/\d{2,4}$|^\d{1,2}-[A-Za-z]{3,}-\d{2,4}$"
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
 DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?"
@@ -100,7 +99,6 @@ def shape_of(s: Column) -> Column:
 
 
 _PYTHON_S = "\\t-\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
-_PYTHON_BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 @lru_cache(maxsize=64)
@@ -112,7 +110,7 @@ def _compiled(pattern: str) -> re.Pattern[str]:
 
 
 def strip(text: str) -> str:
-    return text.strip(_PYTHON_BLANKS)
+    return text.strip(BLANKS)
 
 
 def classify_value(text: str) -> tuple[str, frozenset[str]]:
@@ -129,6 +127,3 @@ def classify_value(text: str) -> tuple[str, frozenset[str]]:
         if has(pattern):
             return kind, frozenset(found)
     return "string", frozenset(found)
-
-
-assert BLANK == _S

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 #: The blanks of that language, as a character class that Java's and RE2's patterns share.
 BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 DECIMAL = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 LEADING = rf"^{BLANK}*([+-]?(?:Infinity|{DECIMAL}))"
 WHOLE = rf"^[+-]?(?:Infinity|{DECIMAL})$"
@@ -22,7 +23,7 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def _kind(kind: T.DataType | None) -> T.DataType:

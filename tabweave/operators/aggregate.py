@@ -103,28 +103,25 @@ def aggregated(df: DataFrame, spec: AggregationSpec) -> DataFrame:
     return out.limit(spec.limit) if spec.limit is not None else out
 
 
-def null_measure_rows(spec: AggregationSpec, schema: Schema) -> Column:
-    """The largest number of blank cells among the measures' columns."""
-    counts = [F.count_if(is_blank(*_cell(a.column, schema))) for a in spec.aggregations if a.column not in EVERY_ROW]
+def null_measure_rows(spec: AggregationSpec, schema: Schema, keep: Column) -> Column:
+    """The largest number of blank cells among the measures' columns, of rows on which keep holds."""
+    counts = [F.count_if(keep & is_blank(*_cell(a.column, schema))) for a in spec.aggregations if a.column not in EVERY_ROW]
     return F.coalesce(F.greatest(*counts) if len(counts) > 1 else counts[0], F.lit(0)) if counts else F.lit(0).cast("long")
 
 
-def null_group_rows(spec: AggregationSpec, schema: Schema) -> Column:
-    """Rows with a null, not merely blank, in a grouped or distinctly counted column."""
+def null_group_rows(spec: AggregationSpec, schema: Schema, keep: Column) -> Column:
+    """Rows on which keep holds with a null, not merely blank, in a grouped or distinctly counted column."""
     names = [*spec.group_by, *(a.column for a in spec.aggregations if a.distinct and a.column not in EVERY_ROW)]
     held = F.lit(False)
     for n in dict.fromkeys(names):
         held = held | _cell(n, schema)[0].isNull()
-    return F.count_if(held)
+    return F.count_if(keep & held)
 
 
 def counters(df: DataFrame, keep: Column, spec: AggregationSpec) -> DataFrame:
-    """One row: source_rows, filtered_rows, null_measure_rows, null_group_rows; the last two among rows on which keep holds."""
+    """One row, by one pass: source_rows, filtered_rows, null_measure_rows, null_group_rows; the last three of rows on which keep holds."""
     schema = schema_of(df)
-    names = {a.column for a in spec.aggregations} | set(spec.group_by)
-    marked = df.select(keep.alias("__keep"), *(column(n) for n in names if n in schema))
-    inside = marked.where("__keep").agg(F.count(F.lit(1)).alias("filtered_rows"), null_measure_rows(spec, schema).alias("null_measure_rows"), null_group_rows(spec, schema).alias("null_group_rows"))
-    return df.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(inside)  # one row and one row
+    return df.agg(F.count(F.lit(1)).alias("source_rows"), F.count_if(keep).alias("filtered_rows"), null_measure_rows(spec, schema, keep).alias("null_measure_rows"), null_group_rows(spec, schema, keep).alias("null_group_rows"))
 
 
 def must_decline(source: str, null_groups: int) -> bool:

@@ -70,6 +70,13 @@ def schema_summary(df: DataFrame) -> DataFrame:
     return inferred_types(df).crossJoin(total)  # a row for each column and one row
 
 
+def discovered_columns(df: DataFrame) -> DataFrame:
+    """(column, filled): every column that any row has, and how many rows have a value there."""
+    schema = schema_of(df)
+    one = df.agg(*(F.count(column(n)).alias(n) for n in schema))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), column(n).alias("filled")) for n in schema))).alias("x")).select("x.*")
+
+
 def schema_hash(columns: Sequence[tuple[str, str]]) -> str:
     return hashlib.sha256("|".join(f"{n}:{t}" for n, t in columns).encode()).hexdigest()
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tabweave.functions import classify
 from tabweave.functions.normalize import changed_share, normalization
-from tabweave.operators.filters import schema_of
+from tabweave.operators.emission import emitted
 from tabweave.operators.profile import Profile, collect_profiles, fit, foreign_key, profiles, score
 from tabweave.operators.realign import fit_shares, realign, summarize
-from tabweave.operators.sampling import content_hash, inferred_types, sample_columns, sample_rows, schema_hash, schema_summary
+from tabweave.operators.sampling import content_hash, discovered_columns, inferred_types, sample_columns, sample_rows, schema_hash, schema_summary
 from tabweave.plans.inputs import CELLS_SQL, cells, table
 
 #: A column for each kind of value, from line items: for Spark and the oracle alike.
@@ -178,12 +178,32 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_summary(table(spark, sf_dir, "events").select("event_id", "event_type"))
 
 
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of JSON rows that don't all have the same keys."""
+    from tabweave.session import scratch
+
+    folder = scratch(spark, "ragged")
+    df = cells(spark, sf_dir).select("k", "vendor", F.when(F.col("region") == "EU", F.col("qty")).alias("qty"), F.when(F.col("cost").contains("kg"), F.col("cost")).alias("cost"))
+    df.write.mode("overwrite").json(f"{folder}/t")  # nulls aren't written
+    return discovered_columns(spark.read.json(f"{folder}/t"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [("event_id", "integer"), ("event_type", "string")]
     n = table(spark, sf_dir, "events").count()
     return spark.createDataFrame([(schema_hash(columns), content_hash(columns, n, 5))], "schema_hash string, content_hash string")
 
 
+_KINDS = {"us_date": "us_date_mdy", "eu_date": "eu_date_dmy_slash", "dash_date": "us_date_mdy_dash", "dot_date": "eu_date_dmy", "named_date": "text_date_natural", "amount": "currency_prefixed", "share": "percentage_string", "thousands": "thousand_separated", "answer": "boolean_text", "iso_date": "canonical"}
+
+
+def read_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shape read in the way of its kind, as texts of dates, numbers and flags."""
+    df = shapes(spark, sf_dir)
+    out = [F.coalesce(F.col(f"e.{c}.date").cast("string"), F.round(F.col(f"e.{c}.number"), 6).cast("string"), F.col(f"e.{c}.flag").cast("string")).alias(c) for c in _KINDS]
+    return df.select("id", "code", F.explode(F.array(F.struct(*(emitted(F.col(c), k, ("n/a",)).alias(c) for c, k in _KINDS.items())))).alias("e")).select("id", "code", *out)
+
+
 _GRID = ["id", "status", "amount", "iso_date", "mail"]
 
 
@@ -201,7 +221,6 @@ def realigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shift_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = shapes(spark, sf_dir).select(*_GRID)
-    schema_of(good)
     return fit_shares(misplaced(spark, sf_dir), _GRID, collect_profiles(good))
 
 
@@ -228,6 +247,15 @@ SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN source ELSE 'first ' || regexp_
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'U+200B,U+00AD' END AS stripped, FALSE AS odd_blanks FROM documents""",
     ),
     "changed_share": (changed_rate, f"WITH {CELLS_SQL} SELECT region, coalesce(count(*) FILTER (vendor <> trim(vendor)) / nullif(count(vendor), 0), 0) AS share FROM c GROUP BY 1"),
+    "emit_values": (
+        read_by_kind,
+        """
+WITH l AS (SELECT *, l_partkey AS p, l_suppkey AS s FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS id, 'C' || p AS code, CAST(make_date(2021, 1 + p % 12, 1 + s % 12) AS VARCHAR) AS us_date, CAST(make_date(2021, 1 + s % 12, 1 + p % 28) AS VARCHAR) AS eu_date, CAST(TRY_CAST('2021-' || lpad(CAST(1 + p % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + s % 28 AS VARCHAR), 2, '0') AS DATE) AS VARCHAR) AS dash_date,
+    CAST(make_date(2021, 1 + s % 12, 1 + p % 28) AS VARCHAR) AS dot_date, CAST(make_date(2021, 8, 1 + p % 28) AS VARCHAR) AS named_date, CASE WHEN p % 20 <> 0 THEN CAST(p % 900 + 0.5 AS DOUBLE)::VARCHAR END AS amount, round((p % 100 + 0.5) / 100, 6)::DOUBLE::VARCHAR AS share,
+    CAST((1 + p % 9) * 1000 + 100 + s % 800 AS DOUBLE)::VARCHAR AS thousands, CASE WHEN p % 3 = 0 THEN 'true' ELSE 'false' END AS answer, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS iso_date
+FROM l""",
+    ),
     "sample_rows": (sampled, f"WITH {CELLS_SQL} SELECT k, vendor FROM c ORDER BY {_MD5.format('k')}, k LIMIT 100"),
     "sample_columns": (
         column_samples,
@@ -238,6 +266,10 @@ SELECT * FROM r WHERE place <= 10""",
     ),
     "infer_types": (types, "SELECT * FROM (VALUES ('id', 'integer'), ('measure', 'float'), ('iso_date', 'datetime'), ('us_date', 'datetime'), ('answer', 'string'), ('code', 'string'), ('empty', 'string')) t(\"column\", type)"),
     "schema_summary": (summary, "SELECT c AS \"column\", t AS type, n AS rows FROM (SELECT count(*) AS n FROM events), (VALUES ('event_id', 'integer'), ('event_type', 'string')) v(c, t)"),
+    "discover_columns": (
+        discovered,
+        f"WITH {CELLS_SQL}, n AS (SELECT count(*) AS k, count(vendor) AS vendor, count(*) FILTER (region = 'EU') AS qty, count(*) FILTER (cost LIKE '%kg%') AS cost FROM c) SELECT name AS \"column\", filled FROM n UNPIVOT (filled FOR name IN (k, vendor, qty, cost))",
+    ),
     "schema_hashes": (hashes, "SELECT sha256('event_id:integer|event_type:string') AS schema_hash, sha256('event_id:integer|event_type:string|rows:' || CAST(count(*) AS VARCHAR) || '|size:5') AS content_hash FROM events"),
     "realign_rows": (realigned, None),
     "realign_shift_shares": (shift_shares, None),
