@@ -14,8 +14,8 @@ import numpy as np
 
 #: Beyond Latin letters the tokenizer's lower case and Python's may differ; such texts keep their case.
 _BEYOND_LATIN = re.compile("[ɐ-\U0010ffff]")
-#: A word of letters alone, and punctuation behind it: the tokenizer takes both apart before any merge.
-_PARTS = re.compile(r"([a-zà-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Behind a word of letters the tokenizer takes a run of these apart before any merge.
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: So many words are remembered at most by default.
 MOST_WORDS = 800_000
 
@@ -43,7 +43,7 @@ class WordIds:
 
     def _encode(self, letters: list[str], others: list[str]) -> None:
         put, width = self.young, self.kind.itemsize
-        if letters:  # as one text, which is cheaper; each such word ends at the next word-end piece
+        if letters:  # as one text, which is cheaper: with as many word ends as words, each word has one
             ids = self._ids([" ".join(letters)])[0]
             ends = (np.flatnonzero(self.word_end[ids]) + 1) * width
             if len(ends) != len(letters):
@@ -60,25 +60,26 @@ class WordIds:
             self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
         whole: list[tuple[str, str, str]] = []
-        letters: dict[str, None] = {}
-        others: dict[str, None] = {}
-        for word in set(words):
-            if word in young:
-                continue
+        letters: set[str] = set()
+        others: set[str] = set()
+        for word in set(words).difference(young):
             if (known := old.get(word)) is not None:
                 young[word] = known
-            elif m := _PARTS.fullmatch(word):
-                core, tail = m.groups()
-                if tail:
-                    whole.append((word, core, tail))
-                for part, into in ((core, letters), (tail, others)):
-                    if part and part not in young:
-                        if (known := old.get(part)) is not None:
-                            young[part] = known
-                        else:
-                            into[part] = None
-            else:
-                others[word] = None
+                continue
+            core = word.rstrip(_PUNCTUATION)
+            if not core.isalpha():
+                others.add(word)
+                continue
+            if core not in young:
+                if (known := old.get(core)) is not None:
+                    young[core] = known
+                else:
+                    letters.add(core)
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                whole.append((word, core, tail))
+                if tail not in young:
+                    others.add(tail)
         self._encode(list(letters), list(others))
         for word, core, tail in whole:
             young[word] = young[core] + young[tail]
