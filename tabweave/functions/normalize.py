@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweave.functions.scalars import BLANKS
+
 # Code points that are removed, and blanks that become a plain one.
 INVISIBLE = (0x00AD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF)
 ODD_BLANKS = (0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -32,29 +34,40 @@ def composed(c: Column) -> Column:
     return F.when(plain, c).otherwise(nfkc(F.when(~plain, c)))
 
 
+def _cleaned(visible: Column) -> Column:
+    """Blanks made plain and single, outer blanks off, of a text without invisible characters."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(visible, _class(ODD_BLANKS), " "), r"[ \t]+", " "), F.lit(BLANKS))
+
+
 def normalized(c: Column) -> Column:
     """Composed, without invisible characters, blanks made plain and single, outer blanks off. Null gives the empty text."""
-    text = F.regexp_replace(composed(c), _class(INVISIBLE), "")
-    text = F.regexp_replace(F.regexp_replace(text, _class(ODD_BLANKS), " "), r"[ \t]+", " ")
-    return F.coalesce(F.regexp_replace(text, r"^[\s\x{0b}]+|[\s\x{0b}]+$", ""), F.lit(""))
+    return F.coalesce(_cleaned(F.regexp_replace(composed(c), _class(INVISIBLE), "")), F.lit(""))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalization(c: Column) -> Column:
     """A struct: normalized, changed, stripped (code points removed, in order), odd_blanks (whether any blank wasn't plain)."""
     stripped = F.transform(F.regexp_extract_all(c, F.lit(f"({_class(INVISIBLE)})"), F.lit(1)), lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(x)), 4, "0")))
-    clean = normalized(c)
-    odd = F.regexp_replace(composed(c), _class(INVISIBLE), "").rlike(_class(ODD_BLANKS))
-    return F.struct(
-        clean.alias("normalized"),
-        (c.isNotNull() & (clean != c)).alias("changed"),
-        F.coalesce(stripped, F.array().cast("array<string>")).alias("stripped"),
-        F.coalesce(odd, F.lit(False)).alias("odd_blanks"),
+    visible = F.regexp_replace(composed(c), _class(INVISIBLE), "")
+    pair = lambda v: F.struct(F.coalesce(_cleaned(v), F.lit("")).alias("clean"), F.coalesce(v.rlike(_class(ODD_BLANKS)), F.lit(False)).alias("odd"))
+    return _let(
+        _let(visible, pair),
+        lambda p: F.struct(p["clean"].alias("normalized"), (c.isNotNull() & (p["clean"] != c)).alias("changed"), F.coalesce(stripped, F.array().cast("array<string>")).alias("stripped"), p["odd"].alias("odd_blanks")),
     )
 
 
+def is_changed(c: Column) -> Column:
+    """Whether normalizing changes a text; printable ASCII without blanks is left alone."""
+    return F.when(c.isNotNull(), c.rlike(r"[^\x21-\x7e]") & (normalized(c) != c))
+
+
 def changed_share(c: Column) -> Column:
     """The share of texts that normalizing would change."""
-    return F.coalesce(F.try_divide(F.count_if(normalized(c) != c), F.count(c)), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.count_if(is_changed(c)), F.count(c)), F.lit(0.0))
 
 
 _STEPS = ((r"([a-z])([A-Z])", r"\1_\2"), (r"([A-Z]+)([A-Z][a-z])", r"\1_\2"), (r"[\s-]+", "_"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabweave.functions.classify import KINDS, PATTERNS, SLASH_DATE, TYPES, is_sentinel, patterns_of, shape_of, type_of
-from tabweave.functions.normalize import normalized
+from tabweave.functions.normalize import is_changed
 from tabweave.functions.scalars import text_of, trimmed
 from tabweave.operators.filters import column, schema_of
 
@@ -69,7 +69,7 @@ def profiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     raw = cells(df, columns)
     # outer blanks don't make a value another one, but they do count as invisible
     counted = raw.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
-    odd = counted.select("column", "n", trimmed(F.col("cell")).alias("value"), F.coalesce(normalized(F.col("cell")) != F.col("cell"), F.lit(False)).alias("odd"))
+    odd = counted.select("column", "n", trimmed(F.col("cell")).alias("value"), F.coalesce(is_changed(F.col("cell")), F.lit(False)).alias("odd"))
     values = odd.groupBy("column", "value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)).alias("n_odd"))
     v, n = F.col("value"), F.col("n")
     there = v.isNotNull() & (v != "")
