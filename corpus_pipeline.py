@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.llm.near_copies import keep_one_copy
 from tabweave.llm.packing import pack_documents
 from tabweave.llm.quality_rules import keep_good
 from tabweave.llm.queries import held_out, tokenizer_path
 from tabweave.llm.shared import new_folder, table
-from tabweave.llm.simhash import keep_one
 from tabweave.llm.toxicity import drop_toxic, fit_toxicity
 
 
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
-    return keep_one(docs)
+    """Keeps the document of the smallest id of each group of texts that share 0.8 of their five-word shingles."""
+    return keep_one_copy(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

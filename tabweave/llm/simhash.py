@@ -14,7 +14,7 @@ these, and at most 44 fingerprints can meet at one. This is as exact, and linear
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -129,12 +129,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, rad
     return found.join(written(named, "components"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates, fingerprint_of: Callable[[bytes | None], int] = fingerprint) -> DataFrame:
     """One row of docs (doc_id, text and any others) for each component, with all its columns: that of the smallest doc_id.
 
-    Of several rows with that id one stays. A component without any id keeps one of its rows.
+    Of several rows with that id one stays. A component without any id keeps one of its rows. `classes` gives what
+    near_duplicates gives, `fingerprint_of` the fp that a text has there.
     """
-    found = written(near_duplicates(docs), "classes")
+    found = written(classes(docs), "classes")
     chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), "n")
     own = F.col("doc_id").cast("long") == F.col("kept_id")
     out = docs.join(chosen.where("n = 1").select("kept_id"), own, "left_semi")
@@ -143,17 +144,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if found.where("component_id IS NULL").limit(1).count():
         nameless = found.where("component_id IS NULL").select("fp", "root").distinct()
         rows = docs.where("doc_id IS NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        keyed = rows.select("row", "text").join(_by_text(rows).join(nameless, "fp"), "text").dropDuplicates(["root"])
+        keyed = rows.select("row", "text").join(_by_text(rows, fingerprint_of).join(nameless, "fp"), "text").dropDuplicates(["root"])
         out = out.union(keyed.select("row.*"))
     return out
 
 
-def _by_text(rows: DataFrame) -> DataFrame:
+def _by_text(rows: DataFrame, fingerprint_of: Callable[[bytes | None], int]) -> DataFrame:
     """Each distinct text of rows with its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            found = [fingerprint_of(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["text", "fp"])
 
     return rows.select("text").distinct().mapInArrow(run, "text string, fp long")
