@@ -137,9 +137,44 @@ def json_shape(text: str) -> str:
     return next((w for w in WRAPPERS if w in found), "object")
 
 
+def another_follows(spark: SparkSession, path: str, size: int = 1 << 20) -> bool:
+    """An object comes after a file's first one, however long that is; no more than `size` bytes are held."""
+    import re
+
+    fs, where = _path(spark, path)
+    stream, depth, quoted, held = fs.open(where), 0, False, b""
+    try:
+        while chunk := bytes(stream.readNBytes(size)):
+            chunk, held = held + chunk, b""
+            if (len(chunk) - len(chunk.rstrip(b"\\"))) % 2:  # an escape goes on in the next chunk
+                chunk, held = chunk[:-1], chunk[-1:]
+            if quoted is None:  # the first one has ended
+                if left := chunk.lstrip():
+                    return left[:1] == b"{"
+                continue
+            for m in re.finditer(rb'\\.|["{}\[\]]', chunk, re.DOTALL):
+                if m[0] == b'"':
+                    quoted = not quoted
+                elif not quoted and m[0][:1] != b"\\":
+                    depth += 1 if m[0] in b"{[" else -1
+                    if not depth:
+                        if left := chunk[m.end() :].lstrip():
+                            return left[:1] == b"{"
+                        quoted = None
+                        break
+        return False
+    finally:
+        stream.close()
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a JSON file: of its root array, of an array under a known key, of its lines, or one for an object; a scalar has none."""
-    shape = json_shape(head(spark, path))
+    """The rows of a JSON file: of its root array, of an array under a known key, of its lines, or one for an object; a scalar has none.
+
+    A .jsonl file is read by lines without a look at it.
+    """
+    shape = "lines" if extension(path) == "jsonl" else json_shape(head(spark, path))
+    if shape not in ("array", "lines", "scalar") and another_follows(spark, path):
+        shape = "lines"
     if shape == "scalar":
         return spark.createDataFrame([], "value string")
     df = spark.read.option("multiLine", shape != "lines").json(path)
