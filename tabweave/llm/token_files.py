@@ -97,11 +97,11 @@ class TokenFile:
         return doc_id, start, np.frombuffer(self.file.read_at((end - start) * self.width, start * self.width), self.kind)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        ends = self.ends.values().astype(np.int64).tolist()
-        doc_ids = [None] * self.nulls + (self.ids_of.values().astype(np.int64) + self.first).tolist()
+        """All documents in order, each found by select; no more of the sequences than their coded bytes is held."""
         start = 0
         self.file.seek(0)
-        for doc_id, end in zip(doc_ids, ends, strict=True):
+        for i in range(self.n):
+            end, doc_id = self.ends.select(i), None if i < self.nulls else self.first + self.ids_of.select(i - self.nulls)
             yield doc_id, start, np.frombuffer(self.file.read((end - start) * self.width), self.kind)
             start = end
 
