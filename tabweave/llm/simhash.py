@@ -136,15 +136,17 @@ def keep_one(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_d
     near_duplicates gives, `fingerprint_of` the fp that a text has there.
     """
     found = written(classes(docs), "classes")
-    chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), "n")
-    own = F.col("doc_id").cast("long") == F.col("kept_id")
-    out = docs.join(chosen.where("n = 1").select("kept_id"), own, "left_semi")
-    if chosen.where("n > 1").limit(1).count():
-        out = out.union(docs.join(chosen.where("n > 1").select("kept_id"), own, "left_semi").dropDuplicates(["doc_id"]))
-    if found.where("component_id IS NULL").limit(1).count():
-        nameless = found.where("component_id IS NULL").select("fp", "root").distinct()
-        rows = docs.where("doc_id IS NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        keyed = rows.select("row", "text").join(_by_text(rows, fingerprint_of).join(nameless, "fp"), "text").dropDuplicates(["root"])
+    chosen = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "fp", "root")
+    several = written(found.groupBy(F.col("doc_id").alias("kept_id")).count().where("count > 1 OR kept_id IS NULL").select("kept_id"), "repeated-ids")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    single = chosen.join(several, "kept_id", "left_anti").where("kept_id IS NOT NULL").select("kept_id")
+    out = docs.join(single, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    if several.limit(1).count():
+        # an id doesn't tell these rows apart, so they are chosen by id and text
+        again = chosen.join(several, chosen.kept_id.eqNullSafe(several.kept_id), "left_semi").distinct()
+        rows = docs.join(several, own, "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        keyed = rows.join(_by_text(rows, fingerprint_of), "text").withColumnRenamed("fp", "own_fp")
+        keyed = keyed.join(again, own & (F.col("own_fp") == F.col("fp"))).dropDuplicates(["root"])
         out = out.union(keyed.select("row.*"))
     return out
 
