@@ -7,6 +7,8 @@ import re
 
 _TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>""")
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: An element's own slash at its end; that of an unquoted value belongs to the value.
+_CLOSED = re.compile(r"""(?<!=)(?<!=\s)(?:^|[\s"'])[^\s"'=]*/$""")
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 _HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea"))
 _BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table title tr ul".split())
@@ -16,7 +18,7 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
     """Text (a line for each block, blanks collapsed, empty lines left out), title, and links in order.
 
     Comments, scripts, styles and the like are left out to their end tag, or to the end of the page where that
-    is missing. A `<` that opens no tag is text.
+    is missing; an svg that closes itself hides nothing. A `<` that opens no tag is text.
     """
     out: list[str] = []
     title: list[str] = []
@@ -30,7 +32,7 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
             at = len(page) if end < 0 else end + 3
             continue
         name = (m[2] or "").lower()
-        if not m[1] and name in _HIDDEN:
+        if not m[1] and name in _HIDDEN and not (name == "svg" and _CLOSED.search(m[3])):
             end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
         elif name == "title":
