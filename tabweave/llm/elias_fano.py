@@ -6,6 +6,8 @@ import numpy as np
 
 #: Every so many ones of the upper half have their place sampled.
 SAMPLE = 512
+#: So many values are spread into bits at a time, eight or a multiple of it.
+SPREAD = 1 << 14
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -30,7 +32,8 @@ class EliasFano:
         top = int(values[-1])
         low_bits = max(0, ((top + 1) // n).bit_length() - 1)
         shifts = np.arange(low_bits, dtype=np.uint64)
-        low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        # a multiple of eight values at a time makes whole bytes
+        low = np.concatenate([np.packbits(((values[at : at + SPREAD, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for at in range(0, n, SPREAD)])
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(places[-1]) + 1, np.uint8)
         bits[places] = 1

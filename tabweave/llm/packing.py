@@ -1,8 +1,8 @@
 """Packing documents into sequences, in order, by dynamic programming over cut places.
 
 A stretch of documents is one run of ids. It may be cut where a document ends (free),
-where a sentence or line ends (a small penalty), and in stretches without either at fixed
-distances (a larger penalty). The cheapest cuts under padding plus penalties plus a cost
+where a sentence or line ends (a small penalty), and, only in stretches longer than a sequence
+that hold neither, at fixed distances (a larger penalty). The cheapest cuts under padding plus penalties plus a cost
 for each sequence follow from
 
     best[j] = penalty[j] + cost + min over i of (best[i] + padding(place[j] - place[i]))
@@ -31,7 +31,7 @@ from .word_ids import word_ids
 class PackingCosts:
     """In tokens of padding: a cut at a sentence's end, elsewhere in a document, and one more sequence.
 
-    every: distance of the places for cuts in a stretch without a boundary; unpadded: shorter lengths that need no padding.
+    every: distance of the places for cuts in a stretch without a boundary that is longer than a sequence; unpadded: shorter lengths that need no padding.
     """
 
     sentence: int = 8
@@ -41,10 +41,10 @@ class PackingCosts:
     unpadded: tuple[int, ...] = (256, 512, 1024, 2048)
 
 
-def with_hard_places(places: np.ndarray, penalties: np.ndarray, costs: PackingCosts) -> tuple[np.ndarray, np.ndarray]:
-    """Places for cuts are added where two boundaries lie further apart than costs.every."""
+def with_hard_places(places: np.ndarray, penalties: np.ndarray, width: int, costs: PackingCosts) -> tuple[np.ndarray, np.ndarray]:
+    """Places for cuts are added, every costs.every ids, where two boundaries lie further apart than width."""
     gaps = np.diff(places, prepend=0)
-    wide = np.flatnonzero(gaps > costs.every)
+    wide = np.flatnonzero(gaps > width)
     if not len(wide):
         return places, penalties
     more = np.concatenate([np.arange(places[i] - gaps[i] + costs.every, places[i], costs.every) for i in wide.tolist()])
@@ -122,7 +122,7 @@ class _Run:
             at += len(ids) - gone
             places += [inner, [at]]
             penalties += [np.full(len(inner), costs.sentence), [0]]
-        where, penalty = with_hard_places(np.concatenate(places).astype(np.int64), np.concatenate(penalties), costs)
+        where, penalty = with_hard_places(np.concatenate(places).astype(np.int64), np.concatenate(penalties), self.width, costs)
         cuts, _ = best_cuts(where, penalty, self.width, costs)
         if not last:
             cuts = [c for c in cuts if c <= at - 4 * self.width]

@@ -1,38 +1,21 @@
-"""Helpers the operators of this folder share: the shared folder, bounded Arrow batches, ASCII case."""
+"""Helpers the operators of this folder share: tables and folders in the shared place, bounded Arrow batches, ASCII case."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.session import scratch
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get() if made.isDefined() else None
-    if not base:  # a local session, as in tests
-        base = "file://" + tempfile.mkdtemp(prefix="tabweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") if "://" in base or base.startswith("file:") else "file://" + base.rstrip("/")
+#: Bytes of rows that cross to Python in one Arrow batch; a longer row makes a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder that is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/tabweave-{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path
+    return scratch(spark, f"tabweave-{name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,11 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts can be long, so at most so many rows cross to Python in one Arrow batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Texts can be long, so Arrow batches are bounded by bytes. Spark reads this setting of the session when a plan
+    starts to run, so it stays lowered; batches of rows that are short keep the session's bound on rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= size:
+        spark.conf.set(key, size)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from .word_ids import word_ids
 MAGIC = b"TWIDS\x00\x00\x01"
 #: width of an id; documents; documents without an id; first document id; for both sequences: values, low bits, bytes of its three sections
 _FOOTER = struct.Struct("<qqqq" + 2 * "qqqqq" + "8s")
-#: A file takes no further document once it has so many ids.
-FILE_IDS = 1 << 24
+#: A file takes no further document once it has so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
 
 
 def _opened(uri: str, mode: str):
@@ -44,7 +45,7 @@ class TokenFileWriter:
 
     def __init__(self, uri: str, width: int) -> None:
         self.uri, self.width, self.out = uri, width, _opened(uri, "w")
-        self.ends, self.doc_ids, self.nulls, self.n_ids = [], [], 0, 0
+        self.ends, self.doc_ids, self.nulls, self.n_ids = array("q"), array("q"), 0, 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.out.write(ids)
@@ -145,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if file is not None and file.n_ids >= file_ids:
+                if file is not None and (file.n_ids >= file_ids or len(file.ends) >= FILE_DOCS):
                     finish()
                     file, roll = None, roll + 1
                 if file is None:

@@ -3,6 +3,10 @@
 The tokenizer's rule never joins characters over a blank, tab, line feed or
 carriage return, so a text's ids are its words' ids in a row. Words repeat far
 more often than texts do; only a word not met before goes through the merges.
+
+A text is lower-cased before it is split, which lets more words repeat, only if the tokenizer would make
+the same of it: with Latin letters alone (but for the dotted capital I, whose small form is two characters)
+and without the beginning of a special token, which the tokenizer looks for in the text as it stands.
 """
 
 from __future__ import annotations
@@ -12,37 +16,47 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Beyond Latin letters the tokenizer's lower case and Python's may differ; such texts keep their case.
-_BEYOND_LATIN = re.compile("[ɐ-\U0010ffff]")
+_NOT_FOLDED = re.compile("[İɐ-\U0010ffff]")
+#: How the tokenizer's special tokens begin.
+_SPECIAL = "<|"
 #: Behind a word of letters the tokenizer takes a run of these apart before any merge.
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-#: So many words are remembered at most by default.
-MOST_WORDS = 800_000
+#: Letters up to here (Latin, Greek, Cyrillic) are letters for the tokenizer and for Python alike.
+_SURE = "԰"
+#: So many words and bytes are remembered at most by default.
+MOST_WORDS, MOST_BYTES = 800_000, 96 << 20
+#: What an entry takes beside its characters and ids.
+_ENTRY = 160
 
 
 class WordIds:
-    """Encodes words with a tokenizers file and remembers up to `most` of them.
+    """Encodes words with a tokenizers file and remembers up to `most` of them, in about `most_bytes` of memory.
 
     Two generations are kept: when the young one is full it becomes the old one,
-    and words met again move over, so memory is bounded whatever the corpus.
+    and words met again move over. Beyond the bound only the words of one text are held.
     """
 
-    def __init__(self, path: str, most: int = MOST_WORDS) -> None:
+    def __init__(self, path: str, most: int = MOST_WORDS, most_bytes: int = MOST_BYTES) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), max(1, most // 2)
+        self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), max(1, most // 2), most_bytes // 2
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.word_end[i] = piece.endswith("</w>")
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young ones
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _put(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += _ENTRY + len(word) * (1 if word.isascii() else 4) + len(ids)
+
     def _encode(self, letters: list[str], others: list[str]) -> None:
-        put, width = self.young, self.kind.itemsize
+        width = self.kind.itemsize
         if letters:  # as one text, which is cheaper: with as many word ends as words, each word has one
             ids = self._ids([" ".join(letters)])[0]
             ends = (np.flatnonzero(self.word_end[ids]) + 1) * width
@@ -51,28 +65,29 @@ class WordIds:
             else:
                 flat, start = ids.tobytes(), 0
                 for word, end in zip(letters, ends.tolist(), strict=True):
-                    put[word], start = flat[start:end], end
-        if others:
-            put.update(zip(others, (x.tobytes() for x in self._ids(others)), strict=True))
+                    self._put(word, flat[start:end])
+                    start = end
+        for word, ids in zip(others, self._ids(others) if others else (), strict=True):
+            self._put(word, ids.tobytes())
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {"": b""}
+        if len(self.young) > self.most or self.held > self.most_bytes:
+            self.old, self.young, self.held = self.young, {"": b""}, 0
         young, old = self.young, self.old
         whole: list[tuple[str, str, str]] = []
         letters: set[str] = set()
         others: set[str] = set()
         for word in set(words).difference(young):
             if (known := old.get(word)) is not None:
-                young[word] = known
+                self._put(word, known)
                 continue
             core = word.rstrip(_PUNCTUATION)
-            if not core.isalpha():
+            if not core.isalpha() or core[-1] >= _SURE or core[-1] == "İ":
                 others.add(word)
                 continue
             if core not in young:
                 if (known := old.get(core)) is not None:
-                    young[core] = known
+                    self._put(core, known)
                 else:
                     letters.add(core)
             if len(core) < len(word):
@@ -82,11 +97,11 @@ class WordIds:
                     others.add(tail)
         self._encode(list(letters), list(others))
         for word, core, tail in whole:
-            young[word] = young[core] + young[tail]
+            self._put(word, young[core] + young[tail])
 
     def _folded(self, text: str | None) -> str:
         text = text or ""
-        return text if _BEYOND_LATIN.search(text) else text.lower()
+        return text if _SPECIAL in text or _NOT_FOLDED.search(text) else text.lower()
 
     def _joined(self, line: str) -> bytes:
         words = line.split(" ")

@@ -39,6 +39,23 @@ def test_word_ids_are_the_tokenizers(tokenizer, most):
         assert ids.tolist() == want and (ends.tolist() == sorted(set(ends.tolist()))) and (not want or ends[-1] == len(want))
 
 
+def test_word_ids_of_odd_letters_and_special_tokens(tokenizer):
+    rng = random.Random(5)
+    atoms = ["\u0130", "\u0149", "\u01f0", "\u201c", "\u201d", "\u2019", "\u2014", "\u015e\u0130RKET\u0130", "abc", "ABC", "don", "'s", "'S", *".,!?", "<|EndOfText|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "\n", *"    ", "\t", "\r", "\u0307", "\u0301", "\u00c9", "\u1e9e", "\u03a3", "\u042f", "\u65e5", "\ufb01", "\u212a", "\u212b", "1", "\xa0", "\x85", "\u02b0", "\u01c5", "\u1c80", "\uac00", "\u1100", "\u1161", "\U0001f600", "\U00010400", "\u0345"]
+    made = ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    want = [x.ids for x in tokenizer.encode_batch_fast(made, add_special_tokens=False)]
+    for store in (WordIds(PATH), WordIds(PATH, 40), WordIds(PATH, 10**6, 20_000)):
+        for text, ids in zip(made, want, strict=True):
+            assert np.frombuffer(store.ids(text), store.kind).tolist() == ids == store.bounded(text)[0].tolist(), text
+        assert store.most_bytes > 10_000 or store.held < 20_000
+
+
+def test_cuts_keep_to_sentences_where_they_can():
+    costs = PackingCosts()
+    places, penalties = with_hard_places(np.array([700, 4700, 5000, 10_000]), np.array([8, 8, 0, 0]), 4096, costs)
+    assert places.tolist() == [700, 4700, 5000, *range(5512, 10_000, 512), 10_000] and penalties.tolist() == [8, 8, 0, *[64] * 9, 0]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 511, 512, 513, 2000):
@@ -82,7 +99,7 @@ def test_best_cuts_cost_least():
         width = rng.choice([8, 16, 32])
         costs = PackingCosts(rng.randint(0, 3), rng.randint(2, 6), rng.randint(0, 4), rng.randint(2, width), (2, 4, 8))
         places = np.cumsum([rng.randint(1, 2 * width) for _ in range(rng.randint(1, 30))])
-        places, penalties = with_hard_places(places, np.array([rng.choice([0, costs.sentence]) for _ in places]), costs)
+        places, penalties = with_hard_places(places, np.array([rng.choice([0, costs.sentence]) for _ in places]), width, costs)
         p, extra = [0, *places.tolist()], [0, *penalties.tolist()]
         padding = lambda n: 0 if n in costs.unpadded else width - n
         best = [0]
