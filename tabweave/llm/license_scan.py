@@ -1,52 +1,80 @@
 """Licence scans: fixed phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A template is found in a block if the block holds at least `threshold` of the template's
-distinct words. The templates' words are ordered by how many documents hold them, rarest
-first. A template of n words that needs an overlap of o must share one of its n - o + 1
-rarest words with a block (prefix filter); the block must hold o of the templates' words
-(length filter); and from where the shared word stands in both orders, enough words must
-be left on both sides (positional filter). What is left is verified. No pair is missed.
-
-Every step is a DataFrame operation. The templates are a parameter, so their words, the
-frequencies of these words and the prefix index are as small as the templates.
+Tokens are pairs of consecutive words. A template is found in a block if the block holds at least `threshold`
+of the template's distinct tokens, among them those of the phrases it can't be without. Tokens are ordered by how
+many documents hold them, rarest first. A template of n tokens that needs an overlap of o must share one of its
+n - o + 1 rarest tokens with a block, and that token is among the block's m - o + 1 rarest of m (prefix filters);
+the block must hold o of the templates' tokens (length filter); and from where the shared token stands in both
+orders, enough tokens must be left behind it (positional filter). What is left is verified. No pair is missed.
+
+Every step is a DataFrame operation. A text is split into words once: what is kept of it are the phrases' counts
+and the places of words that begin a template's token, a few hundredths of the text, in a written table. The
+templates are a parameter, so their tokens, the frequencies of these and the prefix index are as small as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES, Template
+from .shared import written
+
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and the label of each.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Labels and statements by which a licence is usually granted.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "mit": (
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    ),
-    "apache-2": (
-        "licensed under the apache license version 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    ),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license",),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "gpl-3": (
-        "this work is licensed under the gnu general public license version 3",
-        "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3",
-    ),
-}
-THRESHOLD = 0.9
+THRESHOLD = 0.85
+#: Templates of up to so many words are looked for in short blocks, longer ones in long blocks.
+SHORT = 32
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text without nulls, small. Only words of ASCII letters are ever compared, so any lower case will do."""
-    return F.filter(F.split(F.lower(text), GAPS), lambda w: w != "")
+    """The words of a text without nulls, with A to Z in small letters.
+
+    Spark's lower case reaches beyond ASCII, which only matters where a letter becomes an ASCII one; the Kelvin sign is
+    the only one that does alone, so another letter takes its place.
+    """
+    return F.filter(F.split(F.lower(F.replace(text, F.lit("K"), F.lit("κ"))), GAPS), lambda w: w != "")
+
+
+def plain_words(text: str) -> list[str]:
+    """The same for a template."""
+    return [w for w in re.split(GAPS, re.sub("[A-Z]+", lambda m: m[0].lower(), text)) if w]
+
+
+class Sought(NamedTuple):
+    """A template by its tokens; step: the words after which its blocks begin, half of a block."""
+
+    label: str
+    tokens: tuple[str, ...]
+    must: tuple[str, ...]
+    need: int
+    step: int
+
+
+def tokens_of(words: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+
+
+def sought(templates: Sequence[Template], threshold: float) -> list[Sought]:
+    """Templates need two words at least. The blocks of all short and those of all long ones are alike."""
+    sizes = [len(plain_words(t.text)) for t in templates]
+    if min(sizes, default=2) < 2:
+        raise ValueError("a template needs two words")
+    short, long = max((n for n in sizes if n <= SHORT), default=0), max(sizes, default=0)
+    out = []
+    for t, n in zip(templates, sizes, strict=True):
+        tokens = tokens_of(plain_words(t.text))
+        must = [x for p in t.must for x in tokens_of(plain_words(p))]
+        if set(must) - set(tokens):
+            raise ValueError(f"what {t.label} can't be without isn't in it")
+        out.append(Sought(t.label, tuple(tokens), tuple(must), math.ceil(threshold * len(tokens) - 1e-9), short if n <= SHORT else long))
+    return out
 
 
 def _spaced(words: Column) -> Column:
@@ -65,78 +93,65 @@ def _phrase(norm: Column, n_words: Column, phrase: str) -> tuple[Column, Column,
 
 def _inline(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
     """A small table of literals."""
-    lit = lambda v: "array(" + ", ".join(f"'{x}'" for x in v) + ")" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v)
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)} AS t({names})")
 
+    def lit(v: object) -> str:
+        if isinstance(v, (list, tuple)):
+            return f"array({', '.join(map(lit, v))})" if v else "cast(array() AS array<int>)"
+        return f"'{v}'" if isinstance(v, str) else str(v)
 
-def _frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
-    """How many documents hold each of the given words; the driver gets one row for a word."""
-    held = F.array_intersect(F.array(*map(F.lit, words)), F.col("words"))
-    rows = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    return {r.word: r.n for r in rows}
-
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)} AS t({names})")
 
-def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) to, for each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    n_base counts all places of the phrases, first_word and last_word are the smallest and the largest word at
-    which one starts (null without any). labels holds base_labels and those of templates found. score is 1 with a
-    phrase, else the largest containment that reaches the threshold, else 0. Null texts have no words; rows that
-    are repeated get the same result each; null ids are kept; other columns are not read.
-
-    Blocks are all runs of twice the longest template's words that start at a multiple of its length, so a
-    template that stands in one piece lies within a block wherever it starts.
-    """
-    spark = docs.sparkSession
+def _scanned(docs: DataFrame, phrases: Mapping[str, str], tokens: Sequence[str]) -> DataFrame:
+    """One row for each row of docs: row (a number of its own), doc_id, n_words, n_base, first_word, last_word, base_set, found (places and tokens)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = [F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", *keys, words_of(text).alias("words"))
-
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words_of(text))).alias("words"))  # generated, so computed once
     n_words = F.size("words").cast("long")
-    base = rows.select("doc_id", "k1", "k2", n_words.alias("n_words"), _spaced(F.col("words")).alias("norm"))
-    found = {p: _phrase(F.col("norm"), F.col("n_words"), p) for p in phrases}
+    begins = sorted({t.partition(" ")[0] for t in tokens})
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*begins), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", n_words.alias("n_words"), _spaced(F.col("words")).alias("norm"), F.transform(places, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)).alias("token"))).alias("pairs"))
+    hits = {p: _phrase(F.col("norm"), F.col("n_words"), p) for p in phrases}
     labels: dict[str, Column] = {}
     for p, label in phrases.items():
-        labels[label] = labels.get(label, F.lit(False)) | (found[p][0] > 0)
-    one = next(iter(found.values()))
-    base = base.select(
+        labels[label] = labels.get(label, F.lit(False)) | (hits[p][0] > 0)
+    none = F.lit(None).cast("long")
+    return rows.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        "k1",
-        "k2",
         "n_words",
-        sum((x[0] for x in found.values()), F.lit(0)).cast("long").alias("n_base"),
-        (F.least(*(x[1] for x in found.values())) if len(found) > 1 else one[1]).cast("long").alias("first_word"),
-        (F.greatest(*(x[2] for x in found.values())) if len(found) > 1 else one[2]).cast("long").alias("last_word"),
-        F.array_compact(F.array(*(F.when(labels[x], F.lit(x)) for x in sorted(labels)))).alias("base_set"),
+        sum((x[0] for x in hits.values()), F.lit(0)).cast("long").alias("n_base"),
+        F.least(none, none, *(x[1].cast("long") for x in hits.values())).alias("first_word"),
+        F.greatest(none, none, *(x[2].cast("long") for x in hits.values())).alias("last_word"),
+        F.array_compact(F.array(*(F.when(labels[x], F.lit(x)) for x in sorted(labels)))).cast("array<string>").alias("base_set"),
+        F.filter("pairs", lambda x: x["token"].isin(*tokens)).alias("found"),
     )
 
-    sets = [(label, list(dict.fromkeys(t.split()))) for label, ts in templates.items() for t in ts]
-    often = _frequencies(rows, sorted({w for _, ws in sets for w in ws}))
-    order = sorted({w for _, ws in sets for w in ws}, key=lambda w: (often.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    index, least = [], 10**9
-    for k, (label, ws) in enumerate(sets):
-        ws.sort(key=rank.__getitem__)
-        need = math.ceil(threshold * len(ws) - 1e-9)
-        least = min(least, need)
-        index += [(w, k, i, need, label, ws) for i, w in enumerate(ws[: len(ws) - need + 1])]
-    prefixes = _inline(spark, index, "word, template, i, need, label, ws")
-    step = max(len(t.split()) for ts in templates.values() for t in ts)
-
-    chunks = F.regexp_extract_all(F.concat(F.array_join("words", " "), F.lit(" ")), F.lit(f"(?:[^ ]+ ){{1,{step}}}"), F.lit(0))
-    chunks = rows.select("k1", "k2", chunks.alias("chunks"))
-    blocks = chunks.select("k1", "k2", F.posexplode(F.transform("chunks", lambda c, i: F.concat(c, F.coalesce(F.get("chunks", i + 1), F.lit(""))))).alias("block", "body"))
-    blocks = blocks.select("k1", "k2", "block", F.array_intersect(F.array(*map(F.lit, order)), F.split("body", " ")).alias("held")).where(F.size("held") >= least)
-    met = blocks.select("*", F.posexplode("held").alias("j", "word")).join(F.broadcast(prefixes), "word")  # as small as the templates
-    size, total = F.size("held"), F.size("ws")
-    met = met.where((size >= F.col("need")) & (F.least("i", "j") + 1 + F.least(total - 1 - F.col("i"), size - 1 - F.col("j")) >= F.col("need")))
-    overlap = F.size(F.array_intersect("ws", "held"))
-    sure = met.select("k1", "k2", "label", overlap.alias("overlap"), "need", (overlap / total).alias("share")).where("overlap >= need")
-    sure = sure.groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
 
+def _prefixes(templates: Sequence[Sought], rank: Mapping[str, int]) -> Iterator[tuple]:
+    """The prefix index: token, place in the template's order, template's label, need, step, ranks, ranks it can't be without."""
+    for t in templates:
+        ranks = sorted(rank[x] for x in t.tokens)
+        for i, r in enumerate(ranks[: len(ranks) - t.need + 1]):
+            yield r, i, t.label, t.need, t.step, ranks, [rank[x] for x in t.must]
+
+
+def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """docs (doc_id, text) to, for each row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    n_base counts all places of the phrases, first_word and last_word are the smallest and the largest word at
+    which one starts (null without any). labels holds base_labels and those of templates found. score is 1 with a
+    phrase, else the largest containment that reaches the threshold, else 0. Null texts have no words; rows that
+    are repeated get the same result each; null ids are kept; other columns are not read; an empty table gives no rows.
+
+    Blocks are all runs of twice a step's words that start at a multiple of the step, which is the longest of the short
+    templates or of the long ones. So a template that stands in one piece lies within a block wherever it starts.
+    """
+    spark = docs.sparkSession
+    wanted = sought(templates, threshold)
+    vocabulary = sorted({x for t in wanted for x in t.tokens})
+    rows = written(_scanned(docs, phrases, vocabulary), "license-tokens")
     none = F.array().cast("array<string>")
-    return base.join(sure, ["k1", "k2"], "left").select(
+    result = (
         "doc_id",
         "n_words",
         "n_base",
@@ -146,3 +161,30 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
         F.array_join(F.array_sort(F.array_union("base_set", F.coalesce("more", none))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
+    if not wanted:
+        return rows.select("*", none.alias("more"), F.lit(None).cast("double").alias("share")).select(*result)
+    # the driver gets one row for each of the templates' tokens
+    often = {r.token: r.n for r in rows.select(F.explode(F.array_distinct("found.token")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    order = sorted(vocabulary, key=lambda x: (often.get(x, 0), x))
+    rank = {x: i for i, x in enumerate(order)}
+    ranks = _inline(spark, list(rank.items()), "token, rank")
+    prefixes = _inline(spark, list(_prefixes(wanted, rank)), "rank, i, label, need, step, ranks, must")
+    least = {step: min(t.need for t in wanted if t.step == step) for step in {t.step for t in wanted}}
+
+    places = rows.where(F.size("found") >= min(least.values())).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.at", "f.token")
+    places = places.join(F.broadcast(ranks), "token")  # as small as the templates, like the prefixes below
+    blocks = None
+    for step, need in sorted(least.items()):
+        k = F.floor(F.col("at") / step)
+        # a pair of words lies in the block that begins before it, and in the one before that unless its second word lies beyond
+        of = F.when(F.col("at") % step == step - 1, F.array(k)).otherwise(F.array(k, k - 1))
+        own = places.select("row", F.lit(step).alias("step"), F.explode(of).alias("block"), "rank").where("block >= 0")
+        own = own.groupBy("row", "step", "block").agg(F.sort_array(F.collect_set("rank")).alias("held")).where(F.size("held") >= need)
+        blocks = own if blocks is None else blocks.union(own)
+    size, total = F.size("held"), F.size("ranks")
+    met = blocks.select("*", F.posexplode("held").alias("j", "rank")).join(F.broadcast(prefixes), ["rank", "step"])
+    met = met.where((F.col("j") <= size - F.col("need")) & (F.least(total - F.col("i"), size - F.col("j")) + F.least("i", "j") >= F.col("need")))
+    overlap = F.size(F.array_intersect("ranks", "held"))
+    sure = met.where((overlap >= F.col("need")) & (F.size(F.array_except("must", "held")) == 0)).select("row", "label", (overlap / total).alias("share"))
+    sure = sure.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    return rows.join(sure, "row", "left").select(*result)

@@ -6,34 +6,59 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tabweave.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
+from tabweave.llm.license_scan import PHRASES, SHORT, THRESHOLD, scan_licenses
+from tabweave.llm.license_texts import TEMPLATES, Template
 from tabweave.llm.quality_rules import Rule, keep_good, quality
 
 from .helpers import documents, nothing, texts
 
 GPL = "This work is licensed under the GNU General Public License, version 3."
-LICENSED = ["Under the MIT-license, under the mit license under the MIT license! CC BY-NC cc by nc", "Apache License, Version 2.0 x", "x " * 500 + GPL + " y" * 99, "y " * 40 + GPL, "é Released under the MIT License.", "released under some other license"]
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+MIT = TEMPLATES[0].text
+BODY = MIT.replace("files", "papers").replace("sublicense, ", "").replace("KIND", "sort")
+LICENSED = [
+    "Under the MIT-license, under the mit license under the MIT license! CC BY-NC cc by nc",
+    "Apache License, Version 2.0 x",
+    "x " * 500 + GPL + " y" * 99,
+    "y " * 40 + GPL,
+    "é Released under the MIT License.",
+    "released under some other license",
+    "under the mit \u212a license, licensed under the GNU General Public \u212aicense, version 3",
+    CC.format(""),
+    CC.format("-NonCommercial"),
+    CC.format("-ShareAlike"),
+    CC.format("-NonCommercial-ShareAlike"),
+    "z " * 77 + BODY + " z" * 400,
+    "Copyright me.\n" + MIT[: len(MIT) // 2],
+]
 
 
-def scanned(doc_id, text):
+def plain(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def pairs_of(w):
+    return set(zip(w, w[1:]))
+
+
+def scanned(doc_id, text):
+    w = plain(text)
     at, base = [], set()
     for phrase, label in PHRASES.items():
         p = phrase.split()
         found = [i for i in range(len(w)) if w[i : i + len(p)] == p]
         at += found
         base |= {label} if found else set()
-    step = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
+    sizes = [len(plain(t.text)) for t in TEMPLATES]
     more, score = set(base), 0.0
-    for i in range(0, len(w), step):
-        block = set(w[i : i + 2 * step])
-        for label, ts in TEMPLATES.items():
-            for t in ts:
-                words = set(t.split())
-                if len(words & block) >= math.ceil(THRESHOLD * len(words) - 1e-9):
-                    more.add(label)
-                    score = max(score, len(words & block) / len(words))
+    for t, n in zip(TEMPLATES, sizes):
+        step, tokens = max(x for x in sizes if (x <= SHORT) == (n <= SHORT)), pairs_of(plain(t.text))
+        for i in range(0, len(w), step):
+            held = pairs_of(w[i : i + 2 * step])
+            if len(held & tokens) >= math.ceil(THRESHOLD * len(tokens) - 1e-9) and all(pairs_of(plain(m)) <= held for m in t.must):
+                more.add(t.label)
+                score = max(score, len(held & tokens) / len(tokens))
     return doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(more)), 1.0 if at else score
 
 
@@ -41,12 +66,26 @@ def test_license_scan(spark):
     docs = documents(spark, list(enumerate([*texts(), *LICENSED])))
     got = sorted(map(tuple, scan_licenses(docs).collect()), key=str)
     assert got == sorted((scanned(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=str)
-    assert {"gpl-3", "mit"} <= {x for r in got for x in r[6].split(",")}
     assert scan_licenses(nothing(spark)).count() == 0
     plan = scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_related_licences_are_told_apart(spark):
+    want = {CC.format(""): "cc-by", CC.format("-NonCommercial"): "cc-by-nc", CC.format("-ShareAlike"): "cc-by-sa", CC.format("-NonCommercial-ShareAlike"): "", GPL.replace("3", "2"): "", GPL: "gpl-3", "a " * 50 + BODY: "mit", "Released under the MIT Licence": ""}
+    docs = documents(spark, list(enumerate(want)), extra=False)
+    assert {r.doc_id: r.labels for r in scan_licenses(docs).collect()} == dict(enumerate(want.values()))
+
+
+def test_every_whole_text_is_found_wherever_it_starts(spark):
+    made = [(i, "x " * (37 * i + k) + t.text + " y" * (11 * i)) for i, t in enumerate(TEMPLATES) for k in range(3)]
+    got = {(r.doc_id, x) for r in scan_licenses(documents(spark, made, extra=False)).collect() for x in r.labels.split(",")}
+    assert {(i, t.label) for i, t in enumerate(TEMPLATES)} <= got
+    own = scan_licenses(documents(spark, [(1, "one two three four five"), (2, "one three two")], extra=False), {}, [Template("own", "two three four", ("three four",))])
+    assert sorted((r.doc_id, r.labels, r.score) for r in own.collect()) == [(1, "own", 1.0), (2, "", 0.0)]
+    assert [r.labels for r in scan_licenses(documents(spark, [(1, "one")], extra=False), {}, []).collect()] == [""]
+
+
 def counts(text):
     text = text or ""
     w = re.findall("[^\x20\x09-\x0d]+", text)
