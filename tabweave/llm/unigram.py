@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,12 @@ MARK = "▁"
 #: Types of pieces in the file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNKNOWN_PENALTY = 10.0
-#: Chunks of text remembered by a worker process at most.
-MOST_CHUNKS = 800_000
+#: The type of a model whose scores are log probabilities.
+UNIGRAM = 1
+#: Chunks of text, and bytes of them and their ids, remembered by a worker process at most.
+MOST_CHUNKS, MOST_BYTES = 800_000, 128 << 20
+#: What an entry takes beside its characters and ids.
+_ENTRY = 160
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -55,17 +60,25 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-def read_pieces(path: str) -> tuple[list[tuple[str, int]], bool]:
-    """The pieces of a model file with their types, and whether a blank is put before a text."""
-    pieces, prefix = [], True
+def read_model(path: str) -> tuple[list[tuple[str, int]], list[float] | None, bool]:
+    """The pieces of a model file with their types, their log scores if it is a unigram model, and whether a blank is put before a text.
+
+    A model that changes texts before it cuts them is refused, since that isn't carried out here.
+    """
+    pieces, scores, kind, normalizer = [], [], UNIGRAM, {}
     with open(path, "rb") as f:
         for field, value in _fields(f.read()):
             if field == 1:
                 piece = dict(_fields(value))
                 pieces.append((piece[1].decode(), piece.get(3, NORMAL)))
+                scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
+            elif field == 2:
+                kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
-                prefix = bool(dict(_fields(value)).get(3, 1))
-    return pieces, prefix
+                normalizer = dict(_fields(value))
+    if normalizer.get(2) or normalizer.get(4, 1):
+        raise ValueError(f"{path} asks for normalized texts")
+    return pieces, scores if kind == UNIGRAM else None, bool(normalizer.get(3, 1))
 
 
 def rank_scores(pieces: list[tuple[str, int]]) -> list[float]:
@@ -80,7 +93,7 @@ def rank_scores(pieces: list[tuple[str, int]]) -> list[float]:
 class Unigram:
     """A model of pieces (text and type by id) and log scores."""
 
-    def __init__(self, pieces: list[tuple[str, int]], scores: list[float] | None = None, prefix: bool = True, most: int = MOST_CHUNKS) -> None:
+    def __init__(self, pieces: list[tuple[str, int]], scores: list[float] | None = None, prefix: bool = True, most: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES) -> None:
         self.pieces, self.scores, self.prefix = pieces, scores or rank_scores(pieces), prefix
         self.trie = DoubleArray({p.encode(): i for i, (p, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED)})
         self.unknown = next((i for i, (_, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
@@ -93,9 +106,10 @@ class Unigram:
         plain = [p for p, kind in pieces if kind in (NORMAL, USER_DEFINED)]
         self.by_blank = not any(MARK in p.lstrip(MARK) for p in plain)
         self.by_line = not any("\n" in p for p in plain)
-        self.most = max(1, most // 2)
+        self.most, self.most_bytes = max(1, most // 2), most_bytes // 2
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young ones
 
     def viterbi(self, chunk: str) -> list[int]:
         """The pieces of greatest score in sum; of equal ones the longer last piece."""
@@ -151,13 +165,14 @@ class Unigram:
         try:
             return np.frombuffer(b"".join(map(self.young.__getitem__, found)), self.kind)
         except KeyError:
-            if len(self.young) > self.most:
-                self.old, self.young = self.young, {"": b""}
+            if len(self.young) > self.most or self.held > self.most_bytes:
+                self.old, self.young, self.held = self.young, {"": b""}, 0
             young, old = self.young, self.old
             for chunk in set(found):
                 if chunk not in young:
                     known = old.get(chunk)
-                    young[chunk] = np.array(self.viterbi(chunk), self.kind).tobytes() if known is None else known
+                    young[chunk] = ids = np.array(self.viterbi(chunk), self.kind).tobytes() if known is None else known
+                    self.held += _ENTRY + 4 * len(chunk) + len(ids)
             return np.frombuffer(b"".join(map(young.__getitem__, found)), self.kind)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -168,8 +183,7 @@ class Unigram:
 
 @lru_cache(maxsize=2)
 def unigram(path: str) -> Unigram:
-    pieces, prefix = read_pieces(path)
-    return Unigram(pieces, prefix=prefix)
+    return Unigram(*read_model(path))
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

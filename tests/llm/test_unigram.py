@@ -1,6 +1,7 @@
 """Unigram encoding against a plain Viterbi over all pieces, and decoding."""
 
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from tabweave.llm.double_array import DoubleArray
 from tabweave.llm.queries import tokenizer_path
-from tabweave.llm.unigram import BYTE, CONTROL, NORMAL, UNKNOWN, Unigram, encode_documents, read_pieces
+from tabweave.llm.unigram import BYTE, CONTROL, NORMAL, UNKNOWN, Unigram, encode_documents, read_model
 
 from .helpers import documents, nothing, texts
 
@@ -17,8 +18,9 @@ MODEL = tokenizer_path("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def model():
-    pieces, prefix = read_pieces(MODEL)
-    return Unigram(pieces, prefix=prefix)
+    pieces, scores, prefix = read_model(MODEL)
+    assert scores is None  # the file at hand has ranks
+    return Unigram(pieces, scores, prefix)
 
 
 def plain(model, text):
@@ -67,9 +69,29 @@ def test_without_byte_pieces_unknown_characters_are_one_piece():
     assert m.encode("ab ééa").tolist() == [4, 3, 4, 0, 2]
 
 
-def test_little_memory_gives_the_same(model):
-    small = Unigram(model.pieces, prefix=model.prefix, most=4)
+@pytest.mark.parametrize("bounds", [(4, 1 << 20), (10**6, 2000)])
+def test_little_memory_gives_the_same(model, bounds):
+    small = Unigram(model.pieces, None, model.prefix, *bounds)
     assert all((small.encode(t) == model.encode(t)).all() for t in texts() if t and len(t) < 3000)
+    small.encode(" ".join(f"{i}x" * 9 for i in range(3000)))
+    small.encode("one more")
+    assert len(small.young) < 9
+
+
+def message(*fields):
+    return b"".join(bytes([n << 3 | (2 if isinstance(v, bytes) else 5 if isinstance(v, float) else 0)]) + (bytes([len(v)]) + v if isinstance(v, bytes) else struct.pack("<f", v) if isinstance(v, float) else bytes([v])) for n, v in fields)
+
+
+def test_scores_of_a_unigram_file_are_used(tmp_path):
+    pieces = [message((1, b"<unk>"), (2, 0.0), (3, UNKNOWN)), message((1, b"a"), (2, -1.0)), message((1, b"aa"), (2, -2.5))]
+    made = lambda *normalizer: message(*((1, p) for p in pieces), (2, message((3, 1))), (3, message(*normalizer)))
+    (tmp_path / "m").write_bytes(made((3, 0), (4, 0)))
+    found, scores, prefix = read_model(str(tmp_path / "m"))
+    assert [p for p, _ in found] == ["<unk>", "a", "aa"] and scores == [0.0, -1.0, -2.5] and not prefix
+    assert Unigram(found, scores, prefix).encode("aaa").tolist() == [1, 1, 1]
+    (tmp_path / "m").write_bytes(made((2, b"x"), (4, 0)))
+    with pytest.raises(ValueError, match="normalized"):
+        read_model(str(tmp_path / "m"))
 
 
 def test_double_array():
