@@ -23,10 +23,11 @@ def op4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metadata and conversion records of every page, written as WARC files and read back."""
-    from .warc import read_derivatives, write_derivatives
+    """Every page as a response record in WARC files; their metadata and conversion records, in files of their own, read back."""
+    from .warc import page_responses, read_derivatives, read_responses, write_derivatives, write_responses
 
-    return read_derivatives(spark, write_derivatives(table(spark, sf_dir, "pages")))
+    responses = write_responses(page_responses(table(spark, sf_dir, "pages")))
+    return read_derivatives(spark, write_derivatives(read_responses(spark, responses)))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,25 +99,23 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    import math
+    from .license_scan import PHRASES, THRESHOLD, sought
+    from .license_texts import TEMPLATES
 
-    from .license_scan import PHRASES, TEMPLATES, THRESHOLD
-
-    lists = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    lists = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
     phrases = ", ".join(f"({lists(p.split())}, '{label}')" for p, label in PHRASES.items())
-    sets = [(label, sorted(set(t.split()))) for label, ts in TEMPLATES.items() for t in ts]
-    templates = ", ".join(f"('{label}', {lists(ws)}, {math.ceil(THRESHOLD * len(ws) - 1e-9)})" for label, ws in sets)
-    step = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
+    templates = ", ".join(f"('{t.label}', {lists(t.tokens)}, {lists(t.must)}, {t.need}, {t.step})" for t in sought(TEMPLATES, THRESHOLD))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p(phrase, label) AS (VALUES {phrases}),
-t(label, ws, need) AS (VALUES {templates}),
+t(label, tokens, must, need, step) AS (VALUES {templates}),
 hits AS (SELECT doc_id, label, i - 1 AS word FROM (SELECT doc_id, w, label, phrase, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p) WHERE w[i:i + len(phrase) - 1] = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY 1),
-b AS (SELECT doc_id, list_distinct(w[i:i + {2 * step - 1}]) AS held FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, {step})) AS i FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(held, ws)) AS n, need, len(ws) AS total FROM b, t),
-f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / total) AS share FROM m WHERE n >= need GROUP BY 1)
+pairs AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM d),
+b AS (SELECT doc_id, step, list_distinct(g[start + 1:start + 2 * step - 1]) AS held FROM (SELECT doc_id, step, g, unnest(range(0, n, step)) AS start FROM pairs, (SELECT DISTINCT step FROM t))),
+m AS (SELECT doc_id, label, need, len(list_intersect(held, must)) = len(list_distinct(must)) AS whole, len(list_intersect(held, tokens)) AS n, len(tokens) AS total FROM b JOIN t USING (step)),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / total) AS share FROM m WHERE n >= need AND whole GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(f.labels, [])))), ',') AS labels,
     CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score

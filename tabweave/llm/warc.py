@@ -1,8 +1,9 @@
-"""WARC derivatives: from responses to linked metadata and conversion records, in WARC 1.1 files.
+"""WARC derivatives: from response records to linked metadata and conversion records, in WARC files.
 
-Every response gets two records that refer to it: `metadata` (application/warc-fields: the
-source's status, headers, digests and length, the page's title and links) and `conversion`
-(its plain text). Record ids are derived from the source, so a job that runs again makes the
+`read_responses` takes WARC files as they come (plain or gzip, any version), `page_responses` makes responses of bare
+pages. Every response gets a `metadata` record (application/warc-fields: the source record's own header, the HTTP status
+and headers, digests and length, the page's title and links) and, if it holds text, a `conversion` record. Both refer to
+the response by the id that it has in its file. Their own ids follow from that one, so a job that runs again makes the
 same records. Files hold one gzip member for each record, so any record can be read alone.
 """
 
@@ -11,9 +12,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -26,17 +30,24 @@ from .token_files import _opened
 
 #: The date of records whose source has none, and the headers of a source that is a bare page.
 DATE = "1970-01-01T00:00:00Z"
-BARE_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-SOFTWARE = "tabweave"
+BARE_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: A response: its record's id, address and date, its record's header lines, and the HTTP message.
+RESPONSE = "record_id string, target_uri string, date string, headers string, block binary"
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_digest string, block string"
+#: A file takes no further record once it has so many bytes.
+FILE_BYTES = 1 << 30
+#: The header line by which a record tells the row of a table that it was made from.
+ROW_NUMBER = "WARC-Source-Row"
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(*source: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(source))}>"
+def own_id(kind: str, source: str) -> str:
+    """The id of the record of a kind that is derived from a source."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
 
 
 def _line(value: str) -> str:
@@ -44,130 +55,265 @@ def _line(value: str) -> str:
     return " ".join(value.split())
 
 
-def split_response(payload: str) -> tuple[str, str]:
-    """HTTP headers and body; a payload without a status line is a bare page."""
-    if payload.startswith("HTTP/"):
-        for gap in ("\r\n\r\n", "\n\n"):
-            head, found, body = payload.partition(gap)
-            if found:
-                return head.replace("\r\n", "\n").replace("\n", "\r\n") + "\r\n", body
-    return BARE_HEADERS, payload
-
-
-def derive(page_id: int | None, url: str | None, payload: str | None, date: str | None) -> list[tuple]:
-    """The metadata and the conversion record of a response, as rows of RECORD."""
-    uri, date = _line(url or ""), date or DATE
-    head, body = split_response(payload or "")
-    raw = body.encode("utf-8", "replace")
-    source = record_id("response", str(page_id), uri, digest(raw))
-    text, title, links = page_text(body)
-    headers = [h.partition(":") for h in head.split("\r\n")[1:] if ":" in h]
-    source_digest = digest(raw)
-    conversion = record_id("conversion", source)
-    fields = [("source-status", _line(head.split("\r\n", 1)[0])), *(("source-header", f"{_line(k)}: {_line(v)}") for k, _, v in headers)]
-    fields += [("source-payload-digest", source_digest), ("source-block-digest", digest(head.encode("utf-8", "replace") + b"\r\n" + raw)), ("source-length", str(len(raw)))]
-    fields += [("conversion-id", conversion), ("conversion-digest", digest(text.encode("utf-8", "replace")))]
-    fields += [("title", title)] if title else []
-    for link in links:
-        try:
-            fields.append(("outlink", _line(urljoin(uri, link))))
-        except ValueError:  # an address that can't be resolved stands as it is
-            fields.append(("outlink", _line(link)))
-    meta = "".join(f"{k}: {v}\r\n" for k, v in fields)
-    out = []
-    for kind, own, block, content in (("metadata", record_id("metadata", source), meta, "application/warc-fields"), ("conversion", conversion, text, "text/plain; charset=utf-8")):
-        data = block.encode("utf-8", "replace")
-        out.append((page_id, kind, own, source, uri, date, content, len(data), digest(data), source_digest, data.decode()))
+def _fields(lines: Iterable[str]) -> dict[str, str]:
+    """Header lines by name in small letters; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, colon, value in (x.partition(":") for x in lines):
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
     return out
 
 
-def record_bytes(row: tuple) -> bytes:
-    """A row of RECORD in the form of WARC 1.1."""
-    page_id, kind, own, source, uri, date, content, length, block_digest, source_digest, block = row
-    head = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Refers-To", source)]
-    head += [("WARC-Target-URI", uri)] if uri else []
+def warc_records(file: BinaryIO) -> Iterator[tuple[list[str], bytes]]:
+    """Header lines and block of each record of a file, one record at a time; gzip is told by its first bytes."""
+    packed = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    stream = gzip.GzipFile(fileobj=file) if packed else io.BufferedReader(file, 1 << 20)
+    cut = ValueError("the file ends within a record")
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"not a WARC record: {line[:40]!r}")
+            lines: list[str] = []
+            while (line := stream.readline()).strip():
+                text = line.decode("utf-8", "replace").rstrip("\r\n")
+                if text[0] in " \t" and lines:
+                    lines[-1] += " " + text.strip()
+                else:
+                    lines.append(text)
+            if not line:
+                raise cut
+            length = int(_fields(lines)["content-length"])
+            block = stream.read(length)
+            if len(block) < length:
+                raise cut
+            yield lines, block
+    except EOFError:
+        raise cut from None
+
+
+def record_bytes(header: Iterable[tuple[str, str]], block: bytes) -> bytes:
+    """A record in the form of WARC 1.1; its length is added to the header."""
+    lines = "".join(f"{k}: {v}\r\n" for k, v in header)
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
+
+
+def split_message(block: bytes) -> tuple[str, list[str], bytes]:
+    """Status line, header lines and body of an HTTP message; without a status line all is body."""
+    if not block.startswith(b"HTTP/"):
+        return "", [], block
+    at = [(i, len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (i := block.find(gap)) >= 0]
+    end, gap = min(at, default=(len(block), 0))
+    status, *lines = [_line(x) for x in block[:end].decode("utf-8", "replace").split("\n")]
+    return status, [x for x in lines if ":" in x], block[end + gap :]
+
+
+def _joined(body: bytes) -> bytes:
+    """A body without the sizes of its chunks; one that isn't made of chunks stays as it is."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9a-fA-F]{1,8})[^\r\n]{0,1024}\r?\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+    return b"".join(out) if out and at >= len(body) else body
+
+
+def _unpacked(body: bytes, fields: dict[str, str]) -> bytes:
+    """A body without its transfer and content encodings; what can't be unpacked stays as it is."""
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = _joined(body)
+    coding = fields.get("content-encoding", "").lower()
+    for bits in (47,) if "gzip" in coding else (15, -15) if "deflate" in coding else ():
+        try:
+            return zlib.decompressobj(bits).decompress(body)
+        except zlib.error:
+            continue
+    return body
+
+
+def _text(body: bytes, kind: str) -> str:
+    named = _CHARSET.search(kind.encode()) or _CHARSET.search(body[:1024])
+    try:
+        return body.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def derive(record_id: str | None, target_uri: str | None, date: str | None, headers: str | None, block: bytes | None) -> list[tuple]:
+    """The metadata record of a response, and its conversion record if it holds text, as rows of RECORD."""
+    uri, date, block, source, lines = _line(target_uri or ""), date or DATE, block or b"", record_id or "", (headers or "").split("\n")
+    held = _fields(lines)
+    status, http, body = split_message(block)
+    fields = _fields(http)
+    kind = fields.get("content-type", "text/html").lower()
+    source_digest = held.get("warc-payload-digest") or digest(body)
+    page_id = int(held[ROW_NUMBER.lower()]) if held.get(ROW_NUMBER.lower(), "").lstrip("-").isdigit() else None
+
+    meta = [("source-record-header", _line(x)) for x in lines if ":" in x] + [("source-status", status)] * bool(status) + [("source-header", x) for x in http]
+    meta += [("source-payload-digest", source_digest), ("source-block-digest", held.get("warc-block-digest") or digest(block)), ("source-length", str(len(body)))]
+    made = []
+    if "html" in kind or "xml" in kind or kind.startswith("text/"):
+        page = _text(_unpacked(body, fields), kind)
+        text, title, links = (page, "", []) if kind.startswith("text/plain") else page_text(page)
+        data = text.encode("utf-8", "replace")
+        own = own_id("conversion", source)
+        meta += [("conversion-id", own), ("conversion-digest", digest(data))] + [("title", title)] * bool(title)
+        for link in links:
+            try:
+                meta.append(("outlink", _line(urljoin(uri, link))))
+            except ValueError:  # an address that can't be resolved stands as it is
+                meta.append(("outlink", _line(link)))
+        made = [("conversion", own, "text/plain; charset=utf-8", data)]
+    made.insert(0, ("metadata", own_id("metadata", source), "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode("utf-8", "replace")))
+    return [(page_id, what, own, source, uri, date, content, len(data), digest(data), source_digest, data.decode()) for what, own, content, data in made]
+
+
+def derived_bytes(row: tuple) -> bytes:
+    """A row of RECORD as a record."""
+    page_id, kind, own, source, uri, date, content, _, block_digest, source_digest, block = row
+    head = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", date)]
+    head += [("WARC-Refers-To-Target-URI", uri), ("WARC-Target-URI", uri)] if uri else []
     head += [("WARC-Block-Digest", block_digest), ("WARC-Source-Payload-Digest", source_digest)]
-    head += [("WARC-Source-Row", str(page_id))] if page_id is not None else []
-    head += [("Content-Type", content), ("Content-Length", str(length))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block.encode() + b"\r\n\r\n"
-
-
-def parse_records(data: bytes) -> Iterator[tuple]:
-    """The rows of RECORD in a file's bytes; a digest that doesn't fit is an error."""
-    rest = memoryview(data)
-    while len(rest):
-        member = zlib.decompressobj(31)
-        parts, at = [], 0
-        while not member.eof:  # fed in steps, so that what follows the member isn't copied each time
-            if at >= len(rest):
-                raise ValueError("the file ends within a record")
-            parts.append(member.decompress(rest[at : at + 65536]))
-            at += 65536
-        rest = rest[min(at, len(rest)) - len(member.unused_data) :]
-        record = b"".join(parts)
-        head, _, tail = record.partition(b"\r\n\r\n")
-        version, *lines = head.decode().split("\r\n")
-        if version != "WARC/1.1":
-            raise ValueError(f"not a WARC record: {version[:40]}")
-        h = dict(x.split(": ", 1) for x in lines)
-        length = int(h["Content-Length"])
-        block = tail[:length]
-        if digest(block) != h["WARC-Block-Digest"] or tail[length:] != b"\r\n\r\n":
-            raise ValueError(f"damaged record {h['WARC-Record-ID']}")
-        page_id = h.get("WARC-Source-Row")
-        yield (None if page_id is None else int(page_id), h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI", ""), h["WARC-Date"], h["Content-Type"], length, h["WARC-Block-Digest"], h["WARC-Source-Payload-Digest"], block.decode())
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORD.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
-
-
-def write_derivatives(responses: DataFrame, folder: str | None = None, payload: str = "html", level: int = 4) -> list[str]:
-    """responses (page_id, url, payload, and date if there is one) to WARC files; returns their paths.
-
-    A null payload is an empty page, a null address an empty one, a null date DATE; repeated rows give repeated
-    records of the same ids; an empty table gives no files; other columns are not read. A task writes one file,
-    named anew each time it runs, and reports it when it is whole. The driver gets one row for each file.
+    head += [(ROW_NUMBER, str(page_id))] if page_id is not None else []
+    return record_bytes([*head, ("Content-Type", content)], block.encode())
+
+
+def derived_row(lines: list[str], block: bytes) -> tuple:
+    """The same read back; a digest that doesn't fit is an error."""
+    h = _fields(lines)
+    if digest(block) != h["warc-block-digest"]:
+        raise ValueError(f"damaged record {h['warc-record-id']}")
+    page_id = h.get(ROW_NUMBER.lower())
+    return (None if page_id is None else int(page_id), h["warc-type"], h["warc-record-id"], h["warc-refers-to"], h.get("warc-target-uri", ""), h["warc-date"], h["content-type"], len(block), h["warc-block-digest"], h["warc-source-payload-digest"], block.decode())
+
+
+def response_bytes(record_id: str | None, target_uri: str | None, date: str | None, headers: str | None, block: bytes | None) -> bytes:
+    """A row of RESPONSE as a record; lines that `headers` has already aren't made anew."""
+    block = block or b""
+    own = [(k.strip(), _line(v)) for k, colon, v in (x.partition(":") for x in (headers or "").split("\n")) if colon and k.strip().lower() != "content-length"]
+    there = {k.lower() for k, _ in own}
+    made = [("WARC-Type", "response"), ("WARC-Record-ID", record_id or ""), ("WARC-Date", date or DATE), ("WARC-Target-URI", _line(target_uri or "")), ("Content-Type", "application/http; msgtype=response")]
+    made += [("WARC-Payload-Digest", digest(split_message(block)[2])), ("WARC-Block-Digest", digest(block))]
+    return record_bytes([*((k, v) for k, v in made if k.lower() not in there and v), *own], block)
+
+
+def page_responses(pages: DataFrame, payload: str = "html") -> DataFrame:
+    """pages (page_id, url, payload, and date if there is one) as rows of RESPONSE.
+
+    A payload that begins with `HTTP/` is a whole message, else the body of one. A null payload is empty, a null
+    address has none, a null date is DATE. The record's id follows from the row, so repeated rows share it.
     """
-    spark = responses.sparkSession
-    small_batches(spark)
-    folder = folder or new_folder(spark, "warc")
-    date = F.col("date").cast("string") if "date" in responses.columns else F.lit(None).cast("string")
+    url, text = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    page_id = F.col("page_id").cast("long")
+    h = F.md5(F.concat_ws("\n", page_id.cast("string"), url, text))
+    uuid_of = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    date = F.coalesce(F.col("date").cast("string"), F.lit(DATE)) if "date" in pages.columns else F.lit(DATE)
+    block = F.when(text.startswith("HTTP/"), text).otherwise(F.concat(F.lit(BARE_HEADERS), text)).cast("binary")
+    headers = F.when(page_id.isNull(), "").otherwise(F.concat(F.lit(f"{ROW_NUMBER}: "), page_id.cast("string")))
+    return pages.select(F.concat(F.lit("<urn:uuid:"), uuid_of, F.lit(">")).alias("record_id"), url.alias("target_uri"), date.alias("date"), headers.alias("headers"), block.alias("block"))
+
+
+class _Files:
+    """Gzip members into files of a bounded size, each named anew."""
+
+    def __init__(self, folder: str, name: str, level: int, most: int) -> None:
+        self.folder, self.name, self.level, self.most, self.done, self.out, self.size = folder, name, level, most, [], None, 0
+
+    def add(self, record: bytes) -> None:
+        if self.out is None:
+            self.path, self.size = f"{self.folder}/{self.name}-{uuid.uuid4().hex}.warc.gz", 0
+            self.out = _opened(self.path, "w")
+        data = gzip.compress(record, self.level, mtime=0)
+        self.out.write(data)
+        self.size += len(data)
+        if self.size >= self.most:
+            self.close()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.done.append(self.path)
+            self.out = None
+
+
+def _written(responses: DataFrame, records_of, folder: str, name: str, level: int, file_bytes: int) -> list[str]:
+    """A task reports its files when they are whole, so those of a task that failed are never read. The driver gets one row for each file."""
+    small_batches(responses.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, out = f"{folder}/derived-{uuid.uuid4().hex}.warc.gz", None
+        files = _Files(folder, name, level, file_bytes)
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out = out or _opened(path, "w")
-                for record in derive(*row):
-                    out.write(gzip.compress(record_bytes(record), level, mtime=0))
-        if out:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([path] if out else [], pa.string())], names=["path"])
+                for record in records_of(*row):
+                    files.add(record)
+        files.close()
+        yield pa.RecordBatch.from_arrays([pa.array(files.done, pa.string())], names=["path"])
 
-    slim = responses.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(payload).cast("string").alias("payload"), date.alias("date"))
-    return sorted(r.path for r in slim.mapInArrow(run, "path string").collect())
+    kinds = (x.rpartition(" ") for x in RESPONSE.split(", "))
+    return sorted(r.path for r in responses.select(*(F.col(n).cast(t).alias(n) for n, _, t in kinds)).mapInArrow(run, "path string").collect())
 
 
-def read_derivatives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The records of WARC files written by write_derivatives, as rows of RECORD."""
+def write_responses(responses: DataFrame, folder: str | None = None, level: int = 1, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Rows of RESPONSE to WARC files; returns their paths. No rows give no files; other columns are not read."""
+    return _written(responses, lambda *row: [response_bytes(*row)], folder or new_folder(responses.sparkSession, "responses"), "responses", level, file_bytes)
+
+
+def write_derivatives(responses: DataFrame, folder: str | None = None, level: int = 4, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Rows of RESPONSE to WARC files of their metadata and conversion records; returns their paths.
+
+    A null block is an empty message, a null address an empty one, a null date DATE, a null id empty; repeated rows give
+    repeated records of the same ids; no rows give no files; other columns are not read.
+    """
+    return _written(responses, lambda *row: map(derived_bytes, derive(*row)), folder or new_folder(responses.sparkSession, "derived"), "derived", level, file_bytes)
+
+
+def _read(spark: SparkSession, paths: list[str], schema: str, row_of, size_of) -> DataFrame:
+    """What row_of makes of the records of files; a file is read as a stream, a batch holds some megabytes or one row."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    columns = [x.rpartition(" ") for x in schema.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, _, t) in zip(zip(*rows, strict=True), columns, strict=True)], names=[n for n, _, _ in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                with _opened(path, "r") as f:
-                    data = f.read()
                 rows, held = [], 0
-                for row in parse_records(data):
-                    rows.append(row)
-                    held += row[7]
-                    if held > 1 << 23:
-                        yield _batch(rows)
-                        rows, held = [], 0
+                with _opened(path, "r") as f:
+                    for lines, block in warc_records(f):
+                        if (row := row_of(lines, block)) is None:
+                            continue
+                        rows.append(row)
+                        held += size_of(row)
+                        if held > 1 << 23:
+                            yield batch(rows)
+                            rows, held = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield batch(rows)
 
+    small_batches(spark)
     if not paths:
-        return spark.createDataFrame([], RECORD)
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 100_000), "path").mapInArrow(run, RECORD)
+        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 100_000), "path").mapInArrow(run, schema)
+
+
+def _response(lines: list[str], block: bytes) -> tuple | None:
+    h = _fields(lines)
+    if h.get("warc-type", "").lower() != "response":
+        return None
+    return h.get("warc-record-id"), h.get("warc-target-uri", "").strip("<>"), h.get("warc-date"), "\n".join(lines), block
+
+
+def read_responses(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The response records of WARC files, as rows of RESPONSE; other records are passed over."""
+    return _read(spark, paths, RESPONSE, _response, lambda r: len(r[4]))
+
+
+def read_derivatives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of WARC files written by write_derivatives, as rows of RECORD."""
+    return _read(spark, paths, RECORD, derived_row, lambda r: r[7])

@@ -8,7 +8,6 @@ import pytest
 from tabweave.llm.boosting import fit_isotonic, fit_trees
 from tabweave.llm.html_text import page_text
 from tabweave.llm.toxicity import FEATURES, Lexicon, drop_toxic, features, fit_toxicity, score_toxicity
-from tabweave.llm.warc import RECORD, derive, digest, parse_records, read_derivatives, record_bytes, split_response, write_derivatives
 
 from .helpers import WORDS, documents, nothing
 
@@ -62,9 +61,9 @@ def test_toxicity_without_labels(spark, rows):
 
 
 def test_features():
-    x = dict(zip(FEATURES, features("You IDIOT! you are 1d1ot-like", Lexicon()), strict=True))
+    x = dict(zip(FEATURES, features("You IDIOT! you are 1d1ot-like", (Lexicon(), False))[0], strict=True))
     assert x["near_second_person"] > 0 and x["masked_lexicon"] >= 1 and x["fixed_per_word"] > 0 and x["capitals"] > 0.2
-    assert len(features(None, Lexicon())) == len(FEATURES)
+    assert len(features(None, (Lexicon(), True))[0]) == len(FEATURES)
 
 
 def test_page_text():
@@ -73,30 +72,13 @@ def test_page_text():
     assert page_text("") == ("", "", []) and page_text("<p>open <a href=") == ("open <a href=", "", [])
 
 
-def test_records_refer_to_their_source():
-    payload = "HTTP/1.1 404 Not Found\r\nServer: x: y\r\nContent-Type: text/html\r\n\r\n<title>t</title><p>b <a href='c'>d</a>"
-    meta, text = derive(7, "http://e.org/a/b", payload, "2024-01-01T00:00:00Z")
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    m, t = dict(zip(names, meta, strict=True)), dict(zip(names, text, strict=True))
-    assert m["refers_to"] == t["refers_to"] and m["record_id"] != t["record_id"] and t["block"] == "b d" and t["date"].startswith("2024")
-    for part in ("source-status: HTTP/1.1 404 Not Found", "source-header: Server: x: y", f"source-payload-digest: {digest(split_response(payload)[1].encode())}", f"conversion-id: {t['record_id']}", "title: t", "outlink: http://e.org/a/c"):
-        assert part + "\r\n" in m["block"]
-    import gzip
-
-    data = b"".join(gzip.compress(record_bytes(r)) for r in (meta, text))
-    assert list(parse_records(data)) == [meta, text]
-    with pytest.raises(ValueError, match="damaged"):
-        list(parse_records(gzip.compress(record_bytes(text).replace(b"b d", b"b e"))))
-    with pytest.raises(ValueError, match="ends within"):
-        list(parse_records(data[:-9]))
-
-
-def test_warc_files(spark):
-    rows = [(1, "http://a.org/", "<p>x</p>"), (1, "http://a.org/", "<p>x</p>"), (2, None, None), (None, "u v\r\nw: q", ""), (3, "http://[bad", "<a href='//[x'>q</a>"), (4, "http://b.org", "<p>" + "long text " * 200_000 + "</p>")]
-    pages = spark.createDataFrame([(*r, 5, "k") for r in rows], "page_id long, url string, html string, block int, record_id string")
-    got = sorted(map(tuple, read_derivatives(spark, write_derivatives(pages)).collect()), key=str)
-    assert got == sorted((x for r in rows for x in derive(*r, None)), key=str)
-    assert read_derivatives(spark, write_derivatives(pages.where("false"))).count() == 0
+@pytest.mark.parametrize("unit", ["<a ", "<a x='", '<a "', "<!", "</", "<svg ", "<a b=c <"])
+def test_tags_that_never_end_take_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    page_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 2
 
 
 def test_pipeline(spark):
