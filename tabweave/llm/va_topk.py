@@ -5,12 +5,14 @@ for each component (its distance from the block's least value, shifted right). A
 scans the cells of a block for bounds of every score, then reads exact vectors in the order
 of their upper bounds, until no bound left reaches the k-th best score known.
 
-Queries come in blocks too. A task takes one block of queries and a range of vector blocks;
-a query's best rows of each range are merged at the end. No rows are paired by a join.
+Queries come in blocks too. A task takes one block of queries and a range of vector blocks, which
+it reads from a list in the shared folder; a query's best rows of each range are merged at the end.
+No rows are paired by a join.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 from .shared import new_folder, parts, small_batches
 from .token_files import _opened
 
-BLOCK, QUERY_BLOCK, CELL_BITS = 4096, 512, 8
+#: Bytes of a block's exact vectors, and rows that are scanned at a time; queries of a block.
+BLOCK_BYTES, SCAN, QUERY_BLOCK, CELL_BITS = 64 << 20, 4096, 512, 8
 #: Exact vectors that a query reads at a time, in the order of their bounds.
 STEP = 16
-#: Scores up to here are sums of doubles without loss.
-_EXACT = 1 << 53
+#: Scores below these are sums of doubles, or of 64-bit integers, without loss.
+_EXACT, _LONG = 1 << 53, 1 << 63
 
 
 def as_integers(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -45,8 +48,9 @@ def as_integers(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tup
     return sizes, out
 
 
-def _write(df: DataFrame, folder: str, kind: str, block: int, scale: int) -> list:
-    """Blocks of df (vec_id, embedding) as files; one row for each file: path, rows, width. Files of tasks that failed are never listed."""
+def _write(df: DataFrame, folder: str, kind: str, block: int | None, scale: int) -> list:
+    """Blocks of df (vec_id, embedding) as files, of `block` rows or BLOCK_BYTES; one row for each file: path, rows, width.
+    Files of tasks that failed are never listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -57,22 +61,24 @@ def _write(df: DataFrame, folder: str, kind: str, block: int, scale: int) -> lis
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             path = f"{folder}/{kind}-{uuid.uuid4().hex}"
+            apart = x.astype(np.uint64) - x.min(0).astype(np.uint64)  # whose differences don't overflow
             with _opened(f"{path}.exact", "w") as out:
                 out.write(x.astype("<i8").tobytes())
             low = x.min(0)
-            shift = np.array([max(0, int(v).bit_length() - CELL_BITS) for v in (x.max(0) - low)], np.int64)
+            shift = np.array([max(0, int(v).bit_length() - CELL_BITS) for v in apart.max(0)], np.int64)
             with _opened(f"{path}.cells", "w") as out:
                 for part in (ids, low, shift):
                     out.write(part.astype("<i8").tobytes())
-                out.write(((x - low) >> shift).astype(np.uint8).tobytes())
+                out.write((apart >> shift.astype(np.uint64)).astype(np.uint8).tobytes())
             done.append((path, len(ids), width))
 
         for b in batches:
             ids = np.asarray(b.column(0))
             for width, (rows, x) in as_integers(b.column(1), scale)[1].items():
-                for at in range(0, len(rows), block):
-                    held.setdefault(width, []).append((ids[rows[at : at + block]], x[at : at + block]))
-                    if sum(len(i) for i, _ in held[width]) >= block:
+                most = block or max(256, BLOCK_BYTES // (8 * width))
+                for at in range(0, len(rows), most):
+                    held.setdefault(width, []).append((ids[rows[at : at + most]], x[at : at + most]))
+                    if sum(len(i) for i, _ in held[width]) >= most:
                         flush(width)
         for width in list(held):
             if sum(len(i) for i, _ in held[width]):
@@ -105,42 +111,55 @@ class VectorBlock:
                     out[a:b] = got[rows[a:b] - first]
         return out
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def largest(self, queries: np.ndarray) -> int:
+        """No sum of products of the queries with this block's vectors, nor a part of it, is beyond this."""
+        of = lambda x: max((abs(int(v)) for v in (x.max(initial=0), x.min(initial=0))), default=0)
+        return max(of(queries), 1) * max(of(self.low) + (256 << int(self.shift.max(initial=0))), 1) * self.width
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and the largest score that each query can have with each vector, given its cell."""
         unit = np.left_shift(np.int64(1), self.shift)
         q = queries.astype(float)
-        base = (q * unit) @ self.cells.T.astype(float) + (q @ self.low.astype(float))[:, None]
+        base = (q * unit) @ cells.T.astype(float) + (q @ self.low.astype(float))[:, None]
         most = (unit - 1).astype(float)
         return base + (np.minimum(q, 0) @ most)[:, None], base + (np.maximum(q, 0) @ most)[:, None]
 
 
 def search_block(block: VectorBlock, query_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> int:
     """Brings `best` (for each query its k pairs of score and id, best first) up to date; returns how many exact vectors were read."""
-    if max(float(np.abs(queries).max(initial=0)), 1) * max(float(np.abs(block.low).max(initial=0)) + 256 * 2.0 ** float(block.shift.max(initial=0)), 1) * block.width >= _EXACT:
-        lower = np.full((len(queries), block.rows), -np.inf)
-        upper = np.full((len(queries), block.rows), np.inf)
+    return sum(_scan(block, at, min(at + SCAN, block.rows), query_ids, queries, best, k) for at in range(0, block.rows, SCAN))
+
+
+def _scan(block: VectorBlock, first: int, last: int, query_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> int:
+    """The same for the block's rows first to last."""
+    largest, ids = block.largest(queries), block.ids[first:last]
+    if largest >= _EXACT:
+        lower = np.full((len(queries), len(ids)), -np.inf)
+        upper = np.full((len(queries), len(ids)), np.inf)
     else:
-        lower, upper = block.bounds(queries)
-    own = block.ids[None, :] == query_ids[:, None]
+        lower, upper = block.bounds(queries, block.cells[first:last])
+    wide = queries.astype(object) if largest >= _LONG else queries  # Python's integers, which have no bound
+    own = ids[None, :] == query_ids[:, None]
     lower[own], upper[own] = -np.inf, -np.inf
-    floor = np.array([b[k - 1][0] if len(b) >= k else -np.inf for b in best])
-    if block.rows > k:
+    floor = np.array([b[k - 1][0] if len(b) >= k else -np.inf for b in best], float)
+    if len(ids) > k:
         floor = np.maximum(floor, -np.partition(-lower, k - 1, 1)[:, k - 1])
     # only vectors whose upper bound reaches the k-th lower bound, in the order of their upper bounds
     todo = []
     for i in range(len(queries)):
-        rows = np.flatnonzero((upper[i] >= floor[i]) & ~own[i])
+        rows = np.flatnonzero((upper[i] >= floor[i]) & ~own[i]) if largest < _EXACT else np.flatnonzero(~own[i])
         todo.append(rows[np.argsort(-upper[i, rows], kind="stable")])
     read, live, at = 0, [i for i in range(len(queries)) if len(todo[i])], 0
     while live:
         wanted = np.unique(np.concatenate([todo[i][at : at + STEP] for i in live]))
-        vectors = block.exact(wanted)
+        vectors = block.exact(wanted + first)
+        vectors = vectors.astype(object) if largest >= _LONG else vectors
         read += len(wanted)
         left = []
         for i in live:
             rows = todo[i][at : at + STEP]
-            scores = vectors[np.searchsorted(wanted, rows)] @ queries[i]
-            best[i] = sorted(best[i] + list(zip(scores.tolist(), block.ids[rows].tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
+            scores = vectors[np.searchsorted(wanted, rows)] @ wide[i]
+            best[i] = sorted(best[i] + list(zip(scores.tolist(), ids[rows].tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
             # a vector that only ties may still win by its smaller id
             if at + STEP < len(todo[i]) and (len(best[i]) < k or upper[i, todo[i][at + STEP]] >= best[i][k - 1][0]):
                 left.append(i)
@@ -148,27 +167,32 @@ def search_block(block: VectorBlock, query_ids: np.ndarray, queries: np.ndarray,
     return read
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query (vec_id, embedding) its k vectors (vec_id, embedding) of highest inner product: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Ties go to the smaller id; rows with the query's own id are not its
     neighbours. Null ids, null or empty vectors, null or non-finite components (or beyond 2^62 when scaled) take
-    no part, nor do vectors of another length than the query's. Scores are 64-bit. A query that is repeated is
-    answered as often as it stands there; repeated vectors are separate neighbours. Other columns are not read.
+    no part, nor do vectors of another length than the query's. Scores are 64-bit; one of the k best that isn't is an
+    error. A query that is repeated is answered as often as it stands there; repeated vectors are separate
+    neighbours. Other columns are not read; an empty table gives no rows.
+
+    The driver gets one row for each file of about BLOCK_BYTES; tasks read the list of their range from the shared folder.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    small_batches(spark)
     folder, n = new_folder(spark, "vectors"), parts(spark)
     slim = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    files = _write(slim(vectors).repartition(n, "vec_id"), folder, "v", block, scale)
-    asked = _write(slim(queries).repartition(n, "vec_id"), folder, "q", query_block, scale)
+    files = _write(slim(vectors).repartition(n), folder, "v", block, scale)
+    asked = _write(slim(queries).repartition(n), folder, "q", query_block, scale)
     schema = "query_id long, query_row long, vec_id long, score long"
     ranges = max(1, min(len(files), -(-4 * n // max(1, len(asked)))))
-    tasks = [(i, q.path, q.rows, q.width, r) for i, q in enumerate(asked) for r in range(ranges)]
     out = "query_id long, rank int, vec_id long, score long"
-    if not tasks or not files:
+    if not asked or not files:
         return spark.createDataFrame([], out)
-    listed = [(f.path, f.rows, f.width) for f in files]
+    for r in range(ranges):
+        with _opened(f"{folder}/range-{r}", "w") as f:
+            f.write(json.dumps([(x.path, x.rows, x.width) for x in files[r::ranges]]).encode())
+    tasks = [(i, q.path, q.rows, q.width, r) for i, q in enumerate(asked) for r in range(ranges)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,10 +200,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                 mine = VectorBlock(path, rows, width)
                 x = mine.exact(np.arange(rows))
                 best: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
-                for f in listed[r::ranges]:
-                    if f[2] == width:
-                        search_block(VectorBlock(*f), mine.ids, x, best, k)
+                with _opened(f"{folder}/range-{r}", "r") as f:
+                    listed = json.loads(f.read())
+                for other in listed:
+                    if other[2] == width:
+                        search_block(VectorBlock(*other), mine.ids, x, best, k)
                 found = [(q, i * query_block * 2 + j, v, s) for j, (q, pairs) in enumerate(zip(mine.ids.tolist(), best, strict=True)) for s, v in pairs]
+                if any(not -_LONG <= s < _LONG for *_, s in found):
+                    raise OverflowError("a score doesn't fit 64 bits; use a smaller scale")
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], names=["query_id", "query_row", "vec_id", "score"])
 
     spread = spark.createDataFrame(tasks, "queries long, path string, rows long, width long, range long").repartitionByRange(min(len(tasks), 4 * n), "queries", "range")
