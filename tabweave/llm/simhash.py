@@ -2,14 +2,16 @@
 
 A fingerprint of 64 bits is cut into a ring of `radius + 1` segments. If two
 fingerprints differ in at most `radius` bits, then from some segment onwards every
-chain of k consecutive segments has at most k * radius / (radius + 1) differing bits
-(the pigeonring principle). So fingerprints meet where a first segment is equal, and
-a pair is compared in full only if all chains from there keep within their budgets.
-
-A first segment that more than `light` fingerprints share isn't compared pair by
-pair. There each fingerprint emits itself and its neighbours at one differing bit
-outside the segment: two of them lie within two bits exactly if they meet at one of
-these, and at most 44 fingerprints can meet at one. This is as exact, and linear.
+chain of k consecutive segments has at most k * radius / (radius + 1) differing bits,
+which is k - 1 in whole bits (the pigeonring principle). So fingerprints meet where a
+first segment is equal, and a pair is compared in full only if all chains from there
+keep within their budgets.
+
+A first segment that more than `light` fingerprints share is refined by the same principle:
+its fingerprints are equal there, so what differs lies in the other bits, which are cut into a
+ring of segments of their own. They meet again where one of these is equal too, and so on until
+few share what is equal. As bits run out at a logarithmic depth, no bucket stays crowded, and no
+pair is lost on the way.
 """
 
 from __future__ import annotations
@@ -64,51 +66,55 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def ring(radius: int = RADIUS) -> list[int]:
-    """The segments' bit masks, unsigned."""
-    m, at, out = radius + 1, 0, []
+def ring(radius: int = RADIUS, bits: int = (1 << 64) - 1) -> list[int]:
+    """The bit masks of the segments into which `bits` are cut, unsigned; all of about the same width."""
+    own, m, at, out = [i for i in range(64) if bits >> i & 1], radius + 1, 0, []
     for i in range(m):
-        width = 64 // m + (i < 64 % m)
-        out.append(((1 << width) - 1) << at)
+        width = len(own) // m + (i < len(own) % m)
+        out.append(sum(1 << k for k in own[at : at + width]))
         at += width
     return out
 
 
-def _chains_hold(x: Column, masks: list[int], start: int, radius: int) -> Column:
-    """Every chain from `start` keeps within its share of the radius; the last chain is the whole ring."""
-    held, seen = F.lit(True), 0
-    for k in range(1, len(masks) + 1):
-        seen |= masks[(start + k - 1) % len(masks)]
-        held = held & (F.bit_count(x.bitwiseAND(F.lit(_signed(seen)))) <= k * radius // len(masks))
-    return held
+def _starts(radius: int, fixed: int) -> list[tuple[int, list[int]]]:
+    """For each segment of what isn't fixed: what is fixed with it, and the chains from it onwards, each as a mask."""
+    masks, out = ring(radius, ~fixed & (1 << 64) - 1), []
+    for i in range(len(masks)):
+        chains, seen = [], 0
+        for m in (*masks[i:], *masks[:i]):
+            seen |= m
+            chains.append(seen)
+        out.append((fixed | masks[i], chains))
+    return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:
-    """distinct (fp: long, no repeats) to edges (a, b) that join all fingerprints within `radius` of one another.
+    """distinct (fp: long, no repeats) to all pairs (a, b), a < b, that lie within `radius` of one another; pairs may repeat.
 
-    Pairs that meet in light segments are all returned; those of crowded segments by stars of linked
-    fingerprints, so that the components are those of all pairs. The radius must be 2 for the latter.
+    The masks of a depth are a small table: (radius + 1) ** depth rows, of which there is a depth only while buckets are crowded.
     """
-    if radius != 2:
-        raise ValueError("crowded segments are solved for a radius of 2")
-    masks = ring(radius)
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("s")) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.i", "k.s")
-    shared = keyed.groupBy("i", "s").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = written(keyed.join(shared, ["i", "s"]), "segments")
-    a, b = (keyed.where(F.col("n") <= light).select("i", "s", F.col("fp").alias(x)) for x in "ab")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    held = F.lit(False)
-    for i in range(len(masks)):
-        held = held | ((F.col("i") == i) & _chains_hold(x, masks, i, radius))
-    few = a.join(b, ["i", "s"]).where((F.col("a") < F.col("b")) & held).select("a", "b")
-    near = F.lit(None)
-    for i, m in enumerate(masks):
-        flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(64) if not m >> bit & 1))
-        near = F.when(F.col("i") == i, flips).otherwise(near)
-    crowded = keyed.where(F.col("n") > light).select("i", "fp", F.explode(near).alias("meet"))
-    stars = crowded.groupBy("i", "meet").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return few.union(stars)
+    spark = distinct.sparkSession
+    fixed, held, out = [0], distinct.select("fp", F.lit(0).alias("node")), None
+    while True:
+        children = [(node, node * (radius + 1) + i, f, chains) for node, x in enumerate(fixed) for i, (f, chains) in enumerate(_starts(radius, x))]
+        fixed = [f for _, _, f, _ in children]
+        masks = spark.createDataFrame([(n, c, _signed(f), [_signed(x) for x in chains]) for n, c, f, chains in children], "node int, child int, fixed long, chains array<long>")
+        keyed = held.join(F.broadcast(masks), "node").select("fp", F.col("child").alias("node"), F.col("fp").bitwiseAND(F.col("fixed")).alias("s"), "chains")  # as few as said above
+        shared = keyed.groupBy("node", "s").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = written(keyed.join(shared, ["node", "s"]), "segments")
+        # with few bits left a bucket holds few fingerprints, and what is left can't be cut into segments
+        final = (1 << 64 - min(f.bit_count() for f in fixed)) <= light or 64 - min(f.bit_count() for f in fixed) <= radius
+        few = keyed if final else keyed.where(F.col("n") <= light)
+        a, b = few.select("node", "s", "chains", F.col("fp").alias("a")), few.select("node", "s", F.col("fp").alias("b"))
+        x = F.col("a").bitwiseXOR(F.col("b"))
+        within = F.bit_count(x) <= radius
+        for k in range(2, radius + 1):
+            within = (F.bit_count(x.bitwiseAND(F.get("chains", F.lit(k - 1)))) <= k - 1) & within
+        found = a.join(b, ["node", "s"]).where((F.col("a") < F.col("b")) & within).select("a", "b")
+        out = found if out is None else out.union(found)
+        held = keyed.where(F.col("n") > light).select("fp", "node")
+        if final or not held.limit(1).count():
+            return out
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:
