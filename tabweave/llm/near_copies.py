@@ -1,13 +1,15 @@
-"""Near copies by exact Jaccard similarity of five-word shingles; candidates from banded MinHash.
-
-Fingerprints of 64 bits can't do this: at a similarity of 0.8 about ten bits differ, and a radius
-that leaves no such pair out lets unrelated texts in. So rows of equal shingles are one class; classes that
-share a band of ROWS least hashes are candidates (a pair at 0.8 shares none of BANDS with a probability of
-1.2 in a million), and a candidate is a link only if its shingles are counted and reach the similarity.
-
-A band's bucket of more than `light` classes is first compared with one of its classes alone, a different
-one in each band. Then what is still apart from the bucket's largest component is compared with all of the
-bucket outside its own component, so the components are those of all candidate pairs.
+"""Near copies by exact Jaccard similarity of five-word shingles; candidates from SimHash pigeonring and banded MinHash.
+
+Rows of equal shingles are one class. Classes whose SimHash fingerprints lie within RADIUS bits are candidates, found by
+pigeonring as in `simhash`. That alone can't do: at a similarity of 0.8 about ten of 64 bits differ, and a radius that
+leaves no such pair out cuts the ring into segments too short to tell unrelated texts apart. So classes that share a band
+of ROWS least hashes are candidates too (a pair at 0.8 shares none of BANDS with a probability of 1.2 in a million). A
+candidate is a link only if its shingles are counted and reach the similarity.
+
+A band's bucket of more than `light` classes is first compared with one of its classes alone, that which lies in the most
+crowded buckets and so is likely to be the family's origin. Then what is still apart from the bucket's largest component
+is compared with all of the bucket outside its own component, but for pairs that can't reach the similarity: shingles
+that no other class in question holds can't be shared. So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, written
+from .shared import parts, small_batches, written
 from .simhash import keep_one
+from .simhash import links as ring_links
+from .simhash import of_hashes
 
 SHINGLE, SEED = 5, 42
 #: Least similarity of near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 45, 6
+#: Fingerprints within so many bits are candidates.
+RADIUS = 2
 #: Buckets up to this size are compared pair by pair.
 LIGHT = 16
 #: So many pairs of one class are dealt out together.
@@ -87,35 +93,37 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([_class(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([len(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64())), batch.column(1)], names=["doc_id", "fp", "size", "bands", "text"])
+            found = [shingles(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            fps, sims = (np.array([of(x) for x in found], np.uint64).view(np.int64) for of in (_class, of_hashes))
+            own = [pa.array(fps), pa.array(sims), pa.array([len(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, batch.column(2)], names=["row", "doc_id", "fp", "sim", "size", "bands", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, size long, bands array<long>, text string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, fp long, sim long, size long, bands array<long>, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, n: about how many pairs share an a) to those that are alike."""
+    """pairs (a, b, n: about how many pairs share an a) to those that are alike. texts: one (fp, text) for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held = None
         for batch in batches:
-            a, b, left, right = (c.cast(pa.binary()).to_pylist() if i > 1 else c.to_pylist() for i, c in enumerate(batch.columns))
             kept = []
-            for i, x in enumerate(a):
-                if x != last:
-                    last, held = x, shingles(left[i])
-                kept.append(alike(held, shingles(right[i])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(y, kept, strict=True) if k], pa.int64()) for y in (a, b)], names=["a", "b"])
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                if b is None:  # a's own text, before those to compare it with
+                    held = shingles(text)
+                elif alike(held, shingles(text)):
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     dealt = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
     dealt = written(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / DEALT)).alias("deal")), "pairs")
     ids = dealt.select(F.col("a").alias("fp")).union(dealt.select("b")).distinct()
-    needed = written(texts.join(ids, "fp").groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    left = dealt.select("a", "deal").distinct().join(needed.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
-    right = dealt.join(needed.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b")
-    return written(right.join(left, ["a", "deal"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "alike")
+    needed = written(texts.join(ids, "fp", "left_semi"), "texts")
+    left = dealt.select("a", "deal").distinct().join(needed.withColumnRenamed("fp", "a"), "a").select("a", "deal", F.lit(None).cast("long").alias("b"), "text")
+    right = dealt.join(needed.withColumnRenamed("fp", "b"), "b").select("a", "deal", "b", "text")
+    both = left.union(right).repartition(parts(pairs.sparkSession), "a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
+    return written(both.mapInArrow(run, "a long, b long"), "alike")
 
 
 def _near_in_size(pairs: DataFrame) -> DataFrame:
@@ -123,32 +131,63 @@ def _near_in_size(pairs: DataFrame) -> DataFrame:
     return pairs.where(LEAST[1] * F.least("p", "q") >= LEAST[0] * F.greatest("p", "q")).select("a", "b", "n")
 
 
-def links(distinct: DataFrame, texts: DataFrame, light: int = LIGHT) -> DataFrame:
-    """distinct (fp, size: its shingles, bands) and texts (fp, text) to edges (a, b) whose components are those of all verified candidates."""
-    keyed = distinct.select("fp", "size", F.explode("bands").alias("s"))
-    shared = keyed.groupBy("s").agg(F.count("*").alias("n"), F.min_by(F.struct("fp", "size"), F.xxhash64("fp", "s")).alias("lead")).where("n > 1")
+def _near_fingerprints(heads: DataFrame) -> DataFrame:
+    """heads (fp, size, sim) to candidates (a, p, b, q, n): one class of each fingerprint with its others, and with those of fingerprints near by."""
+    first = written(heads.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("lead"), F.count("*").alias("n")), "fingerprints")
+    same = heads.join(first.where("n > 1"), "sim").where("fp <> lead.fp").select(F.col("lead.fp").alias("a"), F.col("lead.size").alias("p"), F.col("fp").alias("b"), F.col("size").alias("q"), "n")
+    one, two = (first.select(F.col("sim").alias(x), F.col("lead").alias(f"{x}_lead")) for x in "ab")
+    near = ring_links(first.select(F.col("sim").alias("fp")), RADIUS).distinct().join(one, "a").join(two, "b")
+    return same.union(near.select(F.col("a_lead.fp").alias("a"), F.col("a_lead.size").alias("p"), F.col("b_lead.fp").alias("b"), F.col("b_lead.size").alias("q"), F.lit(1).cast("long").alias("n")))
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """texts (fp, text) to (fp, own: how many of its shingles no other of them holds; no row for none). Hashes of 32 bits: a collision only lessens it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(shingles(x) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["fp", "hashes"])
+
+    held = texts.select("fp", "text").mapInArrow(run, "fp long, hashes array<int>").select("fp", F.explode("hashes").alias("hash"))
+    return held.groupBy("hash").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).where("n = 1").groupBy("fp").agg(F.count("*").alias("own"))
+
+
+def links(heads: DataFrame, texts: DataFrame, light: int = LIGHT) -> DataFrame:
+    """heads (fp, size: its shingles, sim, bands) and texts (fp, text), one row for each class, to edges (a, b) whose components are those of all verified candidates."""
+    keyed = heads.select("fp", "size", F.explode("bands").alias("s"))
+    shared = keyed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     keyed = written(keyed.join(shared, "s"), "buckets")
     few = keyed.where(F.col("n") <= light)
-    few = few.select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p")).join(few.select("s", F.col("fp").alias("b"), F.col("size").alias("q")), "s").where("a < b")
+    few = few.select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p")).join(few.select("s", F.col("fp").alias("b"), F.col("size").alias("q")), "s").where("a < b").drop("s")
     crowded = keyed.where(F.col("n") > light)
-    stars = crowded.where("fp <> lead.fp").select(F.col("lead.fp").alias("a"), F.col("lead.size").alias("p"), F.col("fp").alias("b"), F.col("size").alias("q"), "n")
-    out = _verified(_near_in_size(few).union(_near_in_size(stars)), texts)
+    crowded = written(crowded.join(crowded.groupBy("fp").agg(F.count("*").alias("many")), "fp"), "crowded")
+    leads = crowded.groupBy("s").agg(F.max_by(F.struct("fp", "size"), F.struct("many", F.xxhash64("fp", "s"))).alias("lead"))
+    stars = crowded.join(leads, "s").where("fp <> lead.fp").select("n", F.col("lead.fp").alias("a"), F.col("lead.size").alias("p"), F.col("fp").alias("b"), F.col("size").alias("q"))
+    candidates = few.unionByName(stars).unionByName(_near_fingerprints(heads))
+    out = _verified(_near_in_size(candidates), texts)
     if not crowded.limit(1).count():
         return out
     roots = components(out).select(F.col("node").alias("fp"), "root")
-    crowded = written(crowded.join(roots, "fp", "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")), "crowded")
+    crowded = written(crowded.join(roots, "fp", "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")), "crowded-components")
     sizes = crowded.groupBy("s", "c").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("apart"), F.sum("m").alias("n"))
-    apart = crowded.join(sizes.where("apart > 1"), "s")
-    strays = apart.where("c <> most").select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p"), F.col("c").alias("c1"))
-    rest = strays.join(apart.select("s", F.col("fp").alias("b"), F.col("size").alias("q"), "c"), "s").where("c <> c1")
+    apart = written(crowded.join(sizes.where("apart > 1"), "s"), "apart")
+    own = _own_shingles(texts.join(apart.select("fp").distinct(), "fp", "left_semi"))
+    # what a pair can share at most; a class that can't share enough with any is left out
+    apart = apart.join(own, "fp", "left").withColumn("most_shared", F.col("size") - F.coalesce("own", F.lit(0))).where(LEAST[1] * F.col("most_shared") >= LEAST[0] * F.col("size"))
+    apart = written(apart.select("s", "n", "fp", "size", "c", "most", "most_shared"), "strays")
+    strays = apart.where("c <> most").select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p"), F.col("c").alias("c1"), F.col("most_shared").alias("h"))
+    rest = strays.join(apart.select("s", F.col("fp").alias("b"), F.col("size").alias("q"), "c", "most_shared"), "s")
+    rest = rest.where((F.col("c") != F.col("c1")) & (sum(LEAST) * F.least("h", "most_shared") >= LEAST[0] * (F.col("p") + F.col("q"))))
     return out.union(_verified(_near_in_size(rest), texts))
 
 
 def near_copies(docs: DataFrame, light: int = LIGHT) -> DataFrame:
     """docs (doc_id, text) to (doc_id, fp: the class, root, component_id), one row for each row, as of near_duplicates."""
     found = written(_classes(docs), "shingle-classes")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct-classes")
-    roots = written(components(links(distinct.select("fp", "size", "bands"), found.select("fp", "text"), light)), "roots").select(F.col("node").alias("fp"), "root")
+    distinct = written(found.groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "distinct-classes")
+    one = found.join(distinct.select("row"), "row", "left_semi")
+    heads = written(one.select("fp", "size", "sim", "bands"), "heads")
+    roots = written(components(links(heads, one.select("fp", "text"), light)), "roots").select(F.col("node").alias("fp"), "root")
     linked = distinct.select("fp", "first_id").join(roots, "fp")
     first = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(first, "root").select("fp", "root", "component_id")

@@ -42,8 +42,12 @@ def fingerprint(text: bytes | None, words: int = SHINGLE, seed: int = SEED) -> i
     if len(found) < words:
         return xxh64_intdigest(b" ".join(found), seed)
     n = len(found) - words + 1
-    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)), repeat(seed)), "<u8", n)
-    counts = np.zeros(64, np.int64)
+    return of_hashes(np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)), repeat(seed)), "<u8", n))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes: the bits that over half of them have."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
