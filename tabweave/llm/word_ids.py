@@ -24,9 +24,9 @@ _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Letters up to here (Latin, Greek, Cyrillic) are letters for the tokenizer and for Python alike.
 _SURE = "԰"
 #: So many words and bytes are remembered at most by default.
-MOST_WORDS, MOST_BYTES = 800_000, 96 << 20
-#: What an entry takes beside its characters and ids.
-_ENTRY = 160
+MOST_WORDS, MOST_BYTES = 800_000, 192 << 20
+#: What an entry takes beside its characters and ids, and a character.
+_ENTRY, _CHAR = 200, 2
 
 
 class WordIds:
@@ -51,12 +51,8 @@ class WordIds:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, word: str, ids: bytes) -> None:
-        self.young[word] = ids
-        self.held += _ENTRY + len(word) * (1 if word.isascii() else 4) + len(ids)
-
     def _encode(self, letters: list[str], others: list[str]) -> None:
-        width = self.kind.itemsize
+        put, width = self.young, self.kind.itemsize
         if letters:  # as one text, which is cheaper: with as many word ends as words, each word has one
             ids = self._ids([" ".join(letters)])[0]
             ends = (np.flatnonzero(self.word_end[ids]) + 1) * width
@@ -65,10 +61,9 @@ class WordIds:
             else:
                 flat, start = ids.tobytes(), 0
                 for word, end in zip(letters, ends.tolist(), strict=True):
-                    self._put(word, flat[start:end])
-                    start = end
-        for word, ids in zip(others, self._ids(others) if others else (), strict=True):
-            self._put(word, ids.tobytes())
+                    put[word], start = flat[start:end], end
+        if others:
+            put.update(zip(others, (x.tobytes() for x in self._ids(others)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         if len(self.young) > self.most or self.held > self.most_bytes:
@@ -77,9 +72,10 @@ class WordIds:
         whole: list[tuple[str, str, str]] = []
         letters: set[str] = set()
         others: set[str] = set()
-        for word in set(words).difference(young):
+        new = set(words).difference(young)
+        for word in new:
             if (known := old.get(word)) is not None:
-                self._put(word, known)
+                young[word] = known
                 continue
             core = word.rstrip(_PUNCTUATION)
             if not core.isalpha() or core[-1] >= _SURE or core[-1] == "İ":
@@ -87,7 +83,7 @@ class WordIds:
                 continue
             if core not in young:
                 if (known := old.get(core)) is not None:
-                    self._put(core, known)
+                    young[core] = known
                 else:
                     letters.add(core)
             if len(core) < len(word):
@@ -97,7 +93,9 @@ class WordIds:
                     others.add(tail)
         self._encode(list(letters), list(others))
         for word, core, tail in whole:
-            self._put(word, young[core] + young[tail])
+            young[word] = young[core] + young[tail]
+        # ids take less than their characters; cores and tails beside whole words count as much again
+        self.held += _ENTRY * (len(new) + 2 * len(whole)) + 2 * _CHAR * (sum(map(len, new)) + sum(len(w) for w, _, _ in whole))
 
     def _folded(self, text: str | None) -> str:
         text = text or ""

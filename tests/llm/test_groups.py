@@ -5,11 +5,12 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabweave.llm.components import components
-from tabweave.llm.sharding import difference, shard_documents
+from tabweave.llm.sharding import bundled, combine, difference, shard_documents
 from tabweave.llm.simhash import fingerprint, hex_fingerprint, keep_one, links, near_duplicates, ring
 from tabweave.llm.va_topk import top_k
 
@@ -43,8 +44,8 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("light", [4, 64, 10**6])
-def test_links_within_two_bits(spark, light):
+@pytest.mark.parametrize(("radius", "light"), [(2, 4), (2, 64), (2, 10**6), (1, 8), (5, 16)])
+def test_links_are_all_pairs_within_the_radius(spark, radius, light):
     rng = random.Random(3)
     found = {0, (1 << 64) - 1}
     for _ in range(4):
@@ -54,14 +55,13 @@ def test_links_within_two_bits(spark, light):
             for _ in range(rng.choice([0, 1, 2, 3, 5])):
                 x ^= 1 << rng.randrange(64)
             found.add(x)
+    dense = rng.getrandbits(64)  # all of 2^7 that differ in seven bits alone, which stay crowded for long
+    found |= {dense ^ sum((k >> i & 1) << 9 * i for i in range(7)) for k in range(128)}
     found = sorted(found)
-    pairs = [(signed(a), signed(b)) for i, a in enumerate(found) for b in found[:i] if (a ^ b).bit_count() <= 2]
+    pairs = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(found) for b in found[:i] if (a ^ b).bit_count() <= radius}
     df = spark.createDataFrame([(signed(x),) for x in found], "fp long")
-    got = links(df, light=light)
-    assert all((r.a ^ r.b) & ((1 << 64) - 1) != 0 and ((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2 for r in got.collect())
-    roots = {r.node: r.root for r in components(got).collect()}
-    assert {n: roots.get(n, n) for n in map(signed, found)} == joined(list(map(signed, found)), pairs)
-    assert sum(ring()) == (1 << 64) - 1
+    assert {(r.a, r.b) for r in links(df, radius, light).collect()} == pairs
+    assert sum(ring(radius)) == (1 << 64) - 1 and sum(ring(radius, 0xF0F)) == 0xF0F
 
 
 def near(text):
@@ -124,6 +124,33 @@ def test_shards(spark):
     assert shard_documents(nothing(spark)).count() == 0
 
 
+@pytest.mark.parametrize("items", [8, 64, 1 << 14])
+def test_shards_are_balanced(spark, items):
+    """Groups of several sizes, one large by its bytes and one by its rows: no shard is off by more than the smallest unit dealt."""
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 300)))) for i in range(3000)]
+    rows += [(5000 + i, "the large text of a group " * 20) for i in range(40)] + [(6000 + i, "") for i in range(900)] + [(None, "x")] * 50
+    got = shard_documents(documents(spark, rows, extra=False), shards=8, items=items).collect()
+    assert len(got) == len(rows)
+    sums, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sums[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sums.values()) - min(sums.values()) <= (0.06 if items == 8 else 0.002) * sum(sums.values()) / 8
+
+
+def test_bundles():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 500, 5000)
+    for bundles, chunk in ((16, 100), (64, 2048), (16, 10**6)):
+        at = bundled(sizes, bundles, chunk)
+        sums = np.bincount(at, sizes, bundles)
+        assert len(at) == 5000 and sums.max() - sums.min() <= 500
+    where, sums = combine(np.array([[9, 1], [5, 5], [8, 0]]))
+    assert sorted(sums) == [14, 14] and len(bundled(sizes[:0], 4)) == 0 and {tuple(w) for w in where.tolist()} <= {(0, 1), (1, 0)}
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_neighbours(spark, block):
     rng = random.Random(8)
@@ -142,3 +169,19 @@ def test_neighbours(spark, block):
             want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert top_k(df.where("false"), asked).count() == 0 and top_k(df, df.where("false")).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [3e9, 3e9]), (1, [3e9, 3e9]), (2, [-3e9, -3e9]), (3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        top_k(df, df.where("vec_id = 0"), k=2).collect()
+
+
+def test_large_components_in_range(spark):
+    """Products that a sum of doubles would round, and partial sums beyond 64 bits whose total fits."""
+    rows = [(0, [2.0**31, 2.0**31, 1.0]), (1, [2.0**31, -(2.0**31), 7.0]), (2, [2.0**30, 3.0, 5.0]), (3, [2.0**30, 3.0, 4.0]), (4, [-(2.0**31), 2.0**31, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0"), k=4, scale=1).orderBy("rank").collect()]
+    dot = lambda v: sum(int(a) * int(b) for a, b in zip(rows[0][1], v))
+    assert got == [(k, i, -s) for k, (s, i) in enumerate(sorted((-dot(v), i) for i, v in rows[1:]), 1)]
