@@ -180,8 +180,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, width: int
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, ends = store.bounded(text)
+            for doc_id, (ids, ends) in zip(b.column(0).to_pylist(), store.bounded(b.column(1).to_pylist()), strict=True):
                 waiting.add(doc_id, np.concatenate([ids, end]), ends)
                 if waiting.n >= block:
                     yield from out(False)

@@ -145,13 +145,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             done.append((part, roll, file.uri, len(file.ends), file.n_ids))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), store.ids(batch.column(1).to_pylist()), strict=True):
                 if file is not None and (file.n_ids >= file_ids or len(file.ends) >= FILE_DOCS):
                     finish()
                     file, roll = None, roll + 1
                 if file is None:
                     file = TokenFileWriter(f"{folder}/ids-{part:06d}-{roll:04d}-{uuid.uuid4().hex}.twids", store.kind.itemsize)
-                file.add(doc_id, store.ids(text) + end)
+                file.add(doc_id, ids + end)
         if file is not None:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "roll", "path", "docs", "ids"])

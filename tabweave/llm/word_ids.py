@@ -12,6 +12,7 @@ and without the beginning of a special token, which the tokenizer looks for in t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,10 +20,16 @@ import numpy as np
 _NOT_FOLDED = re.compile("[İɐ-\U0010ffff]")
 #: How the tokenizer's special tokens begin.
 _SPECIAL = "<|"
-#: Behind a word of letters the tokenizer takes a run of these apart before any merge.
-_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Letters up to here (Latin, Greek, Cyrillic) are letters for the tokenizer and for Python alike.
 _SURE = "԰"
+_LETTERS = "".join(c for c in map(chr, range(ord(_SURE))) if c.isalpha() and c != "İ")
+#: Behind a word of letters the tokenizer takes a run of these apart before any merge.
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Marks that mostly stand at a word's end, and what one may not stand behind if it is to be a word of its own.
+_MARKS = ".,!?;:"
+_IN_RUN = re.compile(f"[^{_LETTERS}0-9 \n][{_MARKS}][ \n]")
+#: Characters of texts that are encoded together.
+CHUNK = 1 << 20
 #: So many words and bytes are remembered at most by default.
 MOST_WORDS, MOST_BYTES = 800_000, 192 << 20
 #: What an entry takes beside its characters and ids, and a character.
@@ -33,18 +40,20 @@ class WordIds:
     """Encodes words with a tokenizers file and remembers up to `most` of them, in about `most_bytes` of memory.
 
     Two generations are kept: when the young one is full it becomes the old one,
-    and words met again move over. Beyond the bound only the words of one text are held.
+    and words met again move over. Beyond the bound only the words of one chunk of texts are held.
     """
 
     def __init__(self, path: str, most: int = MOST_WORDS, most_bytes: int = MOST_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), max(1, most // 2), most_bytes // 2
-        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() >= (1 << 16) - 1 else "<u2")
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.word_end[i] = piece.endswith("</w>")
-        self.young: dict[str, bytes] = {"": b""}
+        self.line_end = np.iinfo(self.kind).max  # no id; stands for a line feed among ids
+        self.fixed = {"": b"", "\n": np.array([self.line_end], self.kind).tobytes()}
+        self.young: dict[str, bytes] = dict(self.fixed)
         self.old: dict[str, bytes] = {}
         self.held = 0  # bytes of the young ones
 
@@ -65,67 +74,80 @@ class WordIds:
         if others:
             put.update(zip(others, (x.tobytes() for x in self._ids(others)), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        """Makes all of the words young."""
         if len(self.young) > self.most or self.held > self.most_bytes:
-            self.old, self.young, self.held = self.young, {"": b""}, 0
+            self.old, self.young, self.held = self.young, dict(self.fixed), 0
         young, old = self.young, self.old
+        new = words.difference(young)
+        self.held += _ENTRY * len(new) + 2 * _CHAR * sum(map(len, new))  # ids take less than their characters
+        if known := new.intersection(old):
+            young.update(zip(known, map(old.__getitem__, known), strict=True))
+            new -= known
+        letters = list(filter(str.isalpha, new))
         whole: list[tuple[str, str, str]] = []
-        letters: set[str] = set()
+        more: set[str] = set()
         others: set[str] = set()
-        new = set(words).difference(young)
-        for word in new:
-            if (known := old.get(word)) is not None:
-                young[word] = known
-                continue
+        for word in new.difference(letters):
             core = word.rstrip(_PUNCTUATION)
-            if not core.isalpha() or core[-1] >= _SURE or core[-1] == "İ":
+            if core == word or not core.isalpha() or core[-1] >= _SURE or core[-1] == "İ":
                 others.add(word)
                 continue
-            if core not in young:
-                if (known := old.get(core)) is not None:
-                    young[core] = known
-                else:
-                    letters.add(core)
-            if len(core) < len(word):
-                tail = word[len(core) :]
-                whole.append((word, core, tail))
-                if tail not in young:
-                    others.add(tail)
-        self._encode(list(letters), list(others))
+            tail = word[len(core) :]
+            whole.append((word, core, tail))
+            if core not in young and core not in new:
+                more.add(core)
+            if tail not in young and tail not in new:
+                others.add(tail)
+        self._encode(letters + list(more), list(others))
         for word, core, tail in whole:
             young[word] = young[core] + young[tail]
-        # ids take less than their characters; cores and tails beside whole words count as much again
-        self.held += _ENTRY * (len(new) + 2 * len(whole)) + 2 * _CHAR * (sum(map(len, new)) + sum(len(w) for w, _, _ in whole))
 
     def _folded(self, text: str | None) -> str:
+        """The text with blanks of one kind, small where that is safe, and marks apart from the words they end."""
         text = text or ""
-        return text if _SPECIAL in text or _NOT_FOLDED.search(text) else text.lower()
-
-    def _joined(self, line: str) -> bytes:
-        words = line.split(" ")
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.young.__getitem__, words))
-
-    def ids(self, text: str | None) -> bytes:
-        """The text's ids as little-endian integers of the store's width."""
-        return self._joined(self._folded(text).replace("\n", " ").replace("\t", " ").replace("\r", " "))
-
-    def bounded(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and the places in them that end a sentence or a line, ascending."""
-        text = self._folded(text).replace("\t", " ").replace("\r", " ")
-        for mark in ".!?":
-            text = text.replace(f"{mark} ", f"{mark}\n")
-        parts = text.split("\n")
-        try:
-            found = [b"".join(map(self.young.__getitem__, part.split(" "))) for part in parts]
-        except KeyError:  # all words of the text at a time, since each call of the tokenizer costs
-            self._learn(text.replace("\n", " ").split(" "))
-            found = [b"".join(map(self.young.__getitem__, part.split(" "))) for part in parts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes[sizes > 0]) // self.kind.itemsize
+        text = text if _SPECIAL in text or _NOT_FOLDED.search(text) else text.lower()
+        if "\t" in text or "\r" in text:
+            text = text.replace("\t", " ").replace("\r", " ")
+        if not _IN_RUN.search(text):
+            for mark in _MARKS:
+                text = text.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
+        return text
+
+    def _chunks(self, texts: Iterable[str | None]) -> Iterator[list[str]]:
+        held, size = [], 0
+        for text in texts:
+            held.append(self._folded(text))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+        yield held
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Each text's ids as little-endian integers of the store's width."""
+        for chunk in self._chunks(texts):
+            found = [text.replace("\n", " ").split(" ") for text in chunk]
+            self._learn(set().union(*found))
+            for words in found:
+                yield b"".join(map(self.young.__getitem__, words))
+
+    def bounded(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's ids, and the places in them that end a sentence or a line, ascending."""
+        for chunk in self._chunks(texts):
+            found = []
+            for text in chunk:
+                text = text.replace("\n", " \n ")
+                for mark in ".!?":
+                    text = text.replace(f"{mark} ", f"{mark} \n ")
+                found.append(text.split(" "))
+            self._learn(set().union(*found))
+            for words in found:
+                ids = np.frombuffer(b"".join(map(self.young.__getitem__, words)), self.kind)
+                ends = np.flatnonzero(ids == self.line_end)
+                ids, ends = np.delete(ids, ends), np.unique(ends - np.arange(len(ends)))
+                ends = ends[ends > 0]
+                yield ids, ends if len(ends) and ends[-1] == len(ids) or not len(ids) else np.append(ends, len(ids))
 
 
 @lru_cache(maxsize=2)
