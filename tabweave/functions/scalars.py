@@ -8,6 +8,7 @@ cells, `leading_number` reads as much of a number as stands at a cell's beginnin
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ DECIMAL = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 LEADING = rf"^{BLANK}*([+-]?(?:Infinity|{DECIMAL}))"
 WHOLE = rf"^[+-]?(?:Infinity|{DECIMAL})$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
+#: Prefixes of numbers in other bases: the base, its digits, and how many of them a double surely holds; twice as many are read.
+BASES = {"0x": (16, "0-9a-fA-F", 13), "0o": (8, "0-7", 17), "0b": (2, "01", 52)}
 
 
 def trimmed(c: Column) -> Column:
@@ -31,36 +34,51 @@ def _kind(kind: T.DataType | None) -> T.DataType:
 
 
 def text_of(c: Column, kind: T.DataType | None = None) -> Column:
-    """The text of a cell; null stays null. Whole doubles have no fraction, exponents begin at 1e21 and below 1e-6."""
+    """The text of a cell; null stays null. Whole doubles have no fraction, exponents begin at 1e21 and below 1e-6.
+
+    A double has as few digits as tell it from its neighbours (but for a few below 1e-300, which get one more).
+    """
     kind = _kind(kind)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        plain = c.cast("string")
-        wide = F.regexp_replace(F.regexp_replace(plain.try_cast("decimal(38,16)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-        exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), "E-", "e-"), r"E(\d)", "e+$1")
-        size = F.abs(c)
+        plain, size = c.cast("string"), F.abs(c)
+        # Java's own text may have a digit too many
+        short = F.upper(F.format_string("%.15e", c.cast("double")))
+        sign = F.when(c < 0, "-").otherwise("")
         return (
             F.when(F.isnan(c), "NaN")
             .when(size == math.inf, F.when(c > 0, "Infinity").otherwise("-Infinity"))
             .when((c == F.floor(c)) & (size < 1e15), c.cast("long").cast("string"))
-            .when((size < 1e21) & (size >= 1e-6), wide)
-            .when(c.isNotNull(), exponent)
+            .when((F.length(plain) > 17) & (short.cast("double") == c), F.concat(sign, _shifted(short, size)))
+            .when(~F.contains(plain, F.lit("E")), plain)
+            .when(c.isNotNull(), F.concat(sign, _shifted(plain, size)))
         )
     return c.cast("string")
 
 
+def _shifted(plain: Column, size: Column) -> Column:
+    """The digits of a text like `1.25E-5` with the point where its exponent says, or with an exponent of the other form."""
+    one, more = F.regexp_extract(plain, r"(\d)\.", 1), F.nullif(F.rtrim(F.regexp_extract(plain, r"\.(\d+)E", 1), F.lit("0")), F.lit(""))
+    digits = F.concat(one, F.coalesce(more, F.lit("")))
+    e, n = F.regexp_extract(plain, r"E([+-]?\d+)$", 1).try_cast("int"), F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    large = F.when(n <= e + 1, F.concat(digits, zeros(e + 1 - n))).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+    small = F.concat(F.lit("0."), zeros(-e - 1), digits)
+    exponent = F.concat(one, F.coalesce(F.concat(F.lit("."), more), F.lit("")), F.when(e < 0, "e").otherwise("e+"), e.cast("string"))
+    return F.when((size < 1e21) & (size >= 1), large).when((size < 1) & (size >= 1e-6), small).otherwise(exponent)
+
+
 def number_of(c: Column, kind: T.DataType | None = None) -> Column:
-    """The number that a whole cell is read as; null for what is none. Nulls and blank texts are zero, true is one."""
+    """The number that a whole cell is read as; null for what is none. Nulls and blank texts are zero, true is one.
+
+    Hexadecimal, octal and binary numbers are read up to 26, 34 and 104 digits; longer ones are none.
+    """
     kind = _kind(kind)
     if isinstance(kind, T.StringType):
         s = trimmed(c)
-        base = F.lower(F.substring(s, 1, 2))
-        digits = F.substring(s, 3, 400)
-        based = (
-            F.when((base == "0x") & digits.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(digits, 16, 10))
-            .when((base == "0o") & digits.rlike("^[0-7]{1,20}$"), F.conv(digits, 8, 10))
-            .when((base == "0b") & digits.rlike("^[01]{1,62}$"), F.conv(digits, 2, 10))
-            .try_cast("double")
-        )
+        prefix, digits = F.lower(F.substring(s, 1, 2)), F.substring(s, 3, 400)
+        based = F.lit(None).cast("double")
+        for begin, (base, kinds, half) in BASES.items():
+            based = F.when((prefix == begin) & digits.rlike(f"^[{kinds}]{{1,{2 * half}}}$"), _based(digits, base, half)).otherwise(based)
         return F.when(c.isNull() | (s == ""), F.lit(0.0)).when(s.rlike(WHOLE), s.try_cast("double")).otherwise(based)
     if isinstance(kind, T.BooleanType):
         return F.coalesce(c.cast("int").cast("double"), F.lit(0.0))
@@ -69,6 +87,13 @@ def number_of(c: Column, kind: T.DataType | None = None) -> Column:
     return c.cast("string").try_cast("double")
 
 
+def _based(digits: Column, base: int, half: int) -> Column:
+    """The number of up to 2 * half digits of a base; either half is a whole double, so their sum is rounded once."""
+    part = lambda x: F.coalesce(F.conv(F.nullif(x, F.lit("")), base, 10).try_cast("double"), F.lit(0.0))
+    n = F.length(digits)
+    return part(F.substr(digits, F.lit(1), F.greatest(n - half, F.lit(0)))) * float(base**half) + part(F.substr(digits, F.greatest(n - half, F.lit(0)) + 1))
+
+
 def leading_number(c: Column, kind: T.DataType | None = None) -> Column:
     """The number at a cell's beginning (`12abc` is 12, `1,234` is 1); null if there is none."""
     if isinstance(_kind(kind), T.NumericType):
@@ -110,7 +135,9 @@ def text_of_value(v: object) -> str:
         if v == int(v) and abs(v) < 1e21:
             return str(int(v))
         text = repr(v)
-        return text.replace("e-0", "e-") if "e" in text else text
+        if "e" not in text:
+            return text
+        return format(Decimal(text), "f") if 1e-6 <= abs(v) < 1 else text.replace("e-0", "e-")
     return str(v)
 
 
@@ -127,6 +154,5 @@ def number_of_value(v: object) -> float | None:
         return 0.0
     if re.fullmatch(WHOLE.strip("^$"), s):
         return float(s.replace("Infinity", "inf"))
-    if m := re.fullmatch(r"0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)", s):
-        return float(int(s, 0))
-    return None
+    base, kinds, half = BASES.get(s[:2].lower(), (10, "", 0))
+    return float(int(s[2:], base)) if kinds and re.fullmatch(f"[{kinds}]{{1,{2 * half}}}", s[2:]) else None

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.scalars import ISO_DATE, instant_of, is_blank, number_of, number_of_value, text_of, text_of_value, trimmed
 
-#: A map of more entries is joined, if its size is checked, rather than put into the plan.
-MOST_LITERALS = 2000
+#: A map of more entries is joined as a table rather than put into the plan as a literal.
+MOST_LITERALS = 200
+#: Entries of a table that are put into one partition.
+ENTRIES_PER_PART = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,24 +53,62 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _key(spec: ValueMap, schema: Schema) -> Column:
+    return F.lower(trimmed(text_of(column(spec.column), schema[spec.column])))
+
+
+def _chosen(spec: ValueMap, schema: Schema, hit: Column) -> Column:
+    """The entry that was hit, or what stands for values without one; null for blank cells."""
+    raw, kind = column(spec.column), schema[spec.column]
+    other = text_of(raw, kind) if spec.keep_others else F.lit(None).cast("string")
+    return F.when(~is_blank(raw, kind), F.coalesce(hit, other))
+
+
 def mapped_value(spec: ValueMap, schema: Schema) -> Column:
-    """The replaced value of each row; null for blank cells."""
+    """The replaced value of each row; null for blank cells. A map of more than MOST_LITERALS entries needs `prepared`."""
     if spec.column not in schema:
         return F.lit(None).cast("string")
-    raw = column(spec.column)
-    text = text_of(raw, schema[spec.column])
     entries = spec.entries()
     if len(entries) > MOST_LITERALS:
-        raise ValueError(f"a value map of {len(entries)} entries is too large for the plan; join it as a table")
-    other = text if spec.keep_others else F.lit(None).cast("string")
-    if not entries:
-        found = other
-    else:
-        key = F.lower(trimmed(text))
-        table = F.create_map(*(F.lit(x) for kv in entries.items() for x in kv))
-        hit = F.try_element_at(table, key)
-        found = F.when(F.array_contains(F.map_keys(table), key), hit).otherwise(other)
-    return F.when(~is_blank(raw, schema[spec.column]), found)
+        raise ValueError(f"a value map of {len(entries)} entries is joined by apply_filters or prepared, not written into a plan")
+    hit = F.lit(None).cast("string")
+    if entries:
+        hit = F.try_element_at(F.create_map(*(F.lit(x) for kv in entries.items() for x in kv)), _key(spec, schema))
+    return _chosen(spec, schema, hit)
+
+
+def entry_table(spark: SparkSession, spec: ValueMap, key: str, value: str) -> DataFrame:
+    """A map's entries as a table of one row for each key, whose size Spark knows."""
+    rows = list(spec.entries().items())
+    df = spark.createDataFrame(rows, f"`{key}` string, `{value}` string")
+    return df.repartition(-(-len(rows) // ENTRIES_PER_PART), key) if len(rows) > ENTRIES_PER_PART else df
+
+
+def prepared(df: DataFrame, filters: Sequence[Filter]) -> tuple[DataFrame, Column]:
+    """df with a column for each large value map, and the condition that every filter holds.
+
+    A large map is joined by its keys, each of which it has once, so no row is lost or repeated. Spark broadcasts it if it
+    is small enough for that, else both sides are dealt by the key.
+    """
+    schema, keep = schema_of(df), F.lit(True)
+    for f, name in zip(filters, _names(df), strict=False):
+        spec = f.value_map
+        if spec is None or spec.column not in schema or len(spec.entries()) <= MOST_LITERALS:
+            keep = keep & predicate(f, schema)
+            continue
+        table = entry_table(df.sparkSession, spec, f"{name}_key", f"{name}_hit")
+        df = df.withColumn(name, _key(spec, schema)).join(table, F.col(name) == F.col(f"{name}_key"), "left").drop(name, f"{name}_key")
+        keep = keep & _on_map(f, _chosen(spec, schema, F.col(f"{name}_hit")))
+    return df, keep
+
+
+def _names(df: DataFrame) -> Iterator[str]:
+    """Names that df doesn't have."""
+    taken, i = {c.lower() for c in df.columns}, 0
+    while True:
+        if not any(c.startswith(f"__map{i}") for c in taken):
+            yield f"__map{i}"
+        i += 1
 
 
 def _any(values: Iterable[str], test: Callable[[str], Column]) -> Column:
@@ -93,8 +133,7 @@ _NEGATIONS = {"notEquals": "equals", "notContains": "contains", "notStartsWith":
 _ORDERS: dict[str, Callable[[Column, Column], Column]] = {"gt": lambda a, b: a > b, "lt": lambda a, b: a < b, "gte": lambda a, b: a >= b, "lte": lambda a, b: a <= b}
 
 
-def _on_map(f: Filter, schema: Schema) -> Column:
-    value = mapped_value(f.value_map, schema)
+def _on_map(f: Filter, value: Column) -> Column:
     there = value.isNotNull() & (value != "")
     if f.operator in ("set", "notSet"):
         return F.coalesce(there, F.lit(False)) if f.operator == "set" else ~F.coalesce(there, F.lit(False))
@@ -129,7 +168,7 @@ def predicate(f: Filter, schema: Schema) -> Column:
     An operator that isn't known keeps the row. `notStartsWith` and `notEndsWith` on a plain column are carried out.
     """
     if f.value_map is not None:
-        return _on_map(f, schema)
+        return _on_map(f, mapped_value(f.value_map, schema))
     kind = schema.get(f.column or "")
     cell = column(f.column) if kind is not None else F.lit(None).cast("string")
     if f.operator in ("set", "notSet"):
@@ -151,7 +190,5 @@ def predicate(f: Filter, schema: Schema) -> Column:
 
 def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     """The rows on which every filter holds."""
-    schema = schema_of(df)
-    for f in filters:
-        df = df.where(predicate(f, schema))
-    return df
+    held, keep = prepared(df, filters)
+    return held.where(keep).select(*(column(c) for c in df.columns)) if len(held.columns) > len(df.columns) else df.where(keep)

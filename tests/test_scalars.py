@@ -11,7 +11,7 @@ from tabweave.operators.project import coerced, resolve_columns
 def test_numbers(spark):
     cases = {
         "12abc": (None, 12.0), "1,234": (None, 1.0), "0x10": (16.0, 0.0), " 42 ": (42.0, 42.0), "": (0.0, None), None: (0.0, None), "1e3": (1000.0, 1000.0), ".5": (0.5, 0.5), "-.5x": (None, -0.5),
-        "1d": (None, 1.0), "NaN": (None, None), "Infinity": (math.inf, math.inf), "007": (7.0, 7.0), "1.": (1.0, 1.0), " 7 ": (7.0, 7.0), "true": (None, None), "0b11": (3.0, 0.0), "+5": (5.0, 5.0), "1e": (None, 1.0),
+        "1d": (None, 1.0), "NaN": (None, None), "Infinity": (math.inf, math.inf), "007": (7.0, 7.0), "1.": (1.0, 1.0), " 7 ": (7.0, 7.0), "true": (None, None), "0b11": (3.0, 0.0), "0X" + "f" * 26: (float(16**26), 0.0), "0x" + "f" * 27: (None, 0.0), "0xFFFFFFFFFFFFFFF1": (float(0xFFFFFFFFFFFFFFF1), 0.0), "0o" + "7" * 20: (float(8**20 - 1), 0.0), "0o8": (None, 0.0), "+5": (5.0, 5.0), "1e": (None, 1.0),
     }
     df = spark.createDataFrame([(k,) for k in cases], "c string")
     for r in df.select("c", number_of(F.col("c")).alias("n"), leading_number(F.col("c")).alias("p"), dirty_cast(F.col("c")).alias("d")).collect():
@@ -21,7 +21,7 @@ def test_numbers(spark):
 
 
 def test_texts_of_doubles(spark):
-    cases = {1.0: "1", -0.5: "-0.5", 1e21: "1e+21", 123456789.25: "123456789.25", 1e-7: "1e-7", 0.001: "0.001", 0.0001: "0.0001", 1e20: "100000000000000000000", math.inf: "Infinity"}
+    cases = {1.0: "1", -0.5: "-0.5", 1e21: "1e+21", 123456789.25: "123456789.25", 1e-7: "1e-7", 0.001: "0.001", 0.0001: "0.0001", 1e20: "100000000000000000000", math.inf: "Infinity", 1 / 30: "0.03333333333333333", 0.1 + 0.2: "0.30000000000000004", -1.5e-6: "-0.0000015", 1.25e20: "125000000000000000000", -1.25e25: "-1.25e+25", 2.0**-44: "5.684341886080802e-14", 2e23: "2e+23", 9007199254740993.5e-20: "0.00009007199254740993", 123456.789e10: "1234567890000000", 12345678.9: "12345678.9", -0.0: "0"}
     df = spark.createDataFrame([(k,) for k in cases], "c double")
     for r in df.select("c", text_of(F.col("c"), T.DoubleType()).alias("t")).collect():
         assert r.t == cases[r.c], r
