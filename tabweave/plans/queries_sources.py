@@ -13,8 +13,8 @@ from tabweave.operators.order_page import ROW
 from tabweave.operators.sampling import all_texts
 from tabweave.plans.inputs import CELLS_SQL, cells, table
 from tabweave.session import scratch
-from tabweave.sources.files import collect_files, json_shape, read_any, read_delimited, read_json, read_lines_range, read_parquet, sniff_delimiter, split_line, with_row_index
-from tabweave.streaming.folder_watch import changes, on_new_files, stream_folder
+from tabweave.sources.files import collect_files, json_shape, read_any, read_delimited, read_json, read_lines_range, read_parquet, signature, sniff_delimiter, split_line, too_large, with_row_index
+from tabweave.streaming.folder_watch import changes, on_new_files, poll, stream_folder
 
 _KEPT = ["k", "vendor", "cost", "placed", "region"]
 _FILLED = "coalesce(k, '') AS k, coalesce(trim(vendor), '') AS vendor, coalesce(trim(cost), '') AS cost, coalesce(placed, '') AS placed, region"
@@ -78,6 +78,72 @@ def json_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, collect_files(spark, f"{folder}/t", ["txt"]).first().path)
 
 
+def json_long_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in a .json file whose first one is far longer than the others."""
+    folder = scratch(spark, "json")
+    df = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") == 0, F.repeat(F.lit("a {[ "), F.lit(20_000))).otherwise(F.col("n_name")).alias("n_name"))
+    df.coalesce(1).sortWithinPartitions("n_nationkey").write.mode("overwrite").json(f"{folder}/t")
+    return read_json(spark, collect_files(spark, f"{folder}/t", ["json"]).first().path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.length("n_name").alias("size"))
+
+
+def json_wrapper_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wrapper's array behind a long field, and one of less standing before it; an array of numbers."""
+    folder = scratch(spark, "json")
+    rows = [r.asDict() for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    for name, held in (("a", {"note": "x]}, " * 50_000, "value": [1, 2], "items": rows}), ("b", [r["n_nationkey"] for r in rows])):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(json.dumps(held).encode()))
+        out.close()
+    a, b = (read_json(spark, f"{folder}/{n}.json") for n in "ab")
+    return a.join(b, a.n_nationkey == b.value).selectExpr("CAST(value AS INT) AS value", "n_name")
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows short and long: filled and cut, or refused."""
+    folder = scratch(spark, "ragged")
+    _put(spark, f"{folder}/r.csv", b"a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    _put(spark, f"{folder}/g.csv", b"a,b,c\n1,2,3\n")
+
+    def outcome(name: str, strict: bool) -> str:
+        try:
+            return "|".join(",".join(r) for r in sorted(map(tuple, read_delimited(spark, f"{folder}/{name}", strict=strict).collect())))
+        except Exception as e:
+            return "refused" if "MALFORMED" in str(e) or "Malformed" in str(e) else str(e)
+
+    return spark.createDataFrame([(n, s, outcome(n, s)) for n in ("r.csv", "g.csv") for s in (False, True)], "file string, strict boolean, outcome string")
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files within a cap and beyond it, and how their signatures are made."""
+    folder = scratch(spark, "sizes")
+    for n in (10, 1000):
+        _put(spark, f"{folder}/{n}", b"x" * n)
+    rows = [(n, too_large(spark, f"{folder}/{n}", 100), signature(spark, f"{folder}/{n}", 100).startswith("sha:"), signature(spark, f"{folder}/{n}") == signature(spark, f"{folder}/{n}")) for n in (10, 1000)]
+    return spark.createDataFrame(rows, "size int, too_large boolean, by_content boolean, stable boolean")
+
+
+def watch_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What polls of a folder tell: nothing of what was there, then what has come, changed and gone."""
+    folder = scratch(spark, "polled")
+    for name in ("old.csv", "gone.csv", "same.csv"):
+        _put(spark, f"{folder}/in/{name}", b"a")
+    found = [(0, r.path, r.change) for r in poll(spark, f"{folder}/in", f"{folder}/state", stable_seconds=0).collect()]
+    _put(spark, f"{folder}/in/old.csv", b"ab")
+    _put(spark, f"{folder}/in/new.json", b"{}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/gone.csv")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+    found += [(k, r.path, r.change) for k, wait in ((1, 1000), (2, 0), (3, 0)) for r in poll(spark, f"{folder}/in", f"{folder}/state", stable_seconds=wait).collect()]
+    return spark.createDataFrame([(k, p.rpartition("/")[2], c) for k, p, c in found], "poll int, file string, change string")
+
+
 def parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
 
@@ -155,6 +221,11 @@ ENTRIES = {
     "source_json_array": (_json(lambda rows: rows), _NATION),
     "source_json_wrapped": (_json(lambda rows: {"count": len(rows), "nested": {"data": [1]}, "results": rows}), _NATION),
     "source_json_object": (_json(lambda rows: rows[3]), f"{_NATION} ORDER BY n_nationkey LIMIT 1 OFFSET 3"),
+    "source_json_long_first": (json_long_first, "SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 100000 ELSE length(n_name) END AS INTEGER) AS size FROM nation"),
+    "source_json_wrapper_behind": (json_wrapper_behind, "SELECT n_nationkey AS value, n_name FROM nation"),
+    "source_ragged": (ragged, "SELECT * FROM (VALUES ('r.csv', FALSE, '1,2,3|4,5,|6,7,8'), ('r.csv', TRUE, 'refused'), ('g.csv', FALSE, '1,2,3'), ('g.csv', TRUE, '1,2,3')) t(file, strict, outcome)"),
+    "source_size_cap": (sizes, "SELECT * FROM (VALUES (10, FALSE, TRUE, TRUE), (1000, TRUE, FALSE, TRUE)) t(size, too_large, by_content, stable)"),
+    "folder_polls": (watch_polls, "SELECT * FROM (VALUES (1, 'gone.csv', 'removed'), (2, 'new.json', 'added'), (2, 'old.csv', 'changed')) t(poll, file, change)"),
     "source_json_scalar": (json_scalar, "SELECT '' AS value WHERE FALSE"),
     "source_parquet": (parquet, "SELECT event_id, event_type, value FROM events"),
     "source_all_texts": (texts, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice, o_orderstatus FROM orders"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import re
+from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +15,13 @@ from pyspark.sql import types as T
 from tabweave.functions.normalize import distinct_names
 from tabweave.operators.filters import column
 from tabweave.operators.order_page import ROW
+from tabweave.session import scratch
 
 #: The name under which SQL finds a source.
 SOURCE_VIEW = "__agent_src__"
 #: Keys under which an object holds its rows, in the order in which they are tried.
 WRAPPERS = ("data", "items", "rows", "results", "records", "value")
 DELIMITERS = (",", ";", "|", "\t")
-HEAD_BYTES = 16 * 1024
 MAX_FILE_BYTES = 50 << 20
 
 
@@ -26,16 +30,6 @@ def _path(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> str:
-    """A file's beginning, wherever it lies."""
-    fs, where = _path(spark, path)
-    stream = fs.open(where)
-    try:
-        return bytes(stream.readNBytes(size)).decode("utf-8-sig", "ignore")
-    finally:
-        stream.close()
-
-
 def extension(path: str) -> str:
     return path.rstrip("/").rpartition(".")[2].lower()
 
@@ -56,14 +50,17 @@ def _named(df: DataFrame) -> DataFrame:
     return df.toDF(*distinct_names(df.columns))
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str | None = None, multi_line: bool = True, strict: bool = False, schema: T.StructType | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str | None = None, multi_line: bool | None = None, strict: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """A CSV or TSV file with a header line, as texts; blank and missing cells are empty texts, not nulls.
 
     Short and long rows are tolerated unless `strict`. With `multi_line` a quoted cell may hold line feeds, and
-    a file is read by one task; without, large files are split.
+    a file is read by one task; without, large files are split. None looks for a line with half a pair of quotes first.
     """
     one = path if isinstance(path, str) else path[0]
     delimiter = delimiter or ("\t" if extension(one) == "tsv" else ",")
+    if multi_line is None:
+        open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        multi_line = spark.read.text(path).where(open_quote).limit(1).count() > 0
     reader = spark.read.option("header", True).option("sep", delimiter).option("escape", '"').option("multiLine", multi_line)
     reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", False if strict else True)
     reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE")
@@ -75,9 +72,9 @@ def with_row_index(df: DataFrame) -> DataFrame:
     """df, read from files, with a row's place in file order as ROW: without gaps, whatever the splits."""
     marked = df.select("*", F.col("_metadata.file_path").alias("__p"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
     blocks = marked.groupBy("__p", "__b").agg(F.min("__i").alias("__low"), F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p", "__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    before = Window.orderBy("__p", "__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split; Spark broadcasts them if they are few
     starts = blocks.select("__p", "__b", "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return marked.join(F.broadcast(starts), ["__p", "__b"]).withColumn(ROW, F.col("__start") + F.col("__i") - F.col("__low")).drop("__p", "__b", "__i", "__low", "__start")
+    return marked.join(starts, ["__p", "__b"]).withColumn(ROW, F.col("__start") + F.col("__i") - F.col("__low")).drop("__p", "__b", "__i", "__low", "__start")
 
 
 def read_lines_range(spark: SparkSession, path: str, from_line: int = 1, to_line: int | None = None, delimiter: str = ",") -> DataFrame:
@@ -102,87 +99,146 @@ def split_line(line: str, delimiter: str = ",") -> list[str]:
     return [c.strip() for c in next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), [])]
 
 
+_TOKEN = re.compile(rb'\\.|["{}\[\],:]', re.DOTALL)
+#: A key is remembered up to so many bytes, more than any wrapper has.
+_KEY_BYTES = 64
+
+
+def json_pieces(file: BinaryIO, size: int = 1 << 20) -> Iterator[tuple[str, str]]:
+    """What a JSON file holds, read as a stream of `size` bytes at a time: (kind, text) for each element of an array, and at
+    the end ("shape", the shape).
+
+    Shapes: `array` (elements of that kind come before), `object`, `lines` (another object follows the first, which is all
+    that is read), `scalar`. Of an object the elements of arrays under WRAPPERS come, each array begun by an empty text;
+    their kind is the key.
+    """
+    depth, quoted, root, key, kind, inner, ended = 0, False, "", b"", None, 0, False
+    held, parts, name = b"", [], []
+
+    def element() -> tuple[str, str]:
+        text = b"".join(parts).decode("utf-8-sig" if not depth else "utf-8", "replace").strip().replace("\n", " ").replace("\r", " ")
+        parts.clear()
+        return kind, text
+
+    while chunk := file.read(size):
+        chunk, held = held + chunk, b""
+        if (len(chunk) - len(chunk.rstrip(b"\\"))) % 2:  # an escape goes on in the next chunk
+            chunk, held = chunk[:-1], chunk[-1:]
+        start = 0  # of what isn't in parts or name yet
+        if not root:
+            left = chunk.removeprefix(b"\xef\xbb\xbf").lstrip()
+            if not left:
+                continue
+            root = {b"[": "array", b"{": "object"}.get(left[:1], "scalar")
+            if root == "scalar":
+                break
+        if ended:
+            if left := chunk.strip():
+                root = "lines" if left[:1] == b"{" else root
+                break
+            continue
+        for m in _TOKEN.finditer(chunk):
+            token = m[0]
+            if quoted:
+                if token == b'"':
+                    quoted = False
+                    if depth == 1 and kind is None:
+                        name.append(chunk[start : m.start()][:_KEY_BYTES])
+                        key = b"".join(name)[:_KEY_BYTES]
+                continue
+            if token == b'"':
+                quoted = True
+                if depth == 1 and kind is None:
+                    name, start = [], m.end()
+            elif token in b"[{":
+                depth += 1
+                begins = root == "array" and depth == 1 or root == "object" and depth == 2 and token == b"[" and key.decode("utf-8", "replace") in WRAPPERS
+                if begins and kind is None:
+                    kind, inner, start = "array" if root == "array" else key.decode(), depth, m.end()
+                    yield kind, ""
+            elif token in b"]}":
+                if kind is not None and depth == inner:
+                    parts.append(chunk[start : m.start()])
+                    if (piece := element())[1]:
+                        yield piece
+                    kind = None
+                depth -= 1
+                key = b""
+                if not depth:
+                    ended = True
+                    if left := chunk[m.end() :].strip():
+                        root = "lines" if root == "object" and left[:1] == b"{" else root
+                        yield "shape", root
+                        return
+                    break
+            elif token == b"," and kind is not None and depth == inner:
+                parts.append(chunk[start : m.start()])
+                start = m.end()
+                yield element()
+            elif token == b"," and depth == 1:
+                key = b""
+        if kind is not None:
+            parts.append(chunk[start:])
+        elif quoted and depth == 1 and sum(map(len, name)) < _KEY_BYTES:
+            name.append(chunk[start:][:_KEY_BYTES])
+    yield "shape", root or "scalar"
+
+
 def json_shape(text: str) -> str:
-    """`array`, `lines`, `scalar`, `object`, or the wrapper's key, by a file's beginning."""
-    import json
-
-    text = text.lstrip()
-    if text[:1] == "[":
-        return "array"
-    if text[:1] != "{":
-        return "scalar"
-    try:
-        _, end = json.JSONDecoder().raw_decode(text)
-        if text[end:].lstrip()[:1] == "{":
-            return "lines"
-    except ValueError:
-        pass
-    # top-level keys whose value begins an array; what is cut off at the end doesn't matter
-    depth, i, found = 0, 0, set()
-    while i < len(text):
-        c = text[i]
-        if c == '"':
-            j = i + 1
-            while j < len(text) and text[j] != '"':
-                j += 2 if text[j] == "\\" else 1
-            key, rest = text[i + 1 : j], text[j + 1 :].lstrip()
-            if depth == 1 and rest[:1] == ":" and rest[1:].lstrip()[:1] == "[":
-                found.add(key)
-            i = j
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        i += 1
-    return next((w for w in WRAPPERS if w in found), "object")
-
-
-def another_follows(spark: SparkSession, path: str, size: int = 1 << 20) -> bool:
-    """An object comes after a file's first one, however long that is; no more than `size` bytes are held."""
-    import re
+    """`array`, `lines`, `scalar`, `object`, or the wrapper's key, by a file's text or its beginning."""
+    kinds, shape = [], ""
+    for kind, piece in json_pieces(io.BytesIO(text.encode())):
+        kinds.append(kind)
+        shape = piece if kind == "shape" else shape
+    return next((w for w in WRAPPERS if w in kinds), shape) if shape == "object" else shape
 
+
+def whole_path(spark: SparkSession, path: str) -> str:
+    """A path with its file system, for readers outside of Spark."""
     fs, where = _path(spark, path)
-    stream, depth, quoted, held = fs.open(where), 0, False, b""
-    try:
-        while chunk := bytes(stream.readNBytes(size)):
-            chunk, held = held + chunk, b""
-            if (len(chunk) - len(chunk.rstrip(b"\\"))) % 2:  # an escape goes on in the next chunk
-                chunk, held = chunk[:-1], chunk[-1:]
-            if quoted is None:  # the first one has ended
-                if left := chunk.lstrip():
-                    return left[:1] == b"{"
-                continue
-            for m in re.finditer(rb'\\.|["{}\[\]]', chunk, re.DOTALL):
-                if m[0] == b'"':
-                    quoted = not quoted
-                elif not quoted and m[0][:1] != b"\\":
-                    depth += 1 if m[0] in b"{[" else -1
-                    if not depth:
-                        if left := chunk[m.end() :].lstrip():
-                            return left[:1] == b"{"
-                        quoted = None
-                        break
-        return False
-    finally:
-        stream.close()
+    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
+def opened(uri: str) -> BinaryIO:
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri)
+    return where.open_input_file(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a JSON file: of its root array, of an array under a known key, of its lines, or one for an object; a scalar has none.
 
-    A .jsonl file is read by lines without a look at it.
+    A .jsonl file is read by lines without a look at it. An array is taken apart by one task, as a stream, into lines in the
+    shared folder, which are then read in parallel; elements that aren't objects become rows of one column, `value`.
     """
-    shape = "lines" if extension(path) == "jsonl" else json_shape(head(spark, path))
-    if shape not in ("array", "lines", "scalar") and another_follows(spark, path):
-        shape = "lines"
-    if shape == "scalar":
+    if extension(path) == "jsonl":
+        return _named(spark.read.json(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                rows, held = [], 0
+                with opened(uri) as file:
+                    for kind, text in json_pieces(file):
+                        kind = f"shape-{text}" if kind == "shape" else kind
+                        rows.append((text if text[:1] == "{" or kind.startswith("shape-") or not text else f'{{"value": {text}}}', kind))
+                        held += len(text)
+                        if held > 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=["value", "kind"])
+                            rows, held = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["value", "kind"])
+
+    folder = f"{scratch(spark, 'json')}/t"
+    spark.createDataFrame([(whole_path(spark, path),)], "path string").coalesce(1).mapInArrow(run, "value string, kind string").write.partitionBy("kind").text(folder)
+    fs, where = _path(spark, folder)
+    kinds = {s.getPath().getName().removeprefix("kind=") for s in fs.listStatus(where) if s.isDirectory()}
+    if "shape-scalar" in kinds:
         return spark.createDataFrame([], "value string")
-    df = spark.read.option("multiLine", shape != "lines").json(path)
-    if shape in WRAPPERS:
-        held = df.schema[shape].dataType.elementType
-        rows = df.select(F.explode(column(shape)).alias("row"))
-        df = rows.select("row.*") if isinstance(held, T.StructType) else rows.select(F.col("row").alias("value"))
-    return _named(df)
+    if "shape-lines" in kinds:
+        return _named(spark.read.json(path))
+    kind = "array" if "shape-array" in kinds else next((w for w in WRAPPERS if w in kinds), None)
+    return _named(spark.read.option("multiLine", True).json(path) if kind is None else spark.read.json(f"{folder}/kind={kind}"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -212,11 +268,13 @@ def too_large(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) -> boo
     return fs.getContentSummary(where).getLength() > most
 
 
-def signature(spark: SparkSession, path: str) -> str:
-    """Changes when the file is written anew: its size and time."""
-    fs, where = _path(spark, path)
-    status = fs.getFileStatus(where)
-    return f"{fs.getContentSummary(where).getLength()}-{status.getModificationTime()}"
+def signature(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) -> str:
+    """Changes when the file's content does: a hash of it, or size and time of a file of more than `most` bytes."""
+    if too_large(spark, path, most):
+        fs, where = _path(spark, path)
+        return f"{fs.getFileStatus(where).getModificationTime()}:{fs.getContentSummary(where).getLength()}"
+    one = spark.read.format("binaryFile").load(path).select(F.struct("path", F.sha2("content", 256).alias("sha")).alias("f"))
+    return "sha:" + one.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")).sha, "|"), 256).alias("sha")).first().sha  # as small as `most` bytes
 
 
 def register(df: DataFrame, view: str = SOURCE_VIEW) -> str:

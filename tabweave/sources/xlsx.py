@@ -5,12 +5,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabweave.functions.normalize import column_name
+from tabweave.functions.normalize import distinct_names
+from tabweave.session import scratch
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -87,43 +90,46 @@ def fullest_sheet(found: list[tuple[str, Rows]]) -> tuple[str, Rows]:
     return max(found, key=lambda s: sum(bool(_filled(r)) for r in s[1]))
 
 
-def header_names(cells: Sequence[str | None]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for i, c in enumerate(cells):
-        base = column_name((c or "").strip()) or f"column_{i + 1}"
-        n = seen.get(base, 0)
-        seen[base] = n + 1
-        out.append(f"{base}_{n}" if n else base)
-    return out
+def best_sheet(found: list[tuple[str, Rows]]) -> tuple[str, Rows]:
+    """The sheet that looks most like a table, by sheet_score, or the fullest one if none does."""
+    best = max(found, key=lambda s: sheet_score(s[1]))
+    return best if sheet_score(best[1]) else fullest_sheet(found)
 
 
-def table(data: bytes, sheet: str | None = None, header: int | None = None) -> tuple[list[str], Rows]:
-    """Column names and rows of a workbook. Without a sheet the best by sheet_score is taken, else the fullest one;
-    without a header row the first that looks like one, else the first."""
+def table(data: bytes, sheet: str | None = None, header: int | None = None, choose: Callable[[list[tuple[str, Rows]]], tuple[str, Rows]] = fullest_sheet) -> tuple[list[str], Rows]:
+    """Column names and rows of a workbook. Without a sheet `choose` takes one: the fullest for queries, best_sheet where
+    files are looked at for the first time. Without a header row the first that looks like one is taken, else the first."""
     found = list(sheets(data))
     if not found:
         return [], []
-    if sheet is not None:
-        rows = dict(found)[sheet]
-    else:
-        best = max(found, key=lambda s: sheet_score(s[1]))
-        rows = best[1] if sheet_score(best[1]) else fullest_sheet(found)[1]
+    rows = dict(found)[sheet] if sheet is not None else choose(found)[1]
     at = header if header is not None else max(0, header_row(rows))
     if at >= len(rows):
         return [], []
     width = max(len(r) for r in rows[at:])
-    names = header_names([*rows[at], *[None] * (width - len(rows[at]))])
+    names = distinct_names([*rows[at], *[None] * (width - len(rows[at]))])
     return names, [[*r, *[None] * (width - len(r))] for r in rows[at + 1 :] if _filled(r)]
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, header: int | None = None) -> DataFrame:
-    """A workbook's table as texts; empty cells are null. The file is read by the driver, as workbooks are small."""
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    names, rows = table(bytes(row.content), sheet, header)
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, header: int | None = None, choose: Callable[[list[tuple[str, Rows]]], tuple[str, Rows]] = fullest_sheet) -> DataFrame:
+    """A workbook's table as texts; empty cells are null. A task reads the file, and the driver gets the names alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                names, rows = table(data, sheet, header, choose)
+                for at in range(0, len(rows) + 1, 1000):
+                    part = rows[at : at + 1000] if at else [names, *rows[:1000]]
+                    place = range(at, at + len(part)) if at else range(-1, len(part) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(part, pa.list_(pa.string()))], names=["place", "cells"])
+
+    path_of = f"{scratch(spark, 'workbook')}/t"
+    spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "place long, cells array<string>").write.parquet(path_of)
+    held = spark.read.parquet(path_of)
+    names = held.where("place < 0").first().cells
     if not names:
         return spark.createDataFrame([], "column_1 string")
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    return held.where("place >= 0").select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def write_xlsx(found: dict[str, Sequence[Sequence[object]]]) -> bytes:

@@ -1,4 +1,4 @@
-"""Watching a folder: new files as a stream, and changes and deletions by comparing listings."""
+"""Watching a folder: new files as a stream, and what has come, changed and gone by comparing listings."""
 
 from __future__ import annotations
 
@@ -30,6 +30,27 @@ def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("cs
     return collect_files(spark, folder, extensions).where(F.unix_micros(F.current_timestamp()) - F.unix_micros("changed") >= int(stable_seconds * 1e6))
 
 
+def poll(spark: SparkSession, folder: str, state: str, extensions: tuple[str, ...] = ("csv", "tsv", "json", "xlsx", "parquet"), stable_seconds: float = STABLE_SECONDS) -> DataFrame:
+    """(path, change) since the last poll that kept its listing below `state`; the first one tells of nothing.
+
+    A file that was written within the last stable_seconds waits for a later poll, however often it is written until then.
+    The listing is kept before the changes are returned, so a change is told once. A row for each file is written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()) if fs.exists(path) else []
+    now = collect_files(spark, folder, extensions)
+    settled = F.unix_micros(F.current_timestamp()) - F.unix_micros("changed") >= int(stable_seconds * 1e6)
+    if not kept:
+        now.write.parquet(f"{state}/0")  # what is there already counts as seen
+        return spark.createDataFrame([], "path string, change string")
+    before = spark.read.parquet(f"{state}/{kept[-1]}")
+    restless = now.where(~settled).select("path")
+    after = now.where(settled).union(before.join(restless, "path", "left_semi").select(*now.columns))
+    after.write.parquet(f"{state}/{kept[-1] + 1}")
+    return changes(before, spark.read.parquet(f"{state}/{kept[-1] + 1}"))
+
+
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) between two listings: added, changed or removed."""
     a, b = before.select("path", F.struct("size", "changed").alias("was")), after.select("path", F.struct("size", "changed").alias("now"))

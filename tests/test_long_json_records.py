@@ -2,7 +2,7 @@
 
 import json
 
-from tabweave.sources.files import another_follows, read_any
+from tabweave.sources.files import WRAPPERS, json_pieces, read_any
 
 
 def test_json_lines_after_a_long_first_record(spark, tmp_path):
@@ -10,8 +10,28 @@ def test_json_lines_after_a_long_first_record(spark, tmp_path):
     for name in ("a.json", "a.jsonl"):
         (tmp_path / name).write_text("\n".join(map(json.dumps, rows)) + "\n")
         assert sorted(r.k for r in read_any(spark, str(tmp_path / name)).collect()) == list(range(5))
-    for size in (1, 7, 1000):
-        (tmp_path / "s.json").write_text(' {"a": "}\\\\\\"{", "b": [{}]} \n\n {"a": 1}')
-        assert another_follows(spark, str(tmp_path / "s.json"), size)
-    (tmp_path / "o.json").write_text(json.dumps(rows[0], indent=1) + "\n")
-    assert not another_follows(spark, str(tmp_path / "o.json"), 1000) and not another_follows(spark, str(tmp_path / "o.json"))
+
+
+def test_pieces_of_json_at_any_chunk_size():
+    import io
+    import random
+
+    rng = random.Random(1)
+
+    def value(depth=0):
+        k = rng.randrange(7 if depth < 3 else 5)
+        if k < 5:
+            return [rng.choice(['a"b\\', "x,]}[{:", "\n é", "data"]), 1.5, None, True, "z" * rng.randrange(100)][k]
+        return [value(depth + 1) for _ in range(rng.randrange(3))] if k == 5 else {rng.choice(["data", "a", "items"]): value(depth + 1) for _ in range(rng.randrange(3))}
+
+    for _ in range(1500):
+        size, made, indent = rng.choice([1, 2, 3, 7, 50, 1000]), {rng.choice(["data", "items", "rows", "meta", "x"]): value() for _ in range(rng.randrange(5))}, rng.choice([None, 1])
+        rows = [value() for _ in range(rng.randrange(5))]
+        got = list(json_pieces(io.BytesIO(json.dumps(rows, indent=indent).encode()), size))
+        assert got[-1] == ("shape", "array") and [json.loads(t) for _, t in got[:-1] if t] == rows
+        lines = rng.random() < 0.3
+        got = list(json_pieces(io.BytesIO((json.dumps(made, indent=indent) + ("\n\n{}" if lines else " \n")).encode()), size))
+        assert got[-1] == ("shape", "lines" if lines else "object")
+        for w in WRAPPERS:
+            mine = [t for k, t in got if k == w]
+            assert [json.loads(t) for t in mine if t] == made[w] if isinstance(made.get(w), list) else not mine
