@@ -11,33 +11,70 @@ from pyspark.sql import types as T
 from tabweave.functions.scalars import instant_of, is_blank, is_iso_date, leading_number, text_of
 from tabweave.operators.aggregate import Order
 from tabweave.operators.filters import column, schema_of
+from tabweave.session import scratch
 
 DEFAULT_LIMIT = 10_000
-ROW = "__row_idx"
+#: Pages that end further in are cut from a written order.
+TOP_ROWS = 20_000
+ROW, PLACE = "__row_idx", "__place"
 
 
-def sort_keys(name: str, kind: T.DataType, descending: bool) -> list[Column]:
-    """Columns to sort by in turn. Nulls come last; dates before numbers before other texts, each in its own order."""
+def sort_values(name: str, kind: T.DataType) -> list[Column]:
+    """What a field is sorted by, in turn, of cells that aren't null: dates before numbers before other texts, each in its own order."""
     cell = column(name)
+    if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return [cell]
     text = text_of(cell, kind)
-    typed = isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
-    way = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_last())
-    if typed:
-        return [cell.isNull().asc(), way(cell)]
     instant, number = instant_of(text), leading_number(text)
-    class_ = F.when(instant.isNotNull(), 0).when(number.isNotNull(), 1).otherwise(2)
-    return [cell.isNull().asc(), way(class_), way(F.coalesce(instant, number)), way(F.when(class_ == 2, F.collate(text, "UNICODE")))]
+    class_ = F.when(instant.isNotNull(), 0).when(number.isNotNull(), 1).when(text.isNotNull(), 2)
+    return [class_, F.coalesce(instant, number), F.when(class_ == 2, F.collate(text, "UNICODE"))]
 
 
 def ordered(df: DataFrame, order: Sequence[Order], ties: Sequence[str] = (ROW,)) -> DataFrame:
-    schema = schema_of(df)
-    keys = [k for o in order if o.field in schema for k in sort_keys(o.field, schema[o.field], o.descending)]
-    return df.orderBy(*keys, *(column(t).asc() for t in ties if t in schema))
+    """df in an order, nulls last both ways. What rows are sorted by is computed once for each, not for each comparison."""
+    schema, keys, made = schema_of(df), [], {}
+    for i, o in enumerate(order):
+        if o.field not in schema:
+            continue
+        keys.append(column(o.field).isNull().asc())
+        values = sort_values(o.field, schema[o.field])
+        if len(values) > 1:
+            made |= {f"__sort_{i}_{k}": v for k, v in enumerate(values)}
+            values = [F.col(f"__sort_{i}_{k}") for k in range(len(values))]
+        keys += [v.desc_nulls_last() if o.descending else v.asc_nulls_last() for v in values]
+    keys += [column(t).asc() for t in ties if t in schema]
+    out = df.withColumns(made) if made else df
+    return (out.orderBy(*keys) if keys else out).drop(*made)
 
 
 def top_page(df: DataFrame, order: Sequence[Order], limit: int | None = None, offset: int | None = None, ties: Sequence[str] = (ROW,)) -> DataFrame:
-    """Rows offset to offset + limit of the order; Spark keeps only so many rows in each task. No limit, or 0, means DEFAULT_LIMIT."""
-    return ordered(df, order, ties).offset(offset or 0).limit(limit or DEFAULT_LIMIT)
+    """Rows offset to offset + limit of the order. No limit, or 0, means DEFAULT_LIMIT.
+
+    Up to TOP_ROWS rows in, Spark keeps only so many rows in each task and merges them. Deeper pages are cut from the
+    whole order, which is sorted by ranges and written to the shared folder when the page is asked for.
+    """
+    first, n = offset or 0, limit or DEFAULT_LIMIT
+    if first + n <= TOP_ROWS:
+        return ordered(df, order, ties).offset(first).limit(n)
+    return _deep_page(ordered(df, order, ties), first, n)
+
+
+def _deep_page(sorted_df: DataFrame, first: int, n: int) -> DataFrame:
+    """A row's number tells its range and its place there; counts of the ranges, a row each, tell where the page lies."""
+    spark = sorted_df.sparkSession
+    path = f"{scratch(spark, 'order')}/t"
+    sorted_df.withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    ranges = held.groupBy(F.shiftright(PLACE, 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    at, low, high = 0, None, None
+    for r in ranges:
+        if low is None and at + r.n > first:
+            low = (r.range << 33) + first - at
+        if at < first + n:
+            high = (r.range << 33) + min(r.n, first + n - at)
+        at += r.n
+    page = held.where(F.lit(False)) if low is None else held.where((F.col(PLACE) >= low) & (F.col(PLACE) < high))
+    return page.orderBy(PLACE).drop(PLACE)
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int | None = None, ties: Sequence[str] = (ROW,)) -> DataFrame:

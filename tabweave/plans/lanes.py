@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave import __version__
+from tabweave.functions.scalars import WHOLE, dirty_cast, trimmed
 from tabweave.operators.aggregate import AggregationSpec, Order, aggregated, counters
-from tabweave.operators.filters import Filter, apply_filters, predicate, schema_of
-from tabweave.operators.order_page import ROW, page, top_page
+from tabweave.operators.filters import Filter, apply_filters, column, prepared, schema_of
+from tabweave.operators.order_page import ROW, page, sort_problem, top_page
+from tabweave.operators.profile import Profile
 from tabweave.operators.project import coerced_page, select_present
+from tabweave.operators.realign import realign, summarize
 from tabweave.sources.files import SOURCE_VIEW, register
 
 CONTRACT_VERSION = 2
@@ -36,14 +41,21 @@ class Request:
 
 @dataclass
 class Result:
-    """data is lazy; total_rows and diagnostics are counted when they are first asked for."""
+    """data is lazy; total_rows and diagnostics are counted when they are first asked for.
+
+    diagnostics always holds signature, signature_mismatch and order_field_absent; counters for an aggregation, and for
+    an ordered page whether a value of the order doesn't sort alike everywhere.
+    """
 
     data: DataFrame
     aggregation_applied: bool = False
+    signature: str | None = None
     signature_mismatch: bool = False
+    order_field_absent: bool = False
     _total: Callable[[], int] = field(default=lambda: -1, repr=False)
     _counters: Callable[[], dict] = field(default=dict, repr=False)
     contract_version: int = CONTRACT_VERSION
+    agent_version: str = __version__
 
     @cached_property
     def total_rows(self) -> int:
@@ -51,7 +63,7 @@ class Result:
 
     @cached_property
     def diagnostics(self) -> dict:
-        return self._counters()
+        return {"signature": self.signature, "signature_mismatch": self.signature_mismatch, "order_field_absent": self.order_field_absent} | self._counters()
 
     @property
     def columns(self) -> list[tuple[str, str]]:
@@ -59,28 +71,67 @@ class Result:
 
 
 def answer(df: DataFrame, request: Request, signature: str | None = None) -> Result:
-    """The answer to a request on a source. A signature other than the expected one gives no rows."""
+    """The answer to a request on a source. A signature other than the expected one gives no rows, and so does an order by
+    a field that no row has; both are flagged."""
     if request.expected_signature is not None and request.expected_signature != signature:
-        return Result(df.where(F.lit(False)), signature_mismatch=True)
+        return Result(df.where(F.lit(False)), signature=signature, signature_mismatch=True)
     if request.sql or request.detail_sql:
         out = run_sql(df, request.sql or request.detail_sql)
         out = coerced_page(out) if request.detail_sql and not request.sql else out
-        return Result(out, _total=out.count)
-    kept = apply_filters(df, request.filters)
+        return Result(out, signature=signature, _total=out.count)
     if request.aggregation:
-        keep = F.lit(True)
-        for f in request.filters:
-            keep = keep & predicate(f, schema_of(df))
-        out = aggregated(kept, request.aggregation)
-        return Result(out, True, _total=out.count, _counters=lambda: counters(df, keep, request.aggregation).first().asDict())
-    paged = top_page(kept, request.order, request.limit, request.offset, request.ties) if request.order else page(kept, request.limit, request.offset, request.ties)
-    return Result(select_present(paged, request.columns) if request.columns else paged, _total=kept.count)
+        held, keep = prepared(df, request.filters)
+        out = aggregated(held.where(keep), request.aggregation)
+        return Result(out, True, signature, _total=out.count, _counters=lambda: counters(held, keep, request.aggregation).first().asDict())
+    kept = apply_filters(df, request.filters)
+    if not request.order:
+        paged = page(kept, request.limit, request.offset, request.ties)
+        return Result(select_present(paged, request.columns) if request.columns else paged, signature=signature, _total=kept.count)
+    if any(o.field not in schema_of(df) for o in request.order):
+        return Result(df.where(F.lit(False)), signature=signature, order_field_absent=True, _total=kept.count)
+    paged = top_page(kept, request.order, request.limit, request.offset, request.ties)
+    unsafe = lambda: {"unsafe_sort_value": sort_problem(kept, request.order).first().unsafe_value}
+    return Result(select_present(paged, request.columns) if request.columns else paged, signature=signature, _total=kept.count, _counters=unsafe)
+
+
+_VIEW = Lock()
 
 
 def run_sql(df: DataFrame, sql: str, view: str = SOURCE_VIEW) -> DataFrame:
-    """SQL over the source as a view; the view stays registered, since the plan may be run later."""
-    register(df, view)
-    return df.sparkSession.sql(sql)
+    """SQL over the source as a view. The statement is resolved before another source can take the view's name."""
+    with _VIEW:
+        register(df, view)
+        return df.sparkSession.sql(sql)
+
+
+@dataclass(frozen=True)
+class SelfCheck:
+    """Whether an aggregate would be the same by other rules: misplaced rows among what it reads, the same groups by plain
+    casts, and cells whose leading number isn't their plain cast."""
+
+    realignment_clean: bool
+    aggregate_verified: bool
+    dirty_casts: int
+    realigned: int
+    suspected: int
+    total: int
+
+
+def self_check(df: DataFrame, request: Request, profiles: Mapping[str, Profile]) -> SelfCheck:
+    """Of a request with an aggregation, on a source of texts. Rows are counted as misplaced by their profiles; the driver gets counts."""
+    spec = request.aggregation
+    held, keep = prepared(df, request.filters)
+    kept = held.where(keep)
+    measured = sorted({a.column for a in spec.aggregations if a.type in ("sum", "avg", "min", "max") and a.column in df.columns})
+    texts = [c for c in measured if dict(df.dtypes)[c] == "string"]
+    # the same request on cells that are cast as a whole
+    cast = kept.withColumns({c: F.when(trimmed(column(c)).rlike(WHOLE), trimmed(column(c)).try_cast("double")) for c in texts})
+    same = agree(df.sparkSession, aggregated(kept, spec), aggregated(cast, spec))
+    dirty = kept.agg(*(F.count_if(dirty_cast(column(c))).alias(c) for c in texts)).first() if texts else ()
+    read = [c for c in df.columns if c in profiles]
+    s = summarize(realign(df, read, profiles)).first() if read else None
+    moved, suspected, total = (s.realigned, s.suspected_shift, s.total) if s else (0, 0, 0)
+    return SelfCheck(moved + suspected == 0, same, sum(dirty), moved, suspected, total)
 
 
 def agree(spark: SparkSession, a: DataFrame, b: DataFrame) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.scalars import dirty_cast
-from tabweave.operators.aggregate import GRAINS, Aggregation, AggregationSpec, Order, aggregated, counters
+from tabweave.operators.aggregate import GRAINS, Aggregation, AggregationSpec, Order, aggregated, counters, must_decline
 from tabweave.operators.filters import Filter, apply_filters, predicate, schema_of
 from tabweave.plans.inputs import CELLS_SQL, cells, leading_sql
 
@@ -85,7 +85,26 @@ def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).groupBy("region").agg(F.count_if(dirty_cast(F.col("cost"))).alias("dirty"))
 
 
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and grains that aren't known, and sources that must decline."""
+    df = cells(spark, sf_dir)
+
+    def refused(spec: AggregationSpec) -> bool:
+        try:
+            aggregated(df, spec)
+        except ValueError:
+            return True
+        return False
+
+    rows = [(t, refused(AggregationSpec((), [Aggregation(t, "cost", "v")]))) for t in ("sum", "count", "median", "")]
+    rows += [(g, refused(AggregationSpec(["placed"], [Aggregation("count", "*", "v")], {"placed": g}))) for g in ("month", "hour")]
+    nulls = diagnostics(spark, sf_dir).first().null_group_rows
+    rows += [(path, must_decline(path, n)) for path, n in (("a.csv", nulls), ("a.JSON", nulls), ("a.parquet", nulls), ("b.parquet", 0))]
+    return spark.createDataFrame(rows, "what string, refused boolean")
+
+
 ENTRIES |= {
+    "refusals": (refusals, "SELECT * FROM (VALUES ('sum', FALSE), ('count', FALSE), ('median', TRUE), ('', TRUE), ('month', FALSE), ('hour', TRUE), ('a.csv', FALSE), ('a.JSON', TRUE), ('a.parquet', TRUE), ('b.parquet', FALSE)) t(what, refused)"),
     "total_of_nothing": (empty_total, "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS s WHERE FALSE"),
     "groups_ordered_and_limited": (
         ordered_groups,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tabweave.operators.aggregate import Aggregation, AggregationSpec, Order
 from tabweave.operators.filters import Filter
+from tabweave.operators.profile import Profile
 from tabweave.operators.sequence_region import sequence_region
 from tabweave.plans.inputs import CELLS_SQL, cells, leading_sql, table
-from tabweave.plans.lanes import Request, agree, answer, run_sql
+from tabweave.plans.lanes import Request, agree, answer, run_sql, self_check
 from tabweave.sources.files import SOURCE_VIEW
 
 #: Statements over a table `src`, the same for Spark and the oracle.
@@ -60,11 +61,36 @@ def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer(cells(spark, sf_dir).select("k"), Request(expected_signature="a"), signature="b").data
 
 
-def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same aggregate by the compiler and by SQL."""
+def stale_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an answer whose source is as expected, and none of one that isn't, nor of an order by a field that isn't there."""
+    df = cells(spark, sf_dir).select("k")
+    asked = (("same", Request(expected_signature="a"), "a"), ("other", Request(expected_signature="a"), "b"), ("absent", Request(order=[Order("nowhere")]), None))
+    found = [(n, answer(df, r, s)) for n, r, s in asked]
+    rows = [(n, a.data.count(), a.diagnostics["signature_mismatch"], a.diagnostics["order_field_absent"]) for n, a in found]
+    return spark.createDataFrame(rows, "request string, n long, signature_mismatch boolean, order_field_absent boolean")
+
+
+_PLAIN = AggregationSpec(["region"], [Aggregation("sum", "whole", "total"), Aggregation("max", "lines", "most")])
+_LOOSE = AggregationSpec(["region"], [Aggregation("sum", "cost", "total")])
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of clean cells and of loose ones, by their own rules and by plain casts; regions that aren't known count as misplaced."""
+    df = cells(spark, sf_dir).withColumn("whole", F.col("lines").cast("string"))
+    profiles = {"region": Profile("string", enum_values=("APAC", "EU", "US"), sample_size=9)}
+    rows = []
+    for name, spec, filters in (("clean", _PLAIN, [Filter("notEquals", "region", ("Unknown",))]), ("loose", _LOOSE, [])):
+        s = self_check(df, Request(filters, aggregation=spec), profiles)
+        rows.append((name, s.aggregate_verified, s.dirty_casts, s.realigned, s.suspected, s.total, s.realignment_clean))
+    return spark.createDataFrame(rows, "request string, verified boolean, dirty_casts long, realigned long, suspected long, total long, clean boolean")
+
+
+def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same aggregate by the compiler and by SQL, and another one."""
     df = cells(spark, sf_dir)
     ours = answer(df, Request(aggregation=AggregationSpec(["region"], [Aggregation("count", "vendor", "n")]))).data
-    return spark.createDataFrame([(agree(spark, ours, run_sql(df, f"SELECT region, count(vendor) AS n FROM {SOURCE_VIEW} GROUP BY region")),)], "agree boolean")
+    statements = {"same": "count(vendor)", "other": "count(*)"}
+    return spark.createDataFrame([(n, agree(spark, ours, run_sql(df, f"SELECT region, {e} AS n FROM {SOURCE_VIEW} GROUP BY region"))) for n, e in statements.items()], "what string, agree boolean")
 
 
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +103,15 @@ ENTRIES |= {
     "lane_aggregation": (aggregation, f"WITH {CELLS_SQL} SELECT region, coalesce(sum(coalesce({leading_sql('cost')}, 0)), 0) AS total, count(*) AS n FROM c WHERE vendor IS NULL OR vendor = '' GROUP BY 1"),
     "lane_detail_sql": (detail_sql, f"WITH {CELLS_SQL} SELECT k, trim(coalesce(vendor, '')) AS vendor FROM c WHERE region = 'US'"),
     "lane_stale_signature": (stale, f"WITH {CELLS_SQL} SELECT k FROM c WHERE FALSE"),
-    "lane_self_check": (self_check, "SELECT TRUE AS agree"),
+    "lane_signatures": (stale_or_not, "SELECT 'same' AS request, least(count(*), 10000) AS n, FALSE AS signature_mismatch, FALSE AS order_field_absent FROM lineitem UNION ALL SELECT 'other', 0, TRUE, FALSE UNION ALL SELECT 'absent', 0, FALSE, TRUE"),
+    "lane_self_check": (agreements, f"WITH {CELLS_SQL} SELECT 'same' AS what, TRUE AS agree UNION ALL SELECT 'other', count(*) = count(vendor) FROM c"),
+    "self_check": (
+        checked,
+        f"""
+WITH {CELLS_SQL}, d AS (SELECT count(*) AS n, count(*) FILTER (({leading_sql('cost')}) IS DISTINCT FROM TRY_CAST(CASE WHEN cost <> '0x10' THEN trim(cost) END AS DOUBLE) AND cost <> 'TRUE' OR cost = '0x10') AS dirty FROM c)
+SELECT 'clean' AS request, TRUE AS verified, CAST(0 AS BIGINT) AS dirty_casts, CAST(0 AS BIGINT) AS realigned, CAST(0 AS BIGINT) AS suspected, n AS total, TRUE AS clean FROM d
+UNION ALL SELECT 'loose', FALSE, dirty, 0, 0, n, TRUE FROM d""",
+    ),
     "sequence_region": (
         region,
         """
