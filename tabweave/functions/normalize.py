@@ -18,10 +18,29 @@ INVISIBLE = (0x00AD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x2
 ODD_BLANKS = (0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
+#: Blocks most texts keep to: Latin, Greek, Cyrillic, punctuation, currencies, kana, ideographs, syllables.
+_BLOCKS = ((0x0, 0x250), (0x370, 0x530), (0x2010, 0x2028), (0x20A0, 0x20C1), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0xA000), (0xAC00, 0xD7A4))
+
+
 def _class(points: Iterable[int]) -> str:
     return "[" + "".join(f"\\x{{{p:04x}}}" for p in points) + "]"
 
 
+def _settled() -> str:
+    """A pattern for what isn't a character of these blocks that normalizing leaves alone, wherever it stands."""
+    left = [p for a, z in _BLOCKS for p in range(a, z) if p not in INVISIBLE and p not in ODD_BLANKS and not unicodedata.combining(chr(p)) and unicodedata.is_normalized("NFKC", chr(p))]
+    ranges: list[list[int]] = []
+    for p in left:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[^" + "".join(f"\\x{{{a:04x}}}-\\x{{{z:04x}}}" for a, z in ranges) + "]"
+
+
+_UNSETTLED = _settled()
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode's compatibility composition, for which Spark has no function of its own."""
@@ -29,9 +48,14 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def composed(c: Column) -> Column:
-    """NFKC of a text; texts of ASCII are left to the JVM, since nothing in them changes."""
-    plain = c.rlike(r"^[\x00-\x7f]*$")
-    return F.when(plain, c).otherwise(nfkc(F.when(~plain, c)))
+    """NFKC of a text; only texts with a character that may change, alone or with its neighbours, leave the JVM."""
+    odd = c.rlike(_UNSETTLED)
+    return F.when(odd, nfkc(F.when(odd, c))).otherwise(c)
+
+
+def visible(c: Column) -> Column:
+    """Composed, and without invisible characters."""
+    return F.when(c.rlike(_UNSETTLED), F.regexp_replace(composed(c), _class(INVISIBLE), "")).otherwise(c)
 
 
 def _cleaned(visible: Column) -> Column:
@@ -41,7 +65,7 @@ def _cleaned(visible: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """Composed, without invisible characters, blanks made plain and single, outer blanks off. Null gives the empty text."""
-    return F.coalesce(_cleaned(F.regexp_replace(composed(c), _class(INVISIBLE), "")), F.lit(""))
+    return F.coalesce(_cleaned(visible(c)), F.lit(""))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,12 +74,14 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def normalization(c: Column) -> Column:
-    """A struct: normalized, changed, stripped (code points removed, in order), odd_blanks (whether any blank wasn't plain)."""
+    """A struct: normalized, changed, stripped (code points removed, in order), odd_blanks (whether any blank wasn't plain).
+
+    Whoever reads several of its fields had better hold it by `explode(array(...))`, which computes it once.
+    """
     stripped = F.transform(F.regexp_extract_all(c, F.lit(f"({_class(INVISIBLE)})"), F.lit(1)), lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(x)), 4, "0")))
-    visible = F.regexp_replace(composed(c), _class(INVISIBLE), "")
     pair = lambda v: F.struct(F.coalesce(_cleaned(v), F.lit("")).alias("clean"), F.coalesce(v.rlike(_class(ODD_BLANKS)), F.lit(False)).alias("odd"))
     return _let(
-        _let(visible, pair),
+        _let(visible(c), pair),
         lambda p: F.struct(p["clean"].alias("normalized"), (c.isNotNull() & (p["clean"] != c)).alias("changed"), F.coalesce(stripped, F.array().cast("array<string>")).alias("stripped"), p["odd"].alias("odd_blanks")),
     )
 

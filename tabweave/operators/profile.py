@@ -1,8 +1,9 @@
 """Profiles of columns: types, patterns, ranges, enumerations, and how values would have to be read.
 
 All columns are profiled by one pass: cells become rows of (column, text), equal texts are
-counted first, and every figure is a weighted sum over these counts. A column with few
-distinct values keeps them as its enumeration.
+counted first, and every figure is a weighted sum over these counts, which are kept in the
+shared folder. A column with few distinct values keeps them as its enumeration. Shares of
+distinct values are exact, so a column of texts that are all different is dealt out whole, once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tabweave.functions.classify import KINDS, PATTERNS, SLASH_DATE, TYPES, is_s
 from tabweave.functions.normalize import is_changed
 from tabweave.functions.scalars import text_of, trimmed
 from tabweave.operators.filters import column, schema_of
+from tabweave.session import scratch
 
 MOST_ENUM, ENUM_SHARE, COVERAGE = 30, 0.5, 0.8
 #: Floor of detection, then where a key is confirmed elsewhere, where cubes widen, where it is used and accepted; ascending.
@@ -61,16 +63,18 @@ def _sum(value: Column, when: Column) -> Column:
     return F.coalesce(F.sum(F.when(when, value)), F.lit(0))
 
 
-def profiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def profiles(df: DataFrame, columns: Sequence[str] | None = None, share: float = 1.0) -> DataFrame:
     """One row for each column, with the fields of Profile; a column without values is a string of null rate 1.
 
-    The rows are as many as the columns; the values of an enumeration are at most MOST_ENUM.
+    The rows are as many as the columns; the values of an enumeration are at most MOST_ENUM. With a share below 1 only so
+    many rows are looked at, those of small hashes, and sample_size says how many they were.
     """
-    raw = cells(df, columns)
+    if share < 1:
+        df = df.where(F.pmod(F.xxhash64(*(column(c) for c in df.columns)), F.lit(1_000_000)) < share * 1_000_000)
     # outer blanks don't make a value another one, but they do count as invisible
-    counted = raw.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
-    odd = counted.select("column", "n", trimmed(F.col("cell")).alias("value"), F.coalesce(is_changed(F.col("cell")), F.lit(False)).alias("odd"))
-    values = odd.groupBy("column", "value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)).alias("n_odd"))
+    raw = cells(df, columns).select("column", trimmed(F.col("cell")).alias("value"), F.coalesce(is_changed(F.col("cell")), F.lit(False)).alias("odd"))
+    values = raw.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("n_odd"))
+    values = _written(values)
     v, n = F.col("value"), F.col("n")
     there = v.isNotNull() & (v != "")
     kind, real = type_of(v), there & ~is_sentinel(v)
@@ -115,7 +119,7 @@ def profiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     best = F.get(F.array_sort(F.array(*(F.struct((-c).alias("minus"), F.lit(i).alias("place"), F.lit(k).alias("kind")) for i, (k, c) in enumerate(shapes.items())))), F.lit(0))
     real_total = sum(shapes.values(), F.lit(0))
     covered = F.try_divide(-F.col("best.minus"), F.col("real"))
-    out = sums.withColumn("ranked", ranked).withColumn("best", best).withColumn("real", real_total)
+    out = _written(sums).withColumn("ranked", ranked).withColumn("best", best).withColumn("real", real_total)
     out = out.select(
         "column",
         primary.alias("primary_type"),
@@ -133,9 +137,16 @@ def profiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.coalesce(covered, F.lit(1.0)).alias("emission_confidence"),
         "sentinels",
     )
-    few = out.where((F.col("distinct") > 0) & (F.col("distinct") <= MOST_ENUM) & (F.col("unique_rate") <= ENUM_SHARE) & ~F.col("primary_type").isin("mixed", "date", "datetime")).select("column")
-    enums = values.where(there).join(F.broadcast(few), "column").groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("enum_values"))  # few: a row for a column
-    return out.join(F.broadcast(enums), "column", "left").withColumn("enum_values", F.coalesce("enum_values", F.array().cast("array<string>"))).drop("distinct")
+    few = [r["column"] for r in out.where((F.col("distinct") > 0) & (F.col("distinct") <= MOST_ENUM) & (F.col("unique_rate") <= ENUM_SHARE) & ~F.col("primary_type").isin("mixed", "date", "datetime")).select("column").collect()]
+    enums = values.where(there & F.col("column").isin(*(few or [None]))).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("enum_values"))  # MOST_ENUM values for a column
+    return out.join(enums, "column", "left").withColumn("enum_values", F.coalesce("enum_values", F.array().cast("array<string>"))).drop("distinct")
+
+
+def _written(values: DataFrame) -> DataFrame:
+    """Counts of values in the shared folder, so that cells are read once for all that is asked of them."""
+    path = f"{scratch(values.sparkSession, 'profile')}/t"
+    values.write.parquet(path)
+    return values.sparkSession.read.schema(values.schema).parquet(path)
 
 
 def profile_of(row: Row) -> Profile:

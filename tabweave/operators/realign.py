@@ -234,8 +234,8 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def summarize(realigned: DataFrame, examples: int = 5) -> DataFrame:
-    """One row of counts: total, aligned, realigned (by shift, by swap, by both), quarantined, suspected_shift; and a few examples of each."""
+def summarize(realigned: DataFrame) -> DataFrame:
+    """One row of counts: total, aligned, realigned (by shift, by swap, by both), quarantined, suspected_shift. `examples` gives rows of a kind."""
     v = F.col("__verdict")
     moved, shifted, swapped = v["kind"] == "realigned", v["shift"] != 0, F.size(v["swaps"]) > 0
     count = lambda c, n: F.count_if(c).alias(n)

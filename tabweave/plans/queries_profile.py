@@ -153,9 +153,11 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text between odd characters, and as it is; and the source's name, in which nothing changes."""
     odd = F.concat(F.lit(" ​ﬁrst "), F.col("text"), F.lit("  A­　"))
-    df = table(spark, sf_dir, "documents").select("doc_id", normalization(F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(odd)).alias("n"))
-    return df.select("doc_id", F.md5("n.normalized").alias("digest"), "n.changed", F.array_join("n.stripped", ",").alias("stripped"), "n.odd_blanks")
+    held = F.struct(normalization(odd).alias("n"), normalization(F.col("text")).alias("t"), normalization(F.col("source")).alias("s"))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(held)).alias("x"))
+    return df.select("doc_id", F.md5("x.n.normalized").alias("digest"), "x.n.changed", F.array_join("x.n.stripped", ",").alias("stripped"), "x.n.odd_blanks", F.md5("x.t.normalized").alias("own_digest"), F.col("x.t.changed").alias("own_changed"), F.col("x.s.normalized").alias("source"), F.col("x.s.changed").alias("source_changed"))
 
 
 def changed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,11 +209,50 @@ def read_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = ["id", "status", "amount", "iso_date", "mail"]
 
 
+#: What is done to a row: 0 moves it by one column, 1 changes two columns over; rows without a status or an amount stay as they are.
+_H = "CASE WHEN status IS NULL OR amount = 'n/a' THEN 2 ELSE (CAST(id AS BIGINT) + CAST(substring(code, 2) AS BIGINT)) % 20 END"
+_FIXED = {
+    "id": Profile("integer", sample_size=9),
+    "status": Profile("string", null_rate=0.1, enum_values=("closed", "open"), sample_size=9),
+    "amount": Profile("string", patterns=("isCurrency",), sample_size=9),
+    "iso_date": Profile("date", patterns=("isDate",), sample_size=9),
+    "mail": Profile("string", patterns=("isEmail",), sample_size=9),
+}
+
+
 def misplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of which some are moved by one column and some have two columns changed over."""
-    df = shapes(spark, sf_dir).select(*_GRID, F.pmod(F.hash("uuid", "code"), F.lit(20)).alias("h"))
-    moved = [F.when(F.col("h") == 0, F.col(_GRID[i - 1]) if i else F.lit("")).when(F.col("h") == 1, F.col({"status": "iso_date", "iso_date": "status"}.get(c, c))).otherwise(F.col(c)).alias(c) for i, c in enumerate(_GRID)]
-    return df.select(*moved, "h")
+    df = shapes(spark, sf_dir).selectExpr(*_GRID, "code", f"{_H} AS h")
+    moved = [F.when(F.col("h") == 0, F.col(_GRID[i - 1]) if i else F.lit("")).when(F.col("h") == 1, F.col({"status": "mail", "mail": "status"}.get(c, c))).otherwise(F.col(c)).alias(c) for i, c in enumerate(_GRID)]
+    return df.select(*moved, "code", "h")
+
+
+_MOVED_SQL = "m AS (SELECT code, h, " + ", ".join(
+    f"CASE h WHEN 0 THEN {_GRID[i - 1] if i else chr(39) * 2} WHEN 1 THEN { {'status': 'mail', 'mail': 'status'}.get(c, c)} ELSE {c} END AS {c}" for i, c in enumerate(_GRID)
+) + f" FROM (SELECT *, {_H} AS h FROM s))"
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each row, against fixed profiles."""
+    out = realign(misplaced(spark, sf_dir), _GRID, _FIXED)
+    return out.select("code", *_GRID, F.col("__verdict.kind").alias("kind"), F.col("__verdict.shift").alias("shift"), F.size("__verdict.swaps").alias("swaps"))
+
+
+def _score_sql(x: str, p: Profile) -> str:
+    """A cell's score by its profile, as the rules have it."""
+    v, kind = f"trim({x})", f"({_TYPE.replace('(v,', f'(trim({x}),')})"
+    of = {n: c.replace("(v,", f"(trim({x}),").replace("type ", f"{kind} ") for n, c in _PATTERNS.items()}
+    out = f"CASE WHEN {kind} = '{p.primary_type}' OR {kind} || '{p.primary_type}' IN ('datetimedate', 'datedatetime', 'integernumber', 'numberinteger') THEN 0.7::DOUBLE ELSE {0.5 if p.primary_type == 'string' else 0.1}::DOUBLE END"
+    if p.enum_values:
+        out = f"CASE WHEN {v} IN ({', '.join(repr(e) for e in p.enum_values)}) THEN greatest({out}, 0.95::DOUBLE) ELSE least({out}, 0.1::DOUBLE) END"
+    if p.patterns:
+        out = f"CASE WHEN {of[p.patterns[0]]} THEN greatest({out}, 0.9::DOUBLE) ELSE least({out}, 0.2::DOUBLE) END"
+    return f"(CASE WHEN {x} IS NULL OR {v} = '' THEN {0.7 if p.null_rate >= 0.05 else 0.3}::DOUBLE ELSE {out} END)"
+
+
+def _fit_sql() -> str:
+    mean = lambda shift: "round((" + " + ".join(_score_sql(_GRID[i + shift] if 0 <= i + shift < len(_GRID) else "CAST(NULL AS VARCHAR)", _FIXED[c]) for i, c in enumerate(_GRID)) + f") / {len(_GRID)}, 9)"
+    return f"WITH {SHAPES_SQL}, {_MOVED_SQL}, f AS (SELECT {mean(0)} AS own, {mean(-1)} AS l, {mean(1)} AS r FROM m) SELECT avg((own >= 0.65)::INT) AS own_fit, avg((l > own)::INT) AS shift_left, avg((r > own)::INT) AS shift_right FROM f"
 
 
 def realigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +261,21 @@ def realigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shift_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = shapes(spark, sf_dir).select(*_GRID)
-    return fit_shares(misplaced(spark, sf_dir), _GRID, collect_profiles(good))
+    return fit_shares(misplaced(spark, sf_dir), _GRID, _FIXED)
+
+
+def profile_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of some profiles are refused."""
+    made = {"fine": {}, "null_rate": {"null_rate": 1.5}, "unique_rate": {"unique_rate": -0.1}, "type": {"primary_type": "thing"}, "pattern": {"patterns": ("isNot",)}, "sample": {"sample_size": -1}, "emission": {"emission": "other"}, "edge": {"null_rate": 1.0, "unique_rate": 0.0}}
+
+    def refused(fields: dict) -> bool:
+        try:
+            Profile(**fields)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(n, refused(f)) for n, f in made.items()], "name string, refused boolean")
 
 
 _LOWER_STATUS = "CASE WHEN trim(coalesce(status, '')) = '' THEN 0.7 WHEN trim(status) IN ('open', 'closed') THEN 0.95 ELSE 0.1 END"
@@ -243,8 +297,9 @@ ENTRIES = {
     "normalize_texts": (
         normalized_texts,
         r"""
-SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN source ELSE 'first ' || regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g') || ' A' END) AS digest, doc_id % 3 <> 0 AS changed,
-    CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'U+200B,U+00AD' END AS stripped, FALSE AS odd_blanks FROM documents""",
+WITH t AS (SELECT *, regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g') AS plain FROM documents),
+o AS (SELECT *, regexp_replace(plain, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS own FROM t)
+SELECT doc_id, md5('first ' || plain || ' A') AS digest, TRUE AS changed, 'U+200B,U+00AD' AS stripped, FALSE AS odd_blanks, md5(own) AS own_digest, own <> text AS own_changed, source, FALSE AS source_changed FROM o""",
     ),
     "changed_share": (changed_rate, f"WITH {CELLS_SQL} SELECT region, coalesce(count(*) FILTER (vendor <> trim(vendor)) / nullif(count(vendor), 0), 0) AS share FROM c GROUP BY 1"),
     "emit_values": (
@@ -272,5 +327,11 @@ SELECT * FROM r WHERE place <= 10""",
     ),
     "schema_hashes": (hashes, "SELECT sha256('event_id:integer|event_type:string') AS schema_hash, sha256('event_id:integer|event_type:string|rows:' || CAST(count(*) AS VARCHAR) || '|size:5') AS content_hash FROM events"),
     "realign_rows": (realigned, None),
-    "realign_shift_shares": (shift_shares, None),
+    "realign_shift_shares": (shift_shares, _fit_sql()),
+    "realign_verdicts": (
+        verdicts,
+        f"""WITH {SHAPES_SQL}, d AS (SELECT *, {_H} AS h FROM s)
+SELECT code, id, status, amount, iso_date, CASE WHEN h <> 0 THEN mail END AS mail, CASE WHEN h < 2 THEN 'realigned' ELSE 'aligned' END AS kind, CAST(h = 0 AS INTEGER) AS shift, CAST(h = 1 AS INTEGER) AS swaps FROM d""",
+    ),
+    "profile_validation": (profile_problems, "SELECT * FROM (VALUES ('fine', FALSE), ('null_rate', TRUE), ('unique_rate', TRUE), ('type', TRUE), ('pattern', TRUE), ('sample', TRUE), ('emission', TRUE), ('edge', FALSE)) t(name, refused)"),
 }
