@@ -3,13 +3,16 @@
 Rows of equal shingles are one class. Classes whose SimHash fingerprints lie within RADIUS bits are candidates, found by
 pigeonring as in `simhash`. That alone can't do: at a similarity of 0.8 about ten of 64 bits differ, and a radius that
 leaves no such pair out cuts the ring into segments too short to tell unrelated texts apart. So classes that share a band
-of ROWS least hashes are candidates too (a pair at 0.8 shares none of BANDS with a probability of 1.2 in a million). A
-candidate is a link only if its shingles are counted and reach the similarity.
+of ROWS least hashes are candidates too (a pair at 0.8 shares none of BANDS with a probability of 1.2 in a million).
+
+Candidates are first held against each other by parity sketches: every shingle turns over one of SKETCH bits, so what two
+classes share cancels out, and the bits in which their sketches differ are no more than the shingles that only one of
+them has. If that is too many for the similarity, the pair can't reach it. A candidate that is left is a link only if its
+shingles are counted and reach the similarity.
 
 A band's bucket of more than `light` classes is first compared with one of its classes alone, that which lies in the most
 crowded buckets and so is likely to be the family's origin. Then what is still apart from the bucket's largest component
-is compared with all of the bucket outside its own component, but for pairs that can't reach the similarity: shingles
-that no other class in question holds can't be shared. So the components are those of all candidate pairs.
+is compared with all of the bucket outside its own component. So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,6 +37,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 45, 6
 #: Fingerprints within so many bits are candidates.
 RADIUS = 2
+#: Bits of a parity sketch, of 64 a word.
+SKETCH = 1024
 #: Buckets up to this size are compared pair by pair.
 LIGHT = 16
 #: So many pairs of one class are dealt out together.
@@ -66,6 +71,12 @@ def _class(found: np.ndarray) -> int:
     return xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
 
 
+def sketch(found: np.ndarray) -> list[int]:
+    """The parity sketch of shingles' hashes, as signed words of 64 bits."""
+    odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def bands(found: np.ndarray) -> list[int]:
     """A signed hash for each band; none for no shingles."""
     from xxhash import xxh64_intdigest
@@ -95,15 +106,15 @@ def _classes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = [shingles(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             fps, sims = (np.array([of(x) for x in found], np.uint64).view(np.int64) for of in (_class, of_hashes))
-            own = [pa.array(fps), pa.array(sims), pa.array([len(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, batch.column(2)], names=["row", "doc_id", "fp", "sim", "size", "bands", "text"])
+            own = [pa.array(fps), pa.array(sims), pa.array([len(x) for x in found], pa.int64()), *(pa.array([of(x) for x in found], pa.list_(pa.int64())) for of in (bands, sketch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, batch.column(2)], names=["row", "doc_id", "fp", "sim", "size", "bands", "sketch", "text"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, fp long, sim long, size long, bands array<long>, text string")
+    return rows.mapInArrow(run, "row long, doc_id long, fp long, sim long, size long, bands array<long>, sketch array<long>, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, n: about how many pairs share an a) to those that are alike. texts: one (fp, text) for each class."""
+    """pairs (a, b, n: about how many pairs share an a; none twice) to those that are alike. texts: one (fp, text) for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -116,8 +127,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
-    dealt = written(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / DEALT)).alias("deal")), "pairs")
+    dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / DEALT)).alias("deal")), "pairs")
     ids = dealt.select(F.col("a").alias("fp")).union(dealt.select("b")).distinct()
     needed = written(texts.join(ids, "fp", "left_semi"), "texts")
     left = dealt.select("a", "deal").distinct().join(needed.withColumnRenamed("fp", "a"), "a").select("a", "deal", F.lit(None).cast("long").alias("b"), "text")
@@ -126,9 +136,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.mapInArrow(run, "a long, b long"), "alike")
 
 
-def _near_in_size(pairs: DataFrame) -> DataFrame:
-    """Leaves out pairs whose sizes p and q alone keep them below LEAST."""
-    return pairs.where(LEAST[1] * F.least("p", "q") >= LEAST[0] * F.greatest("p", "q")).select("a", "b", "n")
+def _near_in_size(p: Column, q: Column) -> Column:
+    """The sizes alone leave the similarity within reach."""
+    return LEAST[1] * F.least(p, q) >= LEAST[0] * F.greatest(p, q)
+
+
+def _near_in_sketch(p: Column, q: Column, x: Column, y: Column) -> Column:
+    """So do the sketches x and y. Of p and q shingles a pair at the similarity has at most these that only one side has."""
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (p + q)
+
+
+def _within_reach(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """pairs (a, p, b, q, n), each once, but for those that sizes or sketches rule out."""
+    once = pairs.where(_near_in_size(F.col("p"), F.col("q"))).groupBy("a", "p", "b", "q").agg(F.max("n").alias("n"))
+    a, b = (heads.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
+    both = once.join(a, "a").join(b, "b")
+    return both.where(_near_in_sketch(F.col("p"), F.col("q"), F.col("a_sketch"), F.col("b_sketch"))).select("a", "b", "n")
 
 
 def _near_fingerprints(heads: DataFrame) -> DataFrame:
@@ -140,20 +164,8 @@ def _near_fingerprints(heads: DataFrame) -> DataFrame:
     return same.union(near.select(F.col("a_lead.fp").alias("a"), F.col("a_lead.size").alias("p"), F.col("b_lead.fp").alias("b"), F.col("b_lead.size").alias("q"), F.lit(1).cast("long").alias("n")))
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """texts (fp, text) to (fp, own: how many of its shingles no other of them holds; no row for none). Hashes of 32 bits: a collision only lessens it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(shingles(x) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["fp", "hashes"])
-
-    held = texts.select("fp", "text").mapInArrow(run, "fp long, hashes array<int>").select("fp", F.explode("hashes").alias("hash"))
-    return held.groupBy("hash").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).where("n = 1").groupBy("fp").agg(F.count("*").alias("own"))
-
-
 def links(heads: DataFrame, texts: DataFrame, light: int = LIGHT) -> DataFrame:
-    """heads (fp, size: its shingles, sim, bands) and texts (fp, text), one row for each class, to edges (a, b) whose components are those of all verified candidates."""
+    """heads (fp, size: its shingles, sim, bands, sketch) and texts (fp, text), one row for each class, to edges (a, b) whose components are those of all verified candidates."""
     keyed = heads.select("fp", "size", F.explode("bands").alias("s"))
     shared = keyed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     keyed = written(keyed.join(shared, "s"), "buckets")
@@ -164,21 +176,19 @@ def links(heads: DataFrame, texts: DataFrame, light: int = LIGHT) -> DataFrame:
     leads = crowded.groupBy("s").agg(F.max_by(F.struct("fp", "size"), F.struct("many", F.xxhash64("fp", "s"))).alias("lead"))
     stars = crowded.join(leads, "s").where("fp <> lead.fp").select("n", F.col("lead.fp").alias("a"), F.col("lead.size").alias("p"), F.col("fp").alias("b"), F.col("size").alias("q"))
     candidates = few.unionByName(stars).unionByName(_near_fingerprints(heads))
-    out = _verified(_near_in_size(candidates), texts)
+    out = _verified(_within_reach(candidates, heads), texts)
     if not crowded.limit(1).count():
         return out
     roots = components(out).select(F.col("node").alias("fp"), "root")
     crowded = written(crowded.join(roots, "fp", "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")), "crowded-components")
     sizes = crowded.groupBy("s", "c").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("apart"), F.sum("m").alias("n"))
-    apart = written(crowded.join(sizes.where("apart > 1"), "s"), "apart")
-    own = _own_shingles(texts.join(apart.select("fp").distinct(), "fp", "left_semi"))
-    # what a pair can share at most; a class that can't share enough with any is left out
-    apart = apart.join(own, "fp", "left").withColumn("most_shared", F.col("size") - F.coalesce("own", F.lit(0))).where(LEAST[1] * F.col("most_shared") >= LEAST[0] * F.col("size"))
-    apart = written(apart.select("s", "n", "fp", "size", "c", "most", "most_shared"), "strays")
-    strays = apart.where("c <> most").select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p"), F.col("c").alias("c1"), F.col("most_shared").alias("h"))
-    rest = strays.join(apart.select("s", F.col("fp").alias("b"), F.col("size").alias("q"), "c", "most_shared"), "s")
-    rest = rest.where((F.col("c") != F.col("c1")) & (sum(LEAST) * F.least("h", "most_shared") >= LEAST[0] * (F.col("p") + F.col("q"))))
-    return out.union(_verified(_near_in_size(rest), texts))
+    apart = crowded.join(sizes.where("apart > 1"), "s").join(heads.select("fp", "sketch"), "fp")
+    apart = written(apart.select("s", "n", "fp", "size", "c", "most", "sketch"), "apart")
+    strays = apart.where("c <> most").select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p"), F.col("c").alias("c1"), F.col("sketch").alias("x"))
+    rest = strays.join(apart.select("s", F.col("fp").alias("b"), F.col("size").alias("q"), "c", F.col("sketch").alias("y")), "s")
+    sizes_of = F.col("p"), F.col("q")
+    rest = rest.where((F.col("c") != F.col("c1")) & _near_in_size(*sizes_of) & _near_in_sketch(*sizes_of, F.col("x"), F.col("y")))
+    return out.union(_verified(rest.groupBy("a", "b").agg(F.max("n").alias("n")), texts))
 
 
 def near_copies(docs: DataFrame, light: int = LIGHT) -> DataFrame:
@@ -186,7 +196,7 @@ def near_copies(docs: DataFrame, light: int = LIGHT) -> DataFrame:
     found = written(_classes(docs), "shingle-classes")
     distinct = written(found.groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "distinct-classes")
     one = found.join(distinct.select("row"), "row", "left_semi")
-    heads = written(one.select("fp", "size", "sim", "bands"), "heads")
+    heads = written(one.select("fp", "size", "sim", "bands", "sketch"), "heads")
     roots = written(components(links(heads, one.select("fp", "text"), light)), "roots").select(F.col("node").alias("fp"), "root")
     linked = distinct.select("fp", "first_id").join(roots, "fp")
     first = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))

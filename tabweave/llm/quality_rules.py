@@ -2,6 +2,8 @@
 
 Everything is a built-in Spark expression. A text's words are split once; arrays that are
 used again are bound to a lambda's variable, so that no step computes them anew per element.
+Windows of words are equal if their 64-bit hashes are, which isn't verified: two different windows
+of a text of a million words share one with a probability of about one in 40 million.
 """
 
 from __future__ import annotations
@@ -143,7 +145,11 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs (text and any other columns) that the rules keep, with all their columns.
+
+    A text of another type is read as a string, a null one has no words and goes; repeated rows stay or go together; an
+    empty table stays empty. Other columns may hold nulls and have any names.
+    """
     own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
     return quality(rows, rules).where("quality.kept").select(*own)

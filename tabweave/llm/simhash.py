@@ -8,10 +8,10 @@ first segment is equal, and a pair is compared in full only if all chains from t
 keep within their budgets.
 
 A first segment that more than `light` fingerprints share is refined by the same principle:
-its fingerprints are equal there, so what differs lies in the other bits, which are cut into a
-ring of segments of their own. They meet again where one of these is equal too, and so on until
-few share what is equal. As bits run out at a logarithmic depth, no bucket stays crowded, and no
-pair is lost on the way.
+its fingerprints may differ only in the bits that vary among them, so these bits are cut into a
+ring of segments of their own. The fingerprints meet again where one of these is equal too, and so
+on until few share what is equal, or vary in no more than `radius` bits. Every turn settles a
+share of the bits that vary, so no bucket stays crowded, and no pair is lost on the way.
 """
 
 from __future__ import annotations
@@ -80,45 +80,52 @@ def ring(radius: int = RADIUS, bits: int = (1 << 64) - 1) -> list[int]:
     return out
 
 
-def _starts(radius: int, fixed: int) -> list[tuple[int, list[int]]]:
-    """For each segment of what isn't fixed: what is fixed with it, and the chains from it onwards, each as a mask."""
-    masks, out = ring(radius, ~fixed & (1 << 64) - 1), []
+def _starts(radius: int, vary: int) -> list[tuple[int, list[int]]]:
+    """For each segment of the bits that vary: what is equal where it is, and the longer chains from it onwards, as masks."""
+    masks, out = ring(radius, vary), []
     for i in range(len(masks)):
         chains, seen = [], 0
         for m in (*masks[i:], *masks[:i]):
             seen |= m
-            chains.append(seen)
-        out.append((fixed | masks[i], chains))
+            chains.append(_signed(seen))
+        out.append((_signed(~vary & (1 << 64) - 1 | masks[i]), chains[1:-1]))
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:
-    """distinct (fp: long, no repeats) to all pairs (a, b), a < b, that lie within `radius` of one another; pairs may repeat.
+def _rings(crowded: DataFrame, radius: int) -> DataFrame:
+    """The bits that vary (v) in crowded buckets, each once, to (v, fixed, chains) for each segment they are cut into."""
 
-    The masks of a depth are a small table: (radius + 1) ** depth rows, of which there is a depth only while buckets are crowded.
-    """
-    spark = distinct.sparkSession
-    fixed, held, out = [0], distinct.select("fp", F.lit(0).alias("node")), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(v, *x) for v in b.column(0).to_pylist() for x in _starts(radius, v & (1 << 64) - 1)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["v", "fixed", "chains"])
+
+    return crowded.select("v").distinct().mapInArrow(run, "v long, fixed long, chains array<long>")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:
+    """distinct (fp: long, no repeats) to all pairs (a, b), a < b, that lie within `radius` of one another; pairs may repeat."""
+    whole = [F.struct(F.lit(f).alias("fixed"), F.array(*map(F.lit, chains)).cast("array<long>").alias("chains")) for f, chains in _starts(radius, (1 << 64) - 1)]
+    held, out = distinct.select("fp", F.explode(F.array(*whole)).alias("m")).select("fp", "m.*"), None
     while True:
-        children = [(node, node * (radius + 1) + i, f, chains) for node, x in enumerate(fixed) for i, (f, chains) in enumerate(_starts(radius, x))]
-        fixed = [f for _, _, f, _ in children]
-        masks = spark.createDataFrame([(n, c, _signed(f), [_signed(x) for x in chains]) for n, c, f, chains in children], "node int, child int, fixed long, chains array<long>")
-        keyed = held.join(F.broadcast(masks), "node").select("fp", F.col("child").alias("node"), F.col("fp").bitwiseAND(F.col("fixed")).alias("s"), "chains")  # as few as said above
-        shared = keyed.groupBy("node", "s").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = held.select("fp", F.xxhash64("fixed", "chains").alias("node"), F.col("fp").bitwiseAND(F.col("fixed")).alias("s"), "chains")
+        shared = keyed.groupBy("node", "s").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("v")).where("n > 1")
         keyed = written(keyed.join(shared, ["node", "s"]), "segments")
-        # with few bits left a bucket holds few fingerprints, and what is left can't be cut into segments
-        final = (1 << 64 - min(f.bit_count() for f in fixed)) <= light or 64 - min(f.bit_count() for f in fixed) <= radius
-        few = keyed if final else keyed.where(F.col("n") <= light)
+        slim = (F.col("n") <= light) | (F.bit_count("v") <= radius)
+        few = keyed.where(slim)
         a, b = few.select("node", "s", "chains", F.col("fp").alias("a")), few.select("node", "s", F.col("fp").alias("b"))
         x = F.col("a").bitwiseXOR(F.col("b"))
         within = F.bit_count(x) <= radius
         for k in range(2, radius + 1):
-            within = (F.bit_count(x.bitwiseAND(F.get("chains", F.lit(k - 1)))) <= k - 1) & within
+            within = (F.bit_count(x.bitwiseAND(F.get("chains", F.lit(k - 2)))) <= k - 1) & within
         found = a.join(b, ["node", "s"]).where((F.col("a") < F.col("b")) & within).select("a", "b")
         out = found if out is None else out.union(found)
-        held = keyed.where(F.col("n") > light).select("fp", "node")
-        if final or not held.limit(1).count():
+        crowded = keyed.where(~slim).select("fp", "v")
+        if not crowded.limit(1).count():
             return out
+        # the same bits may be equal in a bucket reached in several ways
+        held = crowded.join(_rings(crowded, radius), "v").select("fp", "fixed", "chains").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:

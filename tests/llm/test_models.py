@@ -79,20 +79,3 @@ def test_tags_that_never_end_take_linear_time(unit):
     began = time.perf_counter()
     page_text(unit * (1_000_000 // len(unit)))
     assert time.perf_counter() - began < 2
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    data = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    held, names = docs, docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, held, data)
-        if name == "packing":
-            total = out.count()
-            assert total > 0 and {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in held.select("doc_id").collect()}
-        else:
-            assert out.columns == names and 0 < out.count() <= held.count()
-        held = out
-    assert corpus_pipeline.run(spark, data).count() == total

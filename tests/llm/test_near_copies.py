@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tabweave.llm.near_copies import keep_one_copy, near_copies
+from tabweave.llm.near_copies import LEAST, keep_one_copy, near_copies, shingles, sketch
 
 from .helpers import documents, nothing
 from .test_groups import joined
@@ -53,3 +53,19 @@ def test_the_stage_keeps_one_of_each(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components_of(texts)[0].values()))
     assert kept.columns == docs.columns and keep_one_copy(nothing(spark)).count() == 0
+
+
+def test_sketches_never_rule_out_a_pair_in_reach():
+    rng = random.Random(9)
+    for size in (1, 5, 40, 150, 900, 6000):
+        for _ in range(30):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(size + 4)]
+            made = list(base)
+            for _ in range(rng.randint(0, max(1, size // 20))):
+                made[rng.randrange(len(made))] = "other"
+            x, y = (shingles(" ".join(t).encode()) for t in (base, made))
+            differ = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(sketch(x), sketch(y), strict=True))
+            apart = len(set(x.tolist()) ^ set(y.tolist()))
+            assert differ <= apart and (apart - differ) % 2 == 0
+            if LEAST[1] * len(set(x.tolist()) & set(y.tolist())) >= LEAST[0] * len(set(x.tolist()) | set(y.tolist())):
+                assert sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (len(x) + len(y))
