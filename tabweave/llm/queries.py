@@ -24,10 +24,10 @@ def op4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a response record in WARC files; their metadata and conversion records, in files of their own, read back."""
-    from .warc import page_responses, read_derivatives, read_responses, write_derivatives, write_responses
+    from .warc import derive_files, page_responses, read_derivatives, write_responses
 
     responses = write_responses(page_responses(table(spark, sf_dir, "pages")))
-    return read_derivatives(spark, write_derivatives(read_responses(spark, responses)))
+    return read_derivatives(spark, derive_files(spark, responses))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 from urllib.parse import urljoin
 
@@ -38,6 +37,9 @@ RECORD = "page_id long, record_type string, record_id string, refers_to string,
 FILE_BYTES = 1 << 30
 #: The header line by which a record tells the row of a table that it was made from.
 ROW_NUMBER = "WARC-Source-Row"
+#: Packed bytes that are read at a time.
+STEP = 1 << 16
+CUT = "the file ends within a record"
 _CHARSET = re.compile(rb"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 
 
@@ -64,34 +66,67 @@ def _fields(lines: Iterable[str]) -> dict[str, str]:
     return out
 
 
+def _inflated(file: BinaryIO) -> Iterator[bytes]:
+    """A file's bytes in pieces; gzip, of one member or many, is told by its first bytes."""
+    data = file.read(STEP)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = file.read(STEP)
+        return
+    member, begun = zlib.decompressobj(31), False
+    while data or (data := file.read(STEP)):
+        begun = True
+        if out := member.decompress(data, 16 * STEP):
+            yield out
+        data = member.unconsumed_tail
+        if member.eof:
+            data, member, begun = member.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError(CUT)
+
+
 def warc_records(file: BinaryIO) -> Iterator[tuple[list[str], bytes]]:
-    """Header lines and block of each record of a file, one record at a time; gzip is told by its first bytes."""
-    packed = file.read(2) == b"\x1f\x8b"
-    file.seek(0)
-    stream = gzip.GzipFile(fileobj=file) if packed else io.BufferedReader(file, 1 << 20)
-    cut = ValueError("the file ends within a record")
-    try:
-        while line := stream.readline():
-            if not line.strip():
+    """Header lines and block of each record of a file, one record at a time."""
+    pieces, held, at = _inflated(file), b"", 0
+    while True:
+        while held[at : at + 1] in (b"\r", b"\n"):  # what separates records
+            at += 1
+        end = held.find(b"\r\n\r\n", at)
+        bare = held.find(b"\n\n", at, end if end >= 0 else len(held))
+        end, gap = (bare, 2) if bare >= 0 else (end, 4)
+        if end < 0:
+            piece = next(pieces, b"")
+            if piece:
+                held, at = held[at:] + piece, 0
                 continue
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"not a WARC record: {line[:40]!r}")
-            lines: list[str] = []
-            while (line := stream.readline()).strip():
-                text = line.decode("utf-8", "replace").rstrip("\r\n")
-                if text[0] in " \t" and lines:
-                    lines[-1] += " " + text.strip()
-                else:
-                    lines.append(text)
-            if not line:
-                raise cut
-            length = int(_fields(lines)["content-length"])
-            block = stream.read(length)
-            if len(block) < length:
-                raise cut
-            yield lines, block
-    except EOFError:
-        raise cut from None
+            if at == len(held):
+                return
+            raise ValueError(CUT if held[at : at + 5] == b"WARC/" else f"not a WARC record: {held[at : at + 40]!r}")
+        version, *rest = held[at:end].decode("utf-8", "replace").split("\n")
+        if not version.startswith("WARC/"):
+            raise ValueError(f"not a WARC record: {version[:40]!r}")
+        lines: list[str] = []
+        for line in rest:
+            line = line.rstrip("\r")
+            if line[:1] in (" ", "\t") and lines:
+                lines[-1] += " " + line.strip()
+            else:
+                lines.append(line)
+        at = end + gap
+        length = int(_fields(lines)["content-length"])
+        if len(held) - at >= length:
+            block, at = held[at : at + length], at + length
+        else:
+            parts, size = [held[at:]], len(held) - at
+            while size < length:
+                if not (piece := next(pieces, b"")):
+                    raise ValueError(CUT)
+                parts.append(piece)
+                size += len(piece)
+            whole = b"".join(parts)
+            block, held, at = whole[:length], whole[length:], 0
+        yield lines, block
 
 
 def record_bytes(header: Iterable[tuple[str, str]], block: bytes) -> bytes:
@@ -241,35 +276,62 @@ class _Files:
             self.out = None
 
 
-def _written(responses: DataFrame, records_of, folder: str, name: str, level: int, file_bytes: int) -> list[str]:
+def _written(source: DataFrame, rows_of: Callable[[pa.RecordBatch], Iterable[tuple]], records_of: Callable[..., Iterable[bytes]], folder: str, name: str, level: int, file_bytes: int) -> list[str]:
     """A task reports its files when they are whole, so those of a task that failed are never read. The driver gets one row for each file."""
-    small_batches(responses.sparkSession)
+    small_batches(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder, name, level, file_bytes)
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in rows_of(b):
                 for record in records_of(*row):
                     files.add(record)
         files.close()
         yield pa.RecordBatch.from_arrays([pa.array(files.done, pa.string())], names=["path"])
 
-    kinds = (x.rpartition(" ") for x in RESPONSE.split(", "))
-    return sorted(r.path for r in responses.select(*(F.col(n).cast(t).alias(n) for n, _, t in kinds)).mapInArrow(run, "path string").collect())
+    return sorted(r.path for r in source.mapInArrow(run, "path string").collect())
+
+
+def _rows(b: pa.RecordBatch) -> Iterable[tuple]:
+    return zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _in_files(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of RESPONSE in the files whose paths a batch holds."""
+    for path in b.column(0).to_pylist():
+        with _opened(path, "r") as f:
+            yield from (row for lines, block in warc_records(f) if (row := _response(lines, block)) is not None)
+
+
+def _as_responses(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(n).cast(t).alias(n) for n, _, t in (x.rpartition(" ") for x in RESPONSE.split(", "))))
+
+
+def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 100_000)), "path")
+
+
+def _derived(*row: object) -> Iterable[bytes]:
+    return map(derived_bytes, derive(*row))
 
 
 def write_responses(responses: DataFrame, folder: str | None = None, level: int = 1, file_bytes: int = FILE_BYTES) -> list[str]:
     """Rows of RESPONSE to WARC files; returns their paths. No rows give no files; other columns are not read."""
-    return _written(responses, lambda *row: [response_bytes(*row)], folder or new_folder(responses.sparkSession, "responses"), "responses", level, file_bytes)
+    return _written(_as_responses(responses), _rows, lambda *row: [response_bytes(*row)], folder or new_folder(responses.sparkSession, "responses"), "responses", level, file_bytes)
 
 
-def write_derivatives(responses: DataFrame, folder: str | None = None, level: int = 4, file_bytes: int = FILE_BYTES) -> list[str]:
+def write_derivatives(responses: DataFrame, folder: str | None = None, level: int = 1, file_bytes: int = FILE_BYTES) -> list[str]:
     """Rows of RESPONSE to WARC files of their metadata and conversion records; returns their paths.
 
     A null block is an empty message, a null address an empty one, a null date DATE, a null id empty; repeated rows give
     repeated records of the same ids; no rows give no files; other columns are not read.
     """
-    return _written(responses, lambda *row: map(derived_bytes, derive(*row)), folder or new_folder(responses.sparkSession, "derived"), "derived", level, file_bytes)
+    return _written(_as_responses(responses), _rows, _derived, folder or new_folder(responses.sparkSession, "derived"), "derived", level, file_bytes)
+
+
+def derive_files(spark: SparkSession, paths: list[str], folder: str | None = None, level: int = 1, file_bytes: int = FILE_BYTES) -> list[str]:
+    """The same for the response records of WARC files, of which a task reads one after the other as a stream."""
+    return _written(_paths(spark, paths), _in_files, _derived, folder or new_folder(spark, "derived"), "derived", level, file_bytes) if paths else []
 
 
 def _read(spark: SparkSession, paths: list[str], schema: str, row_of, size_of) -> DataFrame:
@@ -299,7 +361,7 @@ def _read(spark: SparkSession, paths: list[str], schema: str, row_of, size_of) -
     small_batches(spark)
     if not paths:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 100_000), "path").mapInArrow(run, schema)
+    return _paths(spark, paths).mapInArrow(run, schema)
 
 
 def _response(lines: list[str], block: bytes) -> tuple | None:

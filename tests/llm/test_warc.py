@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from tabweave.llm.warc import DATE, derive, derived_bytes, derived_row, page_responses, read_derivatives, read_responses, split_message, warc_records, write_derivatives, write_responses
+from tabweave.llm.warc import DATE, derive, derive_files, derived_bytes, derived_row, page_responses, read_derivatives, read_responses, split_message, warc_records, write_derivatives, write_responses
 
 
 def sha(data):
@@ -89,6 +89,17 @@ def test_derivatives_of_a_file(spark, tmp_path, form):
         assert plain == text and f"conversion-id: {head['WARC-Record-ID']}" in lines and head["Content-Type"].startswith("text/plain") and head["WARC-Record-ID"] != fields["WARC-Record-ID"]
     assert "title: Caf\u00e9 & more" in found["<urn:uuid:a>", "metadata"][1] and "outlink: http://e.org/x?y=1" in found["<urn:uuid:a>", "metadata"][1]
     assert read_derivatives(spark, files).count() == 11
+    by_files = read_derivatives(spark, derive_files(spark, [f"file://{path}"])).collect()
+    assert sorted(map(tuple, by_files), key=str) == sorted(map(tuple, read_derivatives(spark, files).collect()), key=str)
+
+
+def test_records_longer_than_a_step(tmp_path):
+    blocks = [b"x" * n for n in (0, 1, 65_535, 65_536, 3_000_000, 7)]
+    parts = [record("resource", f"<urn:{i}>", b) for i, b in enumerate(blocks)]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts)), b"".join(p.replace(b"\r\n", b"\n") for p in parts)):
+        (tmp_path / "long").write_bytes(data)
+        with open(tmp_path / "long", "rb") as f:
+            assert [b for _, b in warc_records(f)] == blocks
 
 
 def test_damaged_files(tmp_path):
