@@ -15,6 +15,10 @@ _HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe",
 _BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table title tr ul".split())
 
 
+_HIDES, _TITLE, _BREAK, _CELL, _LINK, _PLAIN = range(1, 7)
+_KINDS = dict.fromkeys(_HIDDEN, _HIDES) | dict.fromkeys(_BLOCKS, _BREAK) | {"title": _TITLE, "td": _CELL, "th": _CELL, "a": _LINK}
+
+
 def page_text(page: str) -> tuple[str, str, list[str]]:
     """Text (a line for each block, blanks collapsed, empty lines left out), title, and links in order.
 
@@ -24,26 +28,31 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
     out: list[str] = []
     title: list[str] = []
     links: list[str] = []
-    into, at = out, 0
-    while m := _TAG.search(page, at):
-        into.append(page[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
+    into, at, search, kind_of = out, 0, _TAG.search, _KINDS.get
+    while m := search(page, at):
+        start, end = m.span()
+        if start > at:
+            into.append(page[at:start])
+        at = end
+        closing, name, attributes = m.groups()
+        if name is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
             continue
-        name = (m[2] or "").lower()
-        if not m[1] and name in _HIDDEN and not (name == "svg" and _CLOSED.search(m[3])):
-            end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-        elif name == "title":
-            into = out if m[1] else title
-        elif name in _BLOCKS:
+        kind = kind_of(name) or kind_of(name.lower(), _PLAIN)
+        if kind == _BREAK:
             into.append("\n")
-        elif name in ("td", "th"):
+        elif kind == _LINK:
+            if not closing and (href := _HREF.search(attributes)):
+                links.append(html.unescape(href[1] or href[2] or href[3] or "").strip())
+        elif kind == _CELL:
             into.append(" ")
-        elif name == "a" and not m[1] and (href := _HREF.search(m[3])):
-            links.append(html.unescape(href[1] or href[2] or href[3] or "").strip())
+        elif kind == _TITLE:
+            into = out if closing else title
+        elif kind == _HIDES and not closing and not (name.lower() == "svg" and _CLOSED.search(attributes)):
+            end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else len(page)
     into.append(page[at:])
-    lines = (_SPACES.sub(" ", x).strip() for x in html.unescape("".join(out)).split("\n"))
-    return "\n".join(x for x in lines if x), " ".join(html.unescape("".join(title)).split()), [x for x in links if x]
+    lines = map(str.strip, _SPACES.sub(" ", html.unescape("".join(out))).split("\n"))
+    return "\n".join(filter(None, lines)), " ".join(html.unescape("".join(title)).split()), list(filter(None, links))

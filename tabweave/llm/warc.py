@@ -40,6 +40,10 @@ ROW_NUMBER = "WARC-Source-Row"
 #: Packed bytes that are read at a time.
 STEP = 1 << 16
 CUT = "the file ends within a record"
+#: A host's address, and links whose whole address follows from it without a look at dots.
+_HOST = re.compile(r"https?://[^\s/?#;@\[\]\\]+(?=[/?#]|$)")
+_ROOTED = re.compile(r"(?:/[^\s/?#;.][^\s/?#;]*)+/?$|/$")
+_WHOLE = re.compile(r"https?://[^\s/?#]+(?:[/?#]\S*)?$")
 _CHARSET = re.compile(rb"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 
 
@@ -114,7 +118,7 @@ def warc_records(file: BinaryIO) -> Iterator[tuple[list[str], bytes]]:
             else:
                 lines.append(line)
         at = end + gap
-        length = int(_fields(lines)["content-length"])
+        length = int(next(x for x in lines if x[:15].lower() == "content-length:")[15:])
         if len(held) - at >= length:
             block, at = held[at : at + length], at + length
         else:
@@ -179,6 +183,18 @@ def _text(body: bytes, kind: str) -> str:
         return body.decode("utf-8", "replace")
 
 
+def _resolved(uri: str, link: str) -> str:
+    """A link's whole address; one that has a scheme and a host already, or can't be resolved, stands as it is."""
+    if _WHOLE.match(link):
+        return link
+    if _ROOTED.match(link) and (host := _HOST.match(uri)):
+        return host[0] + link
+    try:
+        return _line(urljoin(uri, link))
+    except ValueError:
+        return _line(link)
+
+
 def derive(record_id: str | None, target_uri: str | None, date: str | None, headers: str | None, block: bytes | None) -> list[tuple]:
     """The metadata record of a response, and its conversion record if it holds text, as rows of RECORD."""
     uri, date, block, source, lines = _line(target_uri or ""), date or DATE, block or b"", record_id or "", (headers or "").split("\n")
@@ -198,11 +214,7 @@ def derive(record_id: str | None, target_uri: str | None, date: str | None, head
         data = text.encode("utf-8", "replace")
         own = own_id("conversion", source)
         meta += [("conversion-id", own), ("conversion-digest", digest(data))] + [("title", title)] * bool(title)
-        for link in links:
-            try:
-                meta.append(("outlink", _line(urljoin(uri, link))))
-            except ValueError:  # an address that can't be resolved stands as it is
-                meta.append(("outlink", _line(link)))
+        meta += [("outlink", _resolved(uri, link)) for link in links]
         made = [("conversion", own, "text/plain; charset=utf-8", data)]
     made.insert(0, ("metadata", own_id("metadata", source), "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode("utf-8", "replace")))
     return [(page_id, what, own, source, uri, date, content, len(data), digest(data), source_digest, data.decode()) for what, own, content, data in made]
@@ -308,7 +320,7 @@ def _as_responses(df: DataFrame) -> DataFrame:
 
 
 def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 100_000)), "path")
+    return spark.createDataFrame(list(enumerate(paths)), "i long, path string").repartitionByRange(max(1, min(len(paths), 100_000)), "i").select("path")
 
 
 def _derived(*row: object) -> Iterable[bytes]:

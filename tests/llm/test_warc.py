@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from tabweave.llm.warc import DATE, derive, derive_files, derived_bytes, derived_row, page_responses, read_derivatives, read_responses, split_message, warc_records, write_derivatives, write_responses
+from tabweave.llm.warc import DATE, _resolved, derive, derive_files, derived_bytes, derived_row, page_responses, read_derivatives, read_responses, split_message, warc_records, write_derivatives, write_responses
 
 
 def sha(data):
@@ -93,6 +93,15 @@ def test_derivatives_of_a_file(spark, tmp_path, form):
     assert sorted(map(tuple, by_files), key=str) == sorted(map(tuple, read_derivatives(spark, files).collect()), key=str)
 
 
+def test_links_resolve_as_usual():
+    import itertools
+    from urllib.parse import urljoin
+
+    for uri, link in itertools.product(("http://a.org", "https://a.org/x/y?q#f", "http://a.org?x", "ftp://a/b", "", "no", "http://u@h/x"), ("/", "/a", "/a/b/", "/a//b", "/../c", "/.x", "//h/p", "b", "?q", "#f", "/a?b=1", "/a;p", "/\u00e9,.")):
+        assert _resolved(uri, link) == urljoin(uri, link), (uri, link)
+    assert _resolved("http://a.org", "https://x.org/../y") == "https://x.org/../y" and _resolved("http://a", "http://[x") == "http://[x"
+
+
 def test_records_longer_than_a_step(tmp_path):
     blocks = [b"x" * n for n in (0, 1, 65_535, 65_536, 3_000_000, 7)]
     parts = [record("resource", f"<urn:{i}>", b) for i, b in enumerate(blocks)]
