@@ -38,7 +38,7 @@ ENTRIES = {
     "top_texts_nulls_last": (_top([Order("vendor", True), Order("region")], 3000, 58000), _sql("vendor DESC NULLS LAST, lower(region), k", 3000, 58000)),
     "top_timestamps": (_top([Order("shipped", True), Order("lines")], 40), _sql("shipped DESC, lines, k", 40)),
     "top_one": (_top([Order("price", True)], 1), _sql("price DESC, k", 1)),
-    "top_texts_deep": (_top([Order("vendor", True), Order("cost")], 500, 21_000), _sql(f"vendor DESC NULLS LAST, cost IS NULL, {_N} IS NULL, {_N}, cost, k", 500, 21_000)),
+    "top_texts_deep": (_top([Order("vendor", True), Order("cost")], 500, 21_000), _sql(f"vendor DESC NULLS LAST, cost IS NULL, {_N} IS NULL, {_N}, CASE WHEN {_N} IS NULL THEN lower(cost) END, k", 500, 21_000)),
     "top_missing_field": (_top([Order("nowhere"), Order("qty")], 10), _sql("qty, k", 10)),
 }
 
