@@ -57,6 +57,17 @@ def test_plain_cells_read_null_as_text(spark):
     assert ids() == [0, 1, 2, 3, 4, 5]
 
 
+def test_large_maps_are_joined(spark):
+    rows = [(i, f" K{i} ", i) for i in range(600)] + [(600, None, 0), (601, "", 0), (602, "other", 0)]
+    df = spark.createDataFrame(rows, "i int, vendor string, __map0_hit int")
+    pairs = [(f"k{i}", "wrong") for i in range(500)] + [(f"k{i}", f"v{i % 3}") for i in range(500)]
+    out = apply_filters(df, [Filter("equals", value_map=ValueMap("vendor", pairs), values=("v1",)), Filter("lt", "i", (300,)), Filter("set", value_map=ValueMap("vendor", pairs))])
+    assert out.columns == df.columns and sorted(r.i for r in out.collect()) == [i for i in range(300) if i % 3 == 1]
+    kept = apply_filters(df, [Filter("notEquals", value_map=ValueMap("vendor", pairs, True), values=("v0", "v1", "v2"))])
+    assert sorted(r.i for r in kept.collect()) == list(range(500, 603))
+    assert apply_filters(df.where("false"), [Filter("set", value_map=ValueMap("vendor", pairs))]).count() == 0
+
+
 def test_empty_map_and_tables(spark):
     df = spark.createDataFrame([], "i int, vendor string")
     assert apply_filters(df, [Filter("set", value_map=ValueMap("vendor", ()))]).count() == 0

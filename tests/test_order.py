@@ -37,6 +37,14 @@ def test_random_pages(spark):
         assert got == [r["__row_idx"] for r in want][offset : offset + limit], order
 
 
+def test_deep_pages(spark):
+    df = spark.range(30_000).selectExpr("id AS __row_idx", "CAST(pmod(hash(id), 997) AS STRING) AS v")
+    rows = sorted(df.collect(), key=lambda r: (-int(r.v), r["__row_idx"]))
+    for first, n in ((19_990, 30), (29_990, 30), (30_000, 5), (0, 25_000)):
+        got = [r["__row_idx"] for r in top_page(df, [Order("v", True)], n, first).collect()]
+        assert got == [r["__row_idx"] for r in rows[first : first + n]]
+
+
 def test_dates_of_one_year_and_nulls_last(spark):
     df = spark.createDataFrame([("2024-03-01", 0), ("2024-01-15", 1), (None, 2), ("2024-02-01T10:00:00", 3)], "d string, __row_idx int")
     assert [r[0] for r in top_page(df, [Order("d")]).select("__row_idx").collect()] == [1, 3, 0, 2]
