@@ -6,7 +6,7 @@ import html
 import re
 
 #: Outside of quotes a tag holds no further `<`, so that a page of tags that never end is passed over in one go.
-_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|<[!?/][^<>]*+>""")
+_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'"<>]++|"[^"]*"|'[^']*')*+)>|<[!?/][^<>]*+>""")
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: An element's own slash at its end; that of an unquoted value belongs to the value.
 _CLOSED = re.compile(r"""(?<!=)(?<!=\s)(?:^|[\s"'])[^\s"'=]*/$""")

@@ -64,7 +64,8 @@ def _line(value: str) -> str:
 def _fields(lines: Iterable[str]) -> dict[str, str]:
     """Header lines by name in small letters; of repeated ones the first."""
     out: dict[str, str] = {}
-    for name, colon, value in (x.partition(":") for x in lines):
+    for line in lines:
+        name, colon, value = line.partition(":")
         if colon:
             out.setdefault(name.strip().lower(), value.strip())
     return out
