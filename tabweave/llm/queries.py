@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_structures
 from .shared import table
 
 
@@ -170,7 +171,7 @@ QUERIES = {
     "op8_va_topk": op8_va_topk,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
-}
+} | queries_structures.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": _op2_sql(),
@@ -188,4 +189,4 @@ s AS (
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5""",
-}
+} | queries_structures.ORACLE_SQL

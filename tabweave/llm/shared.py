@@ -45,3 +45,15 @@ def parts(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_order(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df as a table sorted by these columns over all its partitions: `part` is a row's partition, `at` its place there from 0.
+
+    Rows that agree in all of them are dealt out too, so a value that is frequent makes no partition large.
+    """
+    tie = F.monotonically_increasing_id()
+    rows = df.withColumn("_tie", tie).repartitionByRange(parts(df.sparkSession), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    place = F.col("_place")
+    rows = rows.withColumn("_place", F.monotonically_increasing_id())
+    return written(rows.withColumn("part", F.shiftright(place, 33).cast("int")).withColumn("at", place.bitwiseAND((1 << 33) - 1)).drop("_place"), name)
