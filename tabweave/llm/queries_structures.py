@@ -60,5 +60,32 @@ def _op13_sql(levels: int = 8, top: int = 4) -> str:
     return "WITH " + ",\n".join(tables) + f"\nSELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = b.h AS verified FROM g{top} g, b{top} b"
 
 
-QUERIES = {"op13_merkle": op13_merkle}
-ORACLE_SQL = {"op13_merkle": _op13_sql()}
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mix of their sources by weights 3, 1, 2 at one and a half times their words, none more than twice."""
+    from .mixing import mix_documents
+
+    mixed = mix_documents(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+_OP12_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[:15])::BIGINT AS h
+    FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([3.0, 1.0, 2.0]::DOUBLE[], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w FROM d GROUP BY source),
+c AS (
+    SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS held,
+        sum(w) OVER (ORDER BY 2 * source_size / w DESC, source DESC) AS weights
+    FROM s
+),
+r AS (SELECT coalesce((SELECT (1.5 * (SELECT sum(source_size) FROM s)::DOUBLE - held) / weights FROM c WHERE held + 2 * source_size / w * weights >= 1.5 * (SELECT sum(source_size) FROM s)::DOUBLE ORDER BY 2 * source_size / w, source LIMIT 1), 'inf'::DOUBLE) AS rate),
+t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, rate * w) AS target FROM s, r),
+b AS (SELECT *, floor(target + 0.5)::BIGINT AS words, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS copies FROM t),
+p AS (SELECT d.*, b.source_size, b.target, b.copies, b.words - b.copies * b.source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p"""
+
+
+QUERIES = {"op12_mixing": op12_mixing, "op13_merkle": op13_merkle}
+ORACLE_SQL = {"op12_mixing": _OP12_SQL, "op13_merkle": _op13_sql()}
