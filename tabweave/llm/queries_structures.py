@@ -60,6 +60,46 @@ def _op13_sql(levels: int = 8, top: int = 4) -> str:
     return "WITH " + ",\n".join(tables) + f"\nSELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = b.h AS verified FROM g{top} g, b{top} b"
 
 
+def rebuilt_sequences(sequences: DataFrame) -> DataFrame:
+    """Each conversation c with the first h turns of conversation c - c % 20, then its own after the first h; h is crc32(c) % 4."""
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    heads = sequences.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = (decimal_crc32(F.col("conv_id")) % 4).cast("int")
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))
+    head = F.slice("head", F.lit(1), h)
+    both = sequences.withColumn("base", base).join(heads, "base", "left")
+    return both.select("conv_id", F.when(F.col("head").isNull(), own).otherwise(F.concat(head, own)).alias("turns"))
+
+
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt with the beginning of another."""
+    from .conversation_trie import prefix_trie, turn_sequences
+
+    return prefix_trie(rebuilt_sequences(turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
+_OP11_SQL = rf"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT o.*, {_crc32_sql('conv_id::VARCHAR')} % 4 AS h FROM o, crc_table),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, s[1:d] AS k, len(s) = d AS ended FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM c)),
+n AS (
+    SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN k[1:d - 1] END AS up,
+        CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].t, '[^ 	-]+')) END AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+    FROM p GROUP BY k, d
+),
+m AS (SELECT n.*, coalesce(x.n_children, 0) AS n_children FROM n LEFT JOIN (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up) x ON x.up = n.k),
+s AS (
+    SELECT k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1
+)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.k = m.k LEFT JOIN n u ON u.k = m.up"""
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a mix of their sources by weights 3, 1, 2 at one and a half times their words, none more than twice."""
     from .mixing import mix_documents
@@ -87,5 +127,5 @@ p AS (SELECT d.*, b.source_size, b.target, b.copies, b.words - b.copies * b.sour
 SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p"""
 
 
-QUERIES = {"op12_mixing": op12_mixing, "op13_merkle": op13_merkle}
-ORACLE_SQL = {"op12_mixing": _OP12_SQL, "op13_merkle": _op13_sql()}
+QUERIES = {"op11_trie": op11_trie, "op12_mixing": op12_mixing, "op13_merkle": op13_merkle}
+ORACLE_SQL = {"op11_trie": _OP11_SQL, "op12_mixing": _OP12_SQL, "op13_merkle": _op13_sql()}
