@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 
 class Template(NamedTuple):
-    """A licence's text or statement. `must`: phrases of it that tell it from a related licence and can't be missing."""
+    """A licence's text or statement. `must`: phrases of it that tell it from related licences."""
 
     label: str
     text: str
@@ -76,9 +76,12 @@ TEMPLATES = (
     Template("apache-2", "Licensed under the Apache License, Version 2.0", ("Apache License, Version 2.0",)),
     Template("gpl-3", _GPL, ("GNU General Public License as", "version 3")),
     Template("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("the GNU General", "version 3")),
+    Template("gpl-2", _GPL.replace("version 3", "version 2"), ("GNU General Public License as", "version 2")),
+    Template("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("the GNU General", "version 2")),
     Template("mpl-2", _MPL, ("Mozilla Public License, v. 2.0",)),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("Attribution 4.0",)),
     Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", ("Attribution ShareAlike 4.0",)),
     Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", ("Attribution NonCommercial 4.0",)),
+    Template("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License", ("Attribution NonCommercial ShareAlike 4.0",)),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("CC BY-NC 4",)),
 )

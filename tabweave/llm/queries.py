@@ -105,21 +105,23 @@ def _op2_sql() -> str:
 
     lists = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
     phrases = ", ".join(f"({lists(p.split())}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{t.label}', {lists(t.tokens)}, {lists(t.must)}, {t.need}, {t.step})" for t in sought(TEMPLATES, THRESHOLD))
+    templates = ", ".join(f"({k}, '{t.label}', {lists(t.tokens)}, {lists(t.must)}, {t.need}, {t.step}, {list(t.kin)}::INTEGER[])" for k, t in enumerate(sought(TEMPLATES, THRESHOLD)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p(phrase, label) AS (VALUES {phrases}),
-t(label, tokens, must, need, step) AS (VALUES {templates}),
+t(template, label, tokens, must, need, step, kin) AS (VALUES {templates}),
 hits AS (SELECT doc_id, label, i - 1 AS word FROM (SELECT doc_id, w, label, phrase, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p) WHERE w[i:i + len(phrase) - 1] = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY 1),
 pairs AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM d),
-b AS (SELECT doc_id, step, list_distinct(g[start + 1:start + 2 * step - 1]) AS held FROM (SELECT doc_id, step, g, unnest(range(0, n, step)) AS start FROM pairs, (SELECT DISTINCT step FROM t))),
-m AS (SELECT doc_id, label, need, len(list_intersect(held, must)) = len(list_distinct(must)) AS whole, len(list_intersect(held, tokens)) AS n, len(tokens) AS total FROM b JOIN t USING (step)),
-f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / total) AS share FROM m WHERE n >= need AND whole GROUP BY 1)
+b AS (SELECT doc_id, step, start, list_distinct(g[start + 1:start + 2 * step - 1]) AS held FROM (SELECT doc_id, step, g, unnest(range(0, n, step)) AS start FROM pairs, (SELECT DISTINCT step FROM t))),
+m AS (SELECT doc_id, step, start, template, label, kin, need, len(list_intersect(held, must)) = len(list_distinct(must)) AS told, len(list_intersect(held, tokens)) AS n, len(tokens) AS total FROM b JOIN t USING (step)),
+h AS (SELECT *, n / total AS share FROM m WHERE n >= need),
+k AS (SELECT * FROM h WHERE told OR NOT EXISTS (SELECT 1 FROM h y WHERE y.doc_id = h.doc_id AND y.step = h.step AND y.start = h.start AND y.told AND list_contains(h.kin, y.template))),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, list({{'share': share, 'label': label}} ORDER BY share DESC, label DESC)[1] AS best FROM k GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(f.labels, [])))), ',') AS labels,
-    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(f.best.share, 0) END::DOUBLE AS score, f.best.label AS template, coalesce(f.best.share, 0)::DOUBLE AS containment
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
 

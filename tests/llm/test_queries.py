@@ -8,7 +8,7 @@ from tabweave.llm.queries import ORACLE_SQL, QUERIES
 DATA = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
-    "op2_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op2_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score template containment",
     "op3_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op4_unigram": "doc_id n_pieces n_bytes ids decoded_crc32",
     "op5_warc": "page_id record_type record_id refers_to target_uri date content_type content_length block_digest source_digest block",
@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_va_topk": "query_id rank vec_id score",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_simhash": "doc_id fingerprint component_id",
+    "op11_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12_mixing": "doc_id size source_size target taken",
+    "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -26,12 +29,12 @@ def test_query(spark, name):
     assert df.columns == COLUMNS[name].split()
     rows = df.collect()
     key = df.columns[0]
-    ids = {r[0] for r in spark.read.parquet(f"{DATA}/{ {'page_id': 'pages', 'query_id': 'embeddings'}.get(key, 'documents') }.parquet").select({"query_id": "vec_id"}.get(key, key)).collect()}
+    ids = {r[0] for r in spark.read.parquet(f"{DATA}/{ {'page_id': 'pages', 'query_id': 'embeddings', 'conv_id': 'conversations'}.get(key, 'documents') }.parquet").select({"query_id": "vec_id"}.get(key, key)).collect()}
     found = {r[key] for r in rows}
-    assert found == ({i for i in ids if i % 50 == 0} if key == "query_id" else ids)
+    assert found <= ids if key == "conv_id" else found == ({i for i in ids if i % 50 == 0} if key == "query_id" else ids)
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
         result = con.execute(ORACLE_SQL[name])
         columns = [c[0] for c in result.description]

@@ -15,6 +15,7 @@ from .helpers import documents, nothing, texts
 GPL = "This work is licensed under the GNU General Public License, version 3."
 CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
 MIT = TEMPLATES[0].text
+APACHE = next(t.text for t in TEMPLATES if t.label == "apache-2")
 BODY = MIT.replace("files", "papers").replace("sublicense, ", "").replace("KIND", "sort")
 LICENSED = [
     "Under the MIT-license, under the mit license under the MIT license! CC BY-NC cc by nc",
@@ -51,15 +52,18 @@ def scanned(doc_id, text):
         at += found
         base |= {label} if found else set()
     sizes = [len(plain(t.text)) for t in TEMPLATES]
-    more, score = set(base), 0.0
+    hits = defaultdict(list)
     for t, n in zip(TEMPLATES, sizes):
         step, tokens = max(x for x in sizes if (x <= SHORT) == (n <= SHORT)), pairs_of(plain(t.text))
         for i in range(0, len(w), step):
             held = pairs_of(w[i : i + 2 * step])
-            if len(held & tokens) >= math.ceil(THRESHOLD * len(tokens) - 1e-9) and all(pairs_of(plain(m)) <= held for m in t.must):
-                more.add(t.label)
-                score = max(score, len(held & tokens) / len(tokens))
-    return doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(more)), 1.0 if at else score
+            if len(held & tokens) >= math.ceil(THRESHOLD * len(tokens) - 1e-9):
+                hits[step, i].append((t, tokens, len(held & tokens) / len(tokens), all(pairs_of(plain(m)) <= held for m in t.must)))
+    related = lambda a, b: 2 * len(a & b) >= min(len(a), len(b))
+    kept = [(share, t.label) for found in hits.values() for t, tokens, share, told in found if told or not any(other.must and yes and other is not t and related(tokens, theirs) for other, theirs, _, yes in found)]
+    share, label = max(kept, default=(0.0, None))
+    more = base | {x for _, x in kept}
+    return doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(more)), 1.0 if at else share, label, share
 
 
 def test_license_scan(spark):
@@ -72,7 +76,7 @@ def test_license_scan(spark):
 
 
 def test_related_licences_are_told_apart(spark):
-    want = {CC.format(""): "cc-by", CC.format("-NonCommercial"): "cc-by-nc", CC.format("-ShareAlike"): "cc-by-sa", CC.format("-NonCommercial-ShareAlike"): "", GPL.replace("3", "2"): "", GPL: "gpl-3", "a " * 50 + BODY: "mit", "Released under the MIT Licence": ""}
+    want = {CC.format(""): "cc-by", CC.format("-NonCommercial"): "cc-by-nc", CC.format("-ShareAlike"): "cc-by-sa", CC.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa", GPL.replace("3", "2"): "gpl-2", GPL: "gpl-3", "a " * 50 + BODY: "mit", "Released under the MIT Licence": "", APACHE.replace("(the \"License\")", "(the \"Licence\")"): "apache-2", APACHE.replace("Apache License", "Apache Licence"): "apache-2"}
     docs = documents(spark, list(enumerate(want)), extra=False)
     assert {r.doc_id: r.labels for r in scan_licenses(docs).collect()} == dict(enumerate(want.values()))
 
