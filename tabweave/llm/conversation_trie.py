@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .balanced_parens import Minima, Parentheses
 from .mixing import words_in
-from .shared import parts, small_batches, written
+from .shared import parts, small_batches, valid, written
 
 #: Nodes of a shard; the conversation that reaches this is its last.
 SHARD_NODES = 1 << 18
@@ -51,7 +51,7 @@ def turn_sequences(conversations: DataFrame) -> DataFrame:
     digests. Turns are equal if the 128-bit digests of role and text are. A null role or text is an empty one. Rows without
     conv_id belong to no conversation and are left out. A conversation is one row of about 40 bytes for each turn.
     """
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    role, text = (F.coalesce(valid(c), F.lit("")) for c in ("role", "text"))
     digest = F.md5(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"))
     number = F.col("turn").cast("long")
     turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(number.isNotNull().alias("known"), number.alias("turn"), digest.alias("digest"), words_in(text).alias("words")).alias("turn"))

@@ -10,7 +10,7 @@ _TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'"<>]++|"[^"]*"|'
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: An element's own slash at its end; that of an unquoted value belongs to the value.
 _CLOSED = re.compile(r"""(?<!=)(?<!=\s)(?:^|[\s"'])[^\s"'=]*/$""")
-_SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
+_BLANKS = "\t\r\f\v\xa0"
 _HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea"))
 _BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select table title tr ul".split())
 
@@ -19,6 +19,15 @@ _HIDES, _TITLE, _BREAK, _CELL, _LINK, _PLAIN = range(1, 7)
 _KINDS = dict.fromkeys(_HIDDEN, _HIDES) | dict.fromkeys(_BLOCKS, _BREAK) | {"title": _TITLE, "td": _CELL, "th": _CELL, "a": _LINK}
 
 
+def _collapsed(text: str) -> str:
+    """Runs of blanks, line feeds aside, as one space; each turn halves the longest run."""
+    for x in _BLANKS:
+        text = text.replace(x, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text
+
+
 def page_text(page: str) -> tuple[str, str, list[str]]:
     """Text (a line for each block, blanks collapsed, empty lines left out), title, and links in order.
 
@@ -54,5 +63,5 @@ def page_text(page: str) -> tuple[str, str, list[str]]:
             end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
     into.append(page[at:])
-    lines = map(str.strip, _SPACES.sub(" ", html.unescape("".join(out))).split("\n"))
+    lines = map(str.strip, _collapsed(html.unescape("".join(out))).split("\n"))
     return "\n".join(filter(None, lines)), " ".join(html.unescape("".join(title)).split()), list(filter(None, links))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import numbered, written
+from .shared import numbered, valid, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a hash and of a row's place, and those that a round looks at.
@@ -87,7 +87,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     has no rows. Other columns are not read.
     """
     source = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))  # null last
-    sized = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), source.alias("source"), words_in(F.col("text")).alias("size"), hashed(F.col("doc_id"), F.col("text")).alias("hash"), F.monotonically_increasing_id().alias("row")), "sized")
+    sized = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), source.alias("source"), words_in(valid("text")).alias("size"), hashed(F.col("doc_id"), valid("text")).alias("hash"), F.monotonically_increasing_id().alias("row")), "sized")
     sources = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes", "source")
     in_turn = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights)).cast("int"))
     sources = written(targets(sources.withColumn("weight", in_turn), share, most), "targets")

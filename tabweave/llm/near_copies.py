@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import parts, small_batches, written
+from .shared import parts, small_batches, valid, written
 from .simhash import keep_one
 from .simhash import links as ring_links
 from .simhash import of_hashes
@@ -109,7 +109,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             own = [pa.array(fps), pa.array(sims), pa.array([len(x) for x in found], pa.int64()), *(pa.array([of(x) for x in found], pa.list_(pa.int64())) for of in (bands, sketch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, batch.column(2)], names=["row", "doc_id", "fp", "sim", "size", "bands", "sketch", "text"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, fp long, sim long, size long, bands array<long>, sketch array<long>, text string")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, small_batches
+from .shared import parts, small_batches, valid
 from .word_ids import word_ids
 
 
@@ -187,10 +187,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, width: int
         yield from out(True)
 
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(parts(docs.sparkSession), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(parts(docs.sparkSession), "doc_id", "tie", "row")
+        .sortWithinPartitions("doc_id", "tie", "row")
         .select("doc_id", "text")
         .mapInArrow(run, schema)
     )

@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import valid
+
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A word of two capitals or more and no small letter.
 CAPITALS = r"^(?:[^\p{Ll}]*\p{Lu}){2}[^\p{Ll}]*$"
@@ -134,7 +136,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     Null texts have no words and are not kept; an empty table stays empty; every row gets its own
     verdict, so ties and repeats don't matter. A column named `quality` that docs has is replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(valid("text"), F.lit(""))
     held = docs.withColumn("quality", F.struct(text.alias("t"), words_of(text).alias("w")))
     counts = features(F.col("quality.t"), F.col("quality.w"))
     # a generated column: a filter on the verdict isn't moved below it, where it would compute the counts once for each use

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import parts, written
+from .shared import parts, valid, written
 
 ITEMS = 1 << 14
 #: Groups that a task differences at a time.
@@ -115,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, items: int = ITEMS) -> Da
     Repeated rows are rows like others; null ids are kept; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    text = F.coalesce(valid("text"), F.lit("")).cast("binary")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),

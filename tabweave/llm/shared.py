@@ -34,6 +34,12 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(key, size)
 
 
+def valid(column: str) -> Column:
+    """A column as a text. The rule of all operators that read words, tokens or characters: bytes that are no UTF-8 are
+    read as U+FFFD, one for each that can't be part of a character."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, written
+from .shared import small_batches, valid, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints that share a first segment are compared pair by pair up to this number.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
             found = [fingerprint(x, words, seed) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:

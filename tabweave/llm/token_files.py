@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .shared import new_folder, parts, small_batches
+from .shared import new_folder, parts, small_batches, valid
 from .word_ids import word_ids
 
 MAGIC = b"TWIDS\x00\x00\x01"
@@ -157,10 +157,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "roll", "path", "docs", "ids"])
 
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(parts(spark), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(parts(spark), "doc_id", "tie", "row")
+        .sortWithinPartitions("doc_id", "tie", "row")
         .select("doc_id", "text")
         .mapInArrow(run, "part long, roll long, path string, docs long, ids long")
         .collect()

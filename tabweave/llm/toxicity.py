@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from .shared import parts, small_batches, written
+from .shared import parts, small_batches, valid, written
 
 #: Labelled rows that a model is fitted on at most: those whose doc_id has the smallest hashes.
 SAMPLE_ROWS = 16_000
@@ -211,7 +211,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     small_batches(spark)
     chosen = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id IS NOT NULL AND toxic IN (0, 1)")
     chosen = chosen.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("label_id"), valid("text").alias("text"))
     sample = text.join(F.broadcast(chosen), "label_id").select("label_id", "text", "toxic")  # bounded by sample_rows
     sample = written(sample, "labelled-sample").repartition(parts(spark))
     lexicons = learn_lexicons(sample, folds)
@@ -239,20 +239,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, score: 0 to 1), one row for each row; null texts are empty."""
+    """docs (doc_id, text) to (doc_id, score: 0 to 1), one row for each row.
+
+    Null texts are empty, null ids stay null, whole texts are read however long; repeated rows give repeated rows, an empty
+    table gives none; other columns are not read.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (text and any other columns) that score below the threshold, with all their columns.
 
-    A text of another type is read as a string, a null one as empty; each row is judged on its own, so repeated rows
+    A text of another type is read as a string, a null one as empty, one that isn't UTF-8 as shared.valid reads it; each row is judged on its own, so repeated rows
     stay or go together; an empty table stays empty. Other columns may hold nulls and have any names.
     """
     small_batches(docs.sparkSession)
@@ -263,5 +267,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
             yield b.filter(pa.array(model.scores(b.column(at).to_pylist()) < threshold)).select(list(range(at)))
 
     numbered = docs.toDF(*(f"c{i}" for i in range(at)))  # a name may hold a dot
-    own = numbered.withColumn("read", F.col(f"c{docs.columns.index('text')}").cast("string"))
+    own = numbered.withColumn("read", valid(f"c{docs.columns.index('text')}"))
     return own.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .double_array import DoubleArray
-from .shared import small_batches
+from .shared import small_batches, valid
 
 MARK = "▁"
 #: Types of pieces in the file.
@@ -207,4 +207,4 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 names=["doc_id", "ids", "n_bytes", "decoded"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_bytes long, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_bytes long, decoded string")

@@ -9,13 +9,13 @@ same records. Files hold one gzip member for each record, so any record can be r
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from typing import BinaryIO
 from urllib.parse import urljoin
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_text import page_text
-from .shared import new_folder, small_batches
+from .shared import new_folder, small_batches, valid
 from .token_files import _opened
 
 #: The date of records whose source has none, and the headers of a source that is a bare page.
@@ -40,6 +40,10 @@ ROW_NUMBER = "WARC-Source-Row"
 #: Packed bytes that are read at a time.
 STEP = 1 << 16
 CUT = "the file ends within a record"
+#: A body that is longer when unpacked has no conversion record.
+MOST_INFLATED = 64 << 20
+#: Names that Python's codecs know, but that are no character sets of pages.
+_NO_CHARSETS = frozenset(("idna", "punycode", "undefined", "unicode-escape", "raw-unicode-escape", "mbcs", "oem"))
 #: A host's address, and links whose whole address follows from it without a look at dots.
 _HOST = re.compile(r"https?://[^\s/?#;@\[\]\\]+(?=[/?#]|$)")
 _ROOTED = re.compile(r"(?:/[^\s/?#;.][^\s/?#;]*)+/?$|/$")
@@ -47,13 +51,21 @@ _WHOLE = re.compile(r"https?://[^\s/?#]+(?:[/?#]\S*)?$")
 _CHARSET = re.compile(rb"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
 
 
+#: What 10 bits are in base 32.
+_PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    bits = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[bits >> at & 1023] for at in range(150, -1, -10)])
 
 
 def own_id(kind: str, source: str) -> str:
-    """The id of the record of a kind that is derived from a source."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
+    """The id of the record of a kind that is derived from a source: a UUID of version 5."""
+    made = bytearray(hashlib.sha1(uuid.NAMESPACE_URL.bytes + f"{kind} {source}".encode("utf-8", "replace")).digest()[:16])
+    made[6], made[8] = made[6] & 15 | 80, made[8] & 63 | 128
+    h = made.hex()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
 def _line(value: str) -> str:
@@ -119,7 +131,10 @@ def warc_records(file: BinaryIO) -> Iterator[tuple[list[str], bytes]]:
             else:
                 lines.append(line)
         at = end + gap
-        length = int(next(x for x in lines if x[:15].lower() == "content-length:")[15:])
+        given = next((x[15:].strip() for x in lines if x[:15].lower() == "content-length:"), "")
+        if not (given.isascii() and given.isdigit()):
+            raise ValueError(f"no length in the record {_fields(lines).get('warc-record-id', '')!r}: {given[:40]!r}")
+        length = int(given)
         if len(held) - at >= length:
             block, at = held[at : at + length], at + length
         else:
@@ -150,38 +165,87 @@ def split_message(block: bytes) -> tuple[str, list[str], bytes]:
     return status, [x for x in lines if ":" in x], block[end + gap :]
 
 
-def _joined(body: bytes) -> bytes:
-    """A body without the sizes of its chunks; one that isn't made of chunks stays as it is."""
+class _NoText(ValueError):
+    """Why a body can't be read."""
+
+
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,8})[^\r\n]{0,1024}\r?\n")
+
+
+def _joined(body: bytes) -> tuple[bytes, bool]:
+    """A body without the sizes of its chunks, and whether it is whole; one that isn't made of chunks stays as it is."""
     out, at = [], 0
-    while m := re.compile(rb"([0-9a-fA-F]{1,8})[^\r\n]{0,1024}\r?\n").match(body, at):
+    while m := _CHUNK.match(body, at):
         size = int(m[1], 16)
         if not size:
-            return b"".join(out)
+            return b"".join(out), True
         out.append(body[m.end() : m.end() + size])
         at = m.end() + size
         at += 2 if body[at : at + 2] == b"\r\n" else 1
-    return b"".join(out) if out and at >= len(body) else body
+    return (b"".join(out), False) if out and at >= len(body) else (body, True)
 
 
-def _unpacked(body: bytes, fields: dict[str, str]) -> bytes:
-    """A body without its transfer and content encodings; what can't be unpacked stays as it is."""
-    if "chunked" in fields.get("transfer-encoding", "").lower():
-        body = _joined(body)
-    coding = fields.get("content-encoding", "").lower()
-    for bits in (47,) if "gzip" in coding else (15, -15) if "deflate" in coding else ():
+def _inflate(data: bytes, bits: int, most: int) -> tuple[bytes, bool]:
+    """Unpacked data, of gzip all members, and whether it is whole. What follows a member and is none is padding."""
+    out, size = [], 0
+    while data:
+        member = zlib.decompressobj(bits)
         try:
-            return zlib.decompressobj(bits).decompress(body)
+            got = member.decompress(data, most - size + 1)
         except zlib.error:
+            if out:
+                break
+            raise
+        out.append(got)
+        size += len(got)
+        if size > most:
+            raise _NoText(f"longer than {most} bytes when unpacked")
+        if not member.eof:
+            return b"".join(out), False
+        data = member.unused_data if bits > 15 else b""
+    return b"".join(out), True
+
+
+def _unpacked(body: bytes, fields: dict[str, str], most: int) -> tuple[bytes, bool]:
+    """A body without its transfer and content encodings, and whether it is whole.
+
+    One that is named packed but begins otherwise was unpacked before it was stored, and stays as it is.
+    """
+    transfer = [x.strip() for x in fields.get("transfer-encoding", "").lower().split(",")]
+    codings = [x.strip() for x in fields.get("content-encoding", "").lower().split(",")] + [x for x in transfer if x != "chunked"]
+    body, whole = _joined(body) if "chunked" in transfer else (body, True)
+    for coding in reversed(codings):
+        if coding in ("", "identity", "none", "binary") or not body:
             continue
-    return body
+        if coding in ("gzip", "x-gzip"):
+            if body[:2] != b"\x1f\x8b":
+                continue
+            try:
+                body, all_there = _inflate(body, 31, most)
+            except zlib.error as e:
+                raise _NoText(f"damaged {coding}") from e
+            whole &= all_there
+        elif coding == "deflate":
+            for bits in (15, -15):
+                try:
+                    body, all_there = _inflate(body, bits, most)
+                except zlib.error:
+                    continue
+                whole &= all_there
+                break
+        else:
+            raise _NoText(f"unknown encoding {coding[:40]}")
+    return body, whole
 
 
 def _text(body: bytes, kind: str) -> str:
-    named = _CHARSET.search(kind.encode()) or _CHARSET.search(body[:1024])
-    try:
-        return body.decode(named[1].decode() if named else "utf-8", "replace")
-    except LookupError:
-        return body.decode("utf-8", "replace")
+    """A body's text; a character set that isn't known or isn't one is UTF-8."""
+    named = _CHARSET.search(kind.encode("utf-8", "replace")) or _CHARSET.search(body[:1024])
+    name = named[1].decode().lower() if named else "utf-8"
+    if name.replace("_", "-") not in _NO_CHARSETS:
+        with suppress(LookupError, UnicodeError):
+            return body.decode(name, "replace")
+    return body.decode("utf-8", "replace")
 
 
 def _resolved(uri: str, link: str) -> str:
@@ -196,8 +260,11 @@ def _resolved(uri: str, link: str) -> str:
         return _line(link)
 
 
-def derive(record_id: str | None, target_uri: str | None, date: str | None, headers: str | None, block: bytes | None) -> list[tuple]:
-    """The metadata record of a response, and its conversion record if it holds text, as rows of RECORD."""
+def derive(record_id: str | None, target_uri: str | None, date: str | None, headers: str | None, block: bytes | None, most: int = MOST_INFLATED) -> list[tuple]:
+    """The metadata record of a response, and its conversion record if it holds text, as rows of RECORD.
+
+    A text that can't be read has no conversion; the metadata's `conversion-note` says why, or that the body was cut short.
+    """
     uri, date, block, source, lines = _line(target_uri or ""), date or DATE, block or b"", record_id or "", (headers or "").split("\n")
     held = _fields(lines)
     status, http, body = split_message(block)
@@ -208,17 +275,25 @@ def derive(record_id: str | None, target_uri: str | None, date: str | None, head
 
     meta = [("source-record-header", _line(x)) for x in lines if ":" in x] + [("source-status", status)] * bool(status) + [("source-header", x) for x in http]
     meta += [("source-payload-digest", source_digest), ("source-block-digest", held.get("warc-block-digest") or digest(block)), ("source-length", str(len(body)))]
-    made = []
+    made, page = [], None
     if "html" in kind or "xml" in kind or kind.startswith("text/"):
-        page = _text(_unpacked(body, fields), kind)
+        try:
+            plain, whole = _unpacked(body, fields, most)
+            page = _text(plain, kind)
+            meta += [] if whole else [("conversion-note", "the body is cut short")]
+        except _NoText as e:
+            meta += [("conversion-note", str(e))]
+    if page is not None:
         text, title, links = (page, "", []) if kind.startswith("text/plain") else page_text(page)
         data = text.encode("utf-8", "replace")
         own = own_id("conversion", source)
-        meta += [("conversion-id", own), ("conversion-digest", digest(data))] + [("title", title)] * bool(title)
+        of_text = digest(data)
+        meta += [("conversion-id", own), ("conversion-digest", of_text)] + [("title", title)] * bool(title)
         meta += [("outlink", _resolved(uri, link)) for link in links]
-        made = [("conversion", own, "text/plain; charset=utf-8", data)]
-    made.insert(0, ("metadata", own_id("metadata", source), "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode("utf-8", "replace")))
-    return [(page_id, what, own, source, uri, date, content, len(data), digest(data), source_digest, data.decode()) for what, own, content, data in made]
+        made = [("conversion", own, "text/plain; charset=utf-8", data, of_text)]
+    fields_of = "".join([f"{k}: {v}\r\n" for k, v in meta]).encode("utf-8", "replace")
+    made.insert(0, ("metadata", own_id("metadata", source), "application/warc-fields", fields_of, digest(fields_of)))
+    return [(page_id, what, own, source, uri, date, content, len(data), sha, source_digest, data.decode()) for what, own, content, data, sha in made]
 
 
 def derived_bytes(row: tuple) -> bytes:
@@ -317,7 +392,7 @@ def _in_files(b: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _as_responses(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(n).cast(t).alias(n) for n, _, t in (x.rpartition(" ") for x in RESPONSE.split(", "))))
+    return df.select(*((valid(n) if t == "string" else F.col(n).cast(t)).alias(n) for n, _, t in (x.rpartition(" ") for x in RESPONSE.split(", "))))
 
 
 def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -337,13 +412,18 @@ def write_derivatives(responses: DataFrame, folder: str | None = None, level: in
     """Rows of RESPONSE to WARC files of their metadata and conversion records; returns their paths.
 
     A null block is an empty message, a null address an empty one, a null date DATE, a null id empty; repeated rows give
-    repeated records of the same ids; no rows give no files; other columns are not read.
+    repeated records of the same ids; no rows give no files; other columns are not read. A record's own block is held whole;
+    of a compressed body no more than MOST_INFLATED bytes are. Bytes that aren't of the page's character set are U+FFFD.
     """
     return _written(_as_responses(responses), _rows, _derived, folder or new_folder(responses.sparkSession, "derived"), "derived", level, file_bytes)
 
 
 def derive_files(spark: SparkSession, paths: list[str], folder: str | None = None, level: int = 1, file_bytes: int = FILE_BYTES) -> list[str]:
-    """The same for the response records of WARC files, of which a task reads one after the other as a stream."""
+    """The same for the response records of WARC files, of which a task reads one after the other as a stream.
+
+    Records of other types are passed over, repeated ones derived again, missing headers taken as null above; no paths give
+    no files. A file that ends within a record, or holds a record without a length, is an error that names it.
+    """
     return _written(_paths(spark, paths), _in_files, _derived, folder or new_folder(spark, "derived"), "derived", level, file_bytes) if paths else []
 
 
@@ -385,7 +465,11 @@ def _response(lines: list[str], block: bytes) -> tuple | None:
 
 
 def read_responses(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The response records of WARC files, as rows of RESPONSE; other records are passed over."""
+    """The response records of WARC files, as rows of RESPONSE; other records are passed over.
+
+    A header that is missing is null, an empty block empty; repeated records are repeated rows; a record is held whole, and
+    no paths give no rows. A file that ends within a record, or holds a record without a length, is an error.
+    """
     return _read(spark, paths, RESPONSE, _response, lambda r: len(r[4]))
 
 

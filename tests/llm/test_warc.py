@@ -137,3 +137,72 @@ def test_pages(spark):
     assert text == {1: "x", 2: "", None: "", 3: "q", 4: ("long text " * 200_000).strip(), 5: "whole"}
     assert all(r.source_digest == sha(split_message(bytes(sources[r.refers_to].block))[2]) for r in got)
     assert write_responses(page_responses(pages.where("false"))) == [] and read_derivatives(spark, []).count() == read_responses(spark, []).count() == 0
+
+
+PAGE = b"<p>one two</p>"
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html%s\r\n%s\r\n"
+TWO = gzip.compress(b"<p>one ") + gzip.compress(b"two</p>")
+
+
+def told(block, most=1 << 20):
+    """The text, or None, and the note of a response."""
+    rows = derive("<urn:x>", "http://e.org/", None, "", block, most)
+    note = re.findall("conversion-note: (.*)\r\n", rows[0][-1])
+    assert len(rows) == 2 or "conversion-id" not in rows[0][-1]
+    return rows[1][-1] if len(rows) == 2 else None, note
+
+
+@pytest.mark.parametrize("name", ["idna", "undefined", "punycode", "unicode_escape", "raw-unicode-escape", "hex", "base64", "rot13", "zlib", "mbcs", "nothing", "x" * 400, "utf-16\x00", "K"])
+def test_odd_character_sets_are_utf8(name):
+    assert told(HEAD % (b"; charset=" + name.encode(), b"") + PAGE)[1] == []
+    assert "one two" in told(HEAD % (b"", b"") + f"<meta charset={name}>".encode() + PAGE)[0] or name.startswith("utf-16")
+
+
+def test_character_sets():
+    for name in ("latin-1", "windows-1252", "utf-8", "koi8-r", "shift_jis", "euc-kr", "gb18030", "big5", "utf-16", "utf-7"):
+        assert told(HEAD % (f"; charset={name}".encode(), b"") + "<p>one two</p>".encode(name))[0] == "one two"
+
+
+def test_encodings_of_bodies():
+    import zstandard
+
+    raw = zlib.compressobj(wbits=-15)
+    bodies = {
+        b"gzip": [(gzip.compress(PAGE), "one two", []), (TWO, "one two", []), (TWO + b"\0\0\0", "one two", []), (PAGE, "one two", []), (gzip.compress(PAGE)[:-9], "one two", ["the body is cut short"]), (b"\x1f\x8b nothing", None, ["damaged gzip"]), (b"", "", [])],
+        b"x-gzip, identity": [(TWO, "one two", [])],
+        b"gzip, gzip": [(gzip.compress(TWO), "one two", [])],
+        b"deflate": [(zlib.compress(PAGE), "one two", []), (raw.compress(PAGE) + raw.flush(), "one two", []), (PAGE, "one two", [])],
+        b"deflate, gzip": [(gzip.compress(zlib.compress(PAGE)), "one two", [])],
+        b"br": [(b"\x0b\x02\x80abc\x03", None, ["unknown encoding br"])],
+        b"zstd": [(zstandard.compress(PAGE), None, ["unknown encoding zstd"])],
+    }
+    for coding, cases in bodies.items():
+        for body, text, note in cases:
+            found = told(HEAD % (b"", b"Content-Encoding: " + coding + b"\r\n") + body)
+            assert found[1] == note and (found[0] == text or note and text and text.startswith(found[0])), (coding, body)
+    whole = HEAD % (b"", b"Transfer-Encoding: gzip, chunked\r\n")
+    assert told(whole + b"%x\r\n%s\r\n0\r\n\r\n" % (len(TWO), TWO)) == ("one two", [])
+    assert told(whole + b"%x\r\n%s" % (len(TWO), TWO[:20]))[1] == ["the body is cut short"]
+
+
+def test_an_unpacked_body_is_bounded():
+    bomb = gzip.compress(b"<p>" + b"x" * 5_000_000)
+    assert told(HEAD % (b"", b"Content-Encoding: gzip\r\n") + bomb) == (None, ["longer than 1048576 bytes when unpacked"])
+    assert len(told(HEAD % (b"", b"Content-Encoding: gzip\r\n") + bomb, 5_000_003)[0]) == 5_000_000
+    many = b"".join([gzip.compress(b"y" * 100_000)] * 20)
+    assert told(HEAD % (b"", b"Content-Encoding: gzip\r\n") + many)[0] is None
+
+
+def test_a_record_without_a_length_is_named(tmp_path):
+    for header in (b"", b"Content-Length: x\r\n", b"Content-Length: -4\r\n"):
+        (tmp_path / "odd").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:odd>\r\n" + header + b"\r\nabcd\r\n\r\n")
+        with open(tmp_path / "odd", "rb") as f, pytest.raises(ValueError, match="urn:uuid:odd"):
+            list(warc_records(f))
+
+
+def test_one_odd_page_does_not_end_the_job(spark):
+    rows = [(1, "http://a.org/", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<meta charset=idna><p>one"), (2, "http://a.org/", "HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n<p>two"), (3, "http://a.org/", "<p>three")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = read_derivatives(spark, write_derivatives(page_responses(pages))).collect()
+    assert {r.page_id: r.block for r in got if r.record_type == "conversion"} == {1: "one", 3: "three"}
+    assert sum("conversion-note: unknown encoding br" in r.block for r in got) == 1
