@@ -11,8 +11,13 @@ them has. If that is too many for the similarity, the pair can't reach it. A can
 shingles are counted and reach the similarity.
 
 A band's bucket of more than `light` classes is first compared with one of its classes alone, that which lies in the most
-crowded buckets and so is likely to be the family's origin. Then what is still apart from the bucket's largest component
-is compared with all of the bucket outside its own component. So the components are those of all candidate pairs.
+crowded buckets and so is likely to be the family's origin. Classes of such buckets that are still apart may be unrelated
+but for a passage that very many share, as pages of one template are, so they aren't compared pair by pair: an exact
+similarity join finds those that are near. Shingles are ordered by how many of these classes hold them, rarest first. Of
+s and t shingles, s no more than t, a pair at the similarity shares at least 8/9 of s and 4/5 of t, so one of the first
+s - 8/9 s + 1 of the one is among the first t - 4/5 t + 1 of the other (prefix filters), and where the first one that
+they share stands, enough must be left behind it (positional filter). What is theirs alone comes first in the order, so
+pages of a template meet only where their own parts are alike. The components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .shared import parts, small_batches, valid, written
@@ -181,18 +187,59 @@ def links(heads: DataFrame, texts: DataFrame, light: int = LIGHT) -> DataFrame:
         return out
     roots = components(out).select(F.col("node").alias("fp"), "root")
     crowded = written(crowded.join(roots, "fp", "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")), "crowded-components")
-    sizes = crowded.groupBy("s", "c").agg(F.count("*").alias("m")).groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("apart"), F.sum("m").alias("n"))
-    apart = crowded.join(sizes.where("apart > 1"), "s").join(heads.select("fp", "sketch"), "fp")
-    apart = written(apart.select("s", "n", "fp", "size", "c", "most", "sketch"), "apart")
-    strays = apart.where("c <> most").select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p"), F.col("c").alias("c1"), F.col("sketch").alias("x"))
-    rest = strays.join(apart.select("s", F.col("fp").alias("b"), F.col("size").alias("q"), "c", F.col("sketch").alias("y")), "s")
-    sizes_of = F.col("p"), F.col("q")
-    rest = rest.where((F.col("c") != F.col("c1")) & _near_in_size(*sizes_of) & _near_in_sketch(*sizes_of, F.col("x"), F.col("y")))
-    return out.union(_verified(rest.groupBy("a", "b").agg(F.max("n").alias("n")), texts))
+    apart = crowded.groupBy("s").agg(F.min("c").alias("one"), F.max("c").alias("other")).where("one <> other").select("s")
+    classes = written(crowded.join(apart, "s", "left_semi").select("fp", "size", "c").distinct(), "apart")
+    near = _within_reach(near_by_rare_shingles(classes, texts).withColumn("n", F.lit(1)), heads).drop("n")
+    near = written(near, "apart-pairs")
+    return out.union(_verified(near.join(near.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", "n"), texts))
+
+
+def _least(share: Column, p: int, q: int) -> Column:
+    """p q-ths of a whole number, rounded up."""
+    return F.floor((p * share + (q - 1)) / q)
+
+
+def near_by_rare_shingles(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """classes (fp, size, c) to all pairs (a, p, b, q) of different c, with their sizes, that can be alike, each once: those
+    with a shared shingle in both prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for fp, size, c, text in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                found = shingles(text).view(np.int64)
+                for at in range(0, len(found), 1 << 16):
+                    part = pa.array(found[at : at + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(part), pa.int64()) for x in (fp, size, c)] + [part], names=["fp", "size", "c", "shingle"])
+
+    least, most = LEAST
+    held = written(texts.join(classes, "fp").select("fp", "size", "c", "text").mapInArrow(run, "fp long, size long, c long, shingle long"), "apart-shingles")
+    # shingles of one class alone stand first in its order, so they needn't be dealt out to know the places of the others
+    often = held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    placed = held.join(often, "shingle")
+    own = Window.partitionBy("fp")
+    at = F.row_number().over(own.orderBy("often", "shingle")) + F.col("size") - F.count("*").over(own)
+    placed = placed.select("fp", "size", "c", "shingle", at.alias("at")).where(F.col("at") <= F.col("size") - _least(F.col("size"), least, most) + 1)
+    placed = placed.withColumn("early", F.col("at") <= F.col("size") - _least(F.col("size"), 2 * least, least + most) + 1)
+    # pairs within a component aren't needed; of any other pair one side is outside the shingle's largest component
+    by_component = placed.groupBy("shingle", "c").agg(F.count("*").alias("m"))
+    largest = by_component.groupBy("shingle").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count("*").alias("several")).where("several > 1")
+    placed = written(placed.join(largest.select("shingle", "largest"), "shingle"), "prefixes")
+    x = placed.where("c <> largest").select("shingle", *(F.col(k).alias(f"x_{k}") for k in ("fp", "size", "c", "at", "early")))
+    y = placed.select("shingle", *(F.col(k).alias(f"y_{k}") for k in ("fp", "size", "c", "at", "early")))
+    smaller = F.struct("x_size", "x_fp") < F.struct("y_size", "y_fp")
+    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) + 1
+    met = x.join(y, "shingle").where((F.col("x_c") != F.col("y_c")) & F.when(smaller, F.col("x_early")).otherwise(F.col("y_early")) & _near_in_size(F.col("x_size"), F.col("y_size")) & ((least + most) * left >= least * (F.col("x_size") + F.col("y_size"))))
+    pair = lambda p, q: F.struct(F.col(f"{p}_fp").alias("a"), F.col(f"{p}_size").alias("p"), F.col(f"{q}_fp").alias("b"), F.col(f"{q}_size").alias("q"))
+    return met.select(F.when(F.col("x_fp") < F.col("y_fp"), pair("x", "y")).otherwise(pair("y", "x")).alias("pair")).select("pair.*").distinct()
 
 
 def near_copies(docs: DataFrame, light: int = LIGHT) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, fp: the class, root, component_id), one row for each row, as of near_duplicates."""
+    """docs (doc_id, text) to (doc_id, fp: the class, root, component_id), one row for each row, as of near_duplicates.
+
+    Rows of equal shingles, repeated rows among them, are one class; null and blank texts are one of their own; a text of
+    fewer than five words is one shingle; texts are read whole. Null ids are kept; an empty table gives no rows; other
+    columns are not read.
+    """
     found = written(_classes(docs), "shingle-classes")
     distinct = written(found.groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "distinct-classes")
     one = found.join(distinct.select("row"), "row", "left_semi")
@@ -206,5 +253,6 @@ def near_copies(docs: DataFrame, light: int = LIGHT) -> DataFrame:
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component of near copies, with all its columns, chosen as by keep_one."""
+    """One row of docs for each component of near copies, with all its columns, chosen as by keep_one; null, blank and long
+    texts, repeated rows and null ids are treated as in near_copies. Other columns may hold nulls and have any names."""
     return keep_one(docs, near_copies, class_of)

@@ -150,33 +150,35 @@ def keep_one(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_d
     """One row of docs (doc_id, text and any others) for each component, with all its columns: that of the smallest doc_id.
 
     Of several rows with that id one stays. A component without any id keeps one of its rows. `classes` gives what
-    near_duplicates gives, `fingerprint_of` the fp that a text has there.
+    near_duplicates gives, `fingerprint_of` the fp that a text has there. Null and empty texts are alike, texts are read
+    whole, an empty table stays empty; other columns may hold nulls and have any names.
     """
     found = written(classes(docs), "classes")
     chosen = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "fp", "root")
     several = written(found.groupBy(F.col("doc_id").alias("kept_id")).count().where("count > 1 OR kept_id IS NULL").select("kept_id"), "repeated-ids")
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    # the columns of docs stand within a row, so their names meet no others
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.coalesce(valid("text"), F.lit("")).alias("row_text"))
     single = chosen.join(several, "kept_id", "left_anti").where("kept_id IS NOT NULL").select("kept_id")
-    out = docs.join(single, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    out = rows.join(single, F.col("row_id") == F.col("kept_id"), "left_semi").select("row.*")
     if several.limit(1).count():
         # an id doesn't tell these rows apart, so they are chosen by id and text
         again = chosen.join(several, chosen.kept_id.eqNullSafe(several.kept_id), "left_semi").distinct()
-        rows = docs.join(several, own, "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        keyed = rows.join(_by_text(rows, fingerprint_of), "text").withColumnRenamed("fp", "own_fp")
-        keyed = keyed.join(again, own & (F.col("own_fp") == F.col("fp"))).dropDuplicates(["root"])
+        repeated = rows.join(several, F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
+        keyed = repeated.join(_by_text(repeated, fingerprint_of), "row_text")
+        keyed = keyed.join(again, F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_fp") == F.col("fp"))).dropDuplicates(["root"])
         out = out.union(keyed.select("row.*"))
     return out
 
 
 def _by_text(rows: DataFrame, fingerprint_of: Callable[[bytes | None], int]) -> DataFrame:
-    """Each distinct text of rows with its fingerprint."""
+    """Each distinct row_text of rows with its fingerprint, row_fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint_of(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["text", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["row_text", "row_fp"])
 
-    return rows.select("text").distinct().mapInArrow(run, "text string, fp long")
+    return rows.select("row_text").distinct().mapInArrow(run, "row_text string, row_fp long")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -69,3 +69,52 @@ def test_sketches_never_rule_out_a_pair_in_reach():
             assert differ <= apart and (apart - differ) % 2 == 0
             if LEAST[1] * len(set(x.tolist()) & set(y.tolist())) >= LEAST[0] * len(set(x.tolist()) | set(y.tolist())):
                 assert sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (len(x) + len(y))
+
+
+def pages(n, shared=300, own=120, copies=0, seed=3):
+    """Pages of one template, which are no near copies, and near copies of some of them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    frame = [word() for _ in range(shared)]
+    made = [[word() for _ in range(own)] for _ in range(n)]
+    for k in range(copies):
+        body = list(made[k * 7 % n])
+        body[rng.randrange(own)] = word()
+        made.append(body)
+    return [" ".join(frame[:100] + body + frame[100:]) for body in made]
+
+
+def test_pages_of_a_template(spark):
+    texts = pages(150, copies=40) + pages(30, 300, 20, 10, seed=4) + planted()[:120]
+    want, near = components_of(texts)
+    assert near > 30
+    got = {r.doc_id: r.component_id for r in near_copies(documents(spark, list(enumerate(texts)), extra=False), 4).collect()}
+    assert got == want
+
+
+def test_pairs_of_pages_grow_no_faster_than_pages(spark, monkeypatch):
+    from tabweave.llm import near_copies as module
+
+    met, search = [], module.near_by_rare_shingles
+
+    def counted(classes, texts):
+        out = search(classes, texts).persist()
+        met.append((classes.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(module, "near_by_rare_shingles", counted)
+    for n in (400, 1600):
+        docs = documents(spark, list(enumerate(pages(n, copies=n // 20))), extra=False)
+        assert near_copies(docs).select("component_id").distinct().count() == n
+    assert met[0][0] > 300 and met[1][0] > 1200  # they stand in crowded buckets
+    assert all(pairs <= classes // 5 for classes, pairs in met)
+
+
+def test_names_of_other_columns(spark):
+    names = ["kept_id", "fp", "root", "row", "row_id", "row_text", "row_fp", "component_id", "own_fp", "a.b"]
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, base), (2, base), (2, "something else that is long enough to stand alone"), (None, "no id here but some words"), (None, None), (5, base + " thirteen")]
+    docs = spark.createDataFrame([(i, t, *[i] * len(names)) for i, t in rows], "doc_id long, text string" + "".join(f", `{c}` long" for c in names))
+    kept = keep_one_copy(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text, r.kept_id) for r in kept.collect()))) == sorted(map(str, ((i, t, i) for i, t in [rows[0], *rows[2:5]])))
