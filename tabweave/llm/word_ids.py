@@ -26,8 +26,8 @@ _LETTERS = "".join(c for c in map(chr, range(ord(_SURE))) if c.isalpha() and c !
 #: Behind a word of letters the tokenizer takes a run of these apart before any merge.
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Marks that mostly stand at a word's end, and what one may not stand behind if it is to be a word of its own.
-_MARKS = ".,!?;:"
-_IN_RUN = re.compile(f"[^{_LETTERS}0-9 \n][{_MARKS}][ \n]")
+_MARKS, _ENDS = ".,!?;:", ".!?"
+_IN_RUN = re.compile(f"[^{_LETTERS}0-9 \n][{_MARKS}] ")
 #: Characters of texts that are encoded together.
 CHUNK = 1 << 20
 #: So many words and bytes are remembered at most by default.
@@ -103,21 +103,25 @@ class WordIds:
         for word, core, tail in whole:
             young[word] = young[core] + young[tail]
 
-    def _folded(self, text: str | None) -> str:
-        """The text with blanks of one kind, small where that is safe, and marks apart from the words they end."""
+    def _folded(self, text: str | None, line: str, sentence: str) -> str:
+        """The text with blanks of one kind, small where that is safe, and marks apart from the words they end. A line feed
+        becomes `line`; `sentence` is put behind what ends a sentence."""
         text = text or ""
-        text = text if _SPECIAL in text or _NOT_FOLDED.search(text) else text.lower()
+        text = text if _SPECIAL in text or not text.isascii() and _NOT_FOLDED.search(text) else text.lower()
         if "\t" in text or "\r" in text:
             text = text.replace("\t", " ").replace("\r", " ")
-        if not _IN_RUN.search(text):
-            for mark in _MARKS:
-                text = text.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
+        text = text.replace("\n", line)
+        apart = "" if _IN_RUN.search(text) else " "
+        for mark in _MARKS:
+            behind = sentence if mark in _ENDS else ""
+            if apart or behind:
+                text = text.replace(f"{mark} ", f"{apart}{mark} {behind}")
         return text
 
-    def _chunks(self, texts: Iterable[str | None]) -> Iterator[list[str]]:
+    def _chunks(self, texts: Iterable[str | None], line: str = " ", sentence: str = "") -> Iterator[list[str]]:
         held, size = [], 0
         for text in texts:
-            held.append(self._folded(text))
+            held.append(self._folded(text, line, sentence))
             size += len(held[-1])
             if size >= CHUNK:
                 yield held
@@ -127,26 +131,22 @@ class WordIds:
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian integers of the store's width."""
         for chunk in self._chunks(texts):
-            found = [text.replace("\n", " ").split(" ") for text in chunk]
+            found = [text.split(" ") for text in chunk]
             self._learn(set().union(*found))
             for words in found:
                 yield b"".join(map(self.young.__getitem__, words))
 
     def bounded(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each text's ids, and the places in them that end a sentence or a line, ascending."""
-        for chunk in self._chunks(texts):
-            found = []
-            for text in chunk:
-                text = text.replace("\n", " \n ")
-                for mark in ".!?":
-                    text = text.replace(f"{mark} ", f"{mark} \n ")
-                found.append(text.split(" "))
+        for chunk in self._chunks(texts, " \n ", "\n "):
+            found = [text.split(" ") for text in chunk]
             self._learn(set().union(*found))
             for words in found:
                 ids = np.frombuffer(b"".join(map(self.young.__getitem__, words)), self.kind)
-                ends = np.flatnonzero(ids == self.line_end)
-                ids, ends = np.delete(ids, ends), np.unique(ends - np.arange(len(ends)))
-                ends = ends[ends > 0]
+                marked = ids == self.line_end
+                ends = marked.nonzero()[0]
+                ids, ends = ids[~marked], ends - np.arange(len(ends))
+                ends = ends[np.diff(ends, prepend=0) > 0]  # ascending; those at the beginning and repeated ones go
                 yield ids, ends if len(ends) and ends[-1] == len(ids) or not len(ids) else np.append(ends, len(ids))
 
 
