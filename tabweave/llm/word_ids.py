@@ -31,7 +31,7 @@ _IN_RUN = re.compile(f"[^{_LETTERS}0-9 \n][{_MARKS}] ")
 #: Characters of texts that are encoded together.
 CHUNK = 1 << 20
 #: So many words and bytes are remembered at most by default.
-MOST_WORDS, MOST_BYTES = 800_000, 192 << 20
+MOST_WORDS, MOST_BYTES = 1_600_000, 384 << 20
 #: What an entry takes beside its characters and ids, and a character.
 _ENTRY, _CHAR = 200, 2
 
