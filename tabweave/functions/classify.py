@@ -78,6 +78,61 @@ def type_of(s: Column) -> Column:
     )
 
 
+# The same for a column of trimmed texts of which there are many. A pattern is only tried where a text's first character, its
+# length or a character that can't be missing leaves room for it, and once a type is known, what it rules out isn't tried.
+
+
+def _first(s: Column, *codes: int) -> Column:
+    """A text begins with a digit or one of these characters."""
+    at = F.ascii(s)
+    return at.between(48, 57) | at.isin(*codes) if codes else at.between(48, 57)
+
+
+def quick_type_of(s: Column) -> Column:
+    """type_of a column."""
+    day, number = F.when(_is(s, DATETIME), "datetime").when(_is(s, DATE), "date"), F.when(_is(s, INTEGER), "integer").when(_is(s, NUMBER), "number")
+    truth = F.when((F.octet_length(s) <= 5) & _is(s, BOOLEAN), "boolean").otherwise("string")
+    return F.when(_first(s), F.coalesce(F.when(F.contains(s, F.lit("-")) | F.contains(s, F.lit("/")), day), number, truth)).when(F.ascii(s) == 45, F.coalesce(number, truth)).otherwise(truth)
+
+
+def pattern_bits(s: Column, kind: Column) -> Column:
+    """The patterns of a column of this type as bits, in the order of PATTERNS."""
+    bit = {p: 1 << i for i, p in enumerate(PATTERNS)}
+    has = lambda p, holds: F.when(holds, bit[p]).otherwise(0)
+    length = F.octet_length(s)
+    phone = has("isPhone", (length >= 7) & _first(s, 40, 41, 43, 45, 46) & _is(s, PHONE) & (F.char_length(F.regexp_replace(s, r"\D", "")) >= 7))
+    money = has("isCurrency", _first(s, 36, 45, 163, 165, 8364) & _is(s, CURRENCY))
+    others = [
+        has("isEmail", F.contains(s, F.lit("@")) & _is(s, EMAIL)),
+        has("isUuid", (length == 36) & _is(s, UUID)),
+        has("isPercent", F.endswith(s, F.lit("%")) & _first(s, 45) & _is(s, PERCENT)),
+        has("isUrl", F.ascii(s).isin(72, 104) & _is(s, URL)),
+    ]
+    return F.when(kind == "date", bit["isDate"]).when(kind == "datetime", bit["isDatetime"]).when(kind.isin("integer", "number"), money + phone).when(kind == "string", sum(others, money + phone)).otherwise(0)
+
+
+def quick_shape_of(s: Column, kind: Column) -> Column:
+    """shape_of a column of this type."""
+    dated = F.when(_is(s, ISO_DAY), "canonical").when(_is(s, SLASH_DATE), "slash").otherwise("unknown")
+    digit = (
+        F.when(F.contains(s, F.lit("-")) & _is(s, DASH_DATE), "us_date_mdy_dash")
+        .when(F.contains(s, F.lit(".")) & _is(s, DOT_DATE), "eu_date_dmy")
+        .when(_is(s, NATURAL_DATE), "text_date_natural")
+        .when(F.endswith(s, F.lit("%")) & _is(s, PERCENT), "percentage_string")
+        .when(_is(s, MONEY_BEHIND), "currency_prefixed")
+        .when(F.contains(s, F.lit(",")) & _is(s, THOUSANDS), "thousand_separated")
+    )
+    sign = F.when(F.ascii(s).isin(36, 163, 165, 8364, 8377) & _is(s, MONEY_BEFORE), "currency_prefixed")
+    word = F.when(_is(s, NATURAL_DATE), "text_date_natural").when((F.octet_length(s) <= 5) & _is(s, YES_NO), "boolean_text")
+    other = F.coalesce(F.when(_first(s, 45), digit).otherwise(F.coalesce(sign, word)), F.lit("unknown"))
+    return F.when(kind.isin("datetime", "integer", "number"), "canonical").when(kind == "date", dated).when(kind == "boolean", "boolean_text").otherwise(other)
+
+
+def quick_is_sentinel(s: Column) -> Column:
+    """is_sentinel of a column."""
+    return (F.octet_length(s) <= max(len(x.encode()) for x in SENTINELS)) & F.lower(s).isin(*SENTINELS)
+
+
 def is_sentinel(s: Column) -> Column:
     return F.lower(trimmed(s)).isin(*SENTINELS)
 

@@ -26,19 +26,29 @@ def _class(points: Iterable[int]) -> str:
     return "[" + "".join(f"\\x{{{p:04x}}}" for p in points) + "]"
 
 
-def _settled() -> str:
-    """A pattern for what isn't a character of these blocks that normalizing leaves alone, wherever it stands."""
-    left = [p for a, z in _BLOCKS for p in range(a, z) if p not in INVISIBLE and p not in ODD_BLANKS and not unicodedata.combining(chr(p)) and unicodedata.is_normalized("NFKC", chr(p))]
+def _odd_ranges(first: int, beyond: int) -> str:
+    """The characters of a block that normalizing may change, alone or with their neighbours, as ranges of a class."""
+    odd = [p for p in range(first, beyond) if p in INVISIBLE or p in ODD_BLANKS or unicodedata.combining(chr(p)) or not unicodedata.is_normalized("NFKC", chr(p))]
     ranges: list[list[int]] = []
-    for p in left:
+    for p in odd:
         if ranges and ranges[-1][1] == p - 1:
             ranges[-1][1] = p
         else:
             ranges.append([p, p])
-    return "[^" + "".join(f"\\x{{{a:04x}}}-\\x{{{z:04x}}}" for a, z in ranges) + "]"
+    return "".join(f"\\x{{{a:04x}}}-\\x{{{z:04x}}}" for a, z in ranges)
 
 
-_UNSETTLED = _settled()
+def _unsettled() -> str:
+    """A pattern for a character that normalizing may change: one of these blocks that isn't settled, or of none of them.
+
+    Most characters are ASCII and leave at the first comparison; a block's own list is only looked through for its characters.
+    """
+    other = "".join(f"\\x{{{a:04x}}}-\\x{{{z - 1:04x}}}" for a, z in _BLOCKS)
+    within = [f"[\\x{{{max(a, 128):04x}}}-\\x{{{z - 1:04x}}}&&[{odd}]]" for a, z in _BLOCKS if (odd := _odd_ranges(a, z))]
+    return f"[\\x{{0080}}-\\x{{10ffff}}&&[[^{other}]{''.join(within)}]]"
+
+
+_UNSETTLED = _unsettled()
 
 
 @F.pandas_udf(T.StringType())
@@ -78,7 +88,7 @@ def normalization(c: Column) -> Column:
 
     Whoever reads several of its fields had better hold it by `explode(array(...))`, which computes it once.
     """
-    stripped = F.transform(F.regexp_extract_all(c, F.lit(f"({_class(INVISIBLE)})"), F.lit(1)), lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(x)), 4, "0")))
+    stripped = F.transform(F.regexp_extract_all(F.when(c.rlike(_UNSETTLED), c), F.lit(f"({_class(INVISIBLE)})"), F.lit(1)), lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(x)), 4, "0")))
     pair = lambda v: F.struct(F.coalesce(_cleaned(v), F.lit("")).alias("clean"), F.coalesce(v.rlike(_class(ODD_BLANKS)), F.lit(False)).alias("odd"))
     return _let(
         _let(visible(c), pair),
@@ -86,6 +96,16 @@ def normalization(c: Column) -> Column:
     )
 
 
+def is_settled(c: Column) -> Column:
+    """A text holds nothing but characters that normalizing leaves alone, blanks aside."""
+    return ~c.rlike(_UNSETTLED)
+
+
+def is_changed_settled(c: Column, inner: Column) -> Column:
+    """is_changed of a settled text, given what is within its outer blanks: blanks alone decide."""
+    return F.contains(c, F.lit("  ")) | F.contains(c, F.lit("\t")) | (F.octet_length(inner) != F.octet_length(c))
+
+
 def is_changed(c: Column) -> Column:
     """Whether normalizing changes a text; printable ASCII without blanks is left alone."""
     return F.when(c.isNotNull(), c.rlike(r"[^\x21-\x7e]") & (normalized(c) != c))
@@ -114,12 +134,15 @@ def column_name_of(c: Column) -> Column:
 
 
 def distinct_names(names: Iterable[str | None]) -> list[str]:
-    """Normalized names; blank ones are numbered by place, repeated ones by turn."""
-    seen: dict[str, int] = {}
+    """Normalized names; blank ones are numbered by place, repeated ones by turn, past numbers that are names already."""
+    used: set[str] = set()
+    turns: dict[str, int] = {}
     out = []
     for i, raw in enumerate(names):
-        base = column_name((raw or "").strip()) or f"column_{i + 1}"
-        n = seen.get(base, 0)
-        seen[base] = n + 1
-        out.append(base if n == 0 else f"{base}_{n}")
+        base = name = column_name((raw or "").strip()) or f"column_{i + 1}"
+        while name in used:
+            turns[base] = turns.get(base, 0) + 1
+            name = f"{base}_{turns[base]}"
+        used.add(name)
+        out.append(name)
     return out

@@ -29,6 +29,11 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def quick_trimmed(c: Column) -> Column:
+    """trimmed of a column; all but texts that begin or end with another blank than a space are done by the plain trim."""
+    return F.when(F.trim(c).rlike(r"^[^!-~]|[^!-~]\z"), F.btrim(c, F.lit(BLANKS))).otherwise(F.trim(c))
+
+
 def _kind(kind: T.DataType | None) -> T.DataType:
     return kind or T.StringType()
 

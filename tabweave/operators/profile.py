@@ -1,23 +1,23 @@
 """Profiles of columns: types, patterns, ranges, enumerations, and how values would have to be read.
 
-All columns are profiled by one pass: cells become rows of (column, text), equal texts are
-counted first, and every figure is a weighted sum over these counts, which are kept in the
-shared folder. A column with few distinct values keeps them as its enumeration. Shares of
-distinct values are exact, so a column of texts that are all different is dealt out whole, once.
+No cell's text is dealt out. A pass over all columns tells each cell's marks (type, patterns, shape) and counts how often a
+column has which combination of them; what leaves a task are these few rows. Distinct values are counted by 64-bit hashes,
+8 bytes for a cell, equal ones joined within tasks before. Only columns with few distinct values or with sentinels are read
+once more, for the values themselves, and only columns with characters that the JVM can't compose, for those cells.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tabweave.functions.classify import KINDS, PATTERNS, SLASH_DATE, TYPES, is_sentinel, patterns_of, shape_of, type_of
-from tabweave.functions.normalize import is_changed
-from tabweave.functions.scalars import text_of, trimmed
+from tabweave.functions.classify import KINDS, PATTERNS, TYPES, is_sentinel, pattern_bits, patterns_of, quick_is_sentinel, quick_shape_of, quick_type_of, type_of
+from tabweave.functions.normalize import is_changed, is_changed_settled, is_settled
+from tabweave.functions.scalars import quick_trimmed, text_of, trimmed
 from tabweave.operators.filters import column, schema_of
 from tabweave.session import scratch
 
@@ -59,6 +59,21 @@ def cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), text_of(column(n), schema[n]).alias("cell")) for n in names))).alias("c")).select("c.*")
 
 
+def _placed_cells(df: DataFrame, names: Sequence[str], schema: Mapping[str, object]) -> DataFrame:
+    """(place, cell): the same with a column's place among these names."""
+    return df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("place"), text_of(column(n), schema[n]).alias("cell")) for i, n in enumerate(names)))).alias("c")).select("c.*")
+
+
+def _once(value: Column, name: str) -> Column:
+    """value as a column of its own, which later steps read and don't compute anew."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """df as it is, in a step whose code is compiled apart from that of the next: the marks of a cell are more than the JVM compiles as one method."""
+    return df.coalesce(1 << 20)
+
+
 def _sum(value: Column, when: Column) -> Column:
     return F.coalesce(F.sum(F.when(when, value)), F.lit(0))
 
@@ -66,38 +81,63 @@ def _sum(value: Column, when: Column) -> Column:
 def profiles(df: DataFrame, columns: Sequence[str] | None = None, share: float = 1.0) -> DataFrame:
     """One row for each column, with the fields of Profile; a column without values is a string of null rate 1.
 
+    df is read twice, and some columns of it once or twice more, so what is dear to make had better be written before.
+
     The rows are as many as the columns; the values of an enumeration are at most MOST_ENUM. With a share below 1 only so
     many rows are looked at, those of small hashes, and sample_size says how many they were.
     """
     if share < 1:
         df = df.where(F.pmod(F.xxhash64(*(column(c) for c in df.columns)), F.lit(1_000_000)) < share * 1_000_000)
+    schema = schema_of(df)
+    names = [c for c in (columns or df.columns) if c in schema]
+    long = _placed_cells(df, names, schema)
     # outer blanks don't make a value another one, but they do count as invisible
-    raw = cells(df, columns).select("column", trimmed(F.col("cell")).alias("value"), F.coalesce(is_changed(F.col("cell")), F.lit(False)).alias("odd"))
-    values = raw.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("n_odd"))
-    values = _written(values)
-    v, n = F.col("value"), F.col("n")
-    there = v.isNotNull() & (v != "")
-    kind, real = type_of(v), there & ~is_sentinel(v)
-    marks = values.select("*", there.alias("there"), kind.alias("kind"), F.when(real, shape_of(v)).alias("shape"), (real & (F.regexp_extract(v, SLASH_DATE, 1).try_cast("int") > 12)).alias("european"), *(c.alias(p) for p, c in patterns_of(v).items()))
-    t = F.col("there")
-    numeric = t & F.col("kind").isin("integer", "number")
-    number = F.when(numeric, v.try_cast("double"))
-    length = F.when(t & ~numeric, F.char_length(v))
-    sums = marks.groupBy("column").agg(
+    v, cell = F.col("value"), F.col("cell")
+    raw = long.select("place", "cell", _once(quick_trimmed(cell), "value"))
+    raw = raw.select("place", "value", (v.isNotNull() & (v != "")).alias("there"), (cell.isNotNull() & ~is_settled(cell)).alias("unsettled"), F.coalesce(is_changed_settled(cell, v), F.lit(False)).alias("spaced"))
+    t, kind = F.col("there"), F.col("kind")
+    typed = raw.select("*", _once(F.when(t, F.struct(quick_type_of(v).alias("kind"), (~quick_is_sentinel(v)).alias("real"))), "k")).select("*", "k.kind", F.coalesce("k.real", F.lit(False)).alias("real"))
+    typed = _apart(typed.select("place", "value", "there", "kind", "real", "unsettled", (F.col("spaced") & ~F.col("unsettled")).alias("odd")))
+    typed = _apart(typed.withColumn("shape", F.when(F.col("real"), quick_shape_of(v, kind))))
+    typed = _apart(typed.withColumn("bits", F.when(t, pattern_bits(v, kind))))
+    numeric = t & kind.isin("integer", "number")
+    marks = typed.select(
+        "place", "there", "kind", "unsettled", "odd", "shape", "bits",
+        (F.col("real") & (kind == "date") & F.contains(v, F.lit("/")) & (F.split_part(v, F.lit("/"), F.lit(1)).try_cast("int") > 12)).alias("european"),
+        F.when(numeric, v.try_cast("double")).alias("number"),
+        F.when(t & ~numeric, F.char_length(v)).alias("length"),
+    )
+    # a row for each combination of marks that a column has
+    marks = marks.groupBy("place", "there", "kind", "unsettled", "odd", "shape", "bits", "european")
+    marks = _written(marks.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{f.__name__}") for c in ("number", "length") for f in (F.min, F.max))))
+    # equal texts are told by 64-bit hashes, which are all that is dealt out of a cell
+    hashes = long.select("place", quick_trimmed(cell).alias("value")).where("value <> ''").select("place", F.xxhash64("value").alias("hash"))
+    distinct = _written(hashes.distinct().groupBy("place").agg(F.count("*").alias("distinct")))
+    n = F.col("n")
+    has = lambda p: F.col("bits").bitwiseAND(1 << PATTERNS.index(p)) != 0
+    sums = marks.groupBy("place").agg(
         F.sum("n").alias("sample_size"),
         _sum(n, t).alias("filled"),
-        F.count_if(t).alias("distinct"),
         *(_sum(n, t & (F.col("kind") == k)).alias(f"t_{k}") for k in TYPES),
-        *(_sum(n, t & F.col(p)).alias(f"p_{p}") for p in PATTERNS),
+        *(_sum(n, t & has(p)).alias(f"p_{p}") for p in PATTERNS),
         *(_sum(n, F.col("shape") == k).alias(f"s_{k}") for k in (*KINDS, "slash")),
         F.coalesce(F.bool_or("european"), F.lit(False)).alias("european"),
-        F.min(number).alias("num_min"),
-        F.max(number).alias("num_max"),
-        F.min(length).alias("len_min"),
-        F.max(length).alias("len_max"),
-        _sum(F.col("n_odd"), t).alias("odd"),
-        F.array_sort(F.collect_set(F.when(t & F.col("shape").isNull(), v))).alias("sentinels"),
+        F.min("number_min").alias("num_min"),
+        F.max("number_max").alias("num_max"),
+        F.min("length_min").alias("len_min"),
+        F.max("length_max").alias("len_max"),
+        _sum(n, t & F.col("odd")).alias("odd"),
+        _sum(n, t & F.col("shape").isNull()).alias("n_sentinels"),
+        _sum(n, t & F.col("unsettled")).alias("n_unsettled"),
     )
+    name = F.get(F.array(*map(F.lit, names)), F.col("place"))
+    sums = _written(sums.join(distinct, "place", "left").withColumns({"distinct": F.coalesce("distinct", F.lit(0)), "column": name}).drop("place"))
+    told = sums.select("column", "n_sentinels", "n_unsettled").collect()  # a row for each column
+    # characters that only Python's tables can compose are looked at where there are any
+    unsettled = [r["column"] for r in told if r.n_unsettled]
+    if unsettled:
+        more = cells(df, unsettled).where(cell.isNotNull() & ~is_settled(cell) & (trimmed(cell) != "")).groupBy("column").agg(F.count_if(is_changed(cell)).alias("more"))
+        sums = sums.join(_written(more), "column", "left").withColumn("odd", F.col("odd") + F.coalesce("more", F.lit(0)))
     filled = F.col("filled")
     share = lambda c: F.try_divide(c, filled)
     # types by count, ties in the order of TYPES
@@ -119,7 +159,7 @@ def profiles(df: DataFrame, columns: Sequence[str] | None = None, share: float =
     best = F.get(F.array_sort(F.array(*(F.struct((-c).alias("minus"), F.lit(i).alias("place"), F.lit(k).alias("kind")) for i, (k, c) in enumerate(shapes.items())))), F.lit(0))
     real_total = sum(shapes.values(), F.lit(0))
     covered = F.try_divide(-F.col("best.minus"), F.col("real"))
-    out = _written(sums).withColumn("ranked", ranked).withColumn("best", best).withColumn("real", real_total)
+    out = sums.withColumn("ranked", ranked).withColumn("best", best).withColumn("real", real_total)
     out = out.select(
         "column",
         primary.alias("primary_type"),
@@ -135,18 +175,27 @@ def profiles(df: DataFrame, columns: Sequence[str] | None = None, share: float =
         F.coalesce(share(F.col("odd")), F.lit(0.0)).alias("invisible_rate"),
         F.when(F.col("real") == 0, "canonical").when(covered >= COVERAGE, F.col("best.kind")).otherwise("unknown").alias("emission"),
         F.coalesce(covered, F.lit(1.0)).alias("emission_confidence"),
-        "sentinels",
     )
     few = [r["column"] for r in out.where((F.col("distinct") > 0) & (F.col("distinct") <= MOST_ENUM) & (F.col("unique_rate") <= ENUM_SHARE) & ~F.col("primary_type").isin("mixed", "date", "datetime")).select("column").collect()]
-    enums = values.where(there & F.col("column").isin(*(few or [None]))).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("enum_values"))  # MOST_ENUM values for a column
-    return out.join(enums, "column", "left").withColumn("enum_values", F.coalesce("enum_values", F.array().cast("array<string>"))).drop("distinct")
+    apart = [r["column"] for r in told if r.n_sentinels]
+    none = F.array().cast("array<string>")
+    if few or apart:
+        # MOST_ENUM values for a column, and the ways to write a sentinel
+        value, named = trimmed(F.col("cell")), F.col("column").isin(*few) if few else F.lit(False)
+        kept = cells(df, sorted({*few, *apart})).select("column", value.alias("value"), is_sentinel(value).alias("apart"), named.alias("few")).where("value <> '' AND (few OR apart)").distinct()
+        listed = kept.groupBy("column").agg(F.array_sort(F.collect_list(F.when(F.col("few"), F.col("value")))).alias("enum_values"), F.array_sort(F.collect_list(F.when(F.col("apart"), F.col("value")))).alias("sentinels"))
+        out = out.join(_written(listed), "column", "left")
+    else:
+        out = out.withColumns({"enum_values": none, "sentinels": none})
+    return out.withColumns({c: F.coalesce(c, none) for c in ("enum_values", "sentinels")}).drop("distinct")
 
 
 def _written(values: DataFrame) -> DataFrame:
     """Counts of values in the shared folder, so that cells are read once for all that is asked of them."""
-    path = f"{scratch(values.sparkSession, 'profile')}/t"
+    spark = values.sparkSession
+    path = f"{scratch(spark, 'profile')}/t"
     values.write.parquet(path)
-    return values.sparkSession.read.schema(values.schema).parquet(path)
+    return spark.read.schema(values.schema).parquet(path)
 
 
 def profile_of(row: Row) -> Profile:

@@ -1,8 +1,9 @@
 """Rows whose values stand in the wrong columns: found by their profiles, put right or set aside.
 
-Every row is scored by expressions of literals, in the JVM. Only rows that aren't aligned
-go to Python, where shifted and swapped arrangements are tried: a row's cells are scored
-once in each column that may get them, and an arrangement's score is a sum of such entries.
+Every row is scored by expressions of literals, in the JVM. Rows that aren't aligned are tried in shifted and swapped
+arrangements, many rows at a time: each distinct value of a batch is classified once and scored against all profiles, so the
+scores of all cells in all columns are one array, and an arrangement's score is a sum of its entries. `check_row` says the
+same of a single row.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.classify import classify_value, strip
+from tabweave.functions.classify import PATTERNS, TYPES, classify_value, strip
 from tabweave.functions.scalars import trimmed
 from tabweave.operators.filters import column
 from tabweave.operators.profile import Profile, score_trimmed
@@ -145,6 +148,159 @@ def check_row(values: Sequence[str | None], columns: Sequence[str], profiles: Se
     return verdict | {"kind": "quarantine", "suspected": changed and gain >= options.improvement}
 
 
+#: Entries of an array of scores that are held at a time.
+_ENTRIES = 1 << 22
+
+
+@lru_cache(maxsize=200_000)
+def _classified(text: str) -> tuple[str, frozenset[str], float]:
+    kind, found = classify_value(text)
+    return kind, found, float(text) if kind in ("integer", "number") else 0.0
+
+
+def score_values(values: Sequence[str | None], profiles: Sequence[Profile | None]) -> np.ndarray:
+    """score_text of each value (rows) against each profile (columns; 0 without one)."""
+    texts = [strip(v or "") for v in values]
+    known = [_classified(t) for t in texts]
+    blank = np.array([not t for t in texts], bool)
+    kinds = np.array([TYPES.index(k) for k, _, _ in known], int)
+    bits = np.array([[p in found for p in PATTERNS] for _, found, _ in known], bool).reshape(len(texts), len(PATTERNS))
+    numbers = np.array([x for _, _, x in known], float)
+    numeric = np.isin(kinds, [TYPES.index("integer"), TYPES.index("number")])
+    related = {"integer": ("number",), "number": ("integer",), "date": ("datetime",), "datetime": ("date",)}
+    scores = np.zeros((len(texts), len(profiles)))
+    for i, p in enumerate(profiles):
+        if p is None:
+            continue
+        fits = np.ones(len(texts), bool) if p.primary_type == "mixed" else np.isin(kinds, [TYPES.index(k) for k in (p.primary_type, *related.get(p.primary_type, ()))])
+        out = np.where(fits, 0.7, 0.5 if p.primary_type == "string" else 0.1)
+        if p.enum_values:
+            members = frozenset(p.enum_values)
+            inside = np.array([t in members for t in texts], bool)
+            out = np.where(inside, np.maximum(out, 0.95), np.minimum(out, 0.1 if len(p.enum_values) <= 10 else 0.3))
+        if p.patterns:
+            held = bits[:, [PATTERNS.index(x) for x in p.patterns]].sum(1)
+            out = np.where(held / len(p.patterns) >= 0.8, np.maximum(out, 0.9), np.where(held == 0, np.minimum(out, 0.2), out))
+        if p.numeric_range:
+            low, high = p.numeric_range
+            span = (high - low) or abs(high) or 1.0
+            out = np.where(numeric & ~((low - span * 100 <= numbers) & (numbers <= high + span * 100)), np.minimum(out, 0.4), out)
+        scores[:, i] = np.where(blank, 0.7 if p.null_rate >= 0.05 else 0.3, out)
+    return scores
+
+
+class _Rows:
+    """Arrangements of many rows; scores[row, column, place] is that of the value at a place in a column, the last place being none."""
+
+    def __init__(self, scores: np.ndarray, scored: Sequence[int]) -> None:
+        self.scores, self.scored = scores, list(scored)
+
+    def cells(self, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return self.scores[rows[:, None], np.arange(places.shape[1])[None, :], places]
+
+    def total(self, cells: np.ndarray) -> np.ndarray:
+        """From left to right, as the expression adds."""
+        out = np.zeros(len(cells))
+        for i in self.scored:
+            out += cells[:, i]
+        return out / len(self.scored)
+
+
+def check_rows(cells: Sequence[Sequence[str | None]], columns: Sequence[str], profiles: Sequence[Profile | None], options: RealignOptions) -> dict[str, np.ndarray | list]:
+    """check_row for many rows, whose cells come column by column: the verdict's fields as arrays, and for each row the places its values come from (-1: none)."""
+    n, rows = len(columns), len(cells[0]) if cells else 0
+    flat = pa.chunked_array([pa.array(c, pa.string()) for c in cells]).combine_chunks().dictionary_encode()
+    distinct = score_values([*flat.dictionary.to_pylist(), None], profiles)  # the last stands for null
+    codes = np.asarray(flat.indices.fill_null(len(flat.dictionary))).reshape(n, rows).T
+    parts = []
+    step = max(64, _ENTRIES // (n * (n + 1)))
+    for at in range(0, rows, step):
+        own = codes[at : at + step]
+        scores = np.empty((len(own), n, n + 1))
+        for i in range(n):
+            scores[:, i, :n] = distinct[own, i]
+            scores[:, i, n] = distinct[-1, i]
+        parts.append(_verdicts(scores, [i for i, p in enumerate(profiles) if p is not None], n, options))
+    found = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else _verdicts(np.empty((0, n, n + 1)), [0], n, options)
+    reason_of = lru_cache(maxsize=100_000)(lambda i, v: f"{columns[i]}: {mismatch(v, profiles[i])}")
+    problems = found.pop("problems")
+    worst = {int(r): [] for r in np.flatnonzero(found["kind"] != 0)}
+    for r, i in zip(*(x.tolist() for x in np.nonzero(problems)), strict=True):
+        if r in worst and len(worst[r]) < 3:
+            worst[r].append(reason_of(i, cells[i][r]))
+    swaps = [[[columns[a], columns[b]] for a, b in pairs if a >= 0] for pairs in found.pop("swaps").tolist()]
+    kinds = np.array(["aligned", "realigned", "quarantine"])[found.pop("kind")]
+    return found | {"kind": kinds, "swaps": swaps, "reason": [" | ".join(worst[r]) if r in worst else None for r in range(rows)]}
+
+
+def _verdicts(scores: np.ndarray, scored: Sequence[int], n: int, options: RealignOptions) -> dict[str, np.ndarray]:
+    count = len(scores)
+    search, everything = _Rows(scores, scored), np.arange(count)
+    profiled = np.zeros(n, bool)
+    profiled[list(scored)] = True
+    start = np.tile(np.arange(n), (count, 1))
+    held = search.cells(everything, start)
+    original = search.total(held)
+    problems = (held < PROBLEM) & profiled
+    critical = ((held < CRITICAL) & profiled).any(1)
+    open_ = ~((original >= options.aligned) & ~critical)
+    first = np.where(problems.any(1), problems.argmax(1), n + 10)
+    best, shift, pivot, places = original.copy(), np.zeros(count, int), np.zeros(count, int), start.copy()
+    # pivots come in ascending order, 0 among them, so the first best one is kept
+    for p in range(n):
+        near = open_ if p == 0 else open_ & (first - 2 <= p) & (p <= first + 1)
+        rows = np.flatnonzero(near)
+        if not len(rows):
+            continue
+        for s in (x for k in range(1, options.max_shift + 1) for x in (-k, k)):
+            moved = np.array([*range(p), *(i + s if 0 <= i + s < n else n for i in range(p, n))])
+            value = search.total(scores[rows[:, None], np.arange(n)[None, :], moved[None, :]])
+            better = value > best[rows]
+            at = rows[better]
+            best[at], shift[at], pivot[at], places[at] = value[better], s, p, moved
+    swaps = np.full((count, max(1, options.swap_rounds), 2), -1)
+    if options.swaps:
+        current, value, live = places.copy(), best.copy(), np.flatnonzero(open_)
+        for k in range(options.swap_rounds):
+            if not len(live):
+                break
+            now = search.cells(live, current[live])
+            bad = (now < PROBLEM) & profiled
+            order = np.argsort(np.where(bad, now, np.inf), axis=1, kind="stable")[:, : options.swap_candidates]
+            there = np.take_along_axis(bad, order, 1)
+            found, pair = value[live].copy(), np.full((len(live), 2), -1)
+            for x in range(order.shape[1]):
+                for y in range(x + 1, order.shape[1]):
+                    rows = np.flatnonzero(there[:, x] & there[:, y])
+                    if not len(rows):
+                        continue
+                    a, b, at = order[rows, x], order[rows, y], live[rows]
+                    tried = now[rows].copy()
+                    tried[np.arange(len(rows)), a] = scores[at, a, current[at, b]]
+                    tried[np.arange(len(rows)), b] = scores[at, b, current[at, a]]
+                    total = search.total(tried)
+                    better = total > found[rows]
+                    found[rows[better]] = total[better]
+                    pair[rows[better]] = np.stack([a[better], b[better]], 1)
+            goes_on = (pair[:, 0] >= 0) & ~(found - value[live] < options.improvement / 4)
+            live, pair, found = live[goes_on], pair[goes_on], found[goes_on]
+            a, b = pair[:, 0], pair[:, 1]
+            current[live, a], current[live, b] = current[live, b], current[live, a]
+            swaps[live, k] = pair
+            value[live] = found
+        better = (swaps[:, 0, 0] >= 0) & (value > best)
+        best[better], places[better] = value[better], current[better]
+        swaps[~better] = -1
+    swapped = swaps[:, 0, 0] >= 0
+    changed = (shift != 0) | swapped
+    gain = best - original
+    fixed = changed & critical & ~((search.cells(everything, places) < CRITICAL) & profiled).any(1)
+    right = changed & (best >= options.apply) & ((gain >= options.improvement) | (fixed & (gain >= SOFT_IMPROVEMENT)))
+    kind = np.where(~open_, 0, np.where(right, 1, 2))
+    places = np.where((kind == 1)[:, None], places, start)
+    return {"kind": kind, "original_score": original, "new_score": best, "shift": shift, "pivot": pivot, "swaps": swaps, "suspected": (kind == 2) & changed & (gain >= options.improvement), "places": np.where(places == n, -1, places), "problems": problems}
+
+
 VERDICT = T.StructType(
     [
         T.StructField("kind", T.StringType()),
@@ -195,32 +351,39 @@ def realign(df: DataFrame, columns: Sequence[str], profiles: Mapping[str, Profil
         marked = held.withColumn("__score", score).drop("__scores")
     else:
         marked = df.withColumn("__score", F.struct(F.lit(0.5).alias("mean"), F.lit(1.0).alias("least")))
-    fine = (F.col("__score.mean") >= options.aligned) & (F.col("__score.least") >= CRITICAL) if profiles else F.lit(True)
     kinds = {f.name: f.dataType for f in VERDICT.fields}
     s = F.col("__score.mean")
     whole = {"kind": F.lit("aligned"), "original_score": s, "new_score": s, "shift": F.lit(0), "pivot": F.lit(0), "swaps": F.array(), "suspected": F.lit(False), "reason": F.lit(None)}
-    aligned = marked.where(fine).withColumn("__verdict", F.struct(*(c.cast(kinds[k]).alias(k) for k, c in whole.items()))).drop("__score")
-    out = aligned
-    if profiles:
-        rest = marked.where(~fine).drop("__score")
-        schema = T.StructType([*rest.schema.fields, T.StructField("__verdict", VERDICT)])
-        places, own = [rest.columns.index(c) for c in columns], [profiles.get(c) for c in columns]
-        names = list(columns)
+    verdict = F.struct(*(c.cast(kinds[k]).alias(k) for k, c in whole.items()))
+    if not profiles:
+        out = marked.withColumn("__verdict", verdict).drop("__score")
+    else:
+        # all rows pass by in one go, so that they are read and scored once; those that fit stay as they are
+        fine = (s >= options.aligned) & (F.col("__score.least") >= CRITICAL)
+        ready = marked.select(*(column(c) for c in df.columns), verdict.alias("__verdict"), fine.alias("__fine"))
+        schema = T.StructType(ready.schema.fields[:-1])
+        places, own, names = [df.columns.index(c) for c in columns], [profiles.get(c) for c in columns], list(columns)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score_of = lru_cache(maxsize=200_000)(lambda i, v: score_text(v, own[i]))
             for b in batches:
-                cells = [b.column(i).to_pylist() for i in places]
-                verdicts = [check_row(row, names, own, options, score_of) for row in zip(*cells, strict=True)]
-                arrays = list(b.columns)
+                odd = pc.invert(b.column(b.num_columns - 1))
+                b = b.select(list(range(b.num_columns - 1)))
+                rest = b.filter(odd)
+                if rest.num_rows < b.num_rows:
+                    yield b.filter(pc.invert(odd))
+                if not rest.num_rows:
+                    continue
+                cells = [rest.column(i).to_pylist() for i in places]
+                found = check_rows(cells, names, own, options)
+                arrays, at = list(rest.columns), found.pop("places")
                 for k, i in enumerate(places):
-                    fixed = [cells[v["places"][k]][r] if v["places"][k] >= 0 else None for r, v in enumerate(verdicts)]
-                    arrays[i] = pa.array(fixed, pa.string())
-                rows = [{k: [list(x) for x in v[k]] if k == "swaps" else v[k] for k in kinds} for v in verdicts]
-                found = pa.array(rows, _arrow(VERDICT))
-                yield pa.RecordBatch.from_arrays([*arrays, found], names=[*b.schema.names, "__verdict"])
+                    if (at[:, k] != k).any():
+                        arrays[i] = pa.array([cells[x][r] if x >= 0 else None for r, x in enumerate(at[:, k].tolist())], pa.string())
+                rows = [found[f.name] if isinstance(found[f.name], list) else found[f.name].tolist() for f in VERDICT.fields]
+                arrays[-1] = pa.StructArray.from_arrays([pa.array(x, _arrow(f.dataType)) for x, f in zip(rows, VERDICT.fields, strict=True)], fields=list(b.schema.field(b.num_columns - 1).type))
+                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
-        out = aligned.union(rest.mapInArrow(run, schema))
+        out = ready.mapInArrow(run, schema)
     if quarantine == "drop":
         out = out.where("__verdict.kind <> 'quarantine'")
     if quarantine == "mark":

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.normalize import distinct_names
 from tabweave.operators.order_page import ROW
 from tabweave.operators.sampling import all_texts
 from tabweave.plans.inputs import CELLS_SQL, cells, table
 from tabweave.session import scratch
-from tabweave.sources.files import collect_files, json_shape, read_any, read_delimited, read_json, read_lines_range, read_parquet, signature, sniff_delimiter, split_line, too_large, with_row_index
+from tabweave.sources.files import DELIMITERS, collect_files, line_cells, read_any, read_delimited, read_json, read_lines_range, read_parquet, signature, too_large, with_row_index
 from tabweave.streaming.folder_watch import changes, on_new_files, poll, stream_folder
 
 _KEPT = ["k", "vendor", "cost", "placed", "region"]
@@ -72,9 +71,27 @@ def _json(wrap):
     return run
 
 
+def json_array_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a folder of arrays, thousands of elements on a line, read by ranges of 64 KiB."""
+    folder = scratch(spark, "json")
+    rows = table(spark, sf_dir, "lineitem").select(F.to_json(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.concat(F.lit('a "]},\\ '), "l_returnflag").alias("note"))).alias("value"))
+
+    def arrays(batches):
+        import pyarrow as pa
+
+        mark = "["
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"value": [mark + ", ".join(b.column(0).to_pylist())]})
+            mark = ", "
+        yield pa.RecordBatch.from_pydict({"value": ["]" if mark == ", " else "[]"]})
+
+    rows.mapInArrow(arrays, "value string").write.text(f"{folder}/t")
+    return read_json(spark, f"{folder}/t", 1 << 16).select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "note")
+
+
 def json_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "json")
-    spark.createDataFrame([("42",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/t")
+    table(spark, sf_dir, "nation").select(F.max("n_nationkey").cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/t")
     return read_json(spark, collect_files(spark, f"{folder}/t", ["txt"]).first().path)
 
 
@@ -106,28 +123,46 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def _lines(df: DataFrame, path: str, *head: str) -> None:
+    """Rows of (key, value) as a file of lines in the order of the key, below a few first ones."""
+    spark = df.sparkSession
+    _put(spark, path, "".join(f"{x}\n" for x in [*head, *(r.value for r in df.orderBy("key").collect())]).encode())
+
+
 def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows short and long: filled and cut, or refused."""
+    """Nations of each region as a file, some rows short and some long: filled and cut, or refused."""
     folder = scratch(spark, "ragged")
-    _put(spark, f"{folder}/r.csv", b"a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
-    _put(spark, f"{folder}/g.csv", b"a,b,c\n1,2,3\n")
-
-    def outcome(name: str, strict: bool) -> str:
+    cells_of = F.concat_ws(",", F.col("n_nationkey"), F.when(F.col("n_nationkey") % 7 != 3, F.col("n_name")), F.when(F.col("n_nationkey") % 7 != 3, F.col("n_regionkey")), F.when(F.col("n_nationkey") % 11 == 2, F.lit("more")))
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), "n_regionkey", cells_of.alias("value"))
+    out = None
+    for (region,) in sorted(df.select("n_regionkey").distinct().collect()):
+        path = f"{folder}/{region}.csv"
+        _lines(df.where(F.col("n_regionkey") == region), path, "key,name,region")
         try:
-            return "|".join(",".join(r) for r in sorted(map(tuple, read_delimited(spark, f"{folder}/{name}", strict=strict).collect())))
+            read_delimited(spark, path, strict=True).write.format("noop").mode("overwrite").save()
+            refused = False
         except Exception as e:
-            return "refused" if "MALFORMED" in str(e) or "Malformed" in str(e) else str(e)
-
-    return spark.createDataFrame([(n, s, outcome(n, s)) for n in ("r.csv", "g.csv") for s in (False, True)], "file string, strict boolean, outcome string")
+            if "MALFORMED" not in str(e).upper():
+                raise
+            refused = True
+        own = read_delimited(spark, path).withColumn("refused", F.lit(refused))
+        out = own if out is None else out.union(own)
+    return out
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files within a cap and beyond it, and how their signatures are made."""
+    """Nations of each region as a file: which are beyond a cap, and whether a signature tells files apart by one character."""
     folder = scratch(spark, "sizes")
-    for n in (10, 1000):
-        _put(spark, f"{folder}/{n}", b"x" * n)
-    rows = [(n, too_large(spark, f"{folder}/{n}", 100), signature(spark, f"{folder}/{n}", 100).startswith("sha:"), signature(spark, f"{folder}/{n}") == signature(spark, f"{folder}/{n}")) for n in (10, 1000)]
-    return spark.createDataFrame(rows, "size int, too_large boolean, by_content boolean, stable boolean")
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), "n_regionkey", F.col("n_name").alias("value"))
+    rows = []
+    for (region,) in sorted(df.select("n_regionkey").distinct().collect()):
+        path = f"{folder}/{region}.txt"
+        _lines(df.where(F.col("n_regionkey") == region), path)
+        first = signature(spark, path)
+        same = first == signature(spark, path)
+        _lines(df.where(F.col("n_regionkey") == region).withColumn("value", F.concat(F.lit("~"), F.expr("substring(value, 2)"))), path)
+        rows.append((region, too_large(spark, path, 50), same, first != signature(spark, path)))
+    return spark.createDataFrame(rows, "region int, too_large boolean, stable boolean, told_apart boolean")
 
 
 def watch_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,13 +202,11 @@ def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of two endings below a folder, but not hidden ones."""
+    """A file for each nation, below its region: those of two endings, but not hidden ones."""
     folder = scratch(spark, "files")
-    for name in ("a/x.csv", "b/c/y.json", "z.txt", "a/~w.csv"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(b"x"))
-        out.close()
+    for r in table(spark, sf_dir, "nation").collect():
+        name = ("", ".", "~", "", "")[r.n_nationkey % 5] + r.n_name.lower() + (".csv", ".json", ".txt")[r.n_nationkey % 3]
+        _put(spark, f"{folder}/{r.n_regionkey}/{name}", r.n_name.encode())
     return collect_files(spark, folder, ["csv", "json"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "size")
 
 
@@ -199,13 +232,31 @@ def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ["Sample Name", "sampleName", "", "first-name", "first name", "OD_450nm", None, "_x_", "HTMLParser"]
-    return spark.createDataFrame(list(enumerate(distinct_names(raw))), "place int, name string")
+    """A file whose header names each nation's region, so that most names repeat; a column for each nation, with its name."""
+    folder = scratch(spark, "headers")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()
+    _put(spark, f"{folder}/h.csv", (",".join(f"In {r.r_name}" for r in rows) + "\n" + ",".join(r.n_name for r in rows) + "\n").encode())
+    df = read_any(spark, f"{folder}/h.csv")
+    return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("cell")) for c in df.columns))).alias("x")).select("x.*")
 
 
 def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [("delimiter", sniff_delimiter("a;b;c\n1,5;2;3\n4;5;6")), ("delimiter_none", sniff_delimiter("word\nword")), ("cell", split_line('1, "x, ""y""" ,3')[1]), ("shape", json_shape('{"meta": {"rows": 1}, "results": [1'))]
-    return spark.createDataFrame(found, "what string, found string")
+    """Nations in files of each delimiter, read without being told which; names hold the others."""
+    folder, out = scratch(spark, "sniffed"), None
+    df = table(spark, sf_dir, "nation")
+    for k, d in enumerate(DELIMITERS):
+        name = F.concat(F.lit('"a, b; c | '), "n_name", F.lit('"'))
+        _lines(df.select(F.col("n_nationkey").alias("key"), F.concat_ws(d, "n_nationkey", name, "n_regionkey").alias("value")), f"{folder}/{k}.csv", d.join(("key", "name", "region")))
+        own = read_any(spark, f"{folder}/{k}.csv").withColumn("file", F.lit(k))
+        out = own if out is None else out.union(own)
+    return out
+
+
+def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of quoted and padded cells, each taken apart by itself."""
+    df = table(spark, sf_dir, "nation")
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(' , "say ""'), "n_name", F.lit('"", twice" ,, '), F.col("n_regionkey").cast("string"))
+    return df.select("n_nationkey", line_cells(line, 4).alias("c")).select("n_nationkey", *(F.get("c", F.lit(i)).alias(f"c{i}") for i in range(4)))
 
 
 _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -223,19 +274,30 @@ ENTRIES = {
     "source_json_object": (_json(lambda rows: rows[3]), f"{_NATION} ORDER BY n_nationkey LIMIT 1 OFFSET 3"),
     "source_json_long_first": (json_long_first, "SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 100000 ELSE length(n_name) END AS INTEGER) AS size FROM nation"),
     "source_json_wrapper_behind": (json_wrapper_behind, "SELECT n_nationkey AS value, n_name FROM nation"),
-    "source_ragged": (ragged, "SELECT * FROM (VALUES ('r.csv', FALSE, '1,2,3|4,5,|6,7,8'), ('r.csv', TRUE, 'refused'), ('g.csv', FALSE, '1,2,3'), ('g.csv', TRUE, '1,2,3')) t(file, strict, outcome)"),
-    "source_size_cap": (sizes, "SELECT * FROM (VALUES (10, FALSE, TRUE, TRUE), (1000, TRUE, FALSE, TRUE)) t(size, too_large, by_content, stable)"),
+    "source_ragged": (
+        ragged,
+        """
+WITH n AS (SELECT *, n_nationkey % 7 = 3 OR n_nationkey % 11 = 2 AS odd FROM nation),
+c AS (SELECT *, [CAST(n_nationkey AS VARCHAR)] || CASE WHEN n_nationkey % 7 <> 3 THEN [n_name, CAST(n_regionkey AS VARCHAR)] ELSE [] END || CASE WHEN n_nationkey % 11 = 2 THEN ['more'] ELSE [] END AS cells FROM n)
+SELECT cells[1] AS key, coalesce(cells[2], '') AS name, coalesce(cells[3], '') AS region, bool_or(odd) OVER (PARTITION BY n_regionkey) AS refused FROM c""",
+    ),
+    "source_size_cap": (sizes, "SELECT n_regionkey AS region, sum(strlen(n_name) + 1) > 50 AS too_large, TRUE AS stable, TRUE AS told_apart FROM nation GROUP BY 1"),
     "folder_polls": (watch_polls, "SELECT * FROM (VALUES (1, 'gone.csv', 'removed'), (2, 'new.json', 'added'), (2, 'old.csv', 'changed')) t(poll, file, change)"),
+    "source_json_ranges": (json_array_large, "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'a \"]},\\ ' || l_returnflag AS note FROM lineitem"),
     "source_json_scalar": (json_scalar, "SELECT '' AS value WHERE FALSE"),
     "source_parquet": (parquet, "SELECT event_id, event_type, value FROM events"),
     "source_all_texts": (texts, "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice, o_orderstatus FROM orders"),
     "source_workbook": (workbook, "SELECT CAST(n_nationkey AS VARCHAR) AS nation_key, n_name AS nation_name, CAST(NULL AS VARCHAR) AS note, CAST(n_regionkey AS VARCHAR) AS region_key, 'true' AS active FROM nation"),
-    "source_folder": (files, "SELECT * FROM (VALUES ('x.csv', CAST(1 AS BIGINT)), ('y.json', CAST(1 AS BIGINT))) t(file, size)"),
+    "source_folder": (files, "SELECT lower(n_name) || ['.csv', '.json'][n_nationkey % 3 + 1] AS file, CAST(strlen(n_name) AS BIGINT) AS size FROM nation WHERE n_nationkey % 3 < 2 AND n_nationkey % 5 NOT IN (1, 2)"),
     "stream_new_files": (watched, f"WITH {CELLS_SQL} SELECT trim(coalesce(vendor, '')) AS vendor, count(*) AS n FROM c GROUP BY 1"),
     "folder_changes": (
         changed,
         "SELECT n_name AS path, CASE WHEN n_nationkey < 5 THEN 'removed' WHEN n_nationkey >= 20 THEN 'added' ELSE 'changed' END AS change FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 20 OR n_nationkey % 3 = 0",
     ),
-    "header_names": (headers, "SELECT * FROM (VALUES (0, 'sample_name'), (1, 'sample_name_1'), (2, 'column_3'), (3, 'first_name'), (4, 'first_name_1'), (5, 'od_450nm'), (6, 'column_7'), (7, 'x'), (8, 'html_parser')) t(place, name)"),
-    "source_sniffing": (sniffed, "SELECT * FROM (VALUES ('delimiter', ';'), ('delimiter_none', ','), ('cell', 'x, \"y\"'), ('shape', 'results')) t(what, found)"),
+    "header_names": (
+        headers,
+        "SELECT 'in_' || lower(replace(r_name, ' ', '_')) || CASE WHEN k > 1 THEN '_' || CAST(k - 1 AS VARCHAR) ELSE '' END AS name, n_name AS cell FROM (SELECT r_name, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)",
+    ),
+    "source_sniffing": (sniffed, "SELECT CAST(n_nationkey AS VARCHAR) AS key, 'a, b; c | ' || n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, CAST(f AS INTEGER) AS file FROM nation, range(4) t(f)"),
+    "source_line_split": (lines_split, "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS c0, 'say \"' || n_name || '\", twice' AS c1, '' AS c2, CAST(n_regionkey AS VARCHAR) AS c3 FROM nation"),
 }

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import re
-from collections.abc import Iterator, Sequence
-from typing import BinaryIO
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,11 +13,11 @@ from tabweave.functions.normalize import distinct_names
 from tabweave.operators.filters import column
 from tabweave.operators.order_page import ROW
 from tabweave.session import scratch
+from tabweave.sources.json_splits import RANGE_BYTES, read_arrays
+from tabweave.sources.records import MAX_RECORD, ends_open, records
 
 #: The name under which SQL finds a source.
 SOURCE_VIEW = "__agent_src__"
-#: Keys under which an object holds its rows, in the order in which they are tried.
-WRAPPERS = ("data", "items", "rows", "results", "records", "value")
 DELIMITERS = (",", ";", "|", "\t")
 MAX_FILE_BYTES = 50 << 20
 
@@ -35,8 +32,8 @@ def extension(path: str) -> str:
 
 
 def sniff_delimiter(text: str) -> str:
-    """The delimiter that divides the most lines into the same number of parts, more than one; else a comma."""
-    lines = [x for x in text.splitlines()[:50] if x.strip()]
+    """The delimiter that divides the most lines into the same number of parts, more than one; else a comma. Quoted cells aren't looked into."""
+    lines = [x for x in re.sub(r'"(?:[^"]|"")*"', "", text).splitlines()[:50] if x.strip()]
     best, most = ",", (0, 0)
     for d in DELIMITERS:
         counts = [x.count(d) for x in lines]
@@ -50,22 +47,80 @@ def _named(df: DataFrame) -> DataFrame:
     return df.toDF(*distinct_names(df.columns))
 
 
+#: Bytes of a file's beginning that are looked at.
+HEAD_BYTES = 1 << 16
+
+
+def first_file(spark: SparkSession, path: str | list[str]) -> str | None:
+    """The first file by name, of those that a path, a pattern, a folder or several of these stand for, that isn't empty."""
+    found = []
+    for one in [path] if isinstance(path, str) else path:
+        fs, where = _path(spark, one)
+        for status in fs.globStatus(where) or []:
+            files = fs.listFiles(status.getPath(), True) if status.isDirectory() else None
+            while files is not None and files.hasNext():
+                file = files.next()
+                if file.getLen() and file.getPath().getName()[:1] not in "_.":
+                    found.append(file.getPath().toString())
+            if files is None and status.getLen():
+                found.append(status.getPath().toString())
+    return min(found, default=None)
+
+
+def head_text(spark: SparkSession, file: str, size: int = HEAD_BYTES) -> str:
+    """The beginning of a file, unpacked if its name says that it is packed, without a byte order mark."""
+    fs, where = _path(spark, file)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(where)
+    stream = fs.open(where)
+    try:
+        bounded = spark._jvm.org.apache.commons.io.input.BoundedInputStream(codec.createInputStream(stream) if codec else stream, size)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(bounded)).decode("utf-8", "replace").removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
+def header_cells(text: str, delimiter: str) -> list[str]:
+    """The cells of the first record of a file's beginning that isn't blank."""
+    held: list[str] = []
+    is_open = False
+    for line in text.split("\n"):
+        if not held and not line.strip():
+            continue
+        held.append(line.rstrip("\r"))
+        is_open = ends_open(line, is_open, delimiter)
+        if not is_open:
+            break
+    return split_line("\n".join(held), delimiter)
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str | None = None, multi_line: bool | None = None, strict: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """A CSV or TSV file with a header line, as texts; blank and missing cells are empty texts, not nulls.
 
-    Short and long rows are tolerated unless `strict`. With `multi_line` a quoted cell may hold line feeds, and
-    a file is read by one task; without, large files are split. None looks for a line with half a pair of quotes first.
+    Without a delimiter a .tsv file's is the tab, and that of others is told by the file's beginning. Columns get the
+    header's names, normalized and made distinct. Short and long rows are tolerated unless `strict`. With `multi_line` a
+    quoted cell may hold line feeds, and splits are read as in `records`; None looks for a line with half a pair of quotes
+    first. A record of more than MAX_RECORD characters is an error then.
     """
-    one = path if isinstance(path, str) else path[0]
-    delimiter = delimiter or ("\t" if extension(one) == "tsv" else ",")
+    one = first_file(spark, path)
+    if one is None:
+        return spark.createDataFrame([], schema or "column_1 string")
+    head = head_text(spark, one)
+    delimiter = delimiter or ("\t" if extension(one) == "tsv" else sniff_delimiter(head))
+    if schema is None:
+        cells = header_cells(head, delimiter)
+        if len(head) >= HEAD_BYTES // 4 and ends_open(head.rpartition("\n")[0], False, delimiter):
+            cells = header_cells(head_text(spark, one, MAX_RECORD), delimiter)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in distinct_names(cells)])
+    options = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "FAILFAST" if strict else "PERMISSIVE"}
     if multi_line is None:
         open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
         multi_line = spark.read.text(path).where(open_quote).limit(1).count() > 0
-    reader = spark.read.option("header", True).option("sep", delimiter).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", False if strict else True)
-    reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    return _named(df).fillna("")
+    if not multi_line:
+        return spark.read.options(**options).option("header", True).schema(schema).csv(path).fillna("")
+    rows = records(spark, path, delimiter).where("place > 0")
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    kinds = ", ".join(f"`{f.name}` STRING" for f in texts)
+    return rows.select(F.from_csv("value", kinds, options).alias("r")).select(*(F.col(f"r.`{f.name}`").cast(f.dataType).alias(f.name) for f in schema)).fillna("")
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
@@ -92,6 +147,13 @@ def read_lines_range(spark: SparkSession, path: str, from_line: int = 1, to_line
     return body.select("r.*", ROW).fillna("")
 
 
+def line_cells(line: Column, n: int, delimiter: str = ",") -> Column:
+    """The same for a column of lines: an array of n trimmed texts, those that a line doesn't have empty."""
+    options = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "emptyValue": "", "nullValue": ""}
+    cells = F.from_csv(line, ", ".join(f"c{i} STRING" for i in range(n)), options)
+    return F.array(*(F.coalesce(cells[f"c{i}"], F.lit("")) for i in range(n)))
+
+
 def split_line(line: str, delimiter: str = ",") -> list[str]:
     """The trimmed cells of one line; quotes hold delimiters, and two of them stand for one."""
     import csv
@@ -99,98 +161,11 @@ def split_line(line: str, delimiter: str = ",") -> list[str]:
     return [c.strip() for c in next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), [])]
 
 
-_TOKEN = re.compile(rb'\\.|["{}\[\],:]', re.DOTALL)
-#: A key is remembered up to so many bytes, more than any wrapper has.
-_KEY_BYTES = 64
-
-
-def json_pieces(file: BinaryIO, size: int = 1 << 20) -> Iterator[tuple[str, str]]:
-    """What a JSON file holds, read as a stream of `size` bytes at a time: (kind, text) for each element of an array, and at
-    the end ("shape", the shape).
-
-    Shapes: `array` (elements of that kind come before), `object`, `lines` (another object follows the first, which is all
-    that is read), `scalar`. Of an object the elements of arrays under WRAPPERS come, each array begun by an empty text;
-    their kind is the key.
-    """
-    depth, quoted, root, key, kind, inner, ended = 0, False, "", b"", None, 0, False
-    held, parts, name = b"", [], []
-
-    def element() -> tuple[str, str]:
-        text = b"".join(parts).decode("utf-8-sig" if not depth else "utf-8", "replace").strip().replace("\n", " ").replace("\r", " ")
-        parts.clear()
-        return kind, text
-
-    while chunk := file.read(size):
-        chunk, held = held + chunk, b""
-        if (len(chunk) - len(chunk.rstrip(b"\\"))) % 2:  # an escape goes on in the next chunk
-            chunk, held = chunk[:-1], chunk[-1:]
-        start = 0  # of what isn't in parts or name yet
-        if not root:
-            left = chunk.removeprefix(b"\xef\xbb\xbf").lstrip()
-            if not left:
-                continue
-            root = {b"[": "array", b"{": "object"}.get(left[:1], "scalar")
-            if root == "scalar":
-                break
-        if ended:
-            if left := chunk.strip():
-                root = "lines" if left[:1] == b"{" else root
-                break
-            continue
-        for m in _TOKEN.finditer(chunk):
-            token = m[0]
-            if quoted:
-                if token == b'"':
-                    quoted = False
-                    if depth == 1 and kind is None:
-                        name.append(chunk[start : m.start()][:_KEY_BYTES])
-                        key = b"".join(name)[:_KEY_BYTES]
-                continue
-            if token == b'"':
-                quoted = True
-                if depth == 1 and kind is None:
-                    name, start = [], m.end()
-            elif token in b"[{":
-                depth += 1
-                begins = root == "array" and depth == 1 or root == "object" and depth == 2 and token == b"[" and key.decode("utf-8", "replace") in WRAPPERS
-                if begins and kind is None:
-                    kind, inner, start = "array" if root == "array" else key.decode(), depth, m.end()
-                    yield kind, ""
-            elif token in b"]}":
-                if kind is not None and depth == inner:
-                    parts.append(chunk[start : m.start()])
-                    if (piece := element())[1]:
-                        yield piece
-                    kind = None
-                depth -= 1
-                key = b""
-                if not depth:
-                    ended = True
-                    if left := chunk[m.end() :].strip():
-                        root = "lines" if root == "object" and left[:1] == b"{" else root
-                        yield "shape", root
-                        return
-                    break
-            elif token == b"," and kind is not None and depth == inner:
-                parts.append(chunk[start : m.start()])
-                start = m.end()
-                yield element()
-            elif token == b"," and depth == 1:
-                key = b""
-        if kind is not None:
-            parts.append(chunk[start:])
-        elif quoted and depth == 1 and sum(map(len, name)) < _KEY_BYTES:
-            name.append(chunk[start:][:_KEY_BYTES])
-    yield "shape", root or "scalar"
-
-
-def json_shape(text: str) -> str:
-    """`array`, `lines`, `scalar`, `object`, or the wrapper's key, by a file's text or its beginning."""
-    kinds, shape = [], ""
-    for kind, piece in json_pieces(io.BytesIO(text.encode())):
-        kinds.append(kind)
-        shape = piece if kind == "shape" else shape
-    return next((w for w in WRAPPERS if w in kinds), shape) if shape == "object" else shape
+def json_shape(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> str:
+    """`array`, `lines`, `scalar`, `object`, or the key of an object's rows."""
+    files = files_below(spark, path)
+    found = read_arrays(spark, files, range_bytes)[0] if files else []
+    return next((f.regions[0][0] if f.shape == "object" and f.regions else f.shape for f in found), "scalar")
 
 
 def whole_path(spark: SparkSession, path: str) -> str:
@@ -199,46 +174,50 @@ def whole_path(spark: SparkSession, path: str) -> str:
     return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
-def opened(uri: str) -> BinaryIO:
-    from pyarrow import fs
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(whole path, bytes) of a file, of what a pattern names, or of a folder's files, by name; hidden and empty ones are left out."""
+    fs, where = _path(spark, path)
+    out = []
+    for status in fs.globStatus(where) or []:
+        if not status.isDirectory():
+            out.append((status.getPath().toString(), status.getLen()))
+            continue
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            if file.getPath().getName()[:1] not in "_.":
+                out.append((file.getPath().toString(), file.getLen()))
+    return sorted((_uri(p), n) for p, n in out if n)
 
-    where, path = fs.FileSystem.from_uri(uri)
-    return where.open_input_file(path)
 
+def _uri(path: str) -> str:
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a JSON file: of its root array, of an array under a known key, of its lines, or one for an object; a scalar has none.
 
-    A .jsonl file is read by lines without a look at it. An array is taken apart by one task, as a stream, into lines in the
-    shared folder, which are then read in parallel; elements that aren't objects become rows of one column, `value`.
+def read_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The rows of a JSON file, or of a folder's: of a root array, of an array under a known key, of lines, or one for an object;
+    a scalar has none.
+
+    A .jsonl file is read by lines without a look at it. Arrays are taken apart by ranges of bytes, whatever stands on a line,
+    into lines in the shared folder; elements that aren't objects become rows of one column, `value`. An object without rows
+    of its own is read by one task.
     """
     if extension(path) == "jsonl":
         return _named(spark.read.json(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for uri in b.column(0).to_pylist():
-                rows, held = [], 0
-                with opened(uri) as file:
-                    for kind, text in json_pieces(file):
-                        kind = f"shape-{text}" if kind == "shape" else kind
-                        rows.append((text if text[:1] == "{" or kind.startswith("shape-") or not text else f'{{"value": {text}}}', kind))
-                        held += len(text)
-                        if held > 1 << 22:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=["value", "kind"])
-                            rows, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["value", "kind"])
-
-    folder = f"{scratch(spark, 'json')}/t"
-    spark.createDataFrame([(whole_path(spark, path),)], "path string").coalesce(1).mapInArrow(run, "value string, kind string").write.partitionBy("kind").text(folder)
-    fs, where = _path(spark, folder)
-    kinds = {s.getPath().getName().removeprefix("kind=") for s in fs.listStatus(where) if s.isDirectory()}
-    if "shape-scalar" in kinds:
+    files = files_below(spark, path)
+    if not files:
         return spark.createDataFrame([], "value string")
-    if "shape-lines" in kinds:
-        return _named(spark.read.json(path))
-    kind = "array" if "shape-array" in kinds else next((w for w in WRAPPERS if w in kinds), None)
-    return _named(spark.read.option("multiLine", True).json(path) if kind is None else spark.read.json(f"{folder}/kind={kind}"))
+    found, held = read_arrays(spark, files, range_bytes)
+    lines = [f.path for f in found if f.shape == "lines"]
+    if any(f.regions for f in found):
+        folder = f"{scratch(spark, 'json')}/t"
+        held.select(F.when(F.col("value").startswith("{"), F.col("value")).otherwise(F.concat(F.lit('{"value": '), "value", F.lit("}"))).alias("value")).write.text(folder)
+        lines.append(folder)
+    out = spark.read.json(lines) if lines else None
+    if objects := [f.path for f in found if f.shape == "object" and not f.regions]:
+        rows = spark.read.option("multiLine", True).json(objects)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return spark.createDataFrame([], "value string") if out is None else _named(out)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
