@@ -64,13 +64,9 @@ def _placed_cells(df: DataFrame, names: Sequence[str], schema: Mapping[str, obje
     return df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("place"), text_of(column(n), schema[n]).alias("cell")) for i, n in enumerate(names)))).alias("c")).select("c.*")
 
 
-def _once(value: Column, name: str) -> Column:
-    """value as a column of its own, which later steps read and don't compute anew."""
-    return F.explode(F.array(value)).alias(name)
-
-
 def _apart(df: DataFrame) -> DataFrame:
-    """df as it is, in a step whose code is compiled apart from that of the next: the marks of a cell are more than the JVM compiles as one method."""
+    """df as it is, in a step of its own: what it computes isn't computed anew by the next, and the code of both is compiled
+    apart, as the marks of a cell are more than the JVM compiles as one method."""
     return df.coalesce(1 << 20)
 
 
@@ -93,10 +89,10 @@ def profiles(df: DataFrame, columns: Sequence[str] | None = None, share: float =
     long = _placed_cells(df, names, schema)
     # outer blanks don't make a value another one, but they do count as invisible
     v, cell = F.col("value"), F.col("cell")
-    raw = long.select("place", "cell", _once(quick_trimmed(cell), "value"))
+    raw = _apart(long.select("place", "cell", quick_trimmed(cell).alias("value")))
     raw = raw.select("place", "value", (v.isNotNull() & (v != "")).alias("there"), (cell.isNotNull() & ~is_settled(cell)).alias("unsettled"), F.coalesce(is_changed_settled(cell, v), F.lit(False)).alias("spaced"))
     t, kind = F.col("there"), F.col("kind")
-    typed = raw.select("*", _once(F.when(t, F.struct(quick_type_of(v).alias("kind"), (~quick_is_sentinel(v)).alias("real"))), "k")).select("*", "k.kind", F.coalesce("k.real", F.lit(False)).alias("real"))
+    typed = raw.withColumns({"kind": F.when(t, quick_type_of(v)), "real": t & ~quick_is_sentinel(v)})
     typed = _apart(typed.select("place", "value", "there", "kind", "real", "unsettled", (F.col("spaced") & ~F.col("unsettled")).alias("odd")))
     typed = _apart(typed.withColumn("shape", F.when(F.col("real"), quick_shape_of(v, kind))))
     typed = _apart(typed.withColumn("bits", F.when(t, pattern_bits(v, kind))))

@@ -93,6 +93,27 @@ def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, agree(spark, ours, run_sql(df, f"SELECT region, {e} AS n FROM {SOURCE_VIEW} GROUP BY region"))) for n, e in statements.items()], "what string, agree boolean")
 
 
+def null_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate by vendors, some of which are null, of each region's rows as if read from files of two kinds."""
+    df, rows = cells(spark, sf_dir), []
+    for region in ("EU", "US"):
+        for source in ("cells.csv", "cells.parquet"):
+            for by in ("vendor", "region"):
+                told = answer(df, Request([Filter("equals", "region", (region,))], aggregation=AggregationSpec([by], [Aggregation("count", "*", "n")])), source=source).diagnostics
+                rows.append((region, source, by, told["null_group_rows"], told["must_decline"]))
+    return spark.createDataFrame(rows, "region string, source string, grouped_by string, null_group_rows long, must_decline boolean")
+
+
+def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof of a sum of clean cells, held against other requests and another source."""
+    df = cells(spark, sf_dir).withColumn("whole", F.col("lines").cast("string"))
+    asked = lambda kind, by="region": AggregationSpec([by], [Aggregation(kind, "whole", "total")])
+    proof = self_check(df, Request(aggregation=asked("sum")), {}, "a")
+    cases = {"same": (asked("sum"), "a"), "mean": (asked("avg"), "a"), "other groups": (asked("sum", "vendor"), "a"), "other source": (asked("sum"), "b")}
+    rows = [(n, proof.dirty_casts, answer(df, Request(aggregation=spec, proof=proof), s).diagnostics["verified"]) for n, (spec, s) in cases.items()]
+    return spark.createDataFrame(rows, "request string, dirty_casts long, verified boolean")
+
+
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS __row_idx", "'Sample ' || CAST(p_partkey % 50 AS STRING) AS sample", "p_brand", "repeat(substring('ACGTN', CAST(p_partkey % 5 AS INT) + 1, 1) || 'acgt', 60 + CAST(p_partkey % 7 AS INT)) AS bases")
     return sequence_region(rows, "sample 17", start=150, end=200).select("sequence_column", "total_length", "region_start", "region_end", "region_length", "sequence", "has_more", "next_start", F.col("metadata")["p_brand"].alias("brand"))
@@ -104,6 +125,11 @@ ENTRIES |= {
     "lane_detail_sql": (detail_sql, f"WITH {CELLS_SQL} SELECT k, trim(coalesce(vendor, '')) AS vendor FROM c WHERE region = 'US'"),
     "lane_stale_signature": (stale, f"WITH {CELLS_SQL} SELECT k FROM c WHERE FALSE"),
     "lane_signatures": (stale_or_not, "SELECT 'same' AS request, least(count(*), 10000) AS n, FALSE AS signature_mismatch, FALSE AS order_field_absent FROM lineitem UNION ALL SELECT 'other', 0, TRUE, FALSE UNION ALL SELECT 'absent', 0, FALSE, TRUE"),
+    "lane_null_gate": (
+        null_gate,
+        f"WITH {CELLS_SQL}, n AS (SELECT region, count(*) FILTER (vendor IS NULL) AS n FROM c WHERE region IN ('EU', 'US') GROUP BY region) SELECT region, source, grouped_by, CASE WHEN grouped_by = 'vendor' THEN n ELSE 0 END AS null_group_rows, grouped_by = 'vendor' AND n > 0 AND source LIKE '%.parquet' AS must_decline FROM n, (VALUES ('cells.csv'), ('cells.parquet')) s(source), (VALUES ('vendor'), ('region')) g(grouped_by)",
+    ),
+    "lane_proofs": (proofs, "SELECT r AS request, count(*) FILTER (l_linenumber IS NULL) AS dirty_casts, r = 'same' AND count(*) > 0 AS verified FROM lineitem, (VALUES ('same'), ('mean'), ('other groups'), ('other source')) t(r) GROUP BY r"),
     "lane_self_check": (agreements, f"WITH {CELLS_SQL} SELECT 'same' AS what, TRUE AS agree UNION ALL SELECT 'other', count(*) = count(vendor) FROM c"),
     "self_check": (
         checked,

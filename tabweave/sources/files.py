@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from tabweave.functions.normalize import distinct_names
 from tabweave.operators.filters import column
 from tabweave.operators.order_page import ROW
 from tabweave.session import scratch
-from tabweave.sources.json_splits import RANGE_BYTES, read_arrays
+from tabweave.sources.json_splits import RANGE_BYTES, opened, read_arrays
 from tabweave.sources.records import MAX_RECORD, ends_open, records
 
 #: The name under which SQL finds a source.
@@ -168,12 +170,6 @@ def json_shape(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     return next((f.regions[0][0] if f.shape == "object" and f.regions else f.shape for f in found), "scalar")
 
 
-def whole_path(spark: SparkSession, path: str) -> str:
-    """A path with its file system, for readers outside of Spark."""
-    fs, where = _path(spark, path)
-    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
-
-
 def files_below(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(whole path, bytes) of a file, of what a pattern names, or of a folder's files, by name; hidden and empty ones are left out."""
     fs, where = _path(spark, path)
@@ -247,13 +243,50 @@ def too_large(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) -> boo
     return fs.getContentSummary(where).getLength() > most
 
 
-def signature(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) -> str:
-    """Changes when the file's content does: a hash of it, or size and time of a file of more than `most` bytes."""
-    if too_large(spark, path, most):
-        fs, where = _path(spark, path)
-        return f"{fs.getFileStatus(where).getModificationTime()}:{fs.getContentSummary(where).getLength()}"
-    one = spark.read.format("binaryFile").load(path).select(F.struct("path", F.sha2("content", 256).alias("sha")).alias("f"))
-    return "sha:" + one.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")).sha, "|"), 256).alias("sha")).first().sha  # as small as `most` bytes
+#: Bytes of a file that make a leaf of its signature, and leaves or nodes that make a node.
+SIGNATURE_BLOCK, SIGNATURE_FANOUT = 4 << 20, 256
+
+
+def signature(spark: SparkSession, path: str, task_blocks: int = 16) -> str:
+    """Changes when the content of a file, or of a folder's files, does: a tree of hashes over blocks of fixed size.
+
+    Blocks are hashed by tasks, `task_blocks` at a time, and combined in order, level by level, so a file of any size has a
+    hash of its content, whatever the tasks. Names and lengths of files are part of it. The driver gets one hash.
+    """
+    files = files_below(spark, path)
+    step = SIGNATURE_BLOCK * task_blocks
+    root = _uri(_qualified(spark, path)).rstrip("/")
+    spans = [(k, p, p.removeprefix(root).lstrip("/"), n, at) for k, (p, n) in enumerate(files) for at in range(0, n, step)]
+    if not spans:
+        return "sha:" + hashlib.sha256(b"").hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, p, n, at in zip(*(b.column(c).to_pylist() for c in ("file", "path", "size", "at")), strict=True):
+                with opened(p) as file:
+                    places = list(range(at, min(at + step, n), SIGNATURE_BLOCK))
+                    hashes = [hashlib.sha256(file.read_at(min(SIGNATURE_BLOCK, n - x), x)).hexdigest() for x in places]
+                yield pa.RecordBatch.from_pydict({"file": pa.array([k] * len(places), pa.int64()), "place": pa.array([x // SIGNATURE_BLOCK for x in places], pa.int64()), "sha": hashes})
+
+    df = spark.createDataFrame(spans, "file long, path string, name string, size long, at long").repartitionByRange(min(len(spans), 100_000), "file", "at")
+    nodes = df.mapInArrow(run, "file long, place long, sha string")
+    hashed = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["sha"]), ""), 256).alias("sha")
+
+    def combined(nodes: DataFrame, most: int, *keys: str) -> DataFrame:
+        while most > 1:
+            nodes = nodes.groupBy(*keys, F.floor(F.col("place") / SIGNATURE_FANOUT).alias("place")).agg(hashed(F.struct("place", "sha")))
+            most = -(-most // SIGNATURE_FANOUT)
+        return nodes
+
+    whole = combined(nodes, -(-max(n for _, n in files) // SIGNATURE_BLOCK), "file")
+    named = df.where("at = 0").select("file", "name", "size").join(whole.drop("place"), "file")
+    leaves = named.select(F.col("file").alias("place"), F.sha2(F.concat_ws(":", F.octet_length("name").cast("string"), "name", F.col("size").cast("string"), "sha"), 256).alias("sha"))
+    return "sha:" + combined(leaves, len(files)).first().sha
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    fs, where = _path(spark, path)
+    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
 def register(df: DataFrame, view: str = SOURCE_VIEW) -> str:
