@@ -9,7 +9,7 @@ from tabweave.functions.normalize import column_name_of
 from tabweave.functions.scalars import leading_number, number_of, text_of
 from tabweave.operators.aggregate import Order
 from tabweave.operators.filters import Filter, apply_filters, schema_of
-from tabweave.operators.order_page import is_safe_sort_value, page, sort_problem, top_page
+from tabweave.operators.order_page import ROW, is_safe_sort_value, page, sort_problem, top_page
 from tabweave.operators.project import PlanItem, coerced, coerced_sample, normalize_columns, select_present, transform_columns
 from tabweave.plans.inputs import CELLS_SQL, cells, leading_sql, number_sql, table, text_sql
 
@@ -47,6 +47,12 @@ def plain_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(apply_filters(cells(spark, sf_dir), [Filter("equals", "region", ("EU",))]), 100, 250, ties=("k",)).select("k", "region")
 
 
+def sought_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far into the orders of a status, found by counts of runs of row places."""
+    df = table(spark, sf_dir, "orders").withColumn(ROW, F.col("o_orderkey"))
+    return page(apply_filters(df, [Filter("equals", "o_orderstatus", ("O",))]), 100, 1500, top_rows=1000).select("o_orderkey", "o_orderpriority")
+
+
 def default_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(cells(spark, sf_dir), 0, None, ties=("k",)).select("k")
 
@@ -100,6 +106,7 @@ _STEP = "regexp_replace(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\\1
 _CAP = "list_aggregate(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ')"
 ENTRIES |= {
     "page_filtered": (plain_page, f"WITH {CELLS_SQL} SELECT k, region FROM c WHERE region = 'EU' ORDER BY k LIMIT 100 OFFSET 250"),
+    "page_sought": (sought_page, "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100 OFFSET 1500"),
     "page_default": (default_page, f"WITH {CELLS_SQL} SELECT k FROM c ORDER BY k LIMIT 10000"),
     "sort_safety": (
         safety,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabweave.operators.aggregate import Aggregation, AggregationSpec, Order
 from tabweave.operators.filters import Filter
 from tabweave.operators.profile import Profile
-from tabweave.operators.sequence_region import sequence_region
+from tabweave.operators.sequence_region import known_names, sequence_region
 from tabweave.plans.inputs import CELLS_SQL, cells, leading_sql, table
 from tabweave.plans.lanes import Request, agree, answer, run_sql, self_check
 from tabweave.sources.files import SOURCE_VIEW
@@ -114,6 +114,12 @@ def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "request string, dirty_casts long, verified boolean")
 
 
+def names_to_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that a request for an unknown sequence is answered with."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS __row_idx", "p_brand AS brand", "'Sample ' || CAST(p_partkey % 50 AS STRING) AS sample_label")
+    return known_names(rows)
+
+
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS __row_idx", "'Sample ' || CAST(p_partkey % 50 AS STRING) AS sample", "p_brand", "repeat(substring('ACGTN', CAST(p_partkey % 5 AS INT) + 1, 1) || 'acgt', 60 + CAST(p_partkey % 7 AS INT)) AS bases")
     return sequence_region(rows, "sample 17", start=150, end=200).select("sequence_column", "total_length", "region_start", "region_end", "region_length", "sequence", "has_more", "next_start", F.col("metadata")["p_brand"].alias("brand"))
@@ -125,6 +131,7 @@ ENTRIES |= {
     "lane_detail_sql": (detail_sql, f"WITH {CELLS_SQL} SELECT k, trim(coalesce(vendor, '')) AS vendor FROM c WHERE region = 'US'"),
     "lane_stale_signature": (stale, f"WITH {CELLS_SQL} SELECT k FROM c WHERE FALSE"),
     "lane_signatures": (stale_or_not, "SELECT 'same' AS request, least(count(*), 10000) AS n, FALSE AS signature_mismatch, FALSE AS order_field_absent FROM lineitem UNION ALL SELECT 'other', 0, TRUE, FALSE UNION ALL SELECT 'absent', 0, FALSE, TRUE"),
+    "sequence_names": (names_to_choose, "SELECT 'Sample ' || CAST(p_partkey % 50 AS VARCHAR) AS name FROM part ORDER BY p_partkey LIMIT 20"),
     "lane_null_gate": (
         null_gate,
         f"WITH {CELLS_SQL}, n AS (SELECT region, count(*) FILTER (vendor IS NULL) AS n FROM c WHERE region IN ('EU', 'US') GROUP BY region) SELECT region, source, grouped_by, CASE WHEN grouped_by = 'vendor' THEN n ELSE 0 END AS null_group_rows, grouped_by = 'vendor' AND n > 0 AND source LIKE '%.parquet' AS must_decline FROM n, (VALUES ('cells.csv'), ('cells.parquet')) s(source), (VALUES ('vendor'), ('region')) g(grouped_by)",

@@ -73,3 +73,7 @@ def test_realignment(spark):
     assert realign(df, names, profiles, quarantine="drop").count() == 3
     assert realign(df, names, {}).where("__verdict.kind = 'aligned'").count() == 4
     assert check_row([], [], [], RealignOptions())["kind"] == "aligned"
+    from tabweave.operators.realign import examples
+
+    found = examples(realign(df, names, profiles), "k", "realigned", 1).collect()
+    assert [r.k for r in found] == [1] and found[0].kind == "realigned"

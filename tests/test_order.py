@@ -60,3 +60,22 @@ def test_safety(spark):
     df = spark.createDataFrame([("7",), ("1e3",), ("  42  ",), ("",), (None,)], "v string")
     assert tuple(sort_problem(df, [Order("v")]).first()) == (False, False)
     assert tuple(sort_problem(spark.createDataFrame([("apple",)], "v string"), [Order("v"), Order("w")]).first()) == (True, True)
+
+
+def test_sought_pages(spark, monkeypatch):
+    import random
+
+    from tabweave.operators import order_page
+    from tabweave.operators.order_page import page
+
+    monkeypatch.setattr(order_page, "SEEK", (6, 3))
+    rng = random.Random(4)
+    places = sorted(rng.sample(range(1000), 300))
+    shuffled = rng.sample(places, 300)
+    df = spark.createDataFrame([(p, f"v{p}") for p in shuffled], "__row_idx long, v string")
+    for first, n in ((0, 10), (5, 1), (290, 50), (299, 1), (300, 5), (120, 100), (63, 64)):
+        got = page(df, n, first, top_rows=0)
+        assert [r["__row_idx"] for r in got.collect()] == places[first : first + n]
+    assert page(df.where("false"), 5, 1, top_rows=0).collect() == []
+    plan = page(df, 5, 100, top_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

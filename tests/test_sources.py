@@ -60,3 +60,10 @@ def test_folders_and_limits(spark, tmp_path):
 
 def test_lines():
     assert split_line('a, "b, ""c""" ,,d') == ["a", 'b, "c"', "", "d"]
+
+
+def test_best_sheet():
+    from tabweave.sources.xlsx import best_sheet, fullest_sheet
+
+    long, small = ("notes", [["a"]] * 50), ("table", [["name", "size", "kind", "place"], ["x", "1", "y", "z"], ["q", "2", "r", "s"]])
+    assert best_sheet([long, small]) == small and fullest_sheet([long, small]) == long and best_sheet([long]) == long
