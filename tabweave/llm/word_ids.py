@@ -7,29 +7,45 @@ more often than texts do; only a word not met before goes through the merges.
 A text is lower-cased before it is split, which lets more words repeat, only if the tokenizer would make
 the same of it: with Latin letters alone (but for the dotted capital I, whose small form is two characters)
 and without the beginning of a special token, which the tokenizer looks for in the text as it stands.
+
+Many texts are split at once, as arrays of bytes, and Arrow tells equal words. So a word is looked up once for all its
+places among them. New words of small Latin letters, which the tokenizer's rules leave as they are, go to its merges alone.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _NOT_FOLDED = re.compile("[İɐ-\U0010ffff]")
 #: How the tokenizer's special tokens begin.
 _SPECIAL = "<|"
 #: Letters up to here (Latin, Greek, Cyrillic) are letters for the tokenizer and for Python alike.
 _SURE = "԰"
-_LETTERS = "".join(c for c in map(chr, range(ord(_SURE))) if c.isalpha() and c != "İ")
 #: Behind a word of letters the tokenizer takes a run of these apart before any merge.
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-#: Marks that mostly stand at a word's end, and what one may not stand behind if it is to be a word of its own.
-_MARKS, _ENDS = ".,!?;:", ".!?"
-_IN_RUN = re.compile(f"[^{_LETTERS}0-9 \n][{_MARKS}] ")
-#: Characters of texts that are encoded together.
-CHUNK = 1 << 20
+#: Letters that the tokenizer's rules leave as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: The characters in which the tokenizer's merges are written, by byte; those that aren't printable come behind all others. A blank stays.
+_SHOWN = np.array([b in range(33, 127) or b in range(161, 173) or b >= 174 for b in range(256)])
+_WRITTEN = np.where(_SHOWN, np.arange(256), 255 + np.cumsum(~_SHOWN)).astype("<u2")
+_WRITTEN[ord(" ")] = ord(" ")
+#: Bytes: letters and digits, marks that mostly stand at a word's end, those of them that end a sentence, blanks, line feeds, others.
+_OTHER, _ALNUM, _MARK, _STOP, _BLANK, _LINE = range(6)
+_CLASS = bytes(
+    _ALNUM if chr(b).isalnum() and b < 128 else _STOP if b in b".!?" else _MARK if b in b",;:" else _LINE if b == 10 else _BLANK if b in b" \t\r" else _OTHER for b in range(256)
+)
+#: What the letters from À to ÿ begin with in UTF-8, and the second bytes of the two signs among them.
+_LATIN, _SIGNS = 0xC3, (0x97, 0xB7)
+#: Bytes of texts that are encoded together.
+CHUNK = 1 << 23
+#: Words whose ids are copied at a time.
+RUN = 1 << 18
 #: So many words and bytes are remembered at most by default.
 MOST_WORDS, MOST_BYTES = 1_600_000, 384 << 20
 #: What an entry takes beside its characters and ids, and a character.
@@ -51,35 +67,56 @@ class WordIds:
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.word_end[i] = piece.endswith("</w>")
-        self.line_end = np.iinfo(self.kind).max  # no id; stands for a line feed among ids
-        self.fixed = {"": b"", "\n": np.array([self.line_end], self.kind).tobytes()}
-        self.young: dict[str, bytes] = dict(self.fixed)
+        self.plain = self._plain()
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0  # bytes of the young ones
 
+    def _plain(self):
+        """The merges alone, over words that are already written in their characters; None where the rules aren't those known."""
+        from tokenizers import Tokenizer
+
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        split, level = [*(rules["pre_tokenizer"] or {}).get("pretokenizers", []), {}, {}][:2]
+        if steps != ["NFC", "Replace", "Lowercase"] or "|[\\p{L}]+|" not in split.get("pattern", {}).get("Regex", "") or level.get("type") != "ByteLevel" or level["add_prefix_space"] or rules["post_processor"]:
+            return None
+        return Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, letters: list[str], others: list[str]) -> None:
-        put, width = self.young, self.kind.itemsize
-        if letters:  # as one text, which is cheaper: with as many word ends as words, each word has one
-            ids = self._ids([" ".join(letters)])[0]
-            ends = (np.flatnonzero(self.word_end[ids]) + 1) * width
-            if len(ends) != len(letters):
-                others = letters + others
-            else:
-                flat, start = ids.tobytes(), 0
-                for word, end in zip(letters, ends.tolist(), strict=True):
-                    put[word], start = flat[start:end], end
+        plain = [w for w in letters if w.isascii() and w.islower() or _PLAIN.fullmatch(w)] if self.plain else []
+        if plain:
+            text = " ".join(plain)
+            text = text if text.isascii() else _WRITTEN[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            others = self._apart(plain, np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)) + others
+        if len(plain) < len(letters):
+            rest = list(set(letters).difference(plain))
+            others = self._apart(rest, self._ids([" ".join(rest)])[0]) + others
         if others:
-            put.update(zip(others, (x.tobytes() for x in self._ids(others)), strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        """Makes all of the words young."""
+            self.young.update(zip(others, (x.tobytes() for x in self._ids(others)), strict=True))
+
+    def _apart(self, words: list[str], ids: np.ndarray) -> list[str]:
+        """Keeps the words' ids, encoded as one text, which is cheaper: with as many word ends as words, each word has one. Else gives the words back."""
+        width, start = self.kind.itemsize, 0
+        ends = (np.flatnonzero(self.word_end[ids]) + 1) * width
+        if len(ends) != len(words):
+            return words
+        flat, put = ids.tobytes(), self.young
+        for word, end in zip(words, ends.tolist(), strict=True):
+            put[word], start = flat[start:end], end
+        return []
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the words, which are distinct; all of them become young."""
         if len(self.young) > self.most or self.held > self.most_bytes:
-            self.old, self.young, self.held = self.young, dict(self.fixed), 0
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        new = words.difference(young)
+        found = list(map(young.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = {words[i] for i in missing}
         self.held += _ENTRY * len(new) + 2 * _CHAR * sum(map(len, new))  # ids take less than their characters
         if known := new.intersection(old):
             young.update(zip(known, map(old.__getitem__, known), strict=True))
@@ -102,52 +139,77 @@ class WordIds:
         self._encode(letters + list(more), list(others))
         for word, core, tail in whole:
             young[word] = young[core] + young[tail]
+        for i in missing:
+            found[i] = young[words[i]]
+        return found
 
-    def _folded(self, text: str | None, line: str, sentence: str) -> str:
-        """The text with blanks of one kind, small where that is safe, and marks apart from the words they end. A line feed
-        becomes `line`; `sentence` is put behind what ends a sentence."""
-        text = text or ""
-        text = text if _SPECIAL in text or not text.isascii() and _NOT_FOLDED.search(text) else text.lower()
-        if "\t" in text or "\r" in text:
-            text = text.replace("\t", " ").replace("\r", " ")
-        text = text.replace("\n", line)
-        apart = "" if _IN_RUN.search(text) else " "
-        for mark in _MARKS:
-            behind = sentence if mark in _ENDS else ""
-            if apart or behind:
-                text = text.replace(f"{mark} ", f"{apart}{mark} {behind}")
-        return text
-
-    def _chunks(self, texts: Iterable[str | None], line: str = " ", sentence: str = "") -> Iterator[list[str]]:
+    def _chunks(self, texts: Iterable[str | None]) -> Iterator[list[bytes]]:
         held, size = [], 0
         for text in texts:
-            held.append(self._folded(text, line, sentence))
+            text = text or ""
+            held.append((text if _SPECIAL in text or not text.isascii() and _NOT_FOLDED.search(text) else text.lower()).encode())
             size += len(held[-1])
             if size >= CHUNK:
                 yield held
                 held, size = [], 0
-        yield held
+        if held:
+            yield held
+
+    def _chunk(self, texts: list[bytes], bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all the texts in a row, where each text's end, and where sentences, lines and texts end, ascending.
+
+        Words are bytes between blanks; a mark behind a letter or digit and before a blank is a word of its own, as it is for
+        the tokenizer. Arrow tells equal words, so each is looked up once, and its ids are copied to all its places.
+        """
+        joined = b" ".join(texts) + b" "
+        data, is_a = np.frombuffer(joined, np.uint8), np.frombuffer(bytearray(joined).translate(_CLASS), np.uint8)
+        accented = np.flatnonzero(data == _LATIN) + 1
+        is_a[accented[~np.isin(data[accented], _SIGNS)]] = _ALNUM
+        kept = is_a < _BLANK
+        first = kept.copy()
+        first[1:] &= ~kept[:-1]
+        marks = np.flatnonzero((is_a[1:-1] >> 1 == _MARK >> 1) & (is_a[:-2] == _ALNUM) & ~kept[2:]) + 1
+        first[marks] = True
+        starts = np.flatnonzero(first)
+        places = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[kept])).dictionary_encode()
+        del first, places
+        codes, known = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self._learn(known)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        flat, at = np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes) - sizes
+        before = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(sizes[codes], out=before[1:])
+        ids = np.empty(before[-1], self.kind)
+        for i in range(0, len(codes), RUN):
+            run, ends = codes[i : i + RUN], before[i : i + RUN + 1]
+            ids[ends[0] : ends[-1]] = flat[np.repeat(at[run] - ends[:-1], np.diff(ends)) + np.arange(ends[0], ends[-1])]
+        text_ends = np.cumsum([len(x) + 1 for x in texts])
+        bounds = before[np.searchsorted(starts, text_ends)]
+        if not bounded:
+            return ids, bounds, bounds
+        stops = is_a == _LINE
+        stops[1:] |= (is_a[:-1] == _STOP) & ~kept[1:]
+        ends = np.sort(np.concatenate([before[np.searchsorted(starts, np.flatnonzero(stops))], bounds]), kind="stable")
+        return ids, bounds, ends[np.diff(ends, prepend=-1) > 0]
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian integers of the store's width."""
         for chunk in self._chunks(texts):
-            found = [text.split(" ") for text in chunk]
-            self._learn(set().union(*found))
-            for words in found:
-                yield b"".join(map(self.young.__getitem__, words))
+            ids, bounds, _ = self._chunk(chunk, False)
+            flat, start = ids.tobytes(), 0
+            for end in (bounds * self.kind.itemsize).tolist():
+                yield flat[start:end]
+                start = end
 
     def bounded(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each text's ids, and the places in them that end a sentence or a line, ascending."""
-        for chunk in self._chunks(texts, " \n ", "\n "):
-            found = [text.split(" ") for text in chunk]
-            self._learn(set().union(*found))
-            for words in found:
-                ids = np.frombuffer(b"".join(map(self.young.__getitem__, words)), self.kind)
-                marked = ids == self.line_end
-                ends = marked.nonzero()[0]
-                ids, ends = ids[~marked], ends - np.arange(len(ends))
-                ends = ends[np.diff(ends, prepend=0) > 0]  # ascending; those at the beginning and repeated ones go
-                yield ids, ends if len(ends) and ends[-1] == len(ids) or not len(ids) else np.append(ends, len(ids))
+        for chunk in self._chunks(texts):
+            ids, bounds, ends = self._chunk(chunk, True)
+            start, a = 0, int(np.searchsorted(ends, 0, "right"))
+            for end, z in zip(bounds.tolist(), np.searchsorted(ends, bounds, "right").tolist(), strict=True):
+                yield ids[start:end], ends[a:z] - start
+                start, a = end, z
 
 
 @lru_cache(maxsize=2)
