@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from tabweave.llm import word_ids
 from tabweave.llm.elias_fano import EliasFano
 from tabweave.llm.packing import PackingCosts, best_cuts, pack_documents, with_hard_places
 from tabweave.llm.queries import tokenizer_path
@@ -190,3 +191,17 @@ def test_little_padding(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     total = sum(r[1] for r in got)
     assert sum(4096 - r[1] for r in got) - 4096 < 0.01 * total
+
+
+def test_token_files_hold_the_same_ids_however_texts_are_cut_up(spark, tokenizer, monkeypatch):
+    made = [*ODD, None, "", "A b. Été, c!\n" * 40] * 3
+    want = [tokenizer.encode(x or "", add_special_tokens=False).ids for x in made]
+    for chunk, run in ((1, 1), (50, 3), (5000, 64)):
+        monkeypatch.setattr(word_ids, "CHUNK", chunk)
+        monkeypatch.setattr(word_ids, "RUN", run)
+        store = WordIds(PATH, 40)
+        assert [np.frombuffer(x, store.kind).tolist() for x in store.ids(made)] == want
+        assert [x.tolist() for x, _ in store.bounded(made)] == want
+    same = documents(spark, [(i, "One two, three. Fünf, élan; \n" * (i % 7)) for i in range(300)], extra=False)
+    got = {r.doc_id: bytes(r.ids) for r in read_token_files(spark, write_token_files(same, PATH, end_id=1)).collect()}
+    assert got == {r.doc_id: whole(tokenizer, r.text, 1).tobytes() for r in same.collect()}
