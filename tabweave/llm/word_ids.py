@@ -43,7 +43,7 @@ _CLASS = bytes(
 #: What the letters from À to ÿ begin with in UTF-8, and the second bytes of the two signs among them.
 _LATIN, _SIGNS = 0xC3, (0x97, 0xB7)
 #: Bytes of texts that are encoded together.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Words whose ids are copied at a time.
 RUN = 1 << 18
 #: So many words and bytes are remembered at most by default.
