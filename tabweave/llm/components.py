@@ -13,24 +13,25 @@ def _mark(edges: DataFrame) -> tuple[int, int | None]:
     return row.n, row.x
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """edges (a, b: long) to (node, root): root is the smallest node of its component.
 
     Only nodes with an edge to another node are returned; no edges give no rows.
     Each round is written to the shared folder. The rounds needed grow with the
-    logarithm of the longest path; no round holds a neighbourhood in one task.
+    logarithm of the longest path; no round holds a neighbourhood in one task. rows: about how many edges there are
+    (see written).
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     before = _mark(edges)
     while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "large-star")
+        large = written(large, "large-star", rows and before[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         # a's own edge to its least neighbour is among the rows, since that neighbour is one of its b
-        edges = written(small.where("a <> b").distinct(), "small-star")
+        edges = written(small.where("a <> b").distinct(), "small-star", rows and before[0])
         now = _mark(edges)
         if now == before:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import parts, small_batches, valid, written
+from .shared import ROW_BYTES, files_for, parts, small_batches, valid, written
 from .simhash import keep_one
 from .simhash import links as ring_links
 from .simhash import of_hashes
@@ -47,6 +47,8 @@ RADIUS = 2
 SKETCH = 1024
 #: Buckets up to this size are compared pair by pair.
 LIGHT = 16
+#: About the bytes that a shingle more makes a text longer.
+WORD_BYTES = 6
 #: So many pairs of one class are dealt out together.
 DEALT = 64
 _RNG = np.random.default_rng(SEED)
@@ -119,8 +121,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, fp long, sim long, size long, bands array<long>, sketch array<long>, text string")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, n: about how many pairs share an a; none twice) to those that are alike. texts: one (fp, text) for each class."""
+def _verified(pairs: DataFrame, texts: DataFrame, rows: int | None, held_bytes: int | None) -> DataFrame:
+    """pairs (a, b, n: about how many pairs share an a; none twice) to those that are alike. texts: one (fp, text) for each
+    class, of about held_bytes; rows: of a table of all bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -133,13 +136,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / DEALT)).alias("deal")), "pairs")
+    dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / DEALT)).alias("deal")), "pairs", rows)
     ids = dealt.select(F.col("a").alias("fp")).union(dealt.select("b")).distinct()
-    needed = written(texts.join(ids, "fp", "left_semi"), "texts")
+    needed = written(texts.join(ids, "fp", "left_semi"), "texts", held_bytes and held_bytes // ROW_BYTES)
     left = dealt.select("a", "deal").distinct().join(needed.withColumnRenamed("fp", "a"), "a").select("a", "deal", F.lit(None).cast("long").alias("b"), "text")
     right = dealt.join(needed.withColumnRenamed("fp", "b"), "b").select("a", "deal", "b", "text")
     both = left.union(right).repartition(parts(pairs.sparkSession), "a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
-    return written(both.mapInArrow(run, "a long, b long"), "alike")
+    return written(both.mapInArrow(run, "a long, b long"), "alike", held_bytes and held_bytes // ROW_BYTES)
 
 
 def _near_in_size(p: Column, q: Column) -> Column:
@@ -161,37 +164,41 @@ def _within_reach(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return both.where(_near_in_sketch(F.col("p"), F.col("q"), F.col("a_sketch"), F.col("b_sketch"))).select("a", "b", "n")
 
 
-def _near_fingerprints(heads: DataFrame) -> DataFrame:
+def _near_fingerprints(heads: DataFrame, n: int | None) -> DataFrame:
     """heads (fp, size, sim) to candidates (a, p, b, q, n): one class of each fingerprint with its others, and with those of fingerprints near by."""
-    first = written(heads.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("lead"), F.count("*").alias("n")), "fingerprints")
+    first = written(heads.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("lead"), F.count("*").alias("n")), "fingerprints", n)
     same = heads.join(first.where("n > 1"), "sim").where("fp <> lead.fp").select(F.col("lead.fp").alias("a"), F.col("lead.size").alias("p"), F.col("fp").alias("b"), F.col("size").alias("q"), "n")
     one, two = (first.select(F.col("sim").alias(x), F.col("lead").alias(f"{x}_lead")) for x in "ab")
-    near = ring_links(first.select(F.col("sim").alias("fp")), RADIUS).distinct().join(one, "a").join(two, "b")
+    near = ring_links(first.select(F.col("sim").alias("fp")), RADIUS, rows=n).distinct().join(one, "a").join(two, "b")
     return same.union(near.select(F.col("a_lead.fp").alias("a"), F.col("a_lead.size").alias("p"), F.col("b_lead.fp").alias("b"), F.col("b_lead.size").alias("q"), F.lit(1).cast("long").alias("n")))
 
 
-def links(heads: DataFrame, texts: DataFrame, light: int = LIGHT) -> DataFrame:
-    """heads (fp, size: its shingles, sim, bands, sketch) and texts (fp, text), one row for each class, to edges (a, b) whose components are those of all verified candidates."""
+def links(heads: DataFrame, texts: DataFrame, light: int = LIGHT, n: int | None = None, held_bytes: int | None = None) -> DataFrame:
+    """heads (fp, size: its shingles, sim, bands, sketch) and texts (fp, text), one row for each class, to edges (a, b) whose components are those of all verified candidates.
+
+    n, held_bytes: about how many classes there are, and bytes of their texts; tables between steps get files accordingly.
+    """
+    rows = n and n * BANDS
     keyed = heads.select("fp", "size", F.explode("bands").alias("s"))
     shared = keyed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = written(keyed.join(shared, "s"), "buckets")
+    keyed = written(keyed.join(shared, "s"), "buckets", rows)
     few = keyed.where(F.col("n") <= light)
     few = few.select("s", "n", F.col("fp").alias("a"), F.col("size").alias("p")).join(few.select("s", F.col("fp").alias("b"), F.col("size").alias("q")), "s").where("a < b").drop("s")
     crowded = keyed.where(F.col("n") > light)
-    crowded = written(crowded.join(crowded.groupBy("fp").agg(F.count("*").alias("many")), "fp"), "crowded")
+    crowded = written(crowded.join(crowded.groupBy("fp").agg(F.count("*").alias("many")), "fp"), "crowded", rows)
     leads = crowded.groupBy("s").agg(F.max_by(F.struct("fp", "size"), F.struct("many", F.xxhash64("fp", "s"))).alias("lead"))
     stars = crowded.join(leads, "s").where("fp <> lead.fp").select("n", F.col("lead.fp").alias("a"), F.col("lead.size").alias("p"), F.col("fp").alias("b"), F.col("size").alias("q"))
-    candidates = few.unionByName(stars).unionByName(_near_fingerprints(heads))
-    out = _verified(_within_reach(candidates, heads), texts)
+    candidates = few.unionByName(stars).unionByName(_near_fingerprints(heads, n))
+    out = _verified(_within_reach(candidates, heads), texts, rows, held_bytes)
     if not crowded.limit(1).count():
         return out
-    roots = components(out).select(F.col("node").alias("fp"), "root")
-    crowded = written(crowded.join(roots, "fp", "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")), "crowded-components")
+    roots = components(out, rows).select(F.col("node").alias("fp"), "root")
+    crowded = written(crowded.join(roots, "fp", "left").select("s", "fp", "size", F.coalesce("root", "fp").alias("c")), "crowded-components", rows)
     apart = crowded.groupBy("s").agg(F.min("c").alias("one"), F.max("c").alias("other")).where("one <> other").select("s")
-    classes = written(crowded.join(apart, "s", "left_semi").select("fp", "size", "c").distinct(), "apart")
+    classes = written(crowded.join(apart, "s", "left_semi").select("fp", "size", "c").distinct(), "apart", n)
     near = _within_reach(near_by_rare_shingles(classes, texts).withColumn("n", F.lit(1)), heads).drop("n")
-    near = written(near, "apart-pairs")
-    return out.union(_verified(near.join(near.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", "n"), texts))
+    near = written(near, "apart-pairs", rows)
+    return out.union(_verified(near.join(near.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", "n"), texts, rows, held_bytes))
 
 
 def _least(share: Column, p: int, q: int) -> Column:
@@ -212,7 +219,8 @@ def near_by_rare_shingles(classes: DataFrame, texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(part), pa.int64()) for x in (fp, size, c)] + [part], names=["fp", "size", "c", "shingle"])
 
     least, most = LEAST
-    held = written(texts.join(classes, "fp").select("fp", "size", "c", "text").mapInArrow(run, "fp long, size long, c long, shingle long"), "apart-shingles")
+    rows = classes.agg(F.sum("size")).first()[0] or 0
+    held = written(texts.join(classes, "fp").select("fp", "size", "c", "text").mapInArrow(run, "fp long, size long, c long, shingle long"), "apart-shingles", rows)
     # shingles of one class alone stand first in its order, so they needn't be dealt out to know the places of the others
     often = held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     placed = held.join(often, "shingle")
@@ -223,7 +231,7 @@ def near_by_rare_shingles(classes: DataFrame, texts: DataFrame) -> DataFrame:
     # pairs within a component aren't needed; of any other pair one side is outside the shingle's largest component
     by_component = placed.groupBy("shingle", "c").agg(F.count("*").alias("m"))
     largest = by_component.groupBy("shingle").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count("*").alias("several")).where("several > 1")
-    placed = written(placed.join(largest.select("shingle", "largest"), "shingle"), "prefixes")
+    placed = written(placed.join(largest.select("shingle", "largest"), "shingle"), "prefixes", rows)
     x = placed.where("c <> largest").select("shingle", *(F.col(k).alias(f"x_{k}") for k in ("fp", "size", "c", "at", "early")))
     y = placed.select("shingle", *(F.col(k).alias(f"y_{k}") for k in ("fp", "size", "c", "at", "early")))
     smaller = F.struct("x_size", "x_fp") < F.struct("y_size", "y_fp")
@@ -241,15 +249,17 @@ def near_copies(docs: DataFrame, light: int = LIGHT) -> DataFrame:
     columns are not read.
     """
     found = written(_classes(docs), "shingle-classes")
-    distinct = written(found.groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "distinct-classes")
+    distinct = written(found.groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "distinct-classes", found.count())
+    n = distinct.count()
     one = found.join(distinct.select("row"), "row", "left_semi")
-    heads = written(one.select("fp", "size", "sim", "bands", "sketch"), "heads")
-    roots = written(components(links(heads, one.select("fp", "text"), light)), "roots").select(F.col("node").alias("fp"), "root")
+    heads = written(one.select("fp", "size", "sim", "bands", "sketch"), "heads", n * (BANDS + SKETCH // 64) // 3)
+    held_bytes = WORD_BYTES * (heads.agg(F.sum("size")).first()[0] or 0) or None
+    roots = written(components(links(heads, one.select("fp", "text"), light, n, held_bytes), n or None), "roots", n).select(F.col("node").alias("fp"), "root")
     linked = distinct.select("fp", "first_id").join(roots, "fp")
     first = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(first, "root").select("fp", "root", "component_id")
     named = distinct.select("fp", "first_id").join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return found.select("doc_id", "fp").join(written(named, "components"), "fp").select("doc_id", "fp", "root", "component_id")
+    return found.select("doc_id", "fp").join(written(named, "components", n), "fp").select("doc_id", "fp", "root", "component_id").coalesce(files_for(found.count()))
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:

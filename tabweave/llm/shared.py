@@ -11,6 +11,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of rows that cross to Python in one Arrow batch; a longer row makes a batch of its own.
 BATCH_BYTES = 8 << 20
+#: Rows of a few numbers, or so many bytes of texts, for each file of a table between steps whose size is known before; so many files it has at least.
+FILE_ROWS, ROW_BYTES, LEAST_FILES = 1 << 18, 24, 4
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -18,9 +20,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return scratch(spark, f"tabweave-{name}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def files_for(rows: int) -> int:
+    return max(LEAST_FILES, -(-rows // FILE_ROWS))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    rows: about how many of a few numbers it has. Its files then follow from that, where a session's shuffle partitions
+    may be far more: each file costs tasks, requests to the store and, on local disks, processes that set its mode.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(files_for(rows))
     path = f"{new_folder(spark, name)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -104,14 +104,14 @@ def _rings(crowded: DataFrame, radius: int) -> DataFrame:
     return crowded.select("v").distinct().mapInArrow(run, "v long, fixed long, chains array<long>")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, light: int = LIGHT) -> DataFrame:
-    """distinct (fp: long, no repeats) to all pairs (a, b), a < b, that lie within `radius` of one another; pairs may repeat."""
+def links(distinct: DataFrame, radius: int = RADIUS, light: int = LIGHT, rows: int | None = None) -> DataFrame:
+    """distinct (fp: long, no repeats; about so many rows) to all pairs (a, b), a < b, that lie within `radius` of one another; pairs may repeat."""
     whole = [F.struct(F.lit(f).alias("fixed"), F.array(*map(F.lit, chains)).cast("array<long>").alias("chains")) for f, chains in _starts(radius, (1 << 64) - 1)]
     held, out = distinct.select("fp", F.explode(F.array(*whole)).alias("m")).select("fp", "m.*"), None
     while True:
         keyed = held.select("fp", F.xxhash64("fixed", "chains").alias("node"), F.col("fp").bitwiseAND(F.col("fixed")).alias("s"), "chains")
         shared = keyed.groupBy("node", "s").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("v")).where("n > 1")
-        keyed = written(keyed.join(shared, ["node", "s"]), "segments")
+        keyed = written(keyed.join(shared, ["node", "s"]), "segments", rows and rows * (radius + 1))
         slim = (F.col("n") <= light) | (F.bit_count("v") <= radius)
         few = keyed.where(slim)
         a, b = few.select("node", "s", "chains", F.col("fp").alias("a")), few.select("node", "s", F.col("fp").alias("b"))
@@ -155,7 +155,7 @@ def keep_one(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_d
     """
     found = written(classes(docs), "classes")
     chosen = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "fp", "root")
-    several = written(found.groupBy(F.col("doc_id").alias("kept_id")).count().where("count > 1 OR kept_id IS NULL").select("kept_id"), "repeated-ids")
+    several = written(found.groupBy(F.col("doc_id").alias("kept_id")).count().where("count > 1 OR kept_id IS NULL").select("kept_id"), "repeated-ids", found.count())
     # the columns of docs stand within a row, so their names meet no others
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.coalesce(valid("text"), F.lit("")).alias("row_text"))
     single = chosen.join(several, "kept_id", "left_anti").where("kept_id IS NOT NULL").select("kept_id")

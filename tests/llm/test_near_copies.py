@@ -118,3 +118,29 @@ def test_names_of_other_columns(spark):
     kept = keep_one_copy(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, ((r.doc_id, r.text, r.kept_id) for r in kept.collect()))) == sorted(map(str, ((i, t, i) for i, t in [rows[0], *rows[2:5]])))
+
+
+def test_files_between_steps_follow_from_the_rows(spark, monkeypatch):
+    from tabweave.llm import components, near_copies, simhash
+
+    files, keys = {}, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for module in (components, near_copies, simhash):
+
+        def counted(df, name, *more, write=module.written):
+            out = write(df, name, *more)
+            files[name] = max(files.get(name, 0), len(out.inputFiles()))
+            return out
+
+        monkeypatch.setattr(module, "written", counted)
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        made = pages(120, copies=6) + planted()[:60]
+        kept = keep_one_copy(documents(spark, list(enumerate(made)), extra=False))
+        assert {r.doc_id for r in kept.collect()} == set(components_of(made)[0].values())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 15
+    assert max(files.values()) <= 4, files
