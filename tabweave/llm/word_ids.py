@@ -47,11 +47,17 @@ CHUNK = 1 << 22
 #: Words whose ids are copied at a time.
 RUN = 1 << 18
 #: So many words and bytes are remembered at most by default.
-MOST_WORDS, MOST_BYTES = 1_600_000, 384 << 20
+MOST_WORDS, MOST_BYTES = 800_000, 192 << 20
+#: New words that are encoded together: the tokenizer holds some hundred bytes for each of their characters meanwhile.
+PIECE = 1 << 11
 #: What an entry takes beside its characters and ids, and a character.
 _ENTRY, _CHAR = 200, 2
 
 
+def _pieces(words: list[str]) -> Iterator[list[str]]:
+    return (words[i : i + PIECE] for i in range(0, len(words), PIECE))
+
+
 class WordIds:
     """Encodes words with a tokenizers file and remembers up to `most` of them, in about `most_bytes` of memory.
 
@@ -88,15 +94,15 @@ class WordIds:
 
     def _encode(self, letters: list[str], others: list[str]) -> None:
         plain = [w for w in letters if w.isascii() and w.islower() or _PLAIN.fullmatch(w)] if self.plain else []
-        if plain:
-            text = " ".join(plain)
+        for words in _pieces(plain):
+            text = " ".join(words)
             text = text if text.isascii() else _WRITTEN[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
-            others = self._apart(plain, np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)) + others
+            others = self._apart(words, np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)) + others
         if len(plain) < len(letters):
-            rest = list(set(letters).difference(plain))
-            others = self._apart(rest, self._ids([" ".join(rest)])[0]) + others
-        if others:
-            self.young.update(zip(others, (x.tobytes() for x in self._ids(others)), strict=True))
+            for words in _pieces(list(set(letters).difference(plain))):
+                others = self._apart(words, self._ids([" ".join(words)])[0]) + others
+        for words in _pieces(others):
+            self.young.update(zip(words, (x.tobytes() for x in self._ids(words)), strict=True))
 
     def _apart(self, words: list[str], ids: np.ndarray) -> list[str]:
         """Keeps the words' ids, encoded as one text, which is cheaper: with as many word ends as words, each word has one. Else gives the words back."""

@@ -205,3 +205,22 @@ def test_token_files_hold_the_same_ids_however_texts_are_cut_up(spark, tokenizer
     same = documents(spark, [(i, "One two, three. Fünf, élan; \n" * (i % 7)) for i in range(300)], extra=False)
     got = {r.doc_id: bytes(r.ids) for r in read_token_files(spark, write_token_files(same, PATH, end_id=1)).collect()}
     assert got == {r.doc_id: whole(tokenizer, r.text, 1).tobytes() for r in same.collect()}
+
+
+def test_new_words_are_encoded_in_pieces(tokenizer):
+    class Counted:
+        def __init__(self, own):
+            self.own, self.most = own, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, sum(len(x.split()) for x in texts))
+            return self.own.encode_batch_fast(texts, **options)
+
+    store = WordIds(PATH)
+    store.tokenizer, store.plain = Counted(store.tokenizer), Counted(store.plain)
+    spelt = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(5000)]
+    made = " ".join([*spelt, *("é" + w for w in spelt), *("я" + w for w in spelt), *(f"x{w}9-{w}" for w in spelt)])
+    (ids,) = store.ids([made])
+    assert np.frombuffer(ids, store.kind).tolist() == tokenizer.encode(made, add_special_tokens=False).ids
+    assert 0 < store.plain.most <= 1 << 11
+    assert 0 < store.tokenizer.most <= 1 << 11
