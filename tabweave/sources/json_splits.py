@@ -48,15 +48,13 @@ def quotes_and_steps(data: bytes, before: bytes) -> tuple[np.ndarray, np.ndarray
     """For each byte: whether it is a quote that opens or closes a string, and +1 or -1 for a bracket. before: what precedes the bytes."""
     b = np.frombuffer(data, np.uint8)
     quotes = b == _QUOTE
-    if _BACKSLASH in data or before.endswith(b"\\"):
-        escaped = np.zeros(len(b) + 1, bool)
+    if len(b) and (_BACKSLASH in data or before.endswith(b"\\")):
         first = len(before) - len(before.rstrip(b"\\"))
-        for m in re.finditer(rb"\\+", data):
-            length = m.end() - m.start() + (first if not m.start() else 0)
-            escaped[m.end()] |= length % 2 == 1
-        if first % 2 and not data.startswith(b"\\"):
-            escaped[0] = True
-        quotes &= ~escaped[:-1]
+        at = np.flatnonzero(quotes)
+        # the last byte before each quote that is no backslash; what lies between are the backslashes that may escape it
+        last = np.maximum.accumulate(np.where(b == _BACKSLASH, -1, np.arange(len(b))))
+        other = np.where(at > 0, last[at - 1], -1)
+        quotes[at[np.where(other >= 0, at - 1 - other, at + first) % 2 == 1]] = False
     steps = ((b == 123) | (b == 91)).astype(np.int8) - ((b == 125) | (b == 93)).astype(np.int8)
     return quotes, steps
 
@@ -87,11 +85,17 @@ def _key_before(data: bytes, before: bytes, at: int) -> str | None:
     return m[1].decode("utf-8", "replace") if m else None
 
 
+def _spread(ranges: DataFrame, files: Sequence[tuple[str, int]], size: int) -> DataFrame:
+    """Ranges in order over tasks of at least RANGE_BYTES, or a few for each core where that makes more."""
+    count, total = sum(-(-length // size) for _, length in files), sum(length for _, length in files)
+    tasks = max(-(-total // RANGE_BYTES), 4 * ranges.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartitionByRange(max(1, min(count, tasks, 100_000)), "path", "begin")
+
+
 def _ranges(spark: SparkSession, files: Sequence[tuple[str, int]], size: int) -> DataFrame:
-    """(path, begin, end) of all ranges, in tasks of one each."""
-    rows = [(path, at, min(at + size, length)) for path, length in files for at in range(0, length, size)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, path string, begin long, end long")
-    return df.repartitionByRange(max(1, min(len(rows), 100_000)), "i").drop("i")
+    """(path, begin, end) of all ranges."""
+    df = spark.createDataFrame(list(files), "path string, length long").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("begin"))
+    return _spread(df.select("path", "begin", F.least(F.col("begin") + size, F.col("length")).alias("end")), files, size)
 
 
 def _starts(spark: SparkSession, files: Sequence[tuple[str, int]], size: int) -> DataFrame:
@@ -113,7 +117,7 @@ def _starts(spark: SparkSession, files: Sequence[tuple[str, int]], size: int) ->
     told = told.withColumn("by", F.when(F.col("inside"), F.col("grows_inside")).otherwise(F.col("grows")))
     folder = f"{scratch(spark, 'ranges')}/t"
     told.select("path", "begin", "end", "inside", F.coalesce(F.sum("by").over(before), F.lit(0)).alias("depth")).write.parquet(folder)
-    return spark.read.parquet(folder)
+    return _spread(spark.read.parquet(folder), files, size)
 
 
 def _landmarks(starts: DataFrame) -> DataFrame:
@@ -148,23 +152,34 @@ def _landmarks(starts: DataFrame) -> DataFrame:
 
 
 def shapes(starts: DataFrame, files: Sequence[tuple[str, int]]) -> list[Json]:
-    """What each file holds; the driver gets a few rows for each range at most."""
-    marks: dict[str, list] = {path: [] for path, _ in files}
-    for r in _landmarks(starts).collect():
-        marks[r.path].append((r.at, r.what, r.text))
+    """What each file holds; the driver gets a row for each, and the landmarks of the arrays that a root object holds."""
+    spark = starts.sparkSession
+    folder = f"{scratch(spark, 'landmarks')}/t"
+    _landmarks(starts).write.parquet(folder)
+    marks, what, at = spark.read.parquet(folder), F.col("what"), F.col("at")
+    told = marks.groupBy("path").agg(F.min(F.when(what == "first", F.struct("at", "text"))).alias("first"), F.min(F.when(what == "end", at)).alias("end"))
+    placed = marks.join(told.select("path", "end", F.col("first.text").alias("root")), "path").where("root = '{'")
+    behind = placed.where((what == "next") & (at > F.col("end"))).groupBy("path").agg(F.min(F.struct("at", "text")).alias("next"))
+    seen = {r.path: r for r in told.join(behind, "path", "left").collect()}
+    here: dict[str, list] = {}
+    if any(r.first and r.first.text == "{" for r in seen.values()):
+        opens = placed.where((what == "open") & (F.col("end").isNull() | (at < F.col("end"))))
+        closes = placed.where(what == "close").join(opens.select("path").distinct(), "path", "left_semi")
+        for r in opens.unionByName(closes).select("path", "at", "what", "text").collect():
+            here.setdefault(r.path, []).append((r.at, r.what, r.text))
     out = []
     for path, _ in files:
-        here = sorted(marks[path])
-        first = next(((at, text) for at, what, text in here if what == "first"), (0, ""))
-        end = next((at for at, what, _ in here if what == "end"), None)
+        r = seen.get(path)
+        first, end = (r.first or (0, ""), r.end) if r else ((0, ""), None)
         if first[1] not in ("[", "{"):
             out.append(Json(path, "scalar", []))
         elif first[1] == "[":
             out.append(Json(path, "array", [("array", first[0] + 1, end if end is not None else 1 << 62)]))
-        elif end is not None and next((text for at, what, text in here if what == "next" and at > end), "") == "{":
+        elif end is not None and r.next and r.next.text == "{":
             out.append(Json(path, "lines", []))
         else:
-            regions = [(text, at + 1, next((c for c, what, _ in here if what == "close" and c > at), 1 << 62)) for at, what, text in here if what == "open" and (end is None or at < end)]
+            own = sorted(here.get(path, []))
+            regions = [(text, at + 1, next((c for c, what, _ in own if what == "close" and c > at), 1 << 62)) for at, what, text in own if what == "open"]
             key = next((w for w in WRAPPERS if any(k == w for k, _, _ in regions)), None)
             out.append(Json(path, "object", [r for r in regions if r[0] == key]))
     return out

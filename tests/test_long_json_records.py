@@ -67,3 +67,16 @@ def test_a_folder_of_several_shapes(spark, tmp_path):
         (tmp_path / name).write_text(text)
     assert sorted(r.k for r in read_json(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5, 6]
     assert read_json(spark, str(tmp_path / "e.json")).count() == 0 and read_json(spark, str(tmp_path / "*.none")).count() == 0
+
+
+def test_many_small_ranges_are_dealt_out_evenly(spark, tmp_path):
+    """Tasks follow from bytes and cores, not from the number of ranges, and no step reads all ranges in one task."""
+    from tabweave.sources.json_splits import _ranges, _starts
+
+    (tmp_path / "a.json").write_text(json.dumps([{"k": i, "note": 'a "]},\\ '} for i in range(5000)]))
+    files = files_below(spark, str(tmp_path))
+    count, cores = -(-files[0][1] // 200), spark.sparkContext.defaultParallelism
+    ranges, starts = _ranges(spark, files, 200), _starts(spark, files, 200)
+    assert ranges.count() == starts.count() == count > 500
+    assert cores < starts.rdd.getNumPartitions() <= 4 * cores and ranges.rdd.getNumPartitions() <= 4 * cores
+    assert sorted(r.k for r in read_json(spark, str(tmp_path), 200).collect()) == list(range(5000))
